@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stage
 from .spread import DEFAULT, Spread, running_totals
 from .trading_calendar import with_prev_trading_day
 
@@ -18,11 +19,13 @@ def date_spans(cells: DataFrame, ts: str = "tradeTime") -> DataFrame:
 
     Positions count up by one inside a split, so a row's number is its distance
     from the split's first row plus the rows of the splits before. Only one row
-    per (split, date) is shuffled, never the lines themselves.
+    per (split, date) is shuffled, never the lines themselves; this short table
+    is stored, so the files are read once.
     """
     per_date = cells.groupBy("source", "part", "block", date_text(cells, ts).alias("_date")).agg(
         F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
+    per_date = stage(per_date)
     split = Window.partitionBy("source", "part", "block")
     placed = per_date.withColumn("_base", F.min("_first").over(split))
     splits = placed.groupBy("source", "part", "block").agg(F.sum("_n").alias("_n"))

@@ -1,13 +1,13 @@
 """Ordered work per group when one group may hold a third of all rows.
 
 A window partitioned by the group alone would put such a group into one task.
-Here only the largest groups are cut into bins along their ordering axis; the
-rows every bin must know from its neighbours arrive as a few *seed* rows. All
-other groups stay whole, so each row is still shuffled exactly once.
+Here group sizes are measured first, and only the largest groups are cut into
+bins along their ordering axis; the rows every bin must know from its
+neighbours arrive as a few *seed* rows. All other groups stay whole, and each
+row is still shuffled exactly once.
 
-The broadcast tables have a proven bound: ``orderBy(n desc).limit(max_groups)``
-keeps at most that many groups, and a group left out of it is either below
-``min_rows`` or smaller than ``max_groups`` others.
+What is collected and broadcast has a proven bound: ``max_groups`` rows. A group
+left out of it is either below ``min_rows`` or smaller than ``max_groups`` others.
 """
 
 from __future__ import annotations
@@ -20,79 +20,69 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BIN = "_bin"
 HOT = "_hot"
 SEED = "_seed"
-SUB_BINS = 1_048_576
 
 
 @dataclass(frozen=True)
 class Spread:
-    """When a group is cut and how fine."""
+    """When a group is cut, how fine, and how often a full bin is cut again."""
 
     min_rows: int = 2_000_000
     rows_per_bin: int = 1_000_000
     max_groups: int = 10_000
+    levels: int = 6
 
 
 DEFAULT = Spread()
 
 
-def match_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition on ``keys`` under which null equals null."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[f"_r_{key}"])
-    return condition
-
-
-def _largest(counts: DataFrame, keys: Sequence[str], at_least: int, spread: Spread) -> DataFrame:
-    top = counts.where(F.col("_n") >= at_least).orderBy(F.desc("_n")).limit(spread.max_groups)
-    return top.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-
-
 def with_bins(df: DataFrame, by: Sequence[str], axis: str, spread: Spread = DEFAULT) -> DataFrame:
     """Add ``_bin`` (rises with ``axis`` within a group) and ``_hot``.
 
-    Pass 1 counts rows per group and gives each large group bins of equal width
-    with ``rows_per_bin`` rows on average. Pass 2 looks only at those groups and
-    splits the bins that came out too full. Rows equal on ``axis`` share a bin.
+    A large group gets bins of equal width, ``rows_per_bin`` rows on average. A
+    bin that came out more than twice as full, because many rows lie close
+    together, is cut again between its own lowest and highest value. Rows equal
+    on ``axis`` share a bin. Each round is one aggregation, after the first one
+    over the rows of large groups only; usually there is no second.
     """
     by = list(by)
-    counts = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi")
-    )
-    hot = _largest(counts, by, spread.min_rows, spread).select(
-        *[f"_r_{k}" for k in by],
-        "_lo",
-        (
-            (F.col("_hi").cast("double") - F.col("_lo").cast("double"))
-            * spread.rows_per_bin
-            / F.col("_n")
-        ).alias("_width"),
-    )
-    hot = F.broadcast(hot)
-
-    def coarse(how: str) -> DataFrame:
-        place = F.try_divide((F.col(axis) - F.col("_lo")).cast("double"), F.col("_width"))
-        return df.join(hot, match_nulls(df, hot, by), how).withColumn(
-            "_place", F.coalesce(place, F.lit(0.0))
+    out = df.withColumns({BIN: F.lit(0.0), HOT: F.lit(False)})
+    limit = spread.min_rows
+    for level in range(spread.levels):
+        rows = out.where(HOT) if level else out
+        sizes = rows.groupBy(*by, BIN).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min(F.col(axis).cast("double")).alias("_lo"),
+            F.max(F.col(axis).cast("double")).alias("_hi"),
         )
-
-    first = coarse("left").withColumn("_coarse", F.floor("_place"))
-    full = (
-        coarse("inner")
-        .groupBy(*by, F.floor("_place").alias("_coarse"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    dense = _largest(full, [*by, "_coarse"], 2 * spread.rows_per_bin, spread).select(
-        *[f"_r_{k}" for k in [*by, "_coarse"]],
-        F.least(F.lit(SUB_BINS), F.ceil(F.col("_n") / spread.rows_per_bin)).alias("_parts"),
+        crowded = sizes.where((F.col("_n") >= limit) & (F.col("_lo") < F.col("_hi")))
+        crowded = crowded.orderBy(F.desc("_n")).limit(spread.max_groups)
+        found = crowded.collect()
+        if not found:
+            break
+        out = _cut(out, df.sparkSession.createDataFrame(found, crowded.schema), by, axis, spread)
+        limit = 2 * spread.rows_per_bin
+    return out
+
+
+def _cut(
+    out: DataFrame, crowded: DataFrame, by: list[str], axis: str, spread: Spread
+) -> DataFrame:
+    parts = F.ceil(F.col("_n") / spread.rows_per_bin)
+    cuts = crowded.select(
+        *[F.col(k).alias(f"_r_{k}") for k in [*by, BIN]],
+        "_lo",
+        parts.alias("_parts"),
+        ((F.col("_hi") - F.col("_lo")) / parts).alias("_step"),
     )
-    dense = F.broadcast(dense)
-    sub = F.floor((F.col("_place") - F.col("_coarse")) * F.coalesce("_parts", F.lit(1)))
-    return (
-        first.join(dense, match_nulls(first, dense, [*by, "_coarse"]), "left")
-        .withColumn(BIN, F.col("_coarse") * SUB_BINS + F.least(sub, F.lit(SUB_BINS - 1)))
-        .withColumn(HOT, F.col("_lo").isNotNull())
-        .select(*df.columns, BIN, HOT)
+    same = F.lit(True)
+    for key in [*by, BIN]:
+        same = same & out[key].eqNullSafe(cuts[f"_r_{key}"])
+    place = F.floor((F.col(axis).cast("double") - F.col("_lo")) / F.col("_step"))
+    start = F.col("_lo") + F.least(place, F.col("_parts") - 1) * F.col("_step")
+    return out.join(F.broadcast(cuts), same, "left").select(
+        *[c for c in out.columns if c not in (BIN, HOT)],
+        F.coalesce(start, F.col("_lo"), F.col(BIN)).alias(BIN),
+        (F.col(HOT) | F.col("_lo").isNotNull()).alias(HOT),
     )
 
 

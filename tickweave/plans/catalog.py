@@ -82,7 +82,7 @@ def cancelled_pairs(spark, folder):
         "isin", "tradeTime", F.floor(F.col("size") / 10).alias("lot"), "flags", *TIE
     )
     return merging.drop_cancelled_pairs(
-        rows, ["isin", "tradeTime", "lot"], is_cancel(F.col("flags")), "tradeTime", TIE, SPREAD
+        rows, ["isin", "tradeTime", "lot"], is_cancel(F.col("flags")), "orderkey", TIE, SPREAD
     )
 
 
@@ -250,6 +250,12 @@ def ingest_quoted(spark, folder):
     return _typed(spark, folder, True)
 
 
+def ingest_unquoted(spark, folder):
+    """Quotes taken as plain characters: a ``;`` inside flags ends the cell, and
+    what follows flags in that layout is lost."""
+    return _typed(spark, folder, False)
+
+
 def ingest_security_names(spark, folder):
     files = daily_files(spark, folder)
     return security_names(read_cells(spark, files, ["isin", "displayName"]), files)
@@ -471,7 +477,7 @@ QUERIES = {
         flag_profile, cancelled_pairs, split_executions, consolidate_signed, consolidated_small,
         consolidated_large, time_bound, daily_activity, universe_any_day, universe_enough_days,
         prev_trading_day, trading_days_by_month, coverage_report, missing_by_month,
-        last_day_position, file_date_audit, file_audit_summary, file_majority_date, ingest_quoted,
+        last_day_position, file_date_audit, file_audit_summary, file_majority_date, ingest_quoted, ingest_unquoted,
         ingest_security_names, tick_window_features, time_window_past, time_window_split,
         open_slice_features, asof_backward_nokey, asof_forward_key, asof_forward_within,
         asof_backward_key, benchmark_delta, future_target, breakout_label, chronological_split,

@@ -341,6 +341,14 @@ SELECT l.source, 'U' || user_id AS isin, ts AS "tradeTime", ts AS "publishedTime
   'MONE' AS quotation, 'EUR' AS currency, CAST(event_id AS VARCHAR) AS "TVTIC", event_type AS mic,
   CASE event_type WHEN 'error' THEN 'CANC;' ELSE 'ALGO;;AMND;' END AS flags
 FROM lines l JOIN calendar c ON c.d = l.file_date
+WHERE event_type <> 'signup' AND k >= 5 AND c.prev_trading_day BETWEEN DATE '2024-01-04' AND DATE '2024-01-25'""",
+    "ingest_unquoted": f"""
+WITH {WINTER}, {FILES}
+SELECT l.source, 'U' || user_id AS isin, ts AS "tradeTime",
+  CASE WHEN day(file_date) % 2 = 0 THEN ts END AS "publishedTime", value AS price, k AS size,
+  'MONE' AS quotation, ' EUR ' AS currency, CAST(event_id AS VARCHAR) AS "TVTIC", event_type AS mic,
+  CASE event_type WHEN 'error' THEN 'CANC' ELSE 'ALGO' END AS flags
+FROM lines l JOIN calendar c ON c.d = l.file_date
 WHERE event_type <> 'signup' AND k >= 5 AND c.prev_trading_day BETWEEN DATE '2024-01-04' AND DATE '2024-01-25'""",
     "ingest_security_names": f"""
 WITH {FILES}

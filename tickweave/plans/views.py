@@ -83,34 +83,33 @@ def daily_files(spark: SparkSession, folder: str) -> DataFrame:
     )
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     k = F.get_json_object("props", "$.k")
-    cells = rows.select(
-        "file_day",
-        F.concat(F.lit("U"), "user_id").alias("isin"),
-        F.concat(F.lit('The "U" '), "user_id").alias("displayName"),
-        F.when(F.col("event_type") == "signup", F.concat(F.lit("?"), stamp))
-        .otherwise(stamp).alias("tradeTime"),
-        F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")).alias("price"),
-        F.when(k.cast("bigint") < 5, "-").otherwise(k).alias("size"),
-        F.lit("MONE").alias("quotation"),
-        F.lit(" EUR ").alias("currency"),
-        F.col("event_id").cast("string").alias("TVTIC"),
-        F.col("event_type").alias("mic"),
-        F.when(F.col("event_type") == "error", "CANC;").otherwise("ALGO;;AMND;").alias("flags"),
-        stamp.alias("publishedTime"),
-        "ts",
-        "event_id",
-    )
+    cells = {
+        "isin": F.concat(F.lit("U"), "user_id"),
+        "displayName": F.concat(F.lit('The "U" '), "user_id"),
+        "tradeTime": F.when(F.col("event_type") == "signup", F.concat(F.lit("?"), stamp)).otherwise(stamp),
+        "price": F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")),
+        "size": F.when(k.cast("bigint") < 5, "-").otherwise(k),
+        "quotation": F.lit("MONE"),
+        "currency": F.lit(" EUR "),
+        "TVTIC": F.col("event_id").cast("string"),
+        "orderId": F.col("event_id").cast("string"),
+        "mic": F.col("event_type"),
+        "flags": F.when(F.col("event_type") == "error", "CANC;").otherwise("ALGO;;AMND;"),
+        "publishedTime": stamp,
+    }
+    layouts = {
+        1: ["isin", "displayName", "tradeTime", "price", "size", "quotation", "currency", "TVTIC",
+            "mic", "flags", "publishedTime"],
+        0: ["publishedTime", "price", "isin", "size", "orderId", "tradeTime", "quotation",
+            "currency", "mic", "flags"],
+    }
     root = shared_dir(spark)
-    ordered = cells.repartitionByRange("file_day", "ts", "event_id").sortWithinPartitions(
-        "file_day", "ts", "event_id"
-    )
-    odd = F.col("file_day").cast("int") % 2 == 1
-    named = ordered.where(odd).drop("ts", "event_id")
-    plain = ordered.where(~odd).select(
-        "file_day", "publishedTime", "price", "isin", "size", F.col("TVTIC").alias("orderId"),
-        "tradeTime", "quotation", "currency", "mic", "flags",
-    )
-    write_daily_files(named, root, "file_day")
-    write_daily_files(plain, root, "file_day")
+    for odd, header in layouts.items():
+        place = ["file_day", "ts", "event_id"]
+        part = rows.where(F.col("file_day").cast("int") % 2 == odd)
+        part = part.repartitionByRange(*place).sortWithinPartitions(*place)
+        write_daily_files(
+            part.select("file_day", *[cells[name].alias(name) for name in header]), root, "file_day"
+        )
     day = F.regexp_extract("path", r"file_day=([^/]*)/", 1)
     return list_files(spark, root, source=F.concat(F.lit("trades_"), day))

@@ -9,8 +9,10 @@ parsed. The few scans are united by name.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -27,6 +29,9 @@ PLACE = ["source", "part", "block", "pos"]
 
 NAME_DATE = r"^[^_]*_([^_.]*)"
 
+# One spelling for file:/x and file:///x.
+_SCHEME = r"^(\w+):/+"
+
 
 def list_files(
     spark: SparkSession, root: str, glob: str = "*.csv", source: Column | None = None,
@@ -36,20 +41,29 @@ def list_files(
 
     ``source`` names the logical file (default: the file's own name); a day
     delivered in parts has several paths with one source. A name without a
-    valid date has a null ``file_date``.
+    valid date has a null ``file_date``. Empty files are listed too.
     """
-    found = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", F.col("_metadata.file_path").alias("part"), F.col("length").alias("file_size"))
-    )
-    name = F.element_at(F.split("path", "/"), -1) if source is None else source
-    named = found.withColumn("source", name)
+    jvm, conf = _hadoop(spark)
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    walk = top.getFileSystem(conf).listFiles(top, True)
+    found = []
+    while walk.hasNext():
+        status = walk.next()
+        path = status.getPath()
+        name = path.getName()
+        if fnmatch(name, glob) and not name.startswith(("_", ".")):
+            part = re.sub(_SCHEME, r"\1:/", path.toUri().toString())
+            found.append((path.toString(), part, name, status.getLen()))
+    schema = "path string, part string, name string, file_size bigint"
+    listed = spark.createDataFrame(found, schema)
+    named = listed.withColumn("source", F.col("name") if source is None else source).drop("name")
     return named.withColumn("file_date", name_date(F.col("source"), date_pattern))
 
 
+def _hadoop(spark: SparkSession):
+    return spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+
 def name_date(name: Column, pattern: str = NAME_DATE) -> Column:
     digits = F.regexp_extract(name, pattern, 1)
     stamp = F.try_to_timestamp(digits, F.lit("yyyyMMdd"))
@@ -76,8 +90,7 @@ def header_of(spark: SparkSession, paths: Sequence[str], separator: str = ";", t
     Reads one line per file through Hadoop's file system, as Spark's own CSV
     reader does for its header; no data passes the driver.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm, conf = _hadoop(spark)
 
     def first_line(path: str) -> tuple[str, ...]:
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -131,7 +144,7 @@ def read_cells(
         kept = header if columns is None else [c for c in header if c in set(columns)]
         frames.append(
             scan.select(
-                F.col("_metadata.file_path").alias("part"),
+                F.regexp_replace("_metadata.file_path", _SCHEME, "$1:/").alias("part"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("pos"),
                 *kept,

@@ -36,6 +36,8 @@ def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def write_daily_files(df: DataFrame, path: str, day: str, mode: str = "append") -> None:
     """Delimited files by day, each with a header line and ``;`` between cells."""
-    df.write.mode(mode).partitionBy(day).option("header", True).option("sep", ";").option(
-        "quoteAll", True
-    ).option("escape", '"').csv(path)
+    writer = df.write.mode(mode).partitionBy(day).option("header", True).option("sep", ";")
+    writer = writer.option("quoteAll", True).option("escape", '"')
+    # The writer would trim blanks by default.
+    writer = writer.option("ignoreLeadingWhiteSpace", False)
+    writer.option("ignoreTrailingWhiteSpace", False).csv(path)
