@@ -46,11 +46,11 @@ def with_benchmark_delta(
 
 def future_windows(
     ticks: DataFrame, key: str, ts: str, price: str, period: int, order: Sequence[str],
-    splits: int = 1,
+    spread: Spread = DEFAULT,
 ) -> DataFrame:
     """Highest and last price of the window that ends at each tick."""
     outputs = [Rolling("future_max_price", "max", price), Rolling("sell_price", "last", price)]
-    return time_window(ticks, key, ts, period, outputs, order, splits)
+    return time_window(ticks, key, ts, period, outputs, order, spread)
 
 
 def with_future(

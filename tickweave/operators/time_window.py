@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.times import micros
+from .spread import DEFAULT, Spread
 
+# A count is the sum of ones, so that partial counts add up.
 _COMBINE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 _SPAN = "_span"
 _ROLE = "_role"
 _SHIFTED = "_shifted"
+_SPLITS = "_splits"
+MOST_SPANS = 1000
 _OWN, _EARLIER, _BETWEEN = 1, 0, 2
 
 
@@ -35,30 +40,44 @@ def _merge(kind: str, parts: Sequence[Column]) -> Column:
     return F.greatest(*parts) if kind == "max" else F.least(*parts)
 
 
+def _crowded_keys(df: DataFrame, key: str, period: int, spread: Spread):
+    """Keys with too many rows within one period, and how many spans they need."""
+    sizes = df.groupBy(key, F.floor(F.col("_t") / period).alias("_home")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    worst = sizes.groupBy(key).agg(F.max("_n").alias("_n")).where(F.col("_n") >= spread.min_rows)
+    found = worst.orderBy(F.desc("_n")).limit(spread.max_groups).collect()
+    spans = []
+    for row in found:
+        wanted = min(-(-row["_n"] // spread.rows_per_bin), MOST_SPANS, period)
+        splits = 1 << (wanted - 1).bit_length()
+        while period % splits:
+            splits += 1
+        spans.append((row[0], splits))
+    return spans, worst.schema
+
+
 def time_window(
     df: DataFrame, key: str, ts: str, period: int, outputs: Sequence[Rolling],
-    order: Sequence[str], splits: int = 1,
+    order: Sequence[str], spread: Spread = DEFAULT,
 ) -> DataFrame:
     """Add rolling values over the last ``period`` microseconds, ties included.
 
-    Time is cut into spans of ``period / splits``. A window then is: the own
-    span up to ``t`` (a running value), the rest of the span ``splits`` back (a
-    running value from its end), and the whole spans between (a small table per
-    span). Both running values need the rows of two spans only, so each row is
-    sent to its own span and to the span ``splits`` ahead: one shuffle by
-    (key, span), linear work in each task, and no task larger than two spans of
-    one key. Raise ``splits`` for keys with dense spans.
+    Time is cut into spans as long as the period. A window then is: the own
+    span up to ``t`` (a running value) and the rest of the span before (a
+    running value from its end). Both need the rows of two spans only, so each
+    row is sent to its own span and to the next: one shuffle by (key, span) and
+    linear work in each task, however many rows a window holds.
+
+    Keys too crowded for that get ``k`` shorter spans per period. Their rows go
+    ``k`` spans ahead, and the whole spans between are summed up in a table
+    with one row per span, which each span receives as a seed row.
     """
-    if period % splits:
-        raise ValueError("period must be a multiple of splits")
-    width = period // splits
     rolled = [o for o in outputs if o.kind != "last"]
     lasts = [o for o in outputs if o.kind == "last"]
-    moment = micros(df, ts)
     based = df.select(
         "*",
-        moment.alias("_t"),
-        ((moment - F.pmod(moment, F.lit(width).cast("long"))) / width).cast("long").alias("_home"),
+        micros(df, ts).alias("_t"),
         *[
             (F.lit(1) if o.kind == "count" and o.value is None
              else F.col(o.value).isNotNull().cast("int") if o.kind == "count"
@@ -66,29 +85,33 @@ def time_window(
             for o in rolled
         ],
     )
-    own = based.withColumns(
-        {_SPAN: F.col("_home"), _ROLE: F.lit(_OWN), _SHIFTED: F.col("_t")}
-    )
-    carried = [key, *[f"_v_{o.name}" for o in rolled]]
+    spans, schema = _crowded_keys(based, key, period, spread)
+    if spans:
+        table = df.sparkSession.createDataFrame(spans, schema).select(
+            F.col(key).alias("_r_key"), F.col("_n").alias(_SPLITS)
+        )
+        based = based.join(F.broadcast(table), based[key].eqNullSafe(table["_r_key"]), "left")
+        based = based.drop("_r_key").withColumn(_SPLITS, F.coalesce(_SPLITS, F.lit(1).cast("long")))
+    else:
+        based = based.withColumn(_SPLITS, F.lit(1).cast("long"))
+    width = F.lit(period).cast("long") / F.col(_SPLITS)
+    home = ((F.col("_t") - F.pmod(F.col("_t"), width.cast("long"))) / width).cast("long")
+    based = based.withColumn("_home", home)
+
+    own = based.withColumns({_SPAN: F.col("_home"), _ROLE: F.lit(_OWN), _SHIFTED: F.col("_t")})
+    values = [f"_v_{o.name}" for o in rolled]
     earlier = based.select(
-        *carried,
-        (F.col("_home") + splits).alias(_SPAN),
+        key,
+        *values,
+        (F.col("_home") + F.col(_SPLITS)).alias(_SPAN),
         F.lit(_EARLIER).alias(_ROLE),
         (F.col("_t") + period).alias(_SHIFTED),
     )
     rows = own.unionByName(earlier, allowMissingColumns=True)
-    if splits > 1:
-        whole = based.groupBy(key, "_home").agg(
-            *[_COMBINE[o.kind](f"_v_{o.name}").alias(f"_v_{o.name}") for o in rolled]
-        )
-        steps = F.explode(F.sequence(F.lit(1), F.lit(splits - 1)))
-        ahead = whole.withColumn("_step", steps)
-        between = (
-            ahead.groupBy(key, (F.col("_home") + F.col("_step")).alias(_SPAN))
-            .agg(*[_COMBINE[o.kind](f"_v_{o.name}").alias(f"_v_{o.name}") for o in rolled])
-            .withColumns({_ROLE: F.lit(_BETWEEN), _SHIFTED: F.col(_SPAN) * width})
+    if spans:
+        rows = rows.unionByName(
+            _whole_spans_between(based, key, rolled, [n for _, n in spans]), allowMissingColumns=True
         )
-        rows = rows.unionByName(between, allowMissingColumns=True)
 
     part = Window.partitionBy(key, _SPAN)
     upto = part.orderBy(_SHIFTED).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -105,7 +128,7 @@ def time_window(
             combine(only(_OWN, o.name)).over(upto),
             combine(only(_EARLIER, o.name)).over(back),
         ]
-        if splits > 1:
+        if spans:
             parts.append(F.max(only(_BETWEEN, o.name)).over(part))
         return _merge(o.kind, parts)
 
@@ -121,6 +144,36 @@ def time_window(
     )
 
 
+def _whole_spans_between(
+    based: DataFrame, key: str, rolled: Sequence[Rolling], splits: Sequence[int]
+) -> DataFrame:
+    """For each span of a crowded key: its ``k - 1`` predecessors combined.
+
+    One row per span, so the window by key is short. Keys with the same ``k``
+    share a frame; ``k`` is mostly a power of two, so there are few.
+    """
+    whole = (
+        based.where(F.col(_SPLITS) > 1)
+        .groupBy(key, _SPLITS, "_home")
+        .agg(*[_COMBINE[o.kind](f"_v_{o.name}").alias(f"_v_{o.name}") for o in rolled])
+    )
+    frames = []
+    for k in sorted(set(splits) - {1}):
+        reach = Window.partitionBy(key).orderBy("_home").rangeBetween(-(k - 1), -1)
+        frames.append(
+            whole.where(F.col(_SPLITS) == k).select(
+                key,
+                F.col("_home").alias(_SPAN),
+                F.lit(_BETWEEN).alias(_ROLE),
+                *[
+                    _COMBINE[o.kind](f"_v_{o.name}").over(reach).alias(f"_v_{o.name}")
+                    for o in rolled
+                ],
+            )
+        )
+    return reduce(DataFrame.unionByName, frames)
+
+
 def open_times(df: DataFrame, key: str, day: str, ts: str) -> DataFrame:
     """First tick of each (key, day)."""
     return df.groupBy(key, day).agg(F.min(ts).alias("open_time"))

@@ -21,7 +21,7 @@ from ..session import stage
 
 @dataclass(frozen=True)
 class BreakoutStudy:
-    """Durations in microseconds. ``splits`` cuts dense time windows finer."""
+    """Names, durations in microseconds, and when large groups are cut."""
 
     key: str = "isin"
     ts: str = "tradeTime"
@@ -37,7 +37,6 @@ class BreakoutStudy:
     factor: float = 1.005
     tolerance: int | None = None
     zone: str | None = EXCHANGE_ZONE
-    splits: int = 1
     spread: Spread = DEFAULT
 
     def past_features(self, ticks: DataFrame) -> DataFrame:
@@ -64,7 +63,7 @@ class BreakoutStudy:
                 Rolling("past_volume", "sum", "_volume"),
                 Rolling("past_tick_count", "count"),
             ],
-            list(self.order), self.splits,
+            list(self.order), self.spread,
         )
         sliced = after_open(rolled, self.ts, "open_time", self.slice_from, self.slice_to)
         return sliced.select(
@@ -84,7 +83,7 @@ class BreakoutStudy:
         )
         narrow = ticks.select(self.key, self.ts, *order, self.price)
         future = future_windows(
-            narrow, self.key, self.ts, self.price, self.future, order, self.splits
+            narrow, self.key, self.ts, self.price, self.future, order, self.spread
         )
         joined = with_future(
             with_delta, stage(future), narrow, self.key, self.ts, self.price, self.horizon,

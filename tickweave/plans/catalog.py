@@ -11,7 +11,7 @@ from ..functions.times import DAY, HOUR, MINUTE, local_date, micros
 from ..operators import audit, consolidate as merging, dedupe, evaluate, labels, universe
 from ..operators.asof import Lookup, asof_join, asof_join_all
 from ..operators.models import fit_breakout_model
-from ..operators.spread import DEFAULT
+from ..operators.spread import DEFAULT, Spread
 from ..operators.split import chrono_split
 from ..operators.tick_window import complete_tick_rows, tick_features
 from ..operators.time_window import Rolling, after_open, open_times, time_window
@@ -23,6 +23,7 @@ from .breakout import BreakoutStudy
 from .views import daily_files, scored_trades, table, ticks, trades
 
 SPREAD = DEFAULT
+CROWDED = Spread(min_rows=4, rows_per_bin=2)
 BENCHMARK = 1
 TIE = ["orderkey", "linenumber", "part"]
 FIRST_DAY, LAST_DAY = dt.date(2024, 1, 1), dt.date(2024, 1, 30)
@@ -280,7 +281,7 @@ def tick_window_features(spark, folder):
     )
 
 
-def _rolled(rows: DataFrame, period: int, splits: int) -> DataFrame:
+def _rolled(rows: DataFrame, period: int, spread: Spread) -> DataFrame:
     return time_window(
         rows, "isin", "tradeTime", period,
         [
@@ -289,7 +290,7 @@ def _rolled(rows: DataFrame, period: int, splits: int) -> DataFrame:
             Rolling("volume", "sum", "_volume"),
             Rolling("tick_count", "count"),
         ],
-        ["TVTIC"], splits,
+        ["TVTIC"], spread,
     ).withColumn("volume", F.round("volume", 2))
 
 
@@ -301,11 +302,12 @@ def _with_volume(spark, folder) -> DataFrame:
 
 
 def time_window_past(spark, folder):
-    return _rolled(_with_volume(spark, folder), 48 * HOUR, 1).drop("_volume", "price")
+    return _rolled(_with_volume(spark, folder), 48 * HOUR, SPREAD).drop("_volume", "price")
 
 
 def time_window_split(spark, folder):
-    return _rolled(_with_volume(spark, folder), 60 * HOUR, 6).drop("_volume", "price")
+    """The same with shorter spans for crowded keys: nearly all, at this limit."""
+    return _rolled(_with_volume(spark, folder), 60 * HOUR, CROWDED).drop("_volume", "price")
 
 
 def open_slice_features(spark, folder):
@@ -367,7 +369,7 @@ def benchmark_delta(spark, folder):
 
 def future_target(spark, folder):
     rows = ticks(spark, folder).select("isin", "tradeTime", "TVTIC", "price")
-    windows = labels.future_windows(rows, "isin", "tradeTime", "price", 60 * HOUR, ["TVTIC"])
+    windows = labels.future_windows(rows, "isin", "tradeTime", "price", 60 * HOUR, ["TVTIC"], SPREAD)
     return labels.with_future(
         rows.select("isin", "tradeTime", "TVTIC"), stage(windows), rows, "isin", "tradeTime",
         "price", 72 * HOUR, 30 * MINUTE, ["TVTIC"], spread=SPREAD,
