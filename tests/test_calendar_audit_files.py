@@ -12,9 +12,10 @@ from tickweave.operators.audit import (
 from tickweave.operators.trading_calendar import (
     easter_sunday, trading_calendar, trading_day_count, with_prev_trading_day,
 )
-from tickweave.plans.consolidation import consolidated_from_files
+from tickweave.plans.consolidation import active_once_from_files, consolidated_from_files
 from tickweave.sources.daily_files import (
     clean_trades, files_for_days, files_near, header_of, list_files, read_cells, security_names,
+    sources_with,
 )
 from tickweave.sources.tables import read_parquet, write_parquet, write_report
 
@@ -76,7 +77,7 @@ def test_local_day_ignores_the_session_zone(spark):
 def test_cells(spark):
     df = spark.createDataFrame(
         [("2024-04-03T08:00:00.1Z", "1,5", "100", '"x"', " \t a b\n"), ("2024-04-03 08:00:00", "1.234,56", "-", "x", None),
-         ("2024-04-03", "2.5", "1.0", '""x"', ""), ("garbage", "", "7", None, "ok")],
+         ("2024-04-03", "2.5", "1.0", '""x"', ""), ("garbage", "1.5d", "7", None, "ok")],
         "t string, p string, s string, q string, w string",
     )
     rows = df.select(
@@ -167,11 +168,10 @@ def test_names(spark, landing):
 def test_audit(spark, landing, calendar):
     files = list_files(spark, landing, "trades_*.csv")
     cells = read_cells(spark, files, ["tradeTime"])
-    columns = spark.createDataFrame(
-        [(s,) for s in ["trades_20240404.csv", "trades_20240405.csv", "trades_20240408.csv", "trades_20240409.csv",
-                        "trades_2024xx10.csv", "trades_20240415.csv"]], "source string",
-    )
-    audit = audit_file_dates(files, cells, calendar, with_column=columns)
+    headed = sources_with(spark, files, "tradeTime")
+    # An empty file has no header either.
+    assert headed.count() == 5
+    audit = audit_file_dates(files, cells, calendar, with_column=headed)
     got = {r["source"][7:15]: r for r in audit.collect()}
     assert got["20240405"]["matches"] and got["20240405"]["issue"] is None
     assert got["20240415"]["max_date_first_row"] == 0 and got["20240415"]["matches"]
@@ -241,6 +241,15 @@ def test_files_to_consolidated(spark, landing):
     assert rows == {("DE1", 1.5, 300, "ALGO;"), ("DE1", 2.25, 100, "ALGO;"), ("DE1", 3.0, 100, "ALGO;"), ("DE2", 4.5, 8, "ALGO;")}
 
 
+def test_files_to_small_table(spark, landing):
+    got = active_once_from_files(
+        spark, landing, dt.date(2024, 4, 3), dt.date(2024, 4, 4), "trades_*.csv", min_count=1, min_volume=1.0
+    )
+    # Over all files t1 is the later cancellation, which nets below zero.
+    rows = {(r["isin"], r["price"], r["total_size"]) for r in got.collect()}
+    assert rows == {("DE1", 1.5, 200), ("DE1", 2.25, 100), ("DE2", 4.5, 8)}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "day int, v string")
     write_parquet(df, str(tmp_path / "p"), "day", sort_by=("v",))

@@ -105,3 +105,29 @@ def test_fit_by_key_reports_every_key(spark, tmp_path):
         threads=1, gate=lambda model, rows: False,
     )
     assert refused.first()["status"] == "rejected"
+
+
+def test_studies_fit_chosen_keys(spark, tmp_path):
+    from tickweave.operators.models import BREAKOUT_FEATURES, RETURN_FEATURES
+    from tickweave.plans import returns
+    from tickweave.plans.breakout import BreakoutStudy
+
+    random.seed(2)
+    rows = []
+    for key in ["good", "noise", "other"]:
+        for i in range(150):
+            x = random.random()
+            label = int(x > 0.5) if key == "good" else i % 2
+            rows.append((key, *[x] * 6, label, x, i < 120, 90 <= i < 120))
+    names = dict.fromkeys([*BREAKOUT_FEATURES, *RETURN_FEATURES])
+    schema = "isin string, a double, b double, c double, d double, e double, f double, target_label int, target_return double, is_train boolean, is_validation boolean"
+    df = spark.createDataFrame(rows, schema)
+    for name in names:
+        df = df.withColumn(name, F.col("a"))
+    status = BreakoutStudy().fit_chosen(df, ["good", "noise"], str(tmp_path / "b"), rounds=2, min_auc=0.9, threads=2)
+    assert {r["key"]: r["status"] for r in status.collect()} == {"good": "saved", "noise": "rejected"}
+    status = returns.fit_chosen(df, "isin", ["good"], str(tmp_path / "r"), rounds=1)
+    assert status.first()["status"] == "saved"
+    from pyspark.ml import PipelineModel
+
+    assert "score" in score_rows(PipelineModel.load(status.first()["path"]), df).columns

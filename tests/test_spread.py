@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window, functions as F
 
+from tickweave.operators.asof import Lookup, asof_join
 from tickweave.operators.spread import (
     BIN, HOT, SEED, Spread, running_totals, with_bins, with_neighbour_rows,
 )
@@ -96,3 +97,16 @@ def test_bins_on_fractional_axis(spark, small_bins):
     got = running_totals(df, ["key"], "score", [F.col("score")], {"n": F.lit(1)}, small_bins).collect()
     ranked = sorted(got, key=lambda r: r["score"])
     assert [r["n"] for r in ranked] == list(range(1, 101))
+
+
+def test_plans_without_large_groups_shuffle_once(spark):
+    df = spark.createDataFrame([("a", 1, 1, 1)], SCHEMA)
+    run = running_totals(df, ["key"], "t", [F.col("t")], {"n": F.lit(1)})
+    near = with_neighbour_rows(df, ["key"], "t", ["id"], 5, 1)
+    near = near.withColumn("x", F.lag("x").over(Window.partitionBy("key", BIN).orderBy("t")))
+    looked = asof_join(
+        df, [Lookup(df.select("key", "t", F.col("x").alias("y")), "t", ["y"])], "t", ["key"], "forward"
+    )
+    for plan in [run, near, looked]:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text

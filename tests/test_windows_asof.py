@@ -120,6 +120,14 @@ def test_two_lookups_share_one_shuffle_of_rows(spark):
     assert [tuple(r) for r in out.collect()] == [("a", 10, 1, 7, 8)]
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_rows_without_time_match_nothing(spark, direction):
+    left = spark.createDataFrame([("a", None, 1), ("a", 5, 2)], "key string, t long, id long")
+    right = spark.createDataFrame([("a", None, 7), ("a", 5, 8)], "key string, t long, v long")
+    got = asof_join(left, [Lookup(right, "t", ["v"])], "t", ["key"], direction).collect()
+    assert {r["id"]: r["v"] for r in got} == {1: None, 2: 8}
+
+
 def test_benchmark_delta_over_a_silent_day(spark):
     day = 86_400 * SECOND
     bench = spark.createDataFrame([(0, 10.0, 1), (5, 20.0, 2), (2 * day, 30.0, 3)], "t long, price double, id long")

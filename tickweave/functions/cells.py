@@ -15,8 +15,10 @@ def parse_instant(text: Column) -> Column:
 
 
 def parse_price(text: Column) -> Column:
-    """Number with a decimal comma or point; grouped digits are no number."""
-    return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
+    """Number with a decimal comma or point; grouped digits are no number, nor
+    are the type letters (``1.5d``) that a cast would take."""
+    value = F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
+    return F.when(~text.rlike(r"\d[dDfF]\s*$"), value)
 
 
 def parse_size(text: Column) -> Column:

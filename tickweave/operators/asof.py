@@ -38,7 +38,8 @@ def asof_join(
 
     Left rows and all lookups are stacked and read once in time order: one
     shuffle and one sort, whatever the number of lookups. The payload travels
-    as a struct, so a matched row with null fields still counts. Keys with very
+    as a struct, so a matched row with null fields still counts; rows without a
+    time match nothing. Keys with very
     many rows are cut into time bins; each bin starts with the row carried over
     from the bins before it. ``left`` and the lookups are scanned again to find
     these keys, so hand over stored tables if they are costly.
@@ -58,7 +59,7 @@ def asof_join(
                 F.lit(0).alias(_SIDE),
                 tie.alias(f"_tie{slot}"),
                 F.struct(moment.alias("_at"), *fields).alias(slot),
-            ),
+            ).where(F.col(_AXIS).isNotNull()),
             allowMissingColumns=True,
         )
     ties = [f"_tie{slot}" for slot in slots]
@@ -93,7 +94,7 @@ def asof_join(
     ).where((F.col(SEED) == 0) & (F.col(_SIDE) == 1))
 
     def field(slot: str, name: str) -> Column:
-        value = F.col(f"{slot}.{name}")
+        value = F.when(F.col(_AXIS).isNotNull(), F.col(f"{slot}.{name}"))
         if tolerance is not None:
             value = F.when(F.abs(F.col(f"{slot}._at") - F.col(_AXIS)) <= tolerance, value)
         return value.alias(name)

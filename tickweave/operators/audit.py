@@ -72,7 +72,9 @@ def audit_file_dates(
     ``with_column`` lists the sources whose header has the time column; without
     it a file that gave no row counts as empty.
     """
-    named = files.groupBy("source").agg(F.max("file_date").alias("file_date"))
+    named = files.groupBy("source").agg(
+        F.max("file_date").alias("file_date"), F.sum("file_size").alias("_size")
+    )
     expected = with_prev_trading_day(named, calendar, "file_date").withColumnRenamed(
         "prev_trading_day", "expected_date"
     )
@@ -86,6 +88,7 @@ def audit_file_dates(
     matches = seen.eqNullSafe(F.col("expected_date"))
     issue = (
         F.when(F.col("file_date").isNull(), "invalid date in file name")
+        .when(F.col("_size") == 0, "file is empty")
         .when(~known, "time column not found")
         .when(F.coalesce("rows", F.lit(0)) == 0, "file is empty")
         .when(F.coalesce("min_date", F.lit("")) == "", "no dates")

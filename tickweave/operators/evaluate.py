@@ -93,9 +93,11 @@ def best_fbeta(
     return metrics_by_key(curve, key, beta).select(key, "threshold", "precision", "recall")
 
 
-def trade_signals(scored: DataFrame, metrics: DataFrame, key: str, score: str) -> DataFrame:
+def trade_signals(
+    scored: DataFrame, metrics: DataFrame, key: str, score: str, is_stored: bool = False
+) -> DataFrame:
     """Rows whose score reaches the threshold of their key."""
-    limits = broadcast_if_small(metrics.select(key, "threshold"))
+    limits = broadcast_if_small(metrics.select(key, "threshold"), is_stored=is_stored)
     return scored.join(limits, key).where(F.col(score) >= F.col("threshold"))
 
 

@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stage
+
 # Inputs of the two studies.
 RETURN_FEATURES = [
     "price", "volume", "delta_t_ms", "vol_sum_10tick", "vol_sum_50tick", "price_std_20tick",
@@ -71,6 +73,13 @@ def save_model(model: PipelineModel, path: str) -> str:
     return path
 
 
+def stage_by_key(df: DataFrame, key: str, keys: Sequence) -> DataFrame:
+    """Store the rows of the chosen keys sorted by key, so that reading one key
+    skips the row groups of the others."""
+    chosen = df.where(F.col(key).isin(list(keys)))
+    return stage(chosen.hint("rebalance", F.col(key)).sortWithinPartitions(key))
+
+
 def fit_by_key(
     df: DataFrame, key: str, keys: Sequence[str], fit: Callable[[DataFrame], PipelineModel],
     path: str, min_rows: int = 100, threads: int = 4,
@@ -78,7 +87,7 @@ def fit_by_key(
 ) -> DataFrame:
     """One model per chosen key; a failed fit is a row of the result, not an end.
 
-    ``df`` should be a stored table that prunes by ``key``. Returns one status
+    ``df`` should come from :func:`stage_by_key`. Returns one status
     row per key: saved, skipped (too few rows), rejected (by ``gate``) or failed.
     """
 

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.times import EXCHANGE_ZONE, HOUR, MINUTE, local_date
 from ..operators.evaluate import (
-    metrics_by_key, pr_curve_by_key, signal_returns, strategy_report, trade_signals,
+    auc_by_key, metrics_by_key, pr_curve_by_key, signal_returns, strategy_report, trade_signals,
 )
 from ..operators.labels import breakout_label, future_windows, with_benchmark_delta, with_future
-from ..operators.models import BREAKOUT_FEATURES, fit_breakout_model, score_rows
+from ..operators.models import (
+    BREAKOUT_FEATURES, fit_breakout_model, fit_by_key, score_rows, stage_by_key,
+)
 from ..operators.spread import DEFAULT, Spread
 from ..operators.split import chrono_split
 from ..operators.time_window import Rolling, after_open, open_times, time_window
@@ -104,11 +106,33 @@ class BreakoutStudy:
         )
         return score_rows(model, parts.where("not is_train"))
 
+    def fit_chosen(
+        self, parts: DataFrame, keys: Sequence, path: str, rounds: int = 200,
+        min_auc: float = 0.55, min_rows: int = 100, threads: int = 4,
+    ) -> DataFrame:
+        """One model per chosen security, saved if its test AUC reaches ``min_auc``.
+
+        ``parts`` has the columns of :func:`chrono_split` with validation rows.
+        """
+
+        def fit(rows: DataFrame):
+            return fit_breakout_model(
+                rows.where("is_train"), BREAKOUT_FEATURES, "target_label", "is_validation", rounds
+            )
+
+        def good(model, rows: DataFrame) -> bool:
+            scored = score_rows(model, rows.where("not is_train"))
+            found = auc_by_key(scored, self.key, "target_label", "score", self.spread).first()
+            return found is not None and found["auc"] >= min_auc
+
+        chosen = stage_by_key(parts, self.key, keys)
+        return fit_by_key(chosen, self.key, keys, fit, path, min_rows, threads, good)
+
     def report(self, scored: DataFrame, beta: float = 0.5) -> DataFrame:
         """Ranked strategy report from scored test rows (a stored table)."""
         curve = pr_curve_by_key(scored, self.key, "target_label", "score", self.spread)
         metrics = stage(metrics_by_key(curve, self.key, beta))
-        signals = trade_signals(scored, metrics, self.key, "score")
+        signals = trade_signals(scored, metrics, self.key, "score", is_stored=True)
         returns = signal_returns(signals, self.key, local_date(signals, self.ts, self.zone))
         totals = scored.groupBy(self.key).agg(F.max("total_rows").alias("total_rows"))
         return strategy_report(metrics, returns, totals, self.key)

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cells import is_cancel
-from ..functions.times import DAY, HOUR, MINUTE, local_date, micros
+from ..functions.times import HOUR, MINUTE, local_date
 from ..operators import audit, consolidate as merging, dedupe, evaluate, labels, universe
 from ..operators.asof import Lookup, asof_join, asof_join_all
-from ..operators.models import fit_breakout_model
 from ..operators.spread import DEFAULT, Spread
 from ..operators.split import chrono_split
 from ..operators.tick_window import complete_tick_rows, tick_features
-from ..operators.time_window import Rolling, after_open, open_times, time_window
+from ..operators.time_window import Rolling, time_window
 from ..operators.trading_calendar import trading_calendar, with_prev_trading_day
 from ..session import stage
-from ..sources.daily_files import clean_trades, files_for_days, read_cells, security_names
+from ..sources.daily_files import (
+    clean_trades, files_for_days, read_cells, security_names, sources_with,
+)
 from . import consolidation, returns
 from .breakout import BreakoutStudy
 from .views import daily_files, scored_trades, table, ticks, trades
@@ -218,7 +219,8 @@ def _files_calendar(spark) -> DataFrame:
 def file_date_audit(spark, folder):
     files = daily_files(spark, folder)
     cells = read_cells(spark, files, ["tradeTime"])
-    return audit.audit_file_dates(files, cells, _files_calendar(spark))
+    headed = sources_with(spark, files, "tradeTime")
+    return audit.audit_file_dates(files, cells, _files_calendar(spark), with_column=headed)
 
 
 def file_audit_summary(spark, folder):

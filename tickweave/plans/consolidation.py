@@ -14,7 +14,9 @@ from ..operators.dedupe import keep_last
 from ..operators.trading_calendar import trading_calendar
 from ..operators.universe import universe_active_days, universe_any_day
 from ..session import stage
-from ..sources.daily_files import clean_trades, files_near, list_files, read_cells
+from ..sources.daily_files import (
+    clean_trades, files_for_days, files_near, list_files, read_cells,
+)
 
 # Columns of one trade besides the grouping keys.
 FIRST_OF = ["tradeTime", "publishedTime", "TVTIC", "mic", "currency", "quotation"]
@@ -71,3 +73,12 @@ def consolidated_from_files(
     files = files_near(list_files(spark, root, glob), start, end)
     cells = read_cells(spark, files, quoting=quoting)
     return consolidated_large(clean_trades(cells, quoting), start, end, **options)
+
+
+def active_once_from_files(
+    spark: SparkSession, root: str, start: dt.date, end: dt.date, glob: str = "*.csv", **options
+) -> DataFrame:
+    """The small plan from the files of the trading days in the range."""
+    calendar = trading_calendar(spark, start, end + dt.timedelta(days=14))
+    files = files_for_days(list_files(spark, root, glob), calendar, start, end)
+    return consolidated_small(clean_trades(read_cells(spark, files)), **options)

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.models import RETURN_FEATURES, fit_return_model, score_rows
+from ..operators.models import (
+    RETURN_FEATURES, fit_by_key, fit_return_model, score_rows, stage_by_key,
+)
 from ..operators.spread import DEFAULT, Spread
 from ..operators.tick_window import complete_tick_rows, tick_features
 from ..session import broadcast_if_small, stage
@@ -29,3 +31,14 @@ def fit_and_score(rows: DataFrame, rounds: int = 100) -> tuple[PipelineModel, Da
     """A pooled model on ``rows`` (a stored table) and its fitted values."""
     model = fit_return_model(rows, RETURN_FEATURES, "target_return", rounds)
     return model, score_rows(model, rows)
+
+
+def fit_chosen(
+    rows: DataFrame, key: str, keys: Sequence, path: str, rounds: int = 100, threads: int = 4
+) -> DataFrame:
+    """One saved model per chosen security; one status row each."""
+
+    def fit(part: DataFrame) -> PipelineModel:
+        return fit_return_model(part, RETURN_FEATURES, "target_return", rounds)
+
+    return fit_by_key(stage_by_key(rows, key, keys), key, keys, fit, path, threads=threads)

@@ -49,11 +49,13 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = 500_000, is_stored: bool = False
+) -> DataFrame:
     """Store a lookup table, count it and hint a broadcast only if it is small.
 
     A larger table comes back without a hint, so the join shuffles and AQE
     may split its skewed partitions.
     """
-    stored = stage(df)
+    stored = df if is_stored else stage(df)
     return F.broadcast(stored) if stored.count() <= max_rows else stored

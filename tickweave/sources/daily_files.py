@@ -107,6 +107,14 @@ def header_of(spark: SparkSession, paths: Sequence[str], separator: str = ";", t
         return dict(zip(paths, pool.map(first_line, paths)))
 
 
+def sources_with(spark: SparkSession, files: DataFrame, column: str) -> DataFrame:
+    """Sources with a file whose header names ``column``."""
+    listed = files.select("path", "source").collect()
+    headers = header_of(spark, [r["path"] for r in listed])
+    found = sorted({r["source"] for r in listed if column in headers[r["path"]]})
+    return spark.createDataFrame([(s,) for s in found], "source string")
+
+
 def read_cells(
     spark: SparkSession, files: DataFrame, columns: Sequence[str] | None = None,
     quoting: bool = True, separator: str = ";",
