@@ -66,7 +66,8 @@ def metrics_by_key(curve: DataFrame, key: str, beta: float = 0.5) -> DataFrame:
         best.alias("_best"),
     )
     mixed = (F.col("positives") > 0) & (F.col("positives") < F.col("rows"))
-    pairs = F.col("positives") * (F.col("rows") - F.col("positives"))
+    # As doubles: the product of two large counts does not fit a bigint.
+    pairs = F.col("positives").cast("double") * (F.col("rows") - F.col("positives"))
 
     def when_mixed(value, other: float):
         return F.when(mixed, value).otherwise(F.lit(other))

@@ -15,10 +15,11 @@ from ..operators.split import chrono_split
 from ..operators.tick_window import complete_tick_rows, tick_features
 from ..operators.time_window import Rolling, time_window
 from ..operators.trading_calendar import trading_calendar, with_prev_trading_day
-from ..session import stage
+from ..session import shared_dir, stage
 from ..sources.daily_files import (
-    clean_trades, files_for_days, read_cells, security_names, sources_with,
+    clean_trades, files_for_days, files_near, read_cells, security_names, sources_with,
 )
+from ..sources.tables import read_parquet, write_parquet, write_report
 from . import consolidation, returns
 from .breakout import BreakoutStudy
 from .views import daily_files, scored_trades, table, ticks, trades
@@ -216,6 +217,28 @@ def _files_calendar(spark) -> DataFrame:
     return trading_calendar(spark, dt.date(2023, 12, 1), dt.date(2024, 3, 1))
 
 
+def files_chosen(spark, folder):
+    """Which files a date range opens: by the coarse rule and by the exact one."""
+    files = daily_files(spark, folder)
+    start, end = dt.date(2024, 1, 12), dt.date(2024, 1, 19)
+    near = files_near(files, start, end, 5).select("source").distinct()
+    exact = files_for_days(files, _files_calendar(spark), start, end).select("source").distinct()
+    named = files.select("source", "file_date").distinct()
+    for name, chosen in [("near", near), ("exact", exact)]:
+        named = named.join(F.broadcast(chosen.withColumn(name, F.lit(True))), "source", "left")
+    return named.fillna(False, ["near", "exact"])
+
+
+def sources_with_names(spark, folder):
+    return sources_with(spark, daily_files(spark, folder), "displayName")
+
+
+def first_file_rows(spark, folder):
+    files = daily_files(spark, folder)
+    cells = read_cells(spark, files, ["TVTIC", "orderId"])
+    return audit.first_rows(cells, 100).select("source", "TVTIC")
+
+
 def file_date_audit(spark, folder):
     files = daily_files(spark, folder)
     cells = read_cells(spark, files, ["tradeTime"])
@@ -264,6 +287,29 @@ def ingest_security_names(spark, folder):
     return security_names(read_cells(spark, files, ["isin", "displayName"]), files)
 
 
+def stored_by_day(spark, folder):
+    """Parquet sink by day; reading a range of days opens only their folders."""
+    rows = ticks(spark, folder)
+    path = shared_dir(spark)
+    write_parquet(
+        rows.withColumn("trade_day", local_date(rows, "tradeTime")), path, "trade_day",
+        sort_by=("isin", "tradeTime"),
+    )
+    days = F.col("trade_day").between(F.lit(dt.date(2024, 1, 9)), F.lit(dt.date(2024, 1, 18)))
+    return read_parquet(spark, path).where(days)
+
+
+def report_file(spark, folder):
+    """CSV sink of the report, read back as text."""
+    path = shared_dir(spark)
+    write_report(strategy_report(spark, folder), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(
+        F.col("ISIN").cast("bigint").alias("ISIN"), "Optimal_Threshold",
+        F.col("ROC_AUC_Score").cast("double").alias("ROC_AUC_Score"), "Signal_Dates",
+    )
+
+
 # --- windows and as-of joins -------------------------------------------------------
 
 
@@ -454,10 +500,27 @@ def most_predictable(spark, folder):
 # --- models ------------------------------------------------------------------------
 
 
+def _return_rows(spark, folder) -> DataFrame:
+    rows = trades(spark, folder).select("isin", "tradeTime", *TIE, "price", "size")
+    return returns.training_rows(rows, "isin", "tradeTime", TIE, spread=SPREAD)
+
+
+def return_training_rows(spark, folder):
+    return _return_rows(spark, folder).select("isin", "tradeTime", *TIE, "delta_t_ms")
+
+
+def chosen_return_models(spark, folder):
+    """A model of its own for each of the three securities with most rows."""
+    ready = stage(_return_rows(spark, folder))
+    top = ready.groupBy("isin").count().orderBy(F.desc("count"), "isin").limit(3).collect()
+    keys = [r["isin"] for r in top]
+    status = returns.fit_chosen(ready, "isin", keys, shared_dir(spark), rounds=2)
+    return status.select(F.col("key").cast("bigint").alias("isin"), "rows", "status")
+
+
 def return_model(spark, folder):
     """Pooled next-tick model: fit error against the error of a constant guess."""
-    rows = trades(spark, folder).select("isin", "tradeTime", *TIE, "price", "size")
-    ready = stage(returns.training_rows(rows, "isin", "tradeTime", TIE, spread=SPREAD))
+    ready = stage(_return_rows(spark, folder))
     _, scored = returns.fit_and_score(ready, rounds=10)
     error = F.col("target_return") - F.col("score")
     return scored.groupBy("isin").agg(
@@ -481,11 +544,11 @@ QUERIES = {
         flag_profile, cancelled_pairs, split_executions, consolidate_signed, consolidated_small,
         consolidated_large, time_bound, daily_activity, universe_any_day, universe_enough_days,
         prev_trading_day, trading_days_by_month, coverage_report, missing_by_month,
-        last_day_position, file_date_audit, file_audit_summary, file_majority_date, ingest_quoted, ingest_unquoted,
-        ingest_security_names, tick_window_features, time_window_past, time_window_split,
+        last_day_position, files_chosen, sources_with_names, first_file_rows, file_date_audit, file_audit_summary, file_majority_date, ingest_quoted, ingest_unquoted,
+        ingest_security_names, stored_by_day, report_file, tick_window_features, time_window_past, time_window_split,
         open_slice_features, asof_backward_nokey, asof_forward_key, asof_forward_within,
         asof_backward_key, benchmark_delta, future_target, breakout_label, chronological_split,
         pr_curve, auc_by_key, best_fbeta, signal_returns, strategy_report, most_predictable,
-        return_model, breakout_model,
+        return_training_rows, chosen_return_models, return_model, breakout_model,
     ]
 }

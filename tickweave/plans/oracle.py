@@ -126,6 +126,12 @@ features AS (
   WINDOW w AS (PARTITION BY isin ORDER BY "tradeTime", orderkey, linenumber, part))"""
 )
 
+COMPLETE = """
+complete AS (
+  SELECT *, count(*) OVER (PARTITION BY isin) AS n FROM features
+  WHERE target_return IS NOT NULL AND delta_t_ms IS NOT NULL AND vol_sum_50tick IS NOT NULL
+    AND price_std_20tick IS NOT NULL)"""
+
 
 def _window(name: str, source: str, micros: int, columns: str) -> str:
     return f"""
@@ -323,6 +329,14 @@ numbered AS (
     max(trade_day) OVER (PARTITION BY mic) AS last FROM ticks)
 SELECT mic, count(*) AS rows, min(trade_day) AS min_date, max(trade_day) AS max_date,
   min(row_num) FILTER (trade_day = last) AS max_date_first_row FROM numbered GROUP BY 1""",
+    "files_chosen": f"""
+WITH {WINTER}, {FILES}
+SELECT DISTINCT source, file_date, file_date BETWEEN DATE '2024-01-07' AND DATE '2024-01-24' AS near,
+  prev_trading_day BETWEEN DATE '2024-01-12' AND DATE '2024-01-19' AS exact
+FROM lines JOIN calendar ON d = file_date""",
+    "sources_with_names": f"WITH {FILES} SELECT DISTINCT source FROM lines WHERE day(file_date) % 2 = 1",
+    "first_file_rows": f"""
+WITH {FILES} SELECT source, CAST(event_id AS VARCHAR) AS "TVTIC" FROM lines WHERE row_num < 100""",
     "file_date_audit": f"WITH {WINTER}, {FILE_AUDIT} SELECT * FROM audit",
     "file_audit_summary": f"""
 WITH {WINTER}, {FILE_AUDIT}
@@ -354,6 +368,10 @@ WHERE event_type <> 'signup' AND k >= 5 AND c.prev_trading_day BETWEEN DATE '202
 WITH {FILES}
 SELECT DISTINCT 'U' || user_id AS isin, 'The "U" ' || user_id AS "displayName" FROM lines
 WHERE day(file_date) % 2 = 1""",
+    "stored_by_day": f"""
+WITH {TICKS} SELECT * FROM ticks WHERE trade_day BETWEEN DATE '2024-01-09' AND DATE '2024-01-18'""",
+    "report_file": f"""
+WITH {REPORT} SELECT "ISIN", "Optimal_Threshold", "ROC_AUC_Score", "Signal_Dates" FROM report""",
     "tick_window_features": f"""
 WITH {FEATURES}
 SELECT isin, "tradeTime", orderkey, linenumber, part, delta_t_ms, round(volume, 2) AS volume,
@@ -361,6 +379,12 @@ SELECT isin, "tradeTime", orderkey, linenumber, part, delta_t_ms, round(volume,
   round(vol_sum_50tick, 2) AS vol_sum_50tick, round(price_std_20tick, 4) AS price_std_20tick
 FROM features WHERE target_return IS NOT NULL AND delta_t_ms IS NOT NULL AND vol_sum_50tick IS NOT NULL
   AND price_std_20tick IS NOT NULL""",
+    "return_training_rows": f"""
+WITH {FEATURES}, {COMPLETE}
+SELECT isin, "tradeTime", orderkey, linenumber, part, delta_t_ms FROM complete WHERE n >= 100""",
+    "chosen_return_models": f"""
+WITH {FEATURES}, {COMPLETE}
+SELECT DISTINCT isin, n AS rows, 'saved' AS status FROM complete WHERE n >= 100 ORDER BY n DESC, isin LIMIT 3""",
     "time_window_past": f"""
 WITH {TICKS}, {_window("rolled", "ticks", 48 * HOUR, PAST.format(max="max_price", sum="volume", count="tick_count"))}
 SELECT isin, "tradeTime", "TVTIC", current_price, max_price, round(volume, 2) AS volume, tick_count FROM rolled""",
