@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BIN = "_bin"
 HOT = "_hot"
 SEED = "_seed"
+RECUT = 16
 
 
 @dataclass(frozen=True)
@@ -40,9 +41,10 @@ def with_bins(df: DataFrame, by: Sequence[str], axis: str, spread: Spread = DEFA
 
     A large group gets bins of equal width, ``rows_per_bin`` rows on average. A
     bin that came out more than twice as full, because many rows lie close
-    together, is cut again between its own lowest and highest value. Rows equal
-    on ``axis`` share a bin. Each round is one aggregation, after the first one
-    over the rows of large groups only; usually there is no second.
+    together, is cut again between its own lowest and highest value, and then
+    finer, to be done in few rounds. Rows equal on ``axis`` share a bin. Each
+    round is one aggregation, after the first one over the rows of large groups
+    only; without a large group there is no second.
     """
     by = list(by)
     out = df.withColumns({BIN: F.lit(0.0), HOT: F.lit(False)})
@@ -59,15 +61,17 @@ def with_bins(df: DataFrame, by: Sequence[str], axis: str, spread: Spread = DEFA
         found = crowded.collect()
         if not found:
             break
-        out = _cut(out, df.sparkSession.createDataFrame(found, crowded.schema), by, axis, spread)
+        rows_per_bin = spread.rows_per_bin / (RECUT if level else 1)
+        cuts = df.sparkSession.createDataFrame(found, crowded.schema)
+        out = _cut(out, cuts, by, axis, rows_per_bin)
         limit = 2 * spread.rows_per_bin
     return out
 
 
 def _cut(
-    out: DataFrame, crowded: DataFrame, by: list[str], axis: str, spread: Spread
+    out: DataFrame, crowded: DataFrame, by: list[str], axis: str, rows_per_bin: float
 ) -> DataFrame:
-    parts = F.ceil(F.col("_n") / spread.rows_per_bin)
+    parts = F.ceil(F.col("_n") / rows_per_bin)
     cuts = crowded.select(
         *[F.col(k).alias(f"_r_{k}") for k in [*by, BIN]],
         "_lo",
