@@ -64,6 +64,7 @@ def main(folder: str, names: list[str]) -> int:
         catalog.SPREAD = Spread(min_rows=40, rows_per_bin=15, max_groups=1000)
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("spark.sql.session.timeZone", os.environ.get("SESSION_ZONE", "UTC"))
     con = connect(folder)
     failed = 0
     for name, query in entry.queries().items():
