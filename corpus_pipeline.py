@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickweave.llm.common import crc_mod, table
 from tickweave.llm.line_quality import keep_good, train_quality
 from tickweave.llm.mixing import mixed_rows
+from tickweave.llm.pii import with_pseudonyms
+from tickweave.llm.sentencepiece_trie import encode
 from tickweave.llm.simhash import keep_one
 from tickweave.session import stage
 
@@ -29,12 +31,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keep_one(docs)
 
 
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by pseudonyms of the same format; n_chars follows the text."""
+    return with_pseudonyms(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixed_rows(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mix", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each text with its SentencePiece ids."""
+    return encode(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("pii", pii),
+    ("mix", mix),
+    ("tokens", tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

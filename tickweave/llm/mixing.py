@@ -91,7 +91,7 @@ def systematic_mix(
     key: Column,
     out: str = "mix",
     seed: int = 1,
-    rows_per_bin: int = 20_000,
+    rows_per_bin: int = 2_000,
 ) -> DataFrame:
     """``rows`` with a struct column ``out`` (size, source_size, target, copies).
 
@@ -161,7 +161,7 @@ def mixed_rows(
     (turn,) = fresh(docs, "mix_turn")
     size = word_count(col(text))
     targets = stage(source_targets(docs, col(source), size, weights, cap))
-    found = systematic_mix(docs, targets, col(source), size, col(key), mix, seed, 5_000)
+    found = systematic_mix(docs, targets, col(source), size, col(key), mix, seed)
     taken = found.where(F.col(mix)["copies"] > 0).withColumn(
         turn, F.explode(F.sequence(F.lit(1), F.col(mix)["copies"]))
     )

@@ -8,6 +8,8 @@ from ..session import stage
 from .common import crc_mod, table, word_count
 from .line_quality import train_quality, with_quality
 from .mixing import source_targets, systematic_mix
+from .pii import with_pseudonyms
+from .sentencepiece_trie import decode, encode
 from .sharding import random_shards
 from .simhash import near_duplicates
 
@@ -60,7 +62,7 @@ parts AS (
 binned AS (
   SELECT r.doc_id, r.size, p.*,
     CAST('0x' || substr(md5('1|' || coalesce(CAST(r.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
-      % CAST(ceil(n_rows / 20000.0) AS BIGINT) AS bin
+      % CAST(ceil(n_rows / 2000.0) AS BIGINT) AS bin
   FROM rows_ r JOIN parts p ON r.source IS NOT DISTINCT FROM p.source),
 placed AS (
   SELECT *,
@@ -75,6 +77,23 @@ FROM counted
 """
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = with_pseudonyms(docs, found="found")
+    return done.select("doc_id", "text", F.coalesce(F.size("found"), F.lit(0)).alias("n_found"), "found")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = decode(encode(docs))
+    return back.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
+        "ids",
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -121,6 +140,13 @@ def op9_random_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op7_simhash, op8_line_quality, op9_random_shards)
+    for f in (
+        op1_mix_sources,
+        op3_pseudonyms,
+        op5_sentencepiece,
+        op7_simhash,
+        op8_line_quality,
+        op9_random_shards,
+    )
 }
 ORACLE = {"op1_mix_sources": OP1_SQL}
