@@ -9,6 +9,7 @@ from .common import crc_mod, table, word_count
 from .line_quality import train_quality, with_quality
 from .mixing import source_targets, systematic_mix
 from .pii import with_pseudonyms
+from .risk_rules import fit_cutoffs, judge, measured
 from .sentencepiece_trie import decode, encode
 from .sharding import random_shards
 from .simhash import near_duplicates
@@ -83,6 +84,21 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.coalesce(F.size("found"), F.lit(0)).alias("n_found"), "found")
 
 
+def op4_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    cutoffs = stage(fit_cutoffs(stats, table(spark, sf_dir, "labels")))
+    return judge(stats, cutoffs).select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     back = decode(encode(docs))
@@ -143,6 +159,7 @@ QUERIES = {
     for f in (
         op1_mix_sources,
         op3_pseudonyms,
+        op4_risk_rules,
         op5_sentencepiece,
         op7_simhash,
         op8_line_quality,
