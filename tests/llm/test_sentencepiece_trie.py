@@ -53,9 +53,9 @@ def test_unigram_search_finds_the_greatest_sum():
         return sums[-1]
 
     words = sorted({"▁" + "".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(400)})
-    for word, ids in zip(words, encode_sorted(words, model.trie(), model, None)):
+    for word, ids in zip(words, encode_sorted(words, model)):
         assert abs(sum(score[k] for k in ids) - best(word)) < 1e-9
-    assert list(encode_sorted(["▁aé"], model.trie(), model, None))[0][-2:] == (1000 + 0xC3, 1000 + 0xA9)
+    assert list(encode_sorted(["▁aé"], model))[0][-2:] == (1000 + 0xC3, 1000 + 0xA9)
 
 
 def test_frames_keep_rows_columns_nulls_and_long_texts(spark):

@@ -124,52 +124,91 @@ class Merges:
         return answer
 
 
-def encode_sorted(words: Iterable[str], root: dict, pieces: Pieces, merges: Merges | None) -> Iterator[tuple[int, ...]]:
-    """Ids of each word; ``words`` must be sorted.
+def _shared(word: str, before: str) -> int:
+    """Length of the common prefix."""
+    same = 0
+    for a, b in zip(word, before):
+        if a != b:
+            break
+        same += 1
+    return same
+
+
+def encode_sorted(words: Iterable[str], pieces: Pieces, merges: Merges | None = None) -> Iterator[tuple[int, ...]]:
+    """Ids of each word; ``words`` must be sorted."""
+    ends = _last_merged(words, pieces, merges) if merges else _last_best(words, pieces)
+    for word, last in ends:
+        parts, at = [], len(word)
+        while at:
+            start, piece = last[at]
+            parts.append((pieces.scored[piece][0],) if piece else as_bytes(word[start:at], pieces.byte_ids))
+            at = start
+        parts.reverse()
+        yield tuple(chain.from_iterable(parts))
 
-    For every position of the word at hand: the best score to get there (unigram), the
-    start, ids and text of the last piece, and the trie nodes of pieces under way. The
-    text is empty where nothing can merge: at the start and after bytes.
+
+def _last_best(words: Iterable[str], pieces: Pieces) -> Iterator[tuple[str, list]]:
+    """Unigram models: start and text of the last piece of the best path to each position.
+
+    Kept per position: the best sum, that piece ("" for bytes), and the trie nodes of the
+    pieces under way.
     """
-    best: list[float] = [0.0]
-    last: list[tuple[int, tuple[int, ...], str]] = [(0, (), "")]
-    under_way: list[list[tuple[int, dict]]] = [[]]
-    apart = merges.apart if merges else None
-    before = ""
+    root, before = pieces.trie(), ""
+    best, last, under_way = [0.0], [(0, "")], [[]]
     for word in words:
-        same = 0
-        for a, b in zip(word, before):
-            if a != b:
-                break
-            same += 1
+        same = _shared(word, before)
         del best[same + 1 :], last[same + 1 :], under_way[same + 1 :]
         for end in range(same, len(word)):
             ch = word[end]
-            score, how, going = None, None, []
+            score, how, going = None, (end, ""), []
             for start, node in (*under_way[end], (end, root)):
                 if (node := node.get(ch)) is None:
                     continue
                 going.append((start, node))
-                if (found := node.get("")) is None:
-                    continue
-                if apart:
-                    if how is None and apart(last[start][2], text := word[start : end + 1]):
-                        how = (start, found[:1], text)
-                elif score is None or best[start] + found[1] > score:
-                    score, how = best[start] + found[1], (start, found[:1], "")
-            if (how is None or not apart) and "" not in root.get(ch, ()):
-                if how is None or best[end] + BYTES_PENALTY > score:
-                    score, how = best[end] + BYTES_PENALTY, (end, as_bytes(ch, pieces.byte_ids), "")
-            best.append(score or 0.0)
+                found = node.get("")
+                if found is not None and (score is None or best[start] + found[1] > score):
+                    score, how = best[start] + found[1], (start, word[start : end + 1])
+            if "" not in root.get(ch, ()) and (score is None or best[end] + BYTES_PENALTY > score):
+                score, how = best[end] + BYTES_PENALTY, (end, "")
+            best.append(score)
             last.append(how)
             under_way.append(going)
         before = word
-        parts, at = [], len(word)
-        while at:
-            at, ids, _ = last[at]
-            parts.append(ids)
-        parts.reverse()
-        yield tuple(chain.from_iterable(parts))
+        yield word, last
+
+
+def _last_merged(words: Iterable[str], pieces: Pieces, merges: Merges) -> Iterator[tuple[str, list]]:
+    """BPE models: start and text of the last piece of the merges' result for each prefix.
+
+    Only prefixes that an answer needs are filled in; for words longer than 100
+    characters all are, from left to right, so that the search never goes deep. The
+    text is empty where nothing can merge: at the start and after bytes.
+    """
+    scored, apart, before = pieces.scored, merges.apart, ""
+    longest = max(map(len, scored), default=1)
+    last: list[tuple[int, str] | None] = [(0, "")]
+
+    def fill(word: str, end: int) -> None:
+        for start in range(max(0, end - longest), end):
+            piece = word[start:end]
+            if piece in scored:
+                if last[start] is None:
+                    fill(word, start)
+                if apart(last[start][1], piece):
+                    last[end] = (start, piece)
+                    return
+        if last[end - 1] is None:
+            fill(word, end - 1)
+        last[end] = (end - 1, "")
+
+    for word in words:
+        same = _shared(word, before)
+        last[same + 1 :] = [None] * (len(word) - same)
+        for end in range(same + 1, len(word) + 1) if len(word) > 100 else (len(word),):
+            if last[end] is None:
+                fill(word, end)
+        before = word
+        yield word, last
 
 
 def units_of(text: str) -> list[str]:
@@ -183,7 +222,7 @@ class Encoder:
     """Encodes blocks of texts; keeps the ids of at most ``most_words`` words between blocks."""
 
     def __init__(self, pieces: Pieces, most_words: int = 400_000) -> None:
-        self.pieces, self.root, self.most = pieces, pieces.trie(), most_words
+        self.pieces, self.most = pieces, most_words
         self.merges = Merges(pieces.scored) if pieces.merges else None
         self.known: dict[str, bytes] = {}
 
@@ -195,7 +234,7 @@ class Encoder:
         if len(self.known) + len(new) > self.most:
             self.known, new = {}, distinct
         order = sorted(new)
-        for word, ids in zip(order, encode_sorted(order, self.root, self.pieces, self.merges)):
+        for word, ids in zip(order, encode_sorted(order, self.pieces, self.merges)):
             self.known[word] = array("i", ids).tobytes()
         find = self.known.__getitem__
         return [None if u is None else b"".join(map(find, u)) for u in units]
