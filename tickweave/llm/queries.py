@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import stage
 from .common import crc_mod, table, word_count
 from .line_quality import train_quality, with_quality
+from .main_text import train_blocks, with_main_text
 from .mixing import source_targets, systematic_mix
 from .pii import with_pseudonyms
 from .risk_rules import fit_cutoffs, judge, measured
@@ -110,6 +111,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = with_main_text(pages, train_blocks(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -161,6 +168,7 @@ QUERIES = {
         op3_pseudonyms,
         op4_risk_rules,
         op5_sentencepiece,
+        op6_main_text,
         op7_simhash,
         op8_line_quality,
         op9_random_shards,
