@@ -14,6 +14,7 @@ from .risk_rules import fit_cutoffs, judge, measured
 from .sentencepiece_trie import decode, encode
 from .sharding import random_shards
 from .simhash import near_duplicates
+from .vantage import nearest
 
 QUALITY_CUTOFF = 0.7
 
@@ -79,6 +80,10 @@ FROM counted
 """
 
 
+def op2_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = with_pseudonyms(docs, found="found")
@@ -165,6 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources,
+        op2_vantage_points,
         op3_pseudonyms,
         op4_risk_rules,
         op5_sentencepiece,
