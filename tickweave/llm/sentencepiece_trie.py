@@ -97,7 +97,7 @@ def as_bytes(ch: str, byte_ids: tuple[int, ...]) -> tuple[int, ...]:
 class Merges:
     """Whether two pieces stay apart under the merges of a BPE model; answers are kept."""
 
-    def __init__(self, scored: dict[str, tuple[int, float]], most_answers: int = 400_000) -> None:
+    def __init__(self, scored: dict[str, tuple[int, float]], most_answers: int = 200_000) -> None:
         self.scored, self.most = scored, most_answers
         self.answers: dict[tuple[str, str], bool] = {}
 
@@ -221,7 +221,7 @@ def units_of(text: str) -> list[str]:
 class Encoder:
     """Encodes blocks of texts; keeps the ids of at most ``most_words`` words between blocks."""
 
-    def __init__(self, pieces: Pieces, most_words: int = 400_000) -> None:
+    def __init__(self, pieces: Pieces, most_words: int = 250_000) -> None:
         self.pieces, self.most = pieces, most_words
         self.merges = Merges(pieces.scored) if pieces.merges else None
         self.known: dict[str, bytes] = {}
@@ -252,7 +252,7 @@ def _encoder(pieces: Pieces) -> Encoder:
 
 def decode_ids(ids, surface: tuple[bytes, ...]) -> str:
     """The text of ids; the space of the first mark is dropped."""
-    text = b"".join([surface[k] for k in ids]).decode("utf-8", "replace")
+    text = b"".join(map(surface.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -310,9 +310,11 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: str =
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 column = part.column(at)
+                ends = column.offsets.to_numpy()
+                flat, valid = column.values.to_numpy(zero_copy_only=False), column.is_valid().to_pylist()
                 texts = [
-                    decode_ids(column[k].values.to_pylist(), surface) if column[k].is_valid else None
-                    for k in range(len(column))
+                    decode_ids(flat[a:b].tolist(), surface) if there else None
+                    for a, b, there in zip(ends, ends[1:], valid)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, out]
