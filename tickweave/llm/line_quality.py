@@ -89,7 +89,7 @@ class QualityModel:
         for text in texts:
             block.append(line_features(text))
             held += len(block[-1][1])
-            if held > 50_000:
+            if held > 10_000:
                 out.append(_shares(self.chain, block))
                 block, held = [], 0
         if block:

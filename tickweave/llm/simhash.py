@@ -133,7 +133,7 @@ def _pairs(groups: np.ndarray, prints: np.ndarray, away: np.ndarray, radius: int
     return np.unique(np.sort(pairs, axis=1), axis=0)
 
 
-def _meet(radius: int, most_variants: int = 2_000_000):
+def _meet(radius: int, most_variants: int = 1_000_000):
     """Links of the places of one task, some places at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
