@@ -8,6 +8,7 @@ from ..session import stage
 from .common import crc_mod, table, word_count
 from .line_quality import train_quality, with_quality
 from .main_text import train_blocks, with_main_text
+from .maxent_lm import score_texts
 from .mixing import source_targets, systematic_mix
 from .pii import with_pseudonyms
 from .risk_rules import fit_cutoffs, judge, measured
@@ -166,6 +167,21 @@ def op9_random_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 5) == 1
+    scored, counts = score_texts(docs, ~held_out)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(counts.n_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -178,6 +194,7 @@ QUERIES = {
         op7_simhash,
         op8_line_quality,
         op9_random_shards,
+        op10_maxent_lm,
     )
 }
 ORACLE = {"op1_mix_sources": OP1_SQL}
