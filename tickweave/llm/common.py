@@ -58,3 +58,18 @@ def words_of(text: str | None) -> list[bytes]:
 def lower_words_of(text: str | None) -> list[bytes]:
     """The same with A-Z lower-cased; bytes.lower leaves every other byte alone."""
     return text.encode().lower().split() if text else []
+
+
+def hash_sample(df: DataFrame, key: Column, most: int, *ties: Column) -> DataFrame:
+    """``most`` rows of ``df`` (all, if fewer), those whose key has the smallest hash.
+
+    Of large tables, rows with a hash far beyond the expected place are dropped first,
+    so that tasks do not each send ``most`` candidates on.
+    """
+    order = F.xxhash64(F.lit("sample"), key)
+    total = df.count()
+    if total > 4 * most:
+        span = 1 << 30
+        df = df.where(F.pmod(order, F.lit(span)) < max(1, span * 2 * most // total))
+        order = F.pmod(order, F.lit(span))
+    return df.orderBy(order, key, *ties).limit(most)

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import col, fresh
+from .common import col, fresh, hash_sample
 from .crf import Chain, fit, marginals, with_neighbours
 
 #: Fixed characters that junk text is full of, as the rules of this library count them.
@@ -166,9 +166,8 @@ def train_quality(
         .groupBy(col(key).alias("q_id"))
         .agg(F.min(col(label)).alias("q_label"))
     )
-    order = F.xxhash64(F.lit("quality sample"), F.col("q_id"))
     ids = docs.where(may_learn).select(col(key).alias("q_id")).distinct()
-    chosen = known.join(ids, "q_id").orderBy(order, "q_id").limit(max_docs)
+    chosen = hash_sample(known.join(ids, "q_id"), F.col("q_id"), max_docs)
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import col
+from .common import col, hash_sample
 from .crf import Chain, fit, viterbi, with_neighbours
 from .dom_blocks import Block, leaf_blocks
 
@@ -257,10 +257,9 @@ def train_blocks(pages: DataFrame, html: str = "html", key: str = "page_id", max
     def texts_of(parts: pd.Series) -> pd.Series:
         return parts.map(lambda h: [b.text for b in leaf_blocks(h if isinstance(h, str) else None)], na_action=None)
 
-    order = F.xxhash64(F.lit("layouts"), col(key))
-    sample = pages.where(col(html).isNotNull()).orderBy(order, col(html)).limit(max_pages)
-    rows = sample.select(texts_of(col(html)).alias("t"), order.alias("o")).collect()
-    return fit_blocks([t for r in sorted(rows, key=lambda r: (r.o, r.t)) for t in r.t])
+    sample = hash_sample(pages.where(col(html).isNotNull()), col(key), max_pages, col(html))
+    rows = sample.select(texts_of(col(html)).alias("t"), col(key).cast("string").alias("k")).collect()
+    return fit_blocks([t for r in sorted(rows, key=lambda r: (r.k or "", r.t)) for t in r.t])
 
 
 def main_texts(chain: Chain, pages: list[str | None], known: dict[str, np.ndarray]) -> list[str]:

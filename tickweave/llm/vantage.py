@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage
-from .common import col
+from .common import col, hash_sample
 
 LEAF = 64
 
@@ -206,9 +206,8 @@ def nearest(
     if common is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == common["n"])
-    order = F.xxhash64(F.lit(seed), F.col("vec_id"))
-    sample = rows.select("v", order.alias("o")).orderBy("o", "v").limit(max_sample).collect()
-    points = np.array([r.v for r in sample], dtype=np.float64)
+    sample = hash_sample(rows.select("v", "vec_id"), F.col("vec_id"), max_sample).collect()
+    points = np.array([r.v for r in sorted(sample, key=lambda r: r.vec_id)], dtype=np.float64)
     total = common["count"]
     # Leaves of at least 8 sampled rows, so at most max_sample / 8 cells.
     router = plant(points, max(8, int(len(points) * rows_per_shard / total)), seed)
