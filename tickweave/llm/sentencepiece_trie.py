@@ -42,6 +42,7 @@ MARK = "▁"
 #: Stands for a mark character of the text itself; half a surrogate, so no text has it.
 OWN_MARK = "\udc81"
 _UNITS = re.compile(f"{MARK}*[^{MARK}\\x00-\\x1f{OWN_MARK}]+|{MARK}+|[\\x00-\\x1f]|{OWN_MARK}+")
+_RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 #: Score of a character written as bytes, below that of every piece.
 BYTES_PENALTY = -2e9
 
@@ -99,6 +100,8 @@ class Merges:
 
     def __init__(self, scored: dict[str, tuple[int, float]], most_answers: int = 200_000) -> None:
         self.scored, self.most = scored, most_answers
+        #: Every ending of every piece: a walk leftwards stops where no piece goes on.
+        self.tails = {p[k:] for p in scored for k in range(len(p))}
         self.answers: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -115,12 +118,10 @@ class Merges:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def apart(self, first: str, second: str) -> bool:
-        answer = self.answers.get((first, second))
-        if answer is None:
-            if len(self.answers) >= self.most:
-                self.answers.clear()
-            answer = self.merged(first + second) == [p for p in (first, second) if p]
-            self.answers[first, second] = answer
+        if len(self.answers) >= self.most:
+            self.answers.clear()
+        answer = self.merged(first + second) == [p for p in (first, second) if p]
+        self.answers[first, second] = answer
         return answer
 
 
@@ -137,14 +138,18 @@ def _shared(word: str, before: str) -> int:
 def encode_sorted(words: Iterable[str], pieces: Pieces, merges: Merges | None = None) -> Iterator[tuple[int, ...]]:
     """Ids of each word; ``words`` must be sorted."""
     ends = _last_merged(words, pieces, merges) if merges else _last_best(words, pieces)
+    scored = pieces.scored
     for word, last in ends:
-        parts, at = [], len(word)
+        ids, at = [], len(word)
         while at:
             start, piece = last[at]
-            parts.append((pieces.scored[piece][0],) if piece else as_bytes(word[start:at], pieces.byte_ids))
+            if piece:
+                ids.append(scored[piece][0])
+            else:
+                ids += as_bytes(word[start:at], pieces.byte_ids)[::-1]
             at = start
-        parts.reverse()
-        yield tuple(chain.from_iterable(parts))
+        ids.reverse()
+        yield tuple(ids)
 
 
 def _last_best(words: Iterable[str], pieces: Pieces) -> Iterator[tuple[str, list]]:
@@ -185,18 +190,23 @@ def _last_merged(words: Iterable[str], pieces: Pieces, merges: Merges) -> Iterat
     text is empty where nothing can merge: at the start and after bytes.
     """
     scored, apart, before = pieces.scored, merges.apart, ""
-    longest = max(map(len, scored), default=1)
+    answers, tails = merges.answers, merges.tails
     last: list[tuple[int, str] | None] = [(0, "")]
 
     def fill(word: str, end: int) -> None:
-        for start in range(max(0, end - longest), end):
-            piece = word[start:end]
-            if piece in scored:
-                if last[start] is None:
-                    fill(word, start)
-                if apart(last[start][1], piece):
-                    last[end] = (start, piece)
-                    return
+        starts, start = [], end - 1
+        while start >= 0 and (tail := word[start:end]) in tails:
+            if tail in scored:
+                starts.append((start, tail))
+            start -= 1
+        for start, piece in reversed(starts):
+            if last[start] is None:
+                fill(word, start)
+            first = last[start][1]
+            answer = answers.get((first, piece))
+            if answer or (answer is None and apart(first, piece)):
+                last[end] = (start, piece)
+                return
         if last[end - 1] is None:
             fill(word, end - 1)
         last[end] = (end - 1, "")
@@ -211,33 +221,39 @@ def _last_merged(words: Iterable[str], pieces: Pieces, merges: Merges) -> Iterat
         yield word, last
 
 
-def units_of(text: str) -> list[str]:
-    """The marked words of a text, in order."""
+def marked_words(text: str) -> list[str]:
+    """The marked words of a text, in order: each starts at the first of a run of marks."""
     if not text:
         return []
-    return _UNITS.findall(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK))
+    text = text.replace(MARK, OWN_MARK) if MARK in text else text
+    if "  " in text or text[0] == " ":
+        return _RUNS.findall(MARK + text.replace(" ", MARK))
+    words = text.split(" ")
+    return [MARK + w for w in words]
 
 
 class Encoder:
     """Encodes blocks of texts; keeps the ids of at most ``most_words`` words between blocks."""
 
-    def __init__(self, pieces: Pieces, most_words: int = 250_000) -> None:
+    def __init__(self, pieces: Pieces, most_words: int = 300_000) -> None:
         self.pieces, self.most = pieces, most_words
         self.merges = Merges(pieces.scored) if pieces.merges else None
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """The ids of each text as packed 32-bit numbers."""
-        units = [None if t is None else units_of(t) for t in texts]
-        distinct = set(chain.from_iterable(u for u in units if u))
+        words = [None if t is None else marked_words(t) for t in texts]
+        distinct = set(chain.from_iterable(w for w in words if w))
         new = distinct.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, distinct
-        order = sorted(new)
-        for word, ids in zip(order, encode_sorted(order, self.pieces, self.merges)):
-            self.known[word] = array("i", ids).tobytes()
+        if len(self.known) + len(new) > self.most:  # words of this block are likely to come again
+            self.known = {w: self.known[w] for w in distinct.difference(new)}
+        cut = {w: _UNITS.findall(w) for w in new if not w.isprintable()}
+        order = sorted(new.difference(cut).union(*cut.values()))
+        ids = {u: array("i", found).tobytes() for u, found in zip(order, encode_sorted(order, self.pieces, self.merges))}
+        self.known.update((w, b"".join([ids[u] for u in us])) for w, us in cut.items())
+        self.known.update((w, ids[w]) for w in new.difference(cut))
         find = self.known.__getitem__
-        return [None if u is None else b"".join(map(find, u)) for u in units]
+        return [None if w is None else b"".join(map(find, w)) for w in words]
 
 
 _ENCODERS: dict[str, Encoder] = {}
