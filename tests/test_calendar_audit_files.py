@@ -15,7 +15,7 @@ from tickweave.operators.trading_calendar import (
 from tickweave.plans.consolidation import active_once_from_files, consolidated_from_files
 from tickweave.sources.daily_files import (
     clean_trades, files_for_days, files_near, header_of, list_files, read_cells, security_names,
-    sources_with,
+    sources_with, unreadable,
 )
 from tickweave.sources.tables import read_parquet, write_parquet, write_report
 
@@ -206,10 +206,13 @@ def test_row_numbers(spark, small_bins):
 def test_majority_and_coverage(spark, landing, calendar):
     files = list_files(spark, landing, "trades_*.csv")
     cells = read_cells(spark, files, ["tradeTime"])
-    found = assign_file_dates(files, cells, calendar, min_bytes=1).where("majority_date is not null")
+    every = assign_file_dates(files, cells, calendar, min_bytes=1)
+    assert {r["issue"] for r in every.collect()} == {None, "no dates", "invalid date in file name", "file too small"}
+    found = every.where("issue is null")
     got = {r["source"][7:15]: (str(r["majority_date"]), r["matches"]) for r in found.collect()}
     assert got == {"20240404": ("2024-04-03", True), "20240405": ("2024-04-04", True), "20240415": ("2024-04-12", True)}
-    assert assign_file_dates(files, cells, calendar).count() == 0
+    small = assign_file_dates(files, cells, calendar).where("file_date is not null").collect()
+    assert len(small) == 6 and {r["issue"] for r in small} == {"file too small"}
     april = calendar.where("d between date'2024-04-01' and date'2024-04-14'")
     extra = spark.createDataFrame(
         [(dt.date(2024, 4, 1), "e1"), (dt.date(2024, 4, 6), "e2"), (dt.date(2024, 4, 6), "e3")], "day date, source string"
@@ -257,3 +260,50 @@ def test_sinks(spark, tmp_path):
     assert back.where("day = 1").count() == 2
     write_report(df.withColumnRenamed("v", "Model (F0.5)"), str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).columns == ["day", "Model (F0.5)"]
+
+
+def test_unreadable_and_compressed_files(spark, tmp_path, calendar):
+    import gzip
+
+    body = f"{HEAD_A}\n" + "".join(f"{line_a(tid=f't{i}')}\n" for i in range(50))
+    (tmp_path / "trades_20240404.csv.gz").write_bytes(gzip.compress(body.encode()))
+    (tmp_path / "trades_20240405.csv.gz").write_bytes(b"no gzip stream")
+    write(tmp_path, "trades_20350101.csv", HEAD_A, line_a(time="garbage-date"))
+    files = list_files(spark, str(tmp_path), "*.csv*")
+    cells = read_cells(spark, files, ["tradeTime"])
+    assert cells.where(F.col("source").contains("20240404")).count() == 50
+    failed = unreadable(spark, files)
+    assert [r["source"] for r in failed.collect()] == ["trades_20240405.csv.gz"]
+    audit = audit_file_dates(files, cells, calendar, with_column=sources_with(spark, files, "tradeTime"), failed=failed)
+    got = {r["source"][7:15]: (r["issue"], r["matches"]) for r in audit.collect()}
+    assert got["20240404"] == (None, True)
+    assert got["20240405"] == ("failed to read", False)
+    assert got["20350101"] == ("day outside the calendar", False)
+
+
+def test_damaged_file_is_not_cut_in_silence(spark, tmp_path):
+    import gzip
+
+    body = f"{HEAD_A}\n" + "".join(f"{line_a(tid=f't{i}')}\n" for i in range(20_000))
+    (tmp_path / "trades_20240404.csv.gz").write_bytes(gzip.compress(body.encode())[:20_000])
+    with pytest.raises(Exception):
+        read_cells(spark, list_files(spark, str(tmp_path), "*.csv*"), ["tradeTime"]).count()
+
+
+def test_flags_with_separators_and_no_quotes(spark, tmp_path):
+    one = "DE1;N;2024-04-03T08:00:00Z;1.5;10;MONE;EUR;{};LS;2024-04-03T08:00:01Z;{}"
+    write(tmp_path, "trades_20240404.csv", HEAD_A, one.format("t1", "ALGO;;CANC;"), one.format("t2", "ALGO"),
+          one.format("t3", '"ALGO;;CANC;"'), one.format("t4", '"ALGO;";surplus'))
+    two = "{};7;{};2024-04-03T08:00:00Z;1.5;DE1;MONE;EUR;LS;2024-04-03T08:00:01Z"
+    write(tmp_path, "trades_20240405.csv", HEAD_B, two.format("u1", "ALGO;;CANC;"), two.format("u2", "ALGO;"), two.format("u3", "ALGO"))
+    files = list_files(spark, str(tmp_path))
+    rows = {r["TVTIC"]: r for r in clean_trades(read_cells(spark, files)).collect()}
+    assert {k: r["flags"] for k, r in rows.items()} == {
+        "t1": "ALGO;;CANC;", "t2": "ALGO", "t3": "ALGO;;CANC;", "t4": "ALGO;", "u1": "ALGO;;CANC;", "u2": "ALGO;", "u3": "ALGO",
+    }
+    assert all(r["publishedTime"] is not None and r["price"] == 1.5 and r["isin"] == "DE1" for r in rows.values())
+    plain = {r["TVTIC"]: r["flags"] for r in clean_trades(read_cells(spark, files, quoting=False), quoting=False).collect()}
+    assert plain["t1"] == plain["u1"] == "ALGO;;CANC;" and plain["u2"] == "ALGO;"
+    net = consolidated_from_files(spark, str(tmp_path), dt.date(2024, 4, 3), dt.date(2024, 4, 3), min_volume=1.0)
+    # 10 and 10 bought, 10 and 10 cancelled; 7 and 7 bought, 7 cancelled: 7 are left.
+    assert [(r["isin"], r["size"]) for r in net.collect()] == [("DE1", 7)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import stage
+from ..session import broadcast_if_small, stage
 from .spread import DEFAULT, Spread, running_totals
 from .trading_calendar import with_prev_trading_day
 
@@ -65,12 +65,14 @@ def first_rows(cells: DataFrame, n: int) -> DataFrame:
 
 def audit_file_dates(
     files: DataFrame, cells: DataFrame, calendar: DataFrame, ts: str = "tradeTime",
-    with_column: DataFrame | None = None,
+    with_column: DataFrame | None = None, failed: DataFrame | None = None,
 ) -> DataFrame:
     """One row per source with its dates, the expected date and what is wrong.
 
     ``with_column`` lists the sources whose header has the time column; without
-    it a file that gave no row counts as empty.
+    it a file that gave no row counts as empty. ``failed`` lists the sources that
+    could not be read. A file whose name gives a day outside the calendar matches
+    nothing.
     """
     named = files.groupBy("source").agg(
         F.max("file_date").alias("file_date"), F.sum("file_size").alias("_size")
@@ -82,17 +84,24 @@ def audit_file_dates(
     known = F.lit(True)
     if with_column is not None:
         flags = with_column.select("source", F.lit(True).alias("_known"))
-        out = out.join(F.broadcast(flags), "source", "left")
+        out = out.join(broadcast_if_small(flags), "source", "left")
         known = F.coalesce("_known", F.lit(False))
+    broken = F.lit(False)
+    if failed is not None:
+        marks = failed.select("source", F.lit(True).alias("_failed"))
+        out = out.join(broadcast_if_small(marks), "source", "left")
+        broken = F.coalesce("_failed", F.lit(False))
     seen = F.try_to_timestamp("max_date", F.lit("yyyy-MM-dd")).cast("date")
-    matches = seen.eqNullSafe(F.col("expected_date"))
+    matches = F.coalesce(seen == F.col("expected_date"), F.lit(False))
     issue = (
         F.when(F.col("file_date").isNull(), "invalid date in file name")
+        .when(broken, "failed to read")
         .when(F.col("_size") == 0, "file is empty")
         .when(~known, "time column not found")
         .when(F.coalesce("rows", F.lit(0)) == 0, "file is empty")
         .when(F.coalesce("min_date", F.lit("")) == "", "no dates")
         .when(F.coalesce("max_date", F.lit("")) == "", "no dates")
+        .when(F.col("expected_date").isNull(), "day outside the calendar")
         .when(~matches, "date does not match file name")
     )
     return out.select(
@@ -111,34 +120,38 @@ def audit_summary(audit: DataFrame) -> DataFrame:
 
 def assign_file_dates(
     files: DataFrame, cells: DataFrame, calendar: DataFrame, ts: str = "tradeTime",
-    min_bytes: int = 5 * 1024 * 1024, sample_rows: int = 100,
+    min_bytes: int = 5 * 1024 * 1024, sample_rows: int | None = None,
 ) -> DataFrame:
-    """The day most of the first rows of each large enough source belong to.
+    """The day most rows of each source belong to, and what speaks against it.
 
-    Of dates equally frequent the earliest counts; null dates form a group of
-    their own. A date that differs from the expected one still counts but has
-    ``matches`` false.
+    ``sample_rows`` looks at the first rows only, as a quick check would. Of dates
+    equally frequent the earliest counts; null dates form a group of their own.
+    Sources below ``min_bytes`` or with a bad name stay in the result with an
+    ``issue``; leave them out of the coverage by that column. A date that differs
+    from the expected one still counts but has ``matches`` false.
     """
     sized = files.groupBy("source").agg(
         F.max("file_date").alias("file_date"), F.sum("file_size").alias("file_size")
     )
-    sized = sized.where((F.col("file_size") >= min_bytes) & F.col("file_date").isNotNull())
     expected = with_prev_trading_day(sized, calendar, "file_date").withColumnRenamed(
         "prev_trading_day", "expected_date"
     )
     text = F.coalesce(date_text(cells, ts), F.lit(""))
-    counts = (
-        first_rows(cells, sample_rows)
-        .groupBy("source", text.alias("_date"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    seen = cells if sample_rows is None else first_rows(cells, sample_rows)
+    counts = seen.groupBy("source", text.alias("_date")).agg(F.count(F.lit(1)).alias("_n"))
     rank = Window.partitionBy("source").orderBy(F.desc("_n"), "_date")
     major = counts.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") == 1)
     day = F.try_to_timestamp("_date", F.lit("yyyy-MM-dd")).cast("date")
     out = expected.join(major, "source", "left").withColumn("majority_date", day)
+    issue = (
+        F.when(F.col("file_date").isNull(), "invalid date in file name")
+        .when(F.col("file_size") < min_bytes, "file too small")
+        .when(F.col("majority_date").isNull(), "no dates")
+    )
     return out.select(
         "source", "file_size", "file_date", "expected_date", "majority_date",
-        F.col("majority_date").eqNullSafe(F.col("expected_date")).alias("matches"),
+        F.coalesce(F.col("majority_date") == F.col("expected_date"), F.lit(False)).alias("matches"),
+        issue.alias("issue"),
     )
 
 
@@ -150,7 +163,8 @@ def coverage(assigned: DataFrame, calendar: DataFrame, day: str, source: str) ->
     by_day = assigned.where(F.col(day).isNotNull()).groupBy(F.col(day).alias("d")).agg(
         F.max(source).alias("source")
     )
-    days = calendar.join(F.broadcast(by_day), "d", "left")
+    days = calendar.join(broadcast_if_small(by_day), "d", "left")
+    # The words for days without trading.
     reason = F.when(F.col("is_weekend"), F.lit("Weekend")).otherwise(
         F.concat(F.lit("Holiday ("), F.col("holiday"), F.lit(")"))
     )
@@ -164,6 +178,20 @@ def coverage(assigned: DataFrame, calendar: DataFrame, day: str, source: str) ->
     )
 
 
+def coverage_counts(assigned: DataFrame, calendar: DataFrame, day: str, source: str) -> DataFrame:
+    """One row: trading days with a source, without one, and extra days."""
+    by_day = assigned.where(F.col(day).isNotNull()).groupBy(F.col(day).alias("d")).agg(
+        F.max(source).alias("source")
+    )
+    days = calendar.join(broadcast_if_small(by_day), "d", "left")
+    there = F.col("source").isNotNull()
+    return days.agg(
+        F.count_if(F.col("is_trading") & there).alias("valid_days"),
+        F.count_if(F.col("is_trading") & ~there).alias("missing_days"),
+        F.count_if(~F.col("is_trading") & there).alias("extra_days"),
+    )
+
+
 def missing_by_month(report: DataFrame) -> DataFrame:
     """Missing days per month as one text; a month holds 31 days at most."""
     day = F.date_format("d", "dd")

@@ -103,7 +103,7 @@ def fit_by_key(
                 return str(value), count, "rejected", None, None
             return str(value), count, "saved", None, save_model(model, f"{path}/key={value}")
         except Exception as problem:  # noqa: BLE001 - reported per key
-            return str(value), count, "failed", str(problem)[:500], None
+            return str(value), count, "failed", str(problem), None
 
     with ThreadPoolExecutor(threads) as pool:
         results = list(pool.map(one, keys))

@@ -6,17 +6,20 @@ bins along their ordering axis; the rows every bin must know from its
 neighbours arrive as a few *seed* rows. All other groups stay whole, and each
 row is still shuffled exactly once.
 
-What is collected and broadcast has a proven bound: ``max_groups`` rows. A group
-left out of it is either below ``min_rows`` or smaller than ``max_groups`` others.
+What is collected and broadcast has a proven bound: ``max_groups`` rows. Longer lists of
+groups to cut stay a table and are joined by a shuffle; no group is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stage
+
 BIN = "_bin"
 HOT = "_hot"
 SEED = "_seed"
@@ -25,12 +28,11 @@ RECUT = 16
 
 @dataclass(frozen=True)
 class Spread:
-    """When a group is cut, how fine, and how often a full bin is cut again."""
+    """When a group is cut, how fine, and how long a list of cuts may be broadcast."""
 
     min_rows: int = 2_000_000
     rows_per_bin: int = 1_000_000
     max_groups: int = 10_000
-    levels: int = 6
 
 
 DEFAULT = Spread()
@@ -42,14 +44,15 @@ def with_bins(df: DataFrame, by: Sequence[str], axis: str, spread: Spread = DEFA
     A large group gets bins of equal width, ``rows_per_bin`` rows on average. A
     bin that came out more than twice as full, because many rows lie close
     together, is cut again between its own lowest and highest value, and then
-    finer, to be done in few rounds. Rows equal on ``axis`` share a bin. Each
+    finer, to be done in few rounds, until no bin is too full or only rows equal on
+    ``axis`` are left in it. Each
     round is one aggregation, after the first one over the rows of large groups
     only; without a large group there is no second.
     """
     by = list(by)
     out = df.withColumns({BIN: F.lit(0.0), HOT: F.lit(False)})
     limit = spread.min_rows
-    for level in range(spread.levels):
+    for level in count():
         rows = out.where(HOT) if level else out
         sizes = rows.groupBy(*by, BIN).agg(
             F.count(F.lit(1)).alias("_n"),
@@ -57,17 +60,25 @@ def with_bins(df: DataFrame, by: Sequence[str], axis: str, spread: Spread = DEFA
             F.max(F.col(axis).cast("double")).alias("_hi"),
         )
         crowded = sizes.where((F.col("_n") >= limit) & (F.col("_lo") < F.col("_hi")))
-        crowded = crowded.orderBy(F.desc("_n")).limit(spread.max_groups)
-        found = crowded.collect()
-        if not found:
+        cuts = bounded_table(crowded, spread.max_groups)
+        if cuts is None:
             break
         rows_per_bin = spread.rows_per_bin / (RECUT if level else 1)
-        cuts = df.sparkSession.createDataFrame(found, crowded.schema)
         out = _cut(out, cuts, by, axis, rows_per_bin)
         limit = 2 * spread.rows_per_bin
     return out
 
 
+def bounded_table(df: DataFrame, most: int) -> DataFrame | None:
+    """``df`` for a join: broadcast up to ``most`` rows, stored beyond, None if empty."""
+    found = df.limit(most + 1).collect()
+    if not found:
+        return None
+    if len(found) > most:
+        return stage(df)
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
 def _cut(
     out: DataFrame, crowded: DataFrame, by: list[str], axis: str, rows_per_bin: float
 ) -> DataFrame:
@@ -83,7 +94,7 @@ def _cut(
         same = same & out[key].eqNullSafe(cuts[f"_r_{key}"])
     place = F.floor((F.col(axis).cast("double") - F.col("_lo")) / F.col("_step"))
     start = F.col("_lo") + F.least(place, F.col("_parts") - 1) * F.col("_step")
-    return out.join(F.broadcast(cuts), same, "left").select(
+    return out.join(cuts, same, "left").select(
         *[c for c in out.columns if c not in (BIN, HOT)],
         F.coalesce(start, F.col("_lo"), F.col(BIN)).alias(BIN),
         (F.col(HOT) | F.col("_lo").isNotNull()).alias(HOT),

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.times import micros
-from .spread import DEFAULT, Spread
+from .spread import DEFAULT, Spread, bounded_table
 
 # A count is the sum of ones, so that partial counts add up.
 _COMBINE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
@@ -17,7 +17,6 @@ _SPAN = "_span"
 _ROLE = "_role"
 _SHIFTED = "_shifted"
 _SPLITS = "_splits"
-MOST_SPANS = 1000
 _OWN, _EARLIER, _BETWEEN = 1, 0, 2
 
 
@@ -40,21 +39,29 @@ def _merge(kind: str, parts: Sequence[Column]) -> Column:
     return F.greatest(*parts) if kind == "max" else F.least(*parts)
 
 
-def _crowded_keys(df: DataFrame, key: str, period: int, spread: Spread):
-    """Keys with too many rows within one period, and how many spans they need."""
+def _crowded_keys(df: DataFrame, key: str, period: int, spread: Spread) -> tuple[DataFrame | None, list[int]]:
+    """Keys with too many rows within one period, with the spans each needs.
+
+    The number of spans is a power of two, or the next number that divides the
+    period, so that keys share few of them: at most one per power.
+    """
     sizes = df.groupBy(key, F.floor(F.col("_t") / period).alias("_home")).agg(
         F.count(F.lit(1)).alias("_n")
     )
     worst = sizes.groupBy(key).agg(F.max("_n").alias("_n")).where(F.col("_n") >= spread.min_rows)
-    found = worst.orderBy(F.desc("_n")).limit(spread.max_groups).collect()
-    spans = []
-    for row in found:
-        wanted = min(-(-row["_n"] // spread.rows_per_bin), MOST_SPANS, period)
-        splits = 1 << (wanted - 1).bit_length()
-        while period % splits:
-            splits += 1
-        spans.append((row[0], splits))
-    return spans, worst.schema
+    wanted = F.least(F.ceil(F.col("_n") / spread.rows_per_bin), F.lit(period))
+    power = F.ceil(F.log2(wanted)).cast("int")
+    found = bounded_table(worst.select(F.col(key).alias("_r_key"), power.alias("_power")), spread.max_groups)
+    if found is None:
+        return None, []
+    powers = [r[0] for r in found.select("_power").distinct().collect()]
+    splits = {}
+    for p in powers:
+        splits[p] = 1 << p
+        while period % splits[p]:
+            splits[p] += 1
+    choice = F.create_map(*[F.lit(int(x)) for item in splits.items() for x in item])
+    return found.select("_r_key", choice[F.col("_power")].cast("long").alias(_SPLITS)), sorted(splits.values())
 
 
 def time_window(
@@ -85,12 +92,9 @@ def time_window(
             for o in rolled
         ],
     )
-    spans, schema = _crowded_keys(based, key, period, spread)
-    if spans:
-        table = df.sparkSession.createDataFrame(spans, schema).select(
-            F.col(key).alias("_r_key"), F.col("_n").alias(_SPLITS)
-        )
-        based = based.join(F.broadcast(table), based[key].eqNullSafe(table["_r_key"]), "left")
+    table, spans = _crowded_keys(based, key, period, spread)
+    if table is not None:
+        based = based.join(table, based[key].eqNullSafe(table["_r_key"]), "left")
         based = based.drop("_r_key").withColumn(_SPLITS, F.coalesce(_SPLITS, F.lit(1).cast("long")))
     else:
         based = based.withColumn(_SPLITS, F.lit(1).cast("long"))
@@ -110,7 +114,7 @@ def time_window(
     rows = own.unionByName(earlier, allowMissingColumns=True)
     if spans:
         rows = rows.unionByName(
-            _whole_spans_between(based, key, rolled, [n for _, n in spans]), allowMissingColumns=True
+            _whole_spans_between(based, key, rolled, spans), allowMissingColumns=True
         )
 
     part = Window.partitionBy(key, _SPAN)

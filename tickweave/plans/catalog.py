@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cells import is_cancel
 from ..functions.times import HOUR, MINUTE, local_date
@@ -15,9 +15,10 @@ from ..operators.split import chrono_split
 from ..operators.tick_window import complete_tick_rows, tick_features
 from ..operators.time_window import Rolling, time_window
 from ..operators.trading_calendar import trading_calendar, with_prev_trading_day
-from ..session import shared_dir, stage
+from ..session import broadcast_if_small, shared_dir, stage
 from ..sources.daily_files import (
-    clean_trades, files_for_days, files_near, read_cells, security_names, sources_with,
+    clean_trades, file_headers, files_for_days, files_near, read_cells, security_names,
+    sources_with, unreadable,
 )
 from ..sources.tables import read_parquet, write_parquet, write_report
 from . import consolidation, returns
@@ -105,16 +106,27 @@ def consolidate_signed(spark, folder):
     )
 
 
+def _coarse(rows: DataFrame, unit: str, step: int) -> DataFrame:
+    """Times and prices cut off, so that several trades share both."""
+    kind = rows.schema["tradeTime"].dataType
+    return rows.withColumns(
+        {
+            "tradeTime": F.date_trunc(unit, "tradeTime").cast(kind),
+            "price": F.floor(F.col("price") / step) * float(step) + 1.0,
+        }
+    )
+
+
 def consolidated_small(spark, folder):
     return consolidation.consolidated_small(
-        trades(spark, folder), 2, 60000.0, payload=["tradeTime", "TVTIC", "flags", "mic", "part"],
+        _coarse(trades(spark, folder), "MONTH", 20_000), 2, 60000.0, payload=["tradeTime", "TVTIC", "flags", "mic", "part"],
         order=["tradeTime", "publishedTime", "TVTIC"], tie=["isin", "part"],
     )
 
 
 def consolidated_large(spark, folder):
     return consolidation.consolidated_large(
-        ticks(spark, folder), dt.date(2024, 1, 3), dt.date(2024, 1, 26), 2000.0, 8,
+        _coarse(ticks(spark, folder), "DAY", 50), dt.date(2024, 1, 3), dt.date(2024, 1, 26), 2000.0, 8,
         scope=["mic"], payload=["tradeTime", "TVTIC", "mic"],
     )
 
@@ -225,7 +237,7 @@ def files_chosen(spark, folder):
     exact = files_for_days(files, _files_calendar(spark), start, end).select("source").distinct()
     named = files.select("source", "file_date").distinct()
     for name, chosen in [("near", near), ("exact", exact)]:
-        named = named.join(F.broadcast(chosen.withColumn(name, F.lit(True))), "source", "left")
+        named = named.join(broadcast_if_small(chosen.withColumn(name, F.lit(True))), "source", "left")
     return named.fillna(False, ["near", "exact"])
 
 
@@ -233,6 +245,16 @@ def sources_with_names(spark, folder):
     return sources_with(spark, daily_files(spark, folder), "displayName")
 
 
+def unreadable_files(spark, folder):
+    return unreadable(spark, daily_files(spark, folder)).select("source")
+
+
+def _with_headers(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """The listing, and the same with headers; each file is opened once for it."""
+    files = daily_files(spark, folder)
+    return files, stage(file_headers(spark, files))
+
+
 def first_file_rows(spark, folder):
     files = daily_files(spark, folder)
     cells = read_cells(spark, files, ["TVTIC", "orderId"])
@@ -240,23 +262,43 @@ def first_file_rows(spark, folder):
 
 
 def file_date_audit(spark, folder):
-    files = daily_files(spark, folder)
-    cells = read_cells(spark, files, ["tradeTime"])
-    headed = sources_with(spark, files, "tradeTime")
-    return audit.audit_file_dates(files, cells, _files_calendar(spark), with_column=headed)
+    files, headed = _with_headers(spark, folder)
+    cells = read_cells(spark, headed, ["tradeTime"])
+    found = audit.audit_file_dates(
+        files, cells, _files_calendar(spark), with_column=sources_with(spark, headed, "tradeTime"),
+        failed=unreadable(spark, headed),
+    )
+    # Counts that may be null: as doubles, which client tables of both sides show alike.
+    return found.withColumns({c: F.col(c).cast("double") for c in ("rows", "max_date_first_row")})
 
 
 def file_audit_summary(spark, folder):
     return audit.audit_summary(file_date_audit(spark, folder))
 
 
-def file_majority_date(spark, folder):
-    files = daily_files(spark, folder)
-    cells = read_cells(spark, files, ["tradeTime"])
-    found = audit.assign_file_dates(files, cells, _files_calendar(spark), min_bytes=1)
+def _assigned(spark, folder, sample_rows: int | None = None) -> DataFrame:
+    files, headed = _with_headers(spark, folder)
+    cells = read_cells(spark, headed, ["tradeTime"])
+    found = audit.assign_file_dates(
+        files, cells, _files_calendar(spark), min_bytes=1, sample_rows=sample_rows
+    )
     return found.drop("file_size")
 
 
+def file_majority_date(spark, folder):
+    return _assigned(spark, folder)
+
+
+def file_majority_of_head(spark, folder):
+    """The quick check: the first 100 rows of a file decide."""
+    return _assigned(spark, folder, 100)
+
+
+def coverage_counts(spark, folder):
+    calendar = trading_calendar(spark, FIRST_DAY, LAST_DAY)
+    return audit.coverage_counts(_busy_days(spark, folder), calendar, "day", "source")
+
+
 def _utc(name: str):
     wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(name).cast("timestamp_ntz"))
     return wall.alias(name)
@@ -264,8 +306,7 @@ def _utc(name: str):
 
 def _typed(spark, folder, quoting: bool) -> DataFrame:
     files = daily_files(spark, folder)
-    chosen = files_for_days(files, _files_calendar(spark), dt.date(2024, 1, 4), dt.date(2024, 1, 25))
-    rows = clean_trades(read_cells(spark, chosen, quoting=quoting), quoting)
+    rows = clean_trades(read_cells(spark, files, quoting=quoting), quoting)
     return rows.select(
         "source", "isin", _utc("tradeTime"), _utc("publishedTime"), "price", "size",
         "quotation", "currency", "TVTIC", "mic", "flags",
@@ -442,7 +483,9 @@ def breakout_label(spark, folder):
 
 
 def chronological_split(spark, folder):
-    rows = trades(spark, folder).select("isin", "tradeTime", *TIE)
+    """Keys are lots of a security, so that some have too few rows."""
+    rows = trades(spark, folder).withColumn("isin", F.col("isin") * 10 + F.floor(F.col("size") / 10))
+    rows = rows.select("isin", "tradeTime", *TIE)
     return chrono_split(rows, "isin", "tradeTime", TIE, spread=SPREAD)
 
 
@@ -500,41 +543,49 @@ def most_predictable(spark, folder):
 # --- models ------------------------------------------------------------------------
 
 
-def _return_rows(spark, folder) -> DataFrame:
+def _lots(spark, folder) -> DataFrame:
+    """Lots of a security as keys: about half of them have 100 complete rows."""
     rows = trades(spark, folder).select("isin", "tradeTime", *TIE, "price", "size")
-    return returns.training_rows(rows, "isin", "tradeTime", TIE, spread=SPREAD)
+    return rows.withColumn("isin", F.col("isin") * 10 + F.floor(F.col("size") / 13))
 
 
 def return_training_rows(spark, folder):
-    return _return_rows(spark, folder).select("isin", "tradeTime", *TIE, "delta_t_ms")
+    rows = returns.training_rows(_lots(spark, folder), "isin", "tradeTime", TIE, spread=SPREAD)
+    return rows.select("isin", "tradeTime", *TIE, "delta_t_ms")
 
 
 def chosen_return_models(spark, folder):
-    """A model of its own for each of the three securities with most rows."""
-    ready = stage(_return_rows(spark, folder))
-    top = ready.groupBy("isin").count().orderBy(F.desc("count"), "isin").limit(3).collect()
-    keys = [r["isin"] for r in top]
-    status = returns.fit_chosen(ready, "isin", keys, shared_dir(spark), rounds=2)
-    return status.select(F.col("key").cast("bigint").alias("isin"), "rows", "status")
+    """Every key with its rows: enough for a model of its own, or skipped."""
+    return returns.training_status(_lots(spark, folder), "isin", "tradeTime", TIE, spread=SPREAD)
 
 
 def return_model(spark, folder):
-    """Pooled next-tick model: fit error against the error of a constant guess."""
-    ready = stage(_return_rows(spark, folder))
-    _, scored = returns.fit_and_score(ready, rounds=10)
+    """Pooled next-tick model, 100 rounds: is it better than a constant guess?"""
+    rows = trades(spark, folder).select("isin", "tradeTime", *TIE, "price", "size")
+    ready = stage(returns.training_rows(rows, "isin", "tradeTime", TIE, spread=SPREAD))
+    _, scored = returns.fit_and_score(ready)
     error = F.col("target_return") - F.col("score")
-    return scored.groupBy("isin").agg(
+    everything = Window.partitionBy()
+    by_key = scored.groupBy("isin").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.round(F.sqrt(F.avg(error * error)), 6).alias("rmse"),
+        F.sum(error * error).alias("squares"),
+        F.sum(F.col("target_return") * F.col("target_return")).alias("target_squares"),
+        F.sum("target_return").alias("target_sum"),
         F.round(F.stddev_pop("target_return"), 6).alias("rmse_of_mean"),
     )
+    # One row per key here; both errors are over all keys, as the fit is.
+    n = F.sum("rows").over(everything)
+    guess = F.sum("target_squares").over(everything) - F.pow(F.sum("target_sum").over(everything), 2) / n
+    better = F.sum("squares").over(everything) <= guess
+    return by_key.select("isin", "rows", "rmse_of_mean", better.alias("beats_constant"))
 
 
 def breakout_model(spark, folder):
-    """The whole study: labels, pooled model, per-security report."""
+    """The whole study: labels, pooled model, per-security report. The events have
+    fewer than 100 labelled rows per user, so the gate is 20 here."""
     study = _study()
     labelled = stage(_labelled(spark, folder))
-    return study.report(stage(study.train_and_score(labelled, rounds=10, min_rows=20)))
+    return study.report(stage(study.train_and_score(labelled, min_rows=20)))
 
 
 QUERIES = {
@@ -544,7 +595,9 @@ QUERIES = {
         flag_profile, cancelled_pairs, split_executions, consolidate_signed, consolidated_small,
         consolidated_large, time_bound, daily_activity, universe_any_day, universe_enough_days,
         prev_trading_day, trading_days_by_month, coverage_report, missing_by_month,
-        last_day_position, files_chosen, sources_with_names, first_file_rows, file_date_audit, file_audit_summary, file_majority_date, ingest_quoted, ingest_unquoted,
+        coverage_counts, last_day_position, files_chosen, sources_with_names, unreadable_files,
+        first_file_rows, file_date_audit, file_audit_summary, file_majority_date,
+        file_majority_of_head, ingest_quoted, ingest_unquoted,
         ingest_security_names, stored_by_day, report_file, tick_window_features, time_window_past, time_window_split,
         open_slice_features, asof_backward_nokey, asof_forward_key, asof_forward_within,
         asof_backward_key, benchmark_delta, future_target, breakout_label, chronological_split,

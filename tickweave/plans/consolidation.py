@@ -27,11 +27,13 @@ def consolidated_small(
     trades: DataFrame, min_count: int = 10, min_volume: float = 5000.0,
     zone: str | None = EXCHANGE_ZONE, payload: Sequence[str] = (*FIRST_OF, "flags"),
     order: Sequence[str] = ORDER, tie: Sequence[str] = (),
+    keep_null_keys: bool = False,
 ) -> DataFrame:
     """Latest row per id over all files, one row per (isin, second, price), and
     only securities with one lively day. The merged rows are stored once, as the
-    activity count and the result both read them."""
-    latest = keep_last(trades, ["TVTIC"], ["publishedTime", *tie])
+    activity count and the result both read them. Rows without an id count as one
+    row unless ``keep_null_keys``."""
+    latest = keep_last(trades, ["TVTIC"], ["publishedTime", *tie], keep_null_keys=keep_null_keys)
     merged = consolidate(
         latest, ["isin", "price"], trade_second(latest), "size", is_cancel(F.col("flags")),
         [*order, *tie], payload, size_as="total_size",
@@ -45,13 +47,14 @@ def consolidated_large(
     trades: DataFrame, start: dt.date, end: dt.date, min_volume: float = 5000.0, slack: int = 25,
     scope: Sequence[str] = ("source",), zone: str | None = EXCHANGE_ZONE,
     payload: Sequence[str] = FIRST_OF, order: Sequence[str] = ORDER, tie: Sequence[str] = (),
+    keep_null_keys: bool = False,
 ) -> DataFrame:
     """Latest row per id and file, merged, bounded in time, and only securities
     active on all but ``slack`` trading days. The time bound sits before the
     merge, where it has the same effect and saves the shuffle, but after the
     removal of duplicates: a newer row of an id may lie outside the range.
     """
-    latest = keep_last(trades, ["TVTIC"], ["publishedTime", *tie], scope)
+    latest = keep_last(trades, ["TVTIC"], ["publishedTime", *tie], scope, keep_null_keys)
     bounded = within_days(latest, "tradeTime", start, end, zone)
     merged = consolidate(
         bounded, ["isin", "price"], trade_second(bounded), "size", is_cancel(F.col("flags")),
@@ -67,7 +70,7 @@ def consolidated_large(
 
 def consolidated_from_files(
     spark: SparkSession, root: str, start: dt.date, end: dt.date, glob: str = "*.csv",
-    quoting: bool = False, **options,
+    quoting: bool = True, **options,
 ) -> DataFrame:
     """The large plan from a folder of daily files; far-off files are not opened."""
     files = files_near(list_files(spark, root, glob), start, end)

@@ -84,33 +84,73 @@ report AS (
 )
 
 FILES = """
+held AS (
+  SELECT *, CAST(ts + INTERVAL 2 HOUR AS DATE) AS held_day FROM events),
 lines AS (
-  SELECT 'trades_' || strftime(ts + INTERVAL 2 HOUR, '%Y%m%d') AS source,
-         CAST(ts + INTERVAL 2 HOUR AS DATE) AS file_date, event_id, ts, user_id, event_type, value,
+  SELECT CASE WHEN day(held_day) = 13 THEN 'trades_2024xx13'
+              ELSE 'trades_' || strftime(held_day + INTERVAL 1 DAY, '%Y%m%d') END AS source,
+         CASE WHEN day(held_day) <> 13 THEN CAST(held_day + INTERVAL 1 DAY AS DATE) END AS file_date,
+         held_day, event_id, ts, user_id, event_type, value,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
-         CASE WHEN event_type = 'signup' THEN substr('?' || strftime(ts, '%Y-%m-%d'), 1, 10)
+         event_type = 'signup' AND day(held_day) % 3 = 0 AS bad_time,
+         CASE WHEN day(held_day) = 20 THEN NULL
+              WHEN event_type = 'signup' AND day(held_day) % 3 = 0 THEN substr('?' || strftime(ts, '%Y-%m-%d'), 1, 10)
               ELSE strftime(ts, '%Y-%m-%d') END AS date_text,
-         row_number() OVER (PARTITION BY CAST(ts + INTERVAL 2 HOUR AS DATE) ORDER BY ts, event_id) - 1 AS row_num
-  FROM events)"""
+         row_number() OVER (PARTITION BY held_day ORDER BY ts, event_id) - 1 AS row_num
+  FROM held),
+others AS (
+  SELECT * FROM (VALUES
+    ('trades_20240215', DATE '2024-02-15', 'file is empty'),
+    ('trades_20240216', DATE '2024-02-16', 'time column not found'),
+    ('trades_20240219', DATE '2024-02-19', 'failed to read')) AS t(source, file_date, issue)),
+far AS (
+  SELECT 'trades_20350101' AS source, DATE '2035-01-01' AS file_date, count(*) AS rows, '2024-01-02' AS date_text
+  FROM nation),
+listed AS (
+  SELECT DISTINCT source, file_date FROM lines UNION ALL SELECT source, file_date FROM others
+  UNION ALL SELECT source, file_date FROM far)"""
 
 FILE_AUDIT = (
     FILES
     + """,
 spans AS (
   SELECT source, file_date, count(*) AS rows, min(date_text) AS min_date, max(date_text) AS max_date
-  FROM lines GROUP BY 1, 2),
+  FROM lines GROUP BY 1, 2
+  UNION ALL SELECT source, file_date, rows, date_text, date_text FROM far),
 firsts AS (
   SELECT s.source, min(l.row_num) AS max_date_first_row
-  FROM spans s JOIN lines l ON l.source = s.source AND l.date_text = s.max_date GROUP BY 1),
+  FROM spans s JOIN lines l ON l.source = s.source AND l.date_text = s.max_date GROUP BY 1
+  UNION ALL SELECT source, 0 FROM far),
 audit AS (
-  SELECT s.source, s.file_date, c.prev_trading_day AS expected_date, s.rows, s.min_date, s.max_date,
+  SELECT n.source, n.file_date, c.prev_trading_day AS expected_date, s.rows, s.min_date, s.max_date,
          f.max_date_first_row,
          coalesce(try_cast(s.max_date AS DATE) = c.prev_trading_day, FALSE) AS matches,
-         CASE WHEN coalesce(try_cast(s.max_date AS DATE) = c.prev_trading_day, FALSE) THEN NULL
-              ELSE 'date does not match file name' END AS issue
-  FROM spans s JOIN firsts f ON f.source = s.source LEFT JOIN calendar c ON c.d = s.file_date)"""
+         CASE WHEN n.file_date IS NULL THEN 'invalid date in file name'
+              WHEN o.issue IS NOT NULL THEN o.issue
+              WHEN s.max_date IS NULL THEN 'no dates'
+              WHEN c.prev_trading_day IS NULL THEN 'day outside the calendar'
+              WHEN NOT coalesce(try_cast(s.max_date AS DATE) = c.prev_trading_day, FALSE)
+              THEN 'date does not match file name' END AS issue
+  FROM listed n LEFT JOIN spans s ON s.source = n.source LEFT JOIN firsts f ON f.source = n.source
+  LEFT JOIN others o ON o.source = n.source LEFT JOIN calendar c ON c.d = n.file_date)"""
 )
 
+
+def _majority(rows: str) -> str:
+    return f"""
+WITH {WINTER}, {FILES},
+counts AS (
+  SELECT source, date_text, count(*) AS n FROM lines WHERE {rows} GROUP BY 1, 2
+  UNION ALL SELECT source, date_text, rows FROM far),
+major AS (
+  SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, coalesce(date_text, '')) = 1)
+SELECT f.source, f.file_date, c.prev_trading_day AS expected_date, try_cast(m.date_text AS DATE) AS majority_date,
+  coalesce(try_cast(m.date_text AS DATE) = c.prev_trading_day, FALSE) AS matches,
+  CASE WHEN f.file_date IS NULL THEN 'invalid date in file name'
+       WHEN try_cast(m.date_text AS DATE) IS NULL THEN 'no dates' END AS issue
+FROM listed f LEFT JOIN major m ON m.source = f.source LEFT JOIN calendar c ON c.d = f.file_date"""
+
+
 FEATURES = (
     TRADES
     + """,
@@ -126,6 +166,11 @@ features AS (
   WINDOW w AS (PARTITION BY isin ORDER BY "tradeTime", orderkey, linenumber, part))"""
 )
 
+LOT_FEATURES = FEATURES.replace(
+    "price, size * price AS volume FROM trades)",
+    "price, size * price AS volume FROM (SELECT * REPLACE (isin * 10 + size // 13 AS isin) FROM trades))",
+)
+
 COMPLETE = """
 complete AS (
   SELECT *, count(*) OVER (PARTITION BY isin) AS n FROM features
@@ -271,7 +316,9 @@ SELECT isin, CAST(floor(price / 10) AS BIGINT) AS band, CAST(sum({SIGNED}) AS BI
 FROM ticks GROUP BY isin, band, trade_day HAVING sum({SIGNED}) > 0""",
     "consolidated_small": f"""
 WITH {TRADES},
-latest AS (SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY "TVTIC" ORDER BY "publishedTime" DESC, isin DESC, part DESC) = 1),
+coarse AS (
+  SELECT * REPLACE (CAST(date_trunc('month', "tradeTime") AS TIMESTAMP) AS "tradeTime", floor(price / 20000) * 20000.0::DOUBLE + 1.0::DOUBLE AS price) FROM trades),
+latest AS (SELECT * FROM coarse QUALIFY row_number() OVER (PARTITION BY "TVTIC" ORDER BY "publishedTime" DESC, isin DESC, part DESC) = 1),
 netted AS (
   SELECT *, row_number() OVER (PARTITION BY isin, price, date_trunc('second', "tradeTime") ORDER BY "tradeTime", "publishedTime", "TVTIC", part) AS place,
     sum({SIGNED}) OVER (PARTITION BY isin, price, date_trunc('second', "tradeTime")) AS total
@@ -281,7 +328,9 @@ lively AS (SELECT isin FROM merged GROUP BY isin, CAST("tradeTime" AS DATE) HAVI
 SELECT * FROM merged WHERE isin IN (SELECT isin FROM lively)""",
     "consolidated_large": f"""
 WITH {TICKS}, {JANUARY},
-latest AS (SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY mic, "TVTIC" ORDER BY "publishedTime" DESC) = 1),
+coarse AS (
+  SELECT * REPLACE (CAST(date_trunc('day', "tradeTime") AS TIMESTAMP) AS "tradeTime", CAST("tradeTime" AS DATE) AS trade_day, floor(price / 50) * 50.0::DOUBLE + 1.0::DOUBLE AS price) FROM ticks),
+latest AS (SELECT * FROM coarse QUALIFY row_number() OVER (PARTITION BY mic, "TVTIC" ORDER BY "publishedTime" DESC) = 1),
 netted AS (
   SELECT *, row_number() OVER (PARTITION BY isin, price, date_trunc('second', "tradeTime") ORDER BY "tradeTime", "TVTIC") AS place,
     sum({SIGNED}) OVER (PARTITION BY isin, price, date_trunc('second', "tradeTime")) AS total
@@ -331,43 +380,48 @@ SELECT mic, count(*) AS rows, min(trade_day) AS min_date, max(trade_day) AS max_
   min(row_num) FILTER (trade_day = last) AS max_date_first_row FROM numbered GROUP BY 1""",
     "files_chosen": f"""
 WITH {WINTER}, {FILES}
-SELECT DISTINCT source, file_date, file_date BETWEEN DATE '2024-01-07' AND DATE '2024-01-24' AS near,
-  prev_trading_day BETWEEN DATE '2024-01-12' AND DATE '2024-01-19' AS exact
-FROM lines JOIN calendar ON d = file_date""",
-    "sources_with_names": f"WITH {FILES} SELECT DISTINCT source FROM lines WHERE day(file_date) % 2 = 1",
+SELECT source, file_date, file_date IS NULL OR file_date BETWEEN DATE '2024-01-07' AND DATE '2024-01-24' AS near,
+  coalesce(prev_trading_day BETWEEN DATE '2024-01-12' AND DATE '2024-01-19', FALSE) AS exact
+FROM listed LEFT JOIN calendar ON d = file_date""",
+    "sources_with_names": f"""
+WITH {FILES} SELECT DISTINCT source FROM lines WHERE day(held_day) % 2 = 1
+UNION ALL SELECT source FROM others WHERE issue = 'file is empty'""",
+    "unreadable_files": f"WITH {FILES} SELECT source FROM others WHERE issue = 'failed to read'",
     "first_file_rows": f"""
 WITH {FILES} SELECT source, CAST(event_id AS VARCHAR) AS "TVTIC" FROM lines WHERE row_num < 100""",
-    "file_date_audit": f"WITH {WINTER}, {FILE_AUDIT} SELECT * FROM audit",
+    "file_date_audit": f"""
+WITH {WINTER}, {FILE_AUDIT}
+SELECT * REPLACE (CAST(rows AS DOUBLE) AS rows, CAST(max_date_first_row AS DOUBLE) AS max_date_first_row) FROM audit""",
     "file_audit_summary": f"""
 WITH {WINTER}, {FILE_AUDIT}
 SELECT count(*) AS checked, CAST(count(*) FILTER (issue IS NULL) AS BIGINT) AS perfect,
   CAST(count(*) FILTER (issue IS NOT NULL) AS BIGINT) AS with_issues FROM audit""",
-    "file_majority_date": f"""
-WITH {WINTER}, {FILES},
-counts AS (SELECT source, file_date, date_text, count(*) AS n FROM lines WHERE row_num < 100 GROUP BY 1, 2, 3),
-major AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, date_text) = 1)
-SELECT m.source, m.file_date, c.prev_trading_day AS expected_date, try_cast(m.date_text AS DATE) AS majority_date,
-  coalesce(try_cast(m.date_text AS DATE) = c.prev_trading_day, FALSE) AS matches
-FROM major m LEFT JOIN calendar c ON c.d = m.file_date""",
+    "file_majority_date": _majority("TRUE"),
+    "file_majority_of_head": _majority("row_num < 100"),
+    "coverage_counts": f"""
+WITH {JANUARY}, {BUSY}
+SELECT count(*) FILTER (c.is_trading AND b.source IS NOT NULL) AS valid_days,
+  count(*) FILTER (c.is_trading AND b.source IS NULL) AS missing_days,
+  count(*) FILTER (NOT c.is_trading AND b.source IS NOT NULL) AS extra_days
+FROM calendar c LEFT JOIN busy b ON b.trade_day = c.d""",
     "ingest_quoted": f"""
-WITH {WINTER}, {FILES}
-SELECT l.source, 'U' || user_id AS isin, ts AS "tradeTime", ts AS "publishedTime", value AS price, k AS size,
+WITH {FILES}
+SELECT source, 'U' || user_id AS isin, ts AS "tradeTime", ts AS "publishedTime", value AS price, k AS size,
   'MONE' AS quotation, 'EUR' AS currency, CAST(event_id AS VARCHAR) AS "TVTIC", event_type AS mic,
   CASE event_type WHEN 'error' THEN 'CANC;' ELSE 'ALGO;;AMND;' END AS flags
-FROM lines l JOIN calendar c ON c.d = l.file_date
-WHERE event_type <> 'signup' AND k >= 5 AND c.prev_trading_day BETWEEN DATE '2024-01-04' AND DATE '2024-01-25'""",
+FROM lines WHERE NOT bad_time AND day(held_day) <> 20 AND k >= 5""",
     "ingest_unquoted": f"""
-WITH {WINTER}, {FILES}
-SELECT l.source, 'U' || user_id AS isin, ts AS "tradeTime",
-  CASE WHEN day(file_date) % 2 = 0 THEN ts END AS "publishedTime", value AS price, k AS size,
+WITH {FILES}
+SELECT source, 'U' || user_id AS isin, ts AS "tradeTime",
+  CASE WHEN day(held_day) % 2 = 0 THEN ts END AS "publishedTime", value AS price, k AS size,
   'MONE' AS quotation, ' EUR ' AS currency, CAST(event_id AS VARCHAR) AS "TVTIC", event_type AS mic,
   CASE event_type WHEN 'error' THEN 'CANC' ELSE 'ALGO' END AS flags
-FROM lines l JOIN calendar c ON c.d = l.file_date
-WHERE event_type <> 'signup' AND k >= 5 AND c.prev_trading_day BETWEEN DATE '2024-01-04' AND DATE '2024-01-25'""",
+FROM lines WHERE NOT bad_time AND day(held_day) <> 20 AND k >= 5""",
     "ingest_security_names": f"""
 WITH {FILES}
-SELECT DISTINCT 'U' || user_id AS isin, 'The "U" ' || user_id AS "displayName" FROM lines
-WHERE day(file_date) % 2 = 1""",
+SELECT 'U' || user_id AS isin,
+  arg_max('The "U" ' || user_id || ' ' || CAST(day(held_day) // 10 AS VARCHAR), coalesce(file_date, DATE '1900-01-01')) AS "displayName"
+FROM lines WHERE day(held_day) % 2 = 1 GROUP BY user_id""",
     "stored_by_day": f"""
 WITH {TICKS} SELECT * FROM ticks WHERE trade_day BETWEEN DATE '2024-01-09' AND DATE '2024-01-18'""",
     "report_file": f"""
@@ -380,11 +434,16 @@ SELECT isin, "tradeTime", orderkey, linenumber, part, delta_t_ms, round(volume,
 FROM features WHERE target_return IS NOT NULL AND delta_t_ms IS NOT NULL AND vol_sum_50tick IS NOT NULL
   AND price_std_20tick IS NOT NULL""",
     "return_training_rows": f"""
-WITH {FEATURES}, {COMPLETE}
+WITH {LOT_FEATURES}, {COMPLETE}
 SELECT isin, "tradeTime", orderkey, linenumber, part, delta_t_ms FROM complete WHERE n >= 100""",
     "chosen_return_models": f"""
+WITH {LOT_FEATURES}, {COMPLETE}
+SELECT isin, count(*) AS rows, CASE WHEN count(*) >= 100 THEN 'eligible' ELSE 'skipped' END AS status
+FROM complete GROUP BY isin""",
+    "return_model": f"""
 WITH {FEATURES}, {COMPLETE}
-SELECT DISTINCT isin, n AS rows, 'saved' AS status FROM complete WHERE n >= 100 ORDER BY n DESC, isin LIMIT 3""",
+SELECT isin, count(*) AS rows, round(stddev_pop(target_return), 6) AS rmse_of_mean, TRUE AS beats_constant
+FROM complete WHERE n >= 100 GROUP BY isin""",
     "time_window_past": f"""
 WITH {TICKS}, {_window("rolled", "ticks", 48 * HOUR, PAST.format(max="max_price", sum="volume", count="tick_count"))}
 SELECT isin, "tradeTime", "TVTIC", current_price, max_price, round(volume, 2) AS volume, tick_count FROM rolled""",
@@ -436,7 +495,7 @@ SELECT isin, "tradeTime", "TVTIC", current_price, past_max_price, round(past_vol
   CAST(future_max_price >= past_max_price * 1.005::DOUBLE AS INTEGER) AS target_label
 FROM joined WHERE bench_delta IS NOT NULL AND future_max_price IS NOT NULL AND buy_price IS NOT NULL""",
     "chronological_split": f"""
-WITH {TRADES}, {SPLIT.format(source="trades")}
+WITH {TRADES}, lots AS (SELECT * REPLACE (isin * 10 + size // 10 AS isin) FROM trades), {SPLIT.format(source="lots")}
 SELECT isin, "tradeTime", orderkey, linenumber, part, total_rows, is_train FROM parts""",
     "pr_curve": f"""
 WITH {SCORED}, {CURVE.format(scored="scored")}

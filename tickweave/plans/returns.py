@@ -27,6 +27,18 @@ def training_rows(
     return rows.join(broadcast_if_small(enough), key, "left_semi")
 
 
+def training_status(
+    ticks: DataFrame, key: str, ts: str, order: Sequence[str], price: str = "price",
+    size: str = "size", min_rows: int = 100, spread: Spread = DEFAULT,
+) -> DataFrame:
+    """Every key with its complete rows, and whether they suffice for a model."""
+    rows = complete_tick_rows(tick_features(ticks, key, ts, order, price, size, spread=spread))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.withColumn(
+        "status", F.when(F.col("rows") >= min_rows, "eligible").otherwise("skipped")
+    )
+
+
 def fit_and_score(rows: DataFrame, rounds: int = 100) -> tuple[PipelineModel, DataFrame]:
     """A pooled model on ``rows`` (a stored table) and its fitted values."""
     model = fit_return_model(rows, RETURN_FEATURES, "target_return", rounds)

@@ -74,19 +74,26 @@ def scored_trades(spark: SparkSession, folder: str) -> DataFrame:
 def daily_files(spark: SparkSession, folder: str) -> DataFrame:
     """Events written as dirty daily files in the shared folder, then listed.
 
-    A file day runs from 22:00 to 22:00 UTC and is delivered in parts. Even
-    days use one layout, odd days another one with its own column order, id
-    name and a display name. Some sizes and times are no valid values.
+    A file holds 22:00 to 22:00 UTC of one day, is named by the day after and
+    delivered in parts. Even days use one layout, odd days another one with its own
+    column order, id name and a display name, which changes every ten days. Some
+    sizes are no valid values; so are some times of every third day and all of the
+    20th; the 13th has a bad name. Four more files hold a header only, no time
+    column, no readable bytes, and a day far outside any calendar.
     """
     rows = table(spark, folder, "events").withColumn(
-        "file_day", F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyyMMdd")
+        "held", F.to_date(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd"))
     )
+    day = F.dayofmonth("held")
+    named = F.date_format(F.date_add("held", 1), "yyyyMMdd")
+    rows = rows.withColumn("file_day", F.when(day == 13, "2024xx13").otherwise(named))
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    bad_time = (F.col("event_type") == "signup") & (day % 3 == 0)
     k = F.get_json_object("props", "$.k")
     cells = {
         "isin": F.concat(F.lit("U"), "user_id"),
-        "displayName": F.concat(F.lit('The "U" '), "user_id"),
-        "tradeTime": F.when(F.col("event_type") == "signup", F.concat(F.lit("?"), stamp)).otherwise(stamp),
+        "displayName": F.concat(F.lit('The "U" '), "user_id", F.lit(" "), F.floor(day / 10)),
+        "tradeTime": F.when(day == 20, None).when(bad_time, F.concat(F.lit("?"), stamp)).otherwise(stamp),
         "price": F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")),
         "size": F.when(k.cast("bigint") < 5, "-").otherwise(k),
         "quotation": F.lit("MONE"),
@@ -106,10 +113,28 @@ def daily_files(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark)
     for odd, header in layouts.items():
         place = ["file_day", "ts", "event_id"]
-        part = rows.where(F.col("file_day").cast("int") % 2 == odd)
-        part = part.repartitionByRange(*place).sortWithinPartitions(*place)
+        part = rows.where(day % 2 == odd).repartitionByRange(*place).sortWithinPartitions(*place)
         write_daily_files(
             part.select("file_day", *[cells[name].alias(name) for name in header]), root, "file_day"
         )
-    day = F.regexp_extract("path", r"file_day=([^/]*)/", 1)
-    return list_files(spark, root, source=F.concat(F.lit("trades_"), day))
+    nations = table(spark, folder, "nation").coalesce(1)
+    others = {
+        "20240215": nations.where("false").select(*[F.lit("").alias(c) for c in layouts[1]]),
+        "20240216": nations.select(F.col("n_name").alias("isin"), F.lit("1").alias("price")),
+        "20350101": nations.select(
+            F.col("n_name").alias("isin"), F.lit("2024-01-02T08:00:00Z").alias("tradeTime")
+        ),
+    }
+    for name, other in others.items():
+        other.write.option("header", True).option("sep", ";").csv(f"{root}/file_day={name}")
+    _write_bytes(spark, f"{root}/file_day=20240219/part-0.csv.gz", "no gzip stream")
+    of_day = F.regexp_extract("path", r"file_day=([^/]*)/", 1)
+    return list_files(spark, root, "*.csv*", source=F.concat(F.lit("trades_"), of_day))
+
+
+def _write_bytes(spark: SparkSession, path: str, text: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(conf).create(where)
+    stream.writeBytes(text)
+    stream.close()

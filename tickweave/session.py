@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows of a narrow lookup table that may be broadcast; results do not depend on it.
+MOST_BROADCAST = 200_000
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -27,11 +30,15 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path under the cluster's checkpoint folder.
 
-    The folder named by the session is used as it is. Only a session without
-    one (a unit test) gets a temporary folder of this machine.
+    The folder named by the session is used as it is. A session without one gets a
+    temporary folder of this machine if its master is local, as in tests; on a
+    cluster, executors would write to their own disks, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tickweave-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tickweave/{uuid.uuid4().hex}"
@@ -50,7 +57,7 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(
-    df: DataFrame, max_rows: int = 500_000, is_stored: bool = False
+    df: DataFrame, max_rows: int = MOST_BROADCAST, is_stored: bool = False
 ) -> DataFrame:
     """Store a lookup table, count it and hint a broadcast only if it is small.
 

@@ -14,11 +14,13 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from fnmatch import fnmatch
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.cells import parse_instant, parse_price, parse_size, tidy, unquote
 from ..operators.dedupe import drop_nulls, latest_value, rename_aliases, union_drifting
 from ..operators.trading_calendar import with_prev_trading_day
+from ..session import MOST_BROADCAST, broadcast_if_small
 
 # The two names of the transaction id, and the text columns.
 ID_ALIASES = {"orderId": "TVTIC"}
@@ -27,6 +29,9 @@ TEXT_COLUMNS = ["isin", "displayName", "quotation", "currency", "TVTIC", "mic",
 # Where a row came from: logical file, physical part and split, place in the split.
 PLACE = ["source", "part", "block", "pos"]
 
+#: The one text column that may hold the separator, and the name for a row's raw line.
+FLAGS, RAW = "flags", "_raw_line"
+
 NAME_DATE = r"^[^_]*_([^_.]*)"
 
 # One spelling for file:/x and file:///x.
@@ -84,35 +89,70 @@ def files_for_days(files: DataFrame, calendar: DataFrame, start: dt.date, end: d
     return dated.where(inside).drop("prev_trading_day")
 
 
-def header_of(spark: SparkSession, paths: Sequence[str], separator: str = ";", threads: int = 32):
-    """Column names of each file's first line; an empty file has none.
+def probe_headers(
+    spark: SparkSession, paths: Sequence[str], separator: str = ";", threads: int = 32
+) -> dict[str, tuple[tuple[str, ...], str | None]]:
+    """Column names of each file's first line, and why it could not be read.
 
-    Reads one line per file through Hadoop's file system, as Spark's own CSV
-    reader does for its header; no data passes the driver.
+    Reads one line per file through Hadoop's file system and the codec that the
+    file's name asks for, as Spark's own CSV reader does; no data passes the
+    driver. An empty file has no names and no error; a file that vanished, is
+    locked or cannot be decoded has no names and an error.
     """
     jvm, conf = _hadoop(spark)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
 
-    def first_line(path: str) -> tuple[str, ...]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        stream = where.getFileSystem(conf).open(where)
+    def first_line(path: str) -> tuple[tuple[str, ...], str | None]:
         try:
-            text = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            line = text.readLine()
-        finally:
-            stream.close()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            stream = where.getFileSystem(conf).open(where)
+            try:
+                codec = codecs.getCodec(where)
+                plain = stream if codec is None else codec.createInputStream(stream)
+                text = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8"))
+                line = text.readLine()
+            finally:
+                stream.close()
+        except Py4JJavaError as problem:
+            return (), str(problem.java_exception)
         cells = [] if line is None else line.lstrip("\ufeff").split(separator)
-        return tuple(c.strip().strip('"') for c in cells)
+        return tuple(c.strip().strip('"') for c in cells), None
 
     with ThreadPoolExecutor(threads) as pool:
         return dict(zip(paths, pool.map(first_line, paths)))
 
 
+def header_of(spark: SparkSession, paths: Sequence[str], separator: str = ";"):
+    """Column names of each file's first line; an empty or unreadable file has none."""
+    return {path: names for path, (names, _) in probe_headers(spark, paths, separator).items()}
+
+
+def file_headers(spark: SparkSession, files: DataFrame, separator: str = ";") -> DataFrame:
+    """path, part, source, header and error per file; each file is opened once.
+
+    Hand the result to :func:`read_cells`, :func:`sources_with` and the audit, which
+    then open no file for its header again.
+    """
+    listed = files.select("path", "part", "source").collect()
+    found = probe_headers(spark, [r["path"] for r in listed], separator)
+    rows = [(r["path"], r["part"], r["source"], list(found[r["path"]][0]), found[r["path"]][1]) for r in listed]
+    return spark.createDataFrame(rows, "path string, part string, source string, header array<string>, error string")
+
+
+def _headed(spark: SparkSession, files: DataFrame, separator: str = ";") -> DataFrame:
+    return files if "header" in files.columns else file_headers(spark, files, separator)
+
+
 def sources_with(spark: SparkSession, files: DataFrame, column: str) -> DataFrame:
     """Sources with a file whose header names ``column``."""
-    listed = files.select("path", "source").collect()
-    headers = header_of(spark, [r["path"] for r in listed])
-    found = sorted({r["source"] for r in listed if column in headers[r["path"]]})
-    return spark.createDataFrame([(s,) for s in found], "source string")
+    headed = _headed(spark, files)
+    return headed.where(F.array_contains("header", column)).select("source").distinct()
+
+
+def unreadable(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Sources with a file that could not be opened or decoded, and why."""
+    headed = _headed(spark, files).where(F.col("error").isNotNull())
+    return headed.groupBy("source").agg(F.min("error").alias("error"))
 
 
 def read_cells(
@@ -124,51 +164,82 @@ def read_cells(
     Adds the :data:`PLACE` columns: ``pos`` counts rows within one split of one
     part (with gaps between splits), so (part, block, pos) is file order.
     ``quoting=False`` takes quotes as plain characters and strips them later.
-    Surplus cells are dropped, missing ones are null, files without any of
-    ``columns`` add nothing.
+    Surplus cells of a row belong to an unquoted flags cell that holds the separator
+    and are joined back into it; behind a quoted one they are dropped. Missing cells
+    are null. Files without any of ``columns`` add nothing, nor do unreadable ones,
+    which :func:`unreadable` names. A file that turns out damaged while it is read
+    ends the job with its name: rows never go missing in silence.
     """
-    listed = files.select("path", "part", "source").collect()
-    headers = header_of(spark, [r["path"] for r in listed], separator)
+    listed = _headed(spark, files, separator).collect()
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for path, header in headers.items():
+    for row in listed:
+        header = tuple(row["header"])
         if header and (columns is None or set(columns) & set(header)):
-            layouts.setdefault(header, []).append(path)
+            layouts.setdefault(header, []).append(row["path"])
     place = "source string, part string, block bigint, pos bigint"
     if not layouts:
         return spark.createDataFrame([], f"{place}, " + ", ".join(f"{c} string" for c in columns or []))
     frames = []
     for header, paths in sorted(layouts.items()):
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        kept = list(header) if columns is None else [c for c in header if c in set(columns)]
+        # Only flags and what stands behind them can be moved by surplus cells.
+        moved = FLAGS in header and bool(set(kept) & set(header[header.index(FLAGS) :]))
+        fields = [*header, RAW] if moved else list(header)
         scan = (
-            spark.read.schema(schema)
+            spark.read.schema(T.StructType([T.StructField(name, T.StringType()) for name in fields]))
             .option("header", True)
             .option("sep", separator)
             .option("quote", '"' if quoting else "")
             .option("escape", '"' if quoting else "\\")
             .option("mode", "PERMISSIVE")
-            .option("ignoreCorruptFiles", True)
+            .option("columnNameOfCorruptRecord", RAW)
+            .option("columnPruning", not moved)
             .csv(paths)
         )
-        kept = header if columns is None else [c for c in header if c in set(columns)]
-        frames.append(
-            scan.select(
-                F.regexp_replace("_metadata.file_path", _SCHEME, "$1:/").alias("part"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("pos"),
-                *kept,
-            )
+        cells = scan.withColumns(
+            {
+                "_part": F.regexp_replace("_metadata.file_path", _SCHEME, "$1:/"),
+                "_block": F.col("_metadata.file_block_start"),
+                "_pos": F.monotonically_increasing_id(),
+            }
         )
+        if moved:
+            cells = _joined_flags(cells, header, separator, quoting)
+        names = {"_part": "part", "_block": "block", "_pos": "pos"}
+        frames.append(cells.select(*names, *kept).withColumnsRenamed(names))
     cells = union_drifting(frames, ID_ALIASES)
     return cells.join(_sources(spark, listed), "part").select(
         *PLACE, *[c for c in cells.columns if c not in PLACE]
     )
 
 
+def _joined_flags(
+    cells: DataFrame, header: tuple[str, ...], separator: str, quoting: bool
+) -> DataFrame:
+    """Undo the cuts that separators inside an unquoted flags cell have made."""
+    at = header.index(FLAGS)
+    outside = r'(?=(?:[^"]*"[^"]*")*[^"]*$)' if quoting else ""
+    split = cells.withColumn("_cells", F.split(RAW, re.escape(separator) + outside, -1))
+    surplus = F.size("_cells") - len(header)
+    cut = F.col(RAW).isNotNull() & (surplus > 0) & ~F.col("_cells")[at].startswith('"')
+
+    def cell(index: Column) -> Column:
+        text = F.element_at("_cells", index + 1)
+        if quoting:
+            text = F.replace(F.regexp_replace(text, '^"|"$', ""), F.lit('""'), F.lit('"'))
+        return F.when(text != "", text)
+
+    fixed = {FLAGS: F.when(cut, F.array_join(F.slice("_cells", at + 1, surplus + 1), separator)).otherwise(F.col(FLAGS))}
+    for k, name in enumerate(header[at + 1 :], at + 1):
+        fixed[name] = F.when(cut, cell(F.lit(k) + surplus)).otherwise(F.col(name))
+    return split.withColumns(fixed)
+
+
 def _sources(spark: SparkSession, listed) -> DataFrame:
     """File to source; the list of files is known here, so its size is checked."""
     pairs = [(r["part"], r["source"]) for r in listed]
     lookup = spark.createDataFrame(pairs, "part string, source string")
-    return F.broadcast(lookup) if len(pairs) <= 200_000 else lookup
+    return F.broadcast(lookup) if len(pairs) <= MOST_BROADCAST else lookup
 
 
 def clean_trades(cells: DataFrame, quoting: bool = True, keep_name: bool = False) -> DataFrame:
@@ -193,7 +264,7 @@ def clean_trades(cells: DataFrame, quoting: bool = True, keep_name: bool = False
 def security_names(cells: DataFrame, files: DataFrame) -> DataFrame:
     """Display name per security; the newest file wins, then the later row."""
     dated = cells.select("isin", "displayName", *PLACE).join(
-        F.broadcast(files.select("source", "file_date").distinct()), "source"
+        broadcast_if_small(files.select("source", "file_date").distinct()), "source"
     )
     named = dated.withColumns({c: unquote(F.col(c)) for c in ["isin", "displayName"]})
     return latest_value(named, "isin", "displayName", ["file_date", *PLACE])
