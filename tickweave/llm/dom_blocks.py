@@ -36,7 +36,10 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<",
     re.S,
 )
-_NAMES = re.compile(r"""(?<![\w-])(class|id|role|aria-label|itemprop|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+#: Attributes whose values name what an element is for.
+NAMING = frozenset("class id role aria-label itemprop".split())
 
 
 @dataclass(frozen=True)
@@ -57,18 +60,21 @@ class Block:
     mark: str = ""
 
 
+def _is_hidden(values: dict[str, str]) -> bool:
+    """By the attribute ``hidden``, ``aria-hidden=true``, or the display that the style ends with."""
+    if "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    found = _DISPLAY.findall(unescape(values.get("style", "")))
+    decisive = [d for d in found if d[1]] or found
+    return bool(decisive) and decisive[-1][0].lower() == "none"
+
+
 def _element(tag: str, attributes: str) -> Element:
-    names, mark, bare = [], "", attributes.lower()
-    for name, value in _NAMES.findall(attributes) if "=" in attributes else ():
-        value = value.strip("\"'")
-        if name.lower() == "data-y":
-            mark = value
-        else:
-            names.append(value)
-    hidden = tag in HIDDEN_TAGS or bool(
-        re.search(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", bare)
-    )
-    return Element(tag, " ".join(names), hidden, mark)
+    values: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(attributes):
+        values.setdefault(name.lower(), value.strip("\"'"))  # the first of a name counts
+    names = " ".join(v for n, v in values.items() if n in NAMING and v)
+    return Element(tag, names, tag in HIDDEN_TAGS or _is_hidden(values), values.get("data-y", ""))
 
 
 def leaf_blocks(html: str | None) -> list[Block]:
