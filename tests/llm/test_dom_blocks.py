@@ -33,3 +33,16 @@ def test_hidden_elements_are_left_out(attributes):
 def test_names_and_marks():
     block = leaf_blocks("<div CLASS='a b' id=c data-id=no title='class=no' data-y=1 class=no>x")[0]
     assert block.path[-1].names == "a b c" and block.mark == "1"
+
+
+HEAD = "<html><head><meta charset=utf-8><title>No</title><link rel=x><style>p{}</style><script>no()</script><noscript><img></noscript>"
+
+
+@pytest.mark.parametrize("start", ["<body>", "", "<div>", "<article>", "<h1>", "<main>", "<a href=x>", "<br>", "<header>", "<x-story>"])
+def test_a_head_without_end_tag_ends_where_the_body_begins(start):
+    assert texts(HEAD + f"\n{start}one<p>two<title>no</title></html>") == ["one", "two"]
+
+
+def test_what_stands_in_a_head_stays_out():
+    assert texts(HEAD + "<template><div>no</div></template>\n<!-- no --></head>\n<body><p>one") == ["one"]
+    assert texts("<head><noscript><p>no</p></noscript><body>one") == ["one"]

@@ -1,9 +1,10 @@
 """Leaf blocks of a web page: text between block boundaries, with what stands above it.
 
 A tolerant reader of tags, not a browser: end tags close the nearest open element of
-their name, a new paragraph or list item closes the one before it, and raw elements run
-to their end tag. Text of scripts, styles and other elements that show nothing is left
-out. A page cut off anywhere gives the blocks up to there.
+their name, a new paragraph or list item closes the one before it, a head ends at the first
+tag or text that may not stand in one, and raw elements run to their end tag. Text of
+scripts, styles and other elements that show nothing is left out. A page cut off anywhere
+gives the blocks up to there.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN_TAGS = frozenset("script style title head template noscript iframe object svg math canvas audio video textarea".split())
+#: Any other start tag ends an open head, as its end tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: A start tag closes open elements of these names, up to the nearest of those behind.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -113,6 +116,8 @@ def leaf_blocks(html: str | None) -> list[Block]:
             raw = found.group()
             if raw.startswith(("<!", "<?")):
                 continue
+            if path and path[-1].tag == "head" and raw.strip():
+                path.pop()
             if not any(e.hidden for e in path):
                 if not pieces:
                     at = tuple(path)
@@ -127,6 +132,10 @@ def leaf_blocks(html: str | None) -> list[Block]:
                 flush()
             close((tag,), ())
             continue
+        if tag == "body":
+            close(("head",), ("template",))
+        elif path and path[-1].tag == "head" and tag not in IN_HEAD:
+            path.pop()
         if tag == "br":
             pieces.append(" ") if pieces else None
             continue
