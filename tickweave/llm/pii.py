@@ -15,19 +15,20 @@ different ones. E-mail addresses, which have no fixed format, get a keyed name.
 | card | 13 to 19 digits, Luhn right | digits between first and last permuted, check digit made anew |
 | ssn | valid area, group and serial | permuted among the valid ones |
 | phone | 8 to 15 digits with ``+``, or 3-3-4 digits | permuted, country code kept |
-| ip, ip6 | four numbers up to 255; eight hex groups | permuted |
-| date | a real day of 1900 to 2099 | permuted among these days |
+| ip, ip6 | four numbers up to 255; eight hex groups, or fewer around ``::`` with a digit among them | permuted |
+| date | a real day of 1900 to 2099, a time behind ``T`` may follow | permuted among these days |
 
 Defined results: a null text stays null. A text without a match is returned as it is,
-to the byte. Candidates that fail their check stay. Matches do not overlap; the leftmost
-wins, then the order of the table. Null ids, repeated rows and further columns are kept.
+to the byte. Candidates that fail their check stay, and use up no characters: what starts
+inside one is found. Matches do not overlap; the leftmost
+wins, then the order of the table. An ip6 written in another form is another value. Null ids, repeated rows and further columns are kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import col
+from .common import col, fresh
 
 ROUNDS = 10
 DIGITS = "0123456789"
@@ -54,6 +55,11 @@ def _grouped(length: int) -> str:
 
 _SPACED_IBAN = "|".join(_grouped(n) for n in sorted(set(IBAN_LENGTHS.values())))
 _YEAR, _MONTH, _DAY = "(?:19|20)[0-9]{2}", "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])"
+_HEX = "[0-9a-fA-F]{1,4}"
+#: Groups before and behind the ``::``, seven at most.
+_SHORT_IP6 = "|".join(
+    [f"(?:{_HEX}:){{1,{7 - n}}}(?::{_HEX}){{1,{n}}}" for n in range(1, 7)] + [f":(?::{_HEX}){{1,7}}", f"(?:{_HEX}:){{1,7}}:"]
+)
 #: In this order; the first that matches at a place wins.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
@@ -67,10 +73,19 @@ PATTERNS = {
     r"|(?<![\p{L}\p{N}(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])"
     r"|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}]|[.-][0-9])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])",
-    "ip6": r"(?<![\p{L}\p{N}:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\p{L}\p{N}:])",
-    "date": rf"(?<![\p{{L}}\p{{N}}-])(?:{_YEAR}-{_MONTH}-{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_MONTH}/{_DAY}/{_YEAR}|{_DAY}/{_MONTH}/{_YEAR})(?![\p{{L}}\p{{N}}]|-[0-9])",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[a-fA-F:]{{0,39}}[0-9])(?:{_SHORT_IP6}))(?![\p{{L}}\p{{N}}:]|\.[0-9])",
+    "date": rf"(?<![\p{{L}}\p{{N}}-])(?:{_YEAR}-{_MONTH}-{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_MONTH}/{_DAY}/{_YEAR}|{_DAY}/{_MONTH}/{_YEAR})(?!(?![Tt][0-9]{{2}})[\p{{L}}\p{{N}}]|-[0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Kinds with a check besides the pattern.
+CHECKED = ("iban", "card", "phone", "date")
+#: What is tried at each start, in order: kinds without a check together.
+TRIED = [
+    "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "secret", "key")), PATTERNS["iban"], PATTERNS["card"], PATTERNS["ssn"],
+    PATTERNS["phone"], "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "ip6")), PATTERNS["date"],
+]
+STARTS = f"(?={ANY})"
+AT_STARTS = STARTS + "".join(f"(?:(?=({p})))?" for p in TRIED)
 #: Cheap test: every kind has one of these characters.
 MAYBE = "[@0-9]"
 
@@ -276,6 +291,45 @@ MAKERS = {
 }
 
 
+def _chosen(source: Column, kind_of) -> Column:
+    """Pieces of text and the matches behind them, checked before they are chosen.
+
+    The text is cut at every start of a candidate, overlapping ones too. Of the starts
+    from left to right, each that has a right candidate and lies behind the last match
+    is taken. A piece is the text from a start, or from the end of a match if that is
+    later, to the next start; the first has no start.
+    """
+
+    def best(*found: Column) -> Column:
+        return F.coalesce(*(F.when(x["kind"].isNotNull(), x) for x in found), F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("hit")))
+
+    tried = [F.transform(F.regexp_extract_all(source, F.lit(AT_STARTS), F.lit(k + 1)), kind_of) for k in range(len(TRIED))]
+    found = F.transform(F.arrays_zip(*(t.alias(f"t{k}") for k, t in enumerate(tried))), lambda x: best(*(x[f"t{k}"] for k in range(len(TRIED)))))
+    cut = F.split(source, STARTS, -1)
+    # A start at the first character makes no piece before it.
+    cut = F.when(F.size(cut) == F.size(found), F.concat(F.array(F.lit("")), cut)).otherwise(cut)
+
+    def take(acc: Column, x: Column) -> Column:
+        """``left``: characters from this start on that the last match still holds."""
+        size = F.length(x["piece"])
+        taken = x["found"]["kind"].isNotNull() & (acc["left"] <= 0)
+        held = F.when(taken, F.length(x["found"]["hit"])).otherwise(acc["left"])
+        step = F.struct(
+            F.when(taken, x["found"]["kind"]).alias("kind"),
+            F.when(taken, x["found"]["hit"]).otherwise("").alias("hit"),
+            F.substr(x["piece"], F.greatest(held, F.lit(0)) + 1).alias("piece"),
+        )
+        return F.struct((held - size).alias("left"), F.concat(acc["steps"], F.array(step)).alias("steps"))
+
+    starts = F.arrays_zip(F.slice(cut, F.lit(2), F.size(found)).alias("piece"), found.alias("found"))
+    none = F.array().cast("array<struct<kind: string, hit: string, piece: string>>")
+    steps = F.aggregate(starts, F.struct(F.lit(0).alias("left"), none.alias("steps")), take, lambda acc: acc["steps"])
+    return F.struct(
+        F.concat(F.slice(cut, 1, 1), F.transform(steps, lambda s: s["piece"])).alias("pieces"),
+        F.transform(steps, lambda s: F.struct(s["kind"].alias("kind"), s["hit"].alias("hit"))).alias("hits"),
+    )
+
+
 def with_pseudonyms(
     docs: DataFrame, text: str = "text", out: str = "text", found: str | None = None, secret: str = "change me"
 ) -> DataFrame:
@@ -289,7 +343,7 @@ def with_pseudonyms(
         kind = F.lit(None).cast("string")
         for name in reversed(PATTERNS):
             fits = hit.rlike(f"^(?:{PATTERNS[name]})$")
-            kind = F.when(fits, F.when(_valid(name, hit), F.lit(name))).otherwise(kind)
+            kind = F.when(fits & _valid(name, hit) if name in CHECKED else fits, F.lit(name)).otherwise(kind)
         return F.struct(kind.alias("kind"), hit.alias("hit"))
 
     def pseudonym(x: Column) -> Column:
@@ -299,26 +353,25 @@ def with_pseudonyms(
         return F.struct(x["kind"].alias("kind"), new.alias("value"))
 
     source = col(text)
-    hits = F.when(source.rlike(MAYBE), F.regexp_extract_all(source, F.lit(ANY), F.lit(0))).otherwise(
+    names = fresh(docs, "pii_hits", "pii_cuts", "pii_new")
+    hits, cuts, values = (F.col(n) for n in names)
+    plain = F.when(source.rlike(MAYBE), F.regexp_extract_all(source, F.lit(ANY), F.lit(0))).otherwise(
         F.array().cast("array<string>")
     )
-    new = F.transform(F.transform(hits, kind_of), pseudonym)
-    names = {}
-    for base in ("pii_new",):
-        while base.lower() in {c.lower() for c in docs.columns}:
-            base += "_"
-        names["new"] = base
-    marked = docs.withColumn(names["new"], new)
-    values = F.col(names["new"])
+    marked = docs.withColumn(names[0], F.transform(plain, kind_of))
+    failed = F.exists(hits, lambda x: x["kind"].isNull())
+    # Pieces of text between the matches; where a candidate failed, chosen anew from all starts.
+    cut = F.when(failed, _chosen(source, kind_of)).otherwise(
+        F.struct(F.split(source, ANY, -1).alias("pieces"), hits.alias("hits"))
+    )
+    marked = marked.withColumn(names[1], cut)
+    marked = marked.withColumn(names[2], F.transform(cuts["hits"], pseudonym))
     joined = F.array_join(
-        F.zip_with(
-            F.split(source, ANY, -1), values, lambda p, v: F.concat(p, F.coalesce(v["value"], F.lit("")))
-        ),
-        "",
+        F.zip_with(cuts["pieces"], values, lambda p, v: F.concat(p, F.coalesce(v["value"], F.lit("")))), ""
     )
     changed = F.exists(values, lambda v: v["kind"].isNotNull())
     done = marked.withColumn(out, F.when(changed, joined).otherwise(source))
     if found:
         real = F.filter(values, lambda v: v["kind"].isNotNull())
         done = done.withColumn(found, F.when(source.isNotNull(), real))
-    return done.drop(names["new"])
+    return done.drop(*names)
