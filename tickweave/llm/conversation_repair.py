@@ -118,15 +118,23 @@ EMPTY = [(0, "") if s == t else None for s, t in PAIRS]
 BEST = "array<struct<cost: bigint, audit: string>>"
 
 
+BEST_ARROW = pa.list_(pa.struct([("cost", pa.int64()), ("audit", pa.string())]))
+
+
+def _read(best: list | None) -> list:
+    return EMPTY if best is None else [None if b is None else (b["cost"], b["audit"]) for b in best]
+
+
+def _write(best: list) -> list:
+    return [None if b is None else {"cost": b[0], "audit": b[1]} for b in best]
+
+
 def _level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(suffix, best of the shorter suffix) -> (suffix, best)."""
-    kind = pa.list_(pa.struct([("cost", pa.int64()), ("audit", pa.string())]))
     for batch in batches:
-        out = []
-        for suffix, child in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            child = EMPTY if child is None else [None if c is None else (c["cost"], c["audit"]) for c in child]
-            out.append([None if b is None else {"cost": b[0], "audit": b[1]} for b in solve(suffix[0], child)])
-        yield pa.record_batch([batch.column(0), pa.array(out, kind)], ["suffix", "best"])
+        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        out = [_write(solve(suffix[0], _read(child))) for suffix, child in rows]
+        yield pa.record_batch([batch.column(0), pa.array(out, BEST_ARROW)], ["suffix", "best"])
 
 
 def automaton(segments: DataFrame) -> DataFrame:
@@ -151,23 +159,21 @@ def automaton(segments: DataFrame) -> DataFrame:
     return stage(whole)
 
 
-def _joined(first: Column, second: Column) -> Column:
+def joined(first: list, second: list) -> list:
     """Best results over two neighbouring segments."""
+    best = []
+    for start, end in PAIRS:
+        halves = [(first[start * 4 + k], second[k * 4 + end]) for k in range(4)]
+        best.append(min(((a[0] + b[0], a[1] + b[1]) for a, b in halves if a and b), default=None))
+    return best
 
-    def pair(start: int, end: int) -> Column:
-        ways = [
-            F.when(
-                first[start * 4 + k].isNotNull() & second[k * 4 + end].isNotNull(),
-                F.struct(
-                    (first[start * 4 + k]["cost"] + second[k * 4 + end]["cost"]).alias("cost"),
-                    F.concat(first[start * 4 + k]["audit"], second[k * 4 + end]["audit"]).alias("audit"),
-                ),
-            )
-            for k in range(4)
-        ]
-        return F.array_min(F.array(*ways))
 
-    return F.array(*(pair(s, t) for s, t in PAIRS))
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv, segment, first, second) -> (conv, segment, best); a last segment may stand alone."""
+    for batch in batches:
+        rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        out = [_write(_read(a) if b is None else joined(_read(a), _read(b))) for a, b in rows]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, BEST_ARROW)], ["conv", "segment", "best"])
 
 
 def folded(segments: DataFrame) -> DataFrame:
@@ -181,8 +187,8 @@ def folded(segments: DataFrame) -> DataFrame:
             F.max(F.when(at == 0, F.struct("segment", "best")))["best"].alias("first"),
             F.max(F.when(at == 1, F.struct("segment", "best")))["best"].alias("second"),
         )
-        best = F.when(F.col("second").isNull(), F.col("first")).otherwise(_joined(F.col("first"), F.col("second")))
-        segments = stage(pairs.select("conv", F.col("half").alias("segment"), best.alias("best")))
+        kind = segments.schema["conv"].dataType.simpleString()
+        segments = stage(pairs.mapInArrow(_pairs, f"conv {kind}, segment long, best {BEST}"))
 
 
 def finished(best: Column) -> Column:
