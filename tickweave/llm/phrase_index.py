@@ -2,15 +2,16 @@
 
 Index: tasks cut their documents into blocks of about ``BLOCK_WORDS`` words. Within a block
 every word has a place; one place between documents stays empty, so no run of
-places crosses a document. The stored table has one row per (block, term) with the ascending places
-packed as 32-bit numbers, and one row per block, under the empty term, with its documents.
+places crosses a document. The terms of a block are dealt by hash into ``SLICES`` rows: the
+terms, how often each occurs, and their ascending places behind one another as 32-bit numbers.
+One more row of a block, slice -1, has its documents.
 
-Search: the postings of the query terms are taken from the index. Terms are ranked by their
-count in all documents, and a phrase starts from its rarest. The places of a term less the
-term's offset are possible starts of the phrase; lists of the two rarest terms are intersected
-block by block, then those of all other terms at once for the few blocks
-that are left. A block bounds every list and every group, whatever a term's count; joins on a
-frequent term are split by AQE, as each of its rows is one block.
+Search: query terms are counted over all blocks first, without reading places. A phrase starts
+from its rarest term. The places of a term less its offset in the phrase are possible
+starts; those of the two rarest terms are intersected block by block, then with the lists of all
+other terms, read for the blocks that are left only. Candidates and lists of a block meet in one
+group, so a list is sent once however many phrases ask for it; a block bounds every list and
+every group, and a frequent term is many rows, one for each block.
 
 Proximity: the same candidates by block, where all terms of the query must lie, repeats
 counted and in any order, within as many words as the query has plus ``slop``.
@@ -23,14 +24,13 @@ Clashing names do no harm: only the named columns are read and others are not ke
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BinaryType
 
 from ..session import stage
 from .common import col
@@ -41,7 +41,8 @@ BLOCK_WORDS = 1 << 20
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
-INDEX = "block long, term string, n long, places binary, doc_ids array<bigint>, sizes array<bigint>"
+SLICES = 64
+INDEX = "block long, slice int, terms binary, counts binary, places binary, doc_ids array<bigint>, sizes array<bigint>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -56,33 +57,28 @@ def word_array(text: Column) -> Column:
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The index of ``docs``; store it (``stage``) before searching."""
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-
-    def block_rows(first: int, ids: list, sizes: list[int], codes: list, terms: dict) -> Iterator[pa.RecordBatch]:
-        # Of one block: its documents under the empty term, then every term with its places.
-        yield pa.record_batch(
-            [pa.array(v, k) for v, k in zip(([first], [""], [len(ids)], [None], [ids], [sizes]), kinds)],
-            schema=pa.schema(list(zip(NAMES, kinds))),
-        )
-        if not terms:
-            return
-        names = np.array(list(terms), dtype=object)
-        order = np.argsort(names, kind="stable")
-        rank = np.empty(len(names), dtype=np.int32)
-        rank[order] = np.arange(len(names), dtype=np.int32)
-        code = rank[np.concatenate(codes)]
-        sizes_ = np.array(sizes)
-        places = np.arange(len(code)) + np.repeat(np.arange(len(sizes_)), sizes_)
-        sorted_places = places.astype("<u4")[np.argsort(code, kind="stable")]
-        counts = np.bincount(code, minlength=len(names))
-        ends = np.zeros(len(names) + 1, dtype=np.int32)
-        np.cumsum(counts * 4, out=ends[1:])
-        packed = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(sorted_places)])
-        rows = [
-            pa.array(np.full(len(names), first)), pa.array(list(names[order]), pa.binary()).cast(pa.string()),
-            pa.array(counts), packed, pa.nulls(len(names), kinds[4]), pa.nulls(len(names), kinds[5]),
-        ]
-        yield pa.record_batch(rows, schema=pa.schema(list(zip(NAMES, kinds))))
+    numbers = pa.list_(pa.int64())
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), numbers, numbers]
+
+    def block_rows(first: int, ids: list, sizes: list[int], codes: list, terms: dict) -> pa.RecordBatch:
+        rows: list[tuple] = [(first, -1, None, None, None, ids, sizes)]
+        if terms:
+            dealt = np.fromiter((zlib.crc32(t) % SLICES for t in terms), dtype=np.int64, count=len(terms))
+            order = np.argsort(dealt, kind="stable")
+            rank = np.empty(len(order), dtype=np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            code = rank[np.concatenate(codes)]
+            places = np.arange(len(code)) + np.repeat(np.arange(len(sizes)), sizes)
+            places = places[np.argsort(code, kind="stable")].astype("<u4")
+            counts = np.bincount(code, minlength=len(order))
+            ends = np.r_[0, np.cumsum(counts)]
+            names = list(terms)
+            cuts = np.searchsorted(dealt[order], np.arange(SLICES + 1))
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if a < b:
+                    joined = b"\n".join(names[t] for t in order[a:b])
+                    rows.append((first, k, joined, counts[a:b].astype("<u4").tobytes(), places[ends[a] : ends[b]].tobytes(), None, None))
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, ids, sizes, codes, held = None, [], [], [], 0
@@ -97,11 +93,11 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
                 codes.append(np.fromiter(map(terms.__getitem__, words), dtype=np.int32, count=len(words)))
                 held += len(words) + 1
                 if held >= block_words:
-                    yield from block_rows(first, ids, sizes, codes, terms)
+                    yield block_rows(first, ids, sizes, codes, terms)
                     first, ids, sizes, codes, held = None, [], [], [], 0
                     terms.clear()
         if ids:
-            yield from block_rows(first, ids, sizes, codes, terms)
+            yield block_rows(first, ids, sizes, codes, terms)
 
     rows = docs.select(F.monotonically_increasing_id(), col(key).cast("long"), col(text))
     return rows.mapInArrow(run, INDEX)
@@ -119,21 +115,46 @@ def windows(items: DataFrame, key: str = "item_id", text: str = "text", size: in
     return starts.select(phrase.alias("phrase"), F.coalesce("item", F.lit("")).alias("item")).distinct()
 
 
-def ranked(index: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stored postings of all terms of ``phrases``, and the phrases whose terms all occur.
+def slice_of(term: Column) -> Column:
+    return (F.crc32(term.cast("binary")) % SLICES).cast("int")
 
-    The second has phrase, size and terms: (n, term, at) from the rarest on.
-    """
+
+def term_lists(index: DataFrame, wanted: DataFrame, places: bool = True) -> DataFrame:
+    """block, term, n and places of the terms in ``wanted`` (term, or term and block)."""
+    keys = [c for c in ("block",) if c in wanted.columns] + ["slice"]
+    asked = stage(wanted.withColumn("slice", slice_of(F.col("term"))).groupBy(*keys).agg(F.collect_set("term").alias("asked")))
+    columns = ["block", "slice", "terms", "counts", *(["places"] if places else [])]
+    rows = index.where("slice >= 0").select(columns).join(asked, keys)
+    kinds = [pa.int64(), pa.string(), pa.int64(), *([pa.binary()] if places else [])]
+    names = ["block", "term", "n", *(["places"] if places else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c) for c in ("block", "asked", "terms", "counts", *(["places"] if places else []))]
+            for k in range(batch.num_rows):
+                block, asked, terms, counts, *packed = (c[k].as_py() for c in columns)
+                asked = {t.encode() for t in asked}
+                counts = np.frombuffer(counts, dtype="<u4")
+                found = [(i, t) for i, t in enumerate(terms.split(b"\n")) if t in asked]
+                out = [[block] * len(found), [t.decode() for _, t in found], [int(counts[i]) for i, _ in found]]
+                if packed:
+                    ends = 4 * np.r_[0, np.cumsum(counts, dtype=np.int64)]
+                    out.append([packed[0][ends[i] : ends[i + 1]] for i, _ in found])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds)], names)
+
+    return rows.mapInArrow(run, "block long, term string, n long" + (", places binary" if places else ""))
+
+
+def ranked(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """phrase, size, terms (n, term, at) from the rarest on, for phrases whose terms all occur."""
     at = F.posexplode(F.split("phrase", " ")).alias("at", "term")
     terms = stage(phrases.select("phrase").distinct().select("phrase", at))
-    wanted = terms.select("term").distinct()
-    postings = stage(index.where(F.col("term") != "").join(wanted, "term", "left_semi").select("block", "term", "n", "places"))
-    counts = postings.groupBy("term").agg(F.sum("n").alias("n"))
+    counts = stage(term_lists(index, terms.select("term").distinct(), places=False).groupBy("term").agg(F.sum("n").alias("n")))
     found = terms.join(counts, "term", "left").groupBy("phrase").agg(
         F.sort_array(F.collect_list(F.struct("n", "term", "at"))).alias("terms"),
         F.count_if(F.col("n").isNull()).alias("missing"),
     )
-    return postings, stage(found.where("missing = 0").select("phrase", F.size("terms").alias("size"), "terms"))
+    return stage(found.where("missing = 0").select("phrase", F.size("terms").alias("size"), "terms"))
 
 
 def _numbers(packed: bytes) -> np.ndarray:
@@ -151,59 +172,58 @@ def _common(some: np.ndarray, other: np.ndarray) -> np.ndarray:
     return some[other[spot] == some]
 
 
-@F.pandas_udf(BinaryType())
-def starts_at(places: pd.Series, at: pd.Series) -> pd.Series:
-    """Places less the offset, those before the block's begin left out."""
-    out = []
-    for p, k in zip(places, at):
-        numbers = _numbers(p) - k
-        out.append(numbers[numbers >= 0].astype("<u4").tobytes())
-    return pd.Series(out, dtype=object)
+CANDIDATE = "phrase string, size int, block long, starts binary"
 
 
-@F.pandas_udf(BinaryType())
-def narrowed(starts: pd.Series, places: pd.Series, at: pd.Series) -> pd.Series:
-    """The starts at which the term stands ``at`` words on."""
-    out = [_common(_numbers(s), _numbers(p) - k).astype("<u4").tobytes() for s, p, k in zip(starts, places, at)]
-    return pd.Series(out, dtype=object)
+def narrowed(candidates: DataFrame, lists: DataFrame) -> DataFrame:
+    """phrase, size, block, starts: starts of ``candidates`` that agree with their ``asked`` (term, at).
 
+    ``starts`` may be null, for every start. A block's list of a term is sent once, however
+    many phrases ask for it.
+    """
 
-@F.pandas_udf(BinaryType())
-def narrowed_by_all(starts: pd.Series, lists: pd.Series) -> pd.Series:
-    """The starts at which all (at, places) of the list agree."""
-    out = []
-    for s, others in zip(starts, lists):
-        left = _numbers(s)
-        for other in others:
-            left = _common(left, _numbers(other["places"]) - other["at"])
-        out.append(left.astype("<u4").tobytes())
-    return pd.Series(out, dtype=object)
+    def run(found: pa.Table, lists: pa.Table) -> pa.Table:
+        held = dict(zip(lists.column("term").to_pylist(), map(_numbers, lists.column("places").to_pylist())))
+        none = np.empty(0, dtype=np.int64)
+        asked = found.column("asked").combine_chunks()
+        pairs = asked.flatten()
+        terms, ats = pairs.field("term").to_pylist(), pairs.field("at").to_pylist()
+        ends = np.cumsum([0, *asked.value_lengths().to_pylist()])
+        kept, out = [], []
+        for k, starts in enumerate(found.column("starts").to_pylist()):
+            left = None if starts is None else _numbers(starts)
+            for t in range(ends[k], ends[k + 1]):
+                other = held.get(terms[t], none) - ats[t]
+                left = other[other >= 0] if left is None else _common(left, other)
+                if not len(left):
+                    break
+            else:
+                kept.append(k)
+                out.append(left.astype("<u4").tobytes())
+        rows = found.select(["phrase", "size", "block"]).take(pa.array(kept, pa.int64()))
+        return rows.append_column("starts", pa.array(out, pa.binary()))
+
+    lists = lists.select(F.col("block").alias("list_block"), "term", "places")
+    return candidates.groupBy("block").cogroup(lists.groupBy("list_block")).applyInArrow(run, CANDIDATE)
 
 
 def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """phrase, size, block, starts: where the words of ``phrases`` (phrase) stand in a row."""
-    postings, known = ranked(index, phrases)
-    some = F.octet_length("starts") > 0
-
-    def term(k: int) -> list[Column]:
-        return [F.col("terms")[k]["term"].alias("term"), F.col("terms")[k]["at"].alias("at")]
-
-    rarest = known.select("phrase", "size", "terms", *term(0)).join(postings, "term")
-    first = stage(rarest.select("phrase", "size", "terms", "block", starts_at("places", "at").alias("starts")).where(some))
-    second = first.where("size > 1").select("phrase", "size", "terms", "block", "starts", *term(1))
-    second = stage(
-        second.join(postings, ["term", "block"])
-        .select("phrase", "size", "terms", "block", narrowed("starts", "places", "at").alias("starts"))
-        .where(some)
-    )
-    rest = second.where("size > 2").select("phrase", "size", "block", F.explode(F.slice("terms", 3, F.col("size") - 2)).alias("t"))
-    rest = rest.select("phrase", "size", "block", "t.term", "t.at").join(postings, ["term", "block"])
-    lists = rest.groupBy("phrase", "size", "block").agg(F.collect_list(F.struct("at", "places")).alias("lists"))
-    # Whoever lacks a list in this block is no match.
-    third = lists.where(F.size("lists") == F.col("size") - 2).join(second.select("phrase", "block", "starts"), ["phrase", "block"])
-    third = third.select("phrase", "size", "block", narrowed_by_all("starts", "lists").alias("starts")).where(some)
-    done = [first.where("size = 1"), second.where("size = 2"), third]
-    return stage(done[0].select(*third.columns).unionByName(done[1].select(*third.columns)).unionByName(third))
+    known = ranked(index, phrases)
+
+    def asked(start: int, most: Column | int) -> Column:
+        return F.transform(F.slice("terms", start, most), lambda t: F.struct(t["term"].alias("term"), t["at"].alias("at"))).alias("asked")
+
+    rare = known.select("phrase", "size", F.col("terms")[0]["term"].alias("rarest"), asked(1, 2))
+    rare_lists = stage(term_lists(index, rare.select(F.explode("asked.term").alias("term")).distinct()))
+    everywhere = F.lit(None).cast("binary").alias("starts")
+    candidates = rare.join(rare_lists.select("block", F.col("term").alias("rarest")), "rarest")
+    some = stage(narrowed(candidates.select("phrase", "size", "block", "asked", everywhere), rare_lists))
+    # Only the lists of blocks in which the two rarest terms stand as in a phrase are read.
+    others = known.where("size > 2").select("phrase", asked(3, F.greatest(F.col("size") - 2, F.lit(0))))
+    rest = some.join(others, "phrase").select("phrase", "size", "block", "asked", "starts")
+    lists = term_lists(index, rest.select("block", F.explode("asked.term").alias("term")).distinct())
+    return stage(some.where("size <= 2").unionByName(narrowed(rest, lists)))
 
 
 def doc_places(sizes: list[int]) -> np.ndarray:
@@ -234,14 +254,15 @@ def near_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
 
     Words may come in any order, with at most ``slop`` others between them.
     """
-    postings, known = ranked(index, phrases)
+    known = ranked(index, phrases)
     terms = known.select("phrase", "size", F.explode("terms").alias("t")).groupBy("phrase", "size", "t.term")
     terms = stage(terms.agg(F.count(F.lit(1)).alias("times"), F.min("t.n").alias("n")))
-    kinds = terms.groupBy("phrase").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("n", "term"))["term"].alias("rarest"))
-    blocks = kinds.join(postings, F.col("rarest") == F.col("term")).select("phrase", "kinds", "block")
-    lists = blocks.join(terms, "phrase").join(postings.select("block", "term", "places"), ["block", "term"])
+    kinds = terms.groupBy("phrase").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("n", "term"))["term"].alias("term"))
+    rarest = term_lists(index, kinds.select("term").distinct(), places=False).select("block", "term")
+    asked = stage(kinds.join(rarest, "term").select("phrase", "kinds", "block").join(terms, "phrase"))
+    lists = asked.join(term_lists(index, asked.select("term", "block").distinct()).drop("n"), ["block", "term"])
     grouped = lists.groupBy("phrase", "size", "kinds", "block").agg(F.collect_list(F.struct("term", "times", "places")).alias("lists"))
-    docs = index.where("term = ''").select("block", "doc_ids", "sizes")
+    docs = index.where("slice = -1").select("block", "doc_ids", "sizes")
     ready = grouped.where(F.size("lists") == F.col("kinds")).join(docs, "block").select("phrase", "size", "lists", "doc_ids", "sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +311,7 @@ def hits_by_document(index: DataFrame, matches: DataFrame) -> DataFrame:
         names = ["block", "at", "doc_id", "n_words", "n_hit", "phrases"]
         return pa.table([pa.array(d, k) for d, k in zip(data, kinds)], names)
 
-    docs = index.where("term = ''").select("block", "doc_ids", "sizes")
+    docs = index.where("slice = -1").select("block", "doc_ids", "sizes")
     grouped = matches.select("block", "phrase", "size", "starts").groupBy("block")
     return grouped.cogroup(docs.groupBy("block")).applyInArrow(run, schema)
 
