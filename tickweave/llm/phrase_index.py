@@ -2,19 +2,17 @@
 
 Index: tasks cut their documents into blocks of about ``BLOCK_WORDS`` words. Within a block
 every word has a place; one place between documents stays empty, so no run of
-places crosses a document. The terms of a block are dealt by hash into ``SLICES`` rows: the
-terms, how often each occurs, and their ascending places behind one another as 32-bit numbers.
-One more row of a block, slice -1, has its documents.
+places crosses a document. A stored block is one row: its terms, how often each occurs, their
+ascending places behind one another as 32-bit numbers, and its documents.
 
-Search: query terms are counted over all blocks first, without reading places. A phrase starts
-from its rarest term. The places of a term less its offset in the phrase are possible
-starts; those of the two rarest terms are intersected block by block, then with the lists of all
-other terms, read for the blocks that are left only. Candidates and lists of a block meet in one
-group, so a list is sent once however many phrases ask for it; a block bounds every list and
-every group, and a frequent term is many rows, one for each block.
+Search: the query phrases go to the blocks in chunks of about ``CHUNK_BYTES``, so what is
+broadcast is bounded and the index never moves. For each chunk the terms are counted over all
+blocks, without reading places; each phrase puts its terms in order from the rarest on. The
+places of a term less its offset in the phrase are possible starts: within a block these lists are
+intersected from the rarest term on until none is left. A block bounds every list.
 
-Proximity: the same candidates by block, where all terms of the query must lie, repeats
-counted and in any order, within as many words as the query has plus ``slop``.
+Proximity: in blocks that hold all terms of the query, these must lie, repeats counted and in
+any order, within as many words as the query has plus ``slop``.
 
 Defined results: words are lower-cased in A-Z only. A null or empty text has no words and no
 hits. Equal query texts and repeated rows are each found; an item is counted once per
@@ -24,25 +22,25 @@ Clashing names do no harm: only the named columns are read and others are not ke
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import stage
+from ..session import shared_dir, stage
 from .common import col
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
+CHUNK_BYTES = 16 << 20
 #: ASCII letters lower-cased, other ASCII but digits to spaces; bytes of other characters stay.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
-SLICES = 64
-INDEX = "block long, slice int, terms binary, counts binary, places binary, doc_ids array<bigint>, sizes array<bigint>"
+INDEX = "block long, terms binary, counts binary, places binary, doc_ids array<bigint>, sizes array<bigint>"
+NAMES = [part.split()[0] for part in INDEX.split(", ")]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -56,29 +54,17 @@ def word_array(text: Column) -> Column:
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The index of ``docs``; store it (``stage``) before searching."""
+    """The index of ``docs``; store it before searching."""
     numbers = pa.list_(pa.int64())
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), numbers, numbers]
-
-    def block_rows(first: int, ids: list, sizes: list[int], codes: list, terms: dict) -> pa.RecordBatch:
-        rows: list[tuple] = [(first, -1, None, None, None, ids, sizes)]
-        if terms:
-            dealt = np.fromiter((zlib.crc32(t) % SLICES for t in terms), dtype=np.int64, count=len(terms))
-            order = np.argsort(dealt, kind="stable")
-            rank = np.empty(len(order), dtype=np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            code = rank[np.concatenate(codes)]
-            places = np.arange(len(code)) + np.repeat(np.arange(len(sizes)), sizes)
-            places = places[np.argsort(code, kind="stable")].astype("<u4")
-            counts = np.bincount(code, minlength=len(order))
-            ends = np.r_[0, np.cumsum(counts)]
-            names = list(terms)
-            cuts = np.searchsorted(dealt[order], np.arange(SLICES + 1))
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    joined = b"\n".join(names[t] for t in order[a:b])
-                    rows.append((first, k, joined, counts[a:b].astype("<u4").tobytes(), places[ends[a] : ends[b]].tobytes(), None, None))
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], NAMES)
+    kinds = [pa.int64(), *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 2]
+
+    def block_row(first: int, ids: list, sizes: list[int], codes: list, terms: dict) -> pa.RecordBatch:
+        code = np.concatenate(codes)
+        places = np.arange(len(code)) + np.repeat(np.arange(len(sizes)), sizes)
+        places = places[np.argsort(code, kind="stable")].astype("<u4").tobytes()
+        counts = np.bincount(code, minlength=len(terms)).astype("<u4").tobytes()
+        row = (first, b"\n".join(terms), counts, places, ids, sizes)
+        return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, ids, sizes, codes, held = None, [], [], [], 0
@@ -93,17 +79,22 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
                 codes.append(np.fromiter(map(terms.__getitem__, words), dtype=np.int32, count=len(words)))
                 held += len(words) + 1
                 if held >= block_words:
-                    yield block_rows(first, ids, sizes, codes, terms)
+                    yield block_row(first, ids, sizes, codes, terms)
                     first, ids, sizes, codes, held = None, [], [], [], 0
                     terms.clear()
         if ids:
-            yield block_rows(first, ids, sizes, codes, terms)
+            yield block_row(first, ids, sizes, codes, terms)
 
     rows = docs.select(F.monotonically_increasing_id(), col(key).cast("long"), col(text))
     return rows.mapInArrow(run, INDEX)
 
 
-NAMES = [part.split()[0] for part in INDEX.split(", ")]
+def store_index(index: DataFrame) -> DataFrame:
+    """Write an index to the shared folder; its rows are large, so sizes are looked at after every row."""
+    path = shared_dir(index.sparkSession)
+    checks = {f"parquet.{part}.size.row.check.min": 1 for part in ("page", "block")}
+    index.write.options(**checks).parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)
 
 
 def windows(items: DataFrame, key: str = "item_id", text: str = "text", size: int = 10) -> DataFrame:
@@ -115,48 +106,6 @@ def windows(items: DataFrame, key: str = "item_id", text: str = "text", size: in
     return starts.select(phrase.alias("phrase"), F.coalesce("item", F.lit("")).alias("item")).distinct()
 
 
-def slice_of(term: Column) -> Column:
-    return (F.crc32(term.cast("binary")) % SLICES).cast("int")
-
-
-def term_lists(index: DataFrame, wanted: DataFrame, places: bool = True) -> DataFrame:
-    """block, term, n and places of the terms in ``wanted`` (term, or term and block)."""
-    keys = [c for c in ("block",) if c in wanted.columns] + ["slice"]
-    asked = stage(wanted.withColumn("slice", slice_of(F.col("term"))).groupBy(*keys).agg(F.collect_set("term").alias("asked")))
-    columns = ["block", "slice", "terms", "counts", *(["places"] if places else [])]
-    rows = index.where("slice >= 0").select(columns).join(asked, keys)
-    kinds = [pa.int64(), pa.string(), pa.int64(), *([pa.binary()] if places else [])]
-    names = ["block", "term", "n", *(["places"] if places else [])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c) for c in ("block", "asked", "terms", "counts", *(["places"] if places else []))]
-            for k in range(batch.num_rows):
-                block, asked, terms, counts, *packed = (c[k].as_py() for c in columns)
-                asked = {t.encode() for t in asked}
-                counts = np.frombuffer(counts, dtype="<u4")
-                found = [(i, t) for i, t in enumerate(terms.split(b"\n")) if t in asked]
-                out = [[block] * len(found), [t.decode() for _, t in found], [int(counts[i]) for i, _ in found]]
-                if packed:
-                    ends = 4 * np.r_[0, np.cumsum(counts, dtype=np.int64)]
-                    out.append([packed[0][ends[i] : ends[i + 1]] for i, _ in found])
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds)], names)
-
-    return rows.mapInArrow(run, "block long, term string, n long" + (", places binary" if places else ""))
-
-
-def ranked(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrase, size, terms (n, term, at) from the rarest on, for phrases whose terms all occur."""
-    at = F.posexplode(F.split("phrase", " ")).alias("at", "term")
-    terms = stage(phrases.select("phrase").distinct().select("phrase", at))
-    counts = stage(term_lists(index, terms.select("term").distinct(), places=False).groupBy("term").agg(F.sum("n").alias("n")))
-    found = terms.join(counts, "term", "left").groupBy("phrase").agg(
-        F.sort_array(F.collect_list(F.struct("n", "term", "at"))).alias("terms"),
-        F.count_if(F.col("n").isNull()).alias("missing"),
-    )
-    return stage(found.where("missing = 0").select("phrase", F.size("terms").alias("size"), "terms"))
-
-
 def _numbers(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, dtype="<u4").astype(np.int64)
 
@@ -172,58 +121,107 @@ def _common(some: np.ndarray, other: np.ndarray) -> np.ndarray:
     return some[other[spot] == some]
 
 
-CANDIDATE = "phrase string, size int, block long, starts binary"
+def chunks(phrases: DataFrame, most: int = CHUNK_BYTES) -> Iterator[list[list[str]]]:
+    """The distinct ``phrases`` (phrase) as lists of words, some ``most`` bytes at a time."""
+    distinct = stage(phrases.select("phrase").distinct())
+    total = distinct.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
+    parts = -(-total // most)
+    for k in range(parts):
+        mine = distinct.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == k)
+        yield [row.phrase.split(" ") for row in mine.collect()]
 
 
-def narrowed(candidates: DataFrame, lists: DataFrame) -> DataFrame:
-    """phrase, size, block, starts: starts of ``candidates`` that agree with their ``asked`` (term, at).
+def count_terms(index: DataFrame, terms: set[str]) -> dict[str, int]:
+    """How often each of ``terms`` occurs in all documents."""
+    sent = index.sparkSession.sparkContext.broadcast({t.encode() for t in terms})
 
-    ``starts`` may be null, for every start. A block's list of a term is sent once, however
-    many phrases ask for it.
-    """
-
-    def run(found: pa.Table, lists: pa.Table) -> pa.Table:
-        held = dict(zip(lists.column("term").to_pylist(), map(_numbers, lists.column("places").to_pylist())))
-        none = np.empty(0, dtype=np.int64)
-        asked = found.column("asked").combine_chunks()
-        pairs = asked.flatten()
-        terms, ats = pairs.field("term").to_pylist(), pairs.field("at").to_pylist()
-        ends = np.cumsum([0, *asked.value_lengths().to_pylist()])
-        kept, out = [], []
-        for k, starts in enumerate(found.column("starts").to_pylist()):
-            left = None if starts is None else _numbers(starts)
-            for t in range(ends[k], ends[k + 1]):
-                other = held.get(terms[t], none) - ats[t]
-                left = other[other >= 0] if left is None else _common(left, other)
-                if not len(left):
-                    break
-            else:
-                kept.append(k)
-                out.append(left.astype("<u4").tobytes())
-        rows = found.select(["phrase", "size", "block"]).take(pa.array(kept, pa.int64()))
-        return rows.append_column("starts", pa.array(out, pa.binary()))
-
-    lists = lists.select(F.col("block").alias("list_block"), "term", "places")
-    return candidates.groupBy("block").cogroup(lists.groupBy("list_block")).applyInArrow(run, CANDIDATE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for names, counts in zip(batch.column(0), batch.column(1)):
+                numbers = np.frombuffer(counts.as_py(), dtype="<u4")
+                for k, term in enumerate(names.as_py().split(b"\n")):
+                    if term in sent.value:
+                        found[term.decode()] += int(numbers[k])
+        yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
+
+    counted = index.select("terms", "counts").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {row.term: row.n for row in counted.collect()}  # at most the terms of a chunk
+
+
+def ranked(phrases: list[list[str]], counts: dict[str, int]) -> list[list[tuple[bytes, int]]]:
+    """(term, offset) from the rarest on, for every phrase whose terms all occur."""
+    return [
+        [(words[k].encode(), k) for k in sorted(range(len(words)), key=lambda k: (counts[words[k]], k))]
+        for words in phrases
+        if all(w in counts for w in words)
+    ]
+
+
+class Block:
+    """The places of the ``wanted`` terms in one row of the index, unpacked when asked for."""
+
+    def __init__(self, terms: bytes, counts: bytes, places: bytes, wanted: set[bytes]) -> None:
+        self.ends = np.r_[0, np.cumsum(np.frombuffer(counts, dtype="<u4"), dtype=np.int64)]
+        self.places = np.frombuffer(places, dtype="<u4")
+        self.at = {t: k for k, t in enumerate(terms.split(b"\n")) if t in wanted}
+        self.held: dict[bytes, np.ndarray] = {}
+
+    def __getitem__(self, term: bytes) -> np.ndarray:
+        if term not in self.held:
+            k = self.at[term]
+            self.held[term] = self.places[self.ends[k] : self.ends[k + 1]].astype(np.int64)
+        return self.held[term]
+
+    def starts(self, phrase: list[tuple[bytes, int]]) -> np.ndarray | None:
+        """Where the phrase begins: lists less their offsets, intersected from the rarest term on."""
+        if any(term not in self.at for term, _ in phrase):
+            return None
+        term, offset = phrase[0]
+        left = self[term] - offset
+        left = left[left >= 0]
+        for term, offset in phrase[1:]:
+            if not len(left):
+                return None
+            left = _common(left, self[term] - offset)
+        return left if len(left) else None
+
+
+MATCH = "phrase string, size int, block long, starts binary"
 
 
 def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """phrase, size, block, starts: where the words of ``phrases`` (phrase) stand in a row."""
-    known = ranked(index, phrases)
 
-    def asked(start: int, most: Column | int) -> Column:
-        return F.transform(F.slice("terms", start, most), lambda t: F.struct(t["term"].alias("term"), t["at"].alias("at"))).alias("asked")
+    def matches(chunk: list[list[str]]) -> DataFrame:
+        known = ranked(chunk, count_terms(index, {w for words in chunk for w in words}))
+        sent = index.sparkSession.sparkContext.broadcast((known, {t for p in known for t, _ in p}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases, wanted = sent.value
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    first, terms, counts, places = (c[row].as_py() for c in batch.columns)
+                    block, out = Block(terms, counts, places, wanted), []
+                    for phrase in phrases:
+                        starts = block.starts(phrase)
+                        if starts is not None:
+                            words = b" ".join(t for t, _ in sorted(phrase, key=lambda x: x[1])).decode()
+                            out.append((words, len(phrase), first, starts.astype("<u4").tobytes()))
+                    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary())
+                    columns = list(zip(*out)) or [[]] * len(kinds)
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["phrase", "size", "block", "starts"])
+
+        return stage(index.select("block", "terms", "counts", "places").mapInArrow(run, MATCH))
+
+    return _union([matches(chunk) for chunk in chunks(phrases)], index.sparkSession, MATCH)
 
-    rare = known.select("phrase", "size", F.col("terms")[0]["term"].alias("rarest"), asked(1, 2))
-    rare_lists = stage(term_lists(index, rare.select(F.explode("asked.term").alias("term")).distinct()))
-    everywhere = F.lit(None).cast("binary").alias("starts")
-    candidates = rare.join(rare_lists.select("block", F.col("term").alias("rarest")), "rarest")
-    some = stage(narrowed(candidates.select("phrase", "size", "block", "asked", everywhere), rare_lists))
-    # Only the lists of blocks in which the two rarest terms stand as in a phrase are read.
-    others = known.where("size > 2").select("phrase", asked(3, F.greatest(F.col("size") - 2, F.lit(0))))
-    rest = some.join(others, "phrase").select("phrase", "size", "block", "asked", "starts")
-    lists = term_lists(index, rest.select("block", F.explode("asked.term").alias("term")).distinct())
-    return stage(some.where("size <= 2").unionByName(narrowed(rest, lists)))
+
+def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    whole = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def doc_places(sizes: list[int]) -> np.ndarray:
@@ -249,38 +247,50 @@ def covering_spans(lists: dict, width: int) -> list[tuple[int, int]]:
     return spans
 
 
+NEAR = "phrase string, doc_id long, first long, last long"
+
+
 def near_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
     """phrase, doc_id, first, last: least spans of a document (words from 0) that hold all words of a phrase.
 
     Words may come in any order, with at most ``slop`` others between them.
     """
-    known = ranked(index, phrases)
-    terms = known.select("phrase", "size", F.explode("terms").alias("t")).groupBy("phrase", "size", "t.term")
-    terms = stage(terms.agg(F.count(F.lit(1)).alias("times"), F.min("t.n").alias("n")))
-    kinds = terms.groupBy("phrase").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("n", "term"))["term"].alias("term"))
-    rarest = term_lists(index, kinds.select("term").distinct(), places=False).select("block", "term")
-    asked = stage(kinds.join(rarest, "term").select("phrase", "kinds", "block").join(terms, "phrase"))
-    lists = asked.join(term_lists(index, asked.select("term", "block").distinct()).drop("n"), ["block", "term"])
-    grouped = lists.groupBy("phrase", "size", "kinds", "block").agg(F.collect_list(F.struct("term", "times", "places")).alias("lists"))
-    docs = index.where("slice = -1").select("block", "doc_ids", "sizes")
-    ready = grouped.where(F.size("lists") == F.col("kinds")).join(docs, "block").select("phrase", "size", "lists", "doc_ids", "sizes")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                phrase, size, lists, ids, sizes = (batch.column(c)[k].as_py() for c in range(5))
-                firsts = doc_places(sizes)
-                spans = covering_spans({x["term"]: (_numbers(x["places"]), x["times"]) for x in lists}, size + slop)
-                for first, last in spans:
-                    doc = int(np.searchsorted(firsts, first, side="right")) - 1
-                    if last < firsts[doc] + sizes[doc]:
-                        out.append((phrase, ids[doc], first - int(firsts[doc]), last - int(firsts[doc])))
-            columns = list(zip(*out)) or [[]] * 4
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["phrase", "doc_id", "first", "last"])
-
-    return ready.mapInArrow(run, "phrase string, doc_id long, first long, last long")
+    def matches(chunk: list[list[str]]) -> DataFrame:
+        known = ranked(chunk, count_terms(index, {w for words in chunk for w in words}))
+        sent = index.sparkSession.sparkContext.broadcast((known, {t for p in known for t, _ in p}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases, wanted = sent.value
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    terms, counts, places, ids, sizes = (c[row].as_py() for c in batch.columns)
+                    block, firsts, out = Block(terms, counts, places, wanted), doc_places(sizes), []
+                    for phrase in phrases:
+                        if any(t not in block.at for t, _ in phrase):
+                            continue
+                        words = b" ".join(t for t, _ in sorted(phrase, key=lambda x: x[1])).decode()
+                        width, times = len(phrase) + slop, Counter(t for t, _ in phrase)
+                        around = block[phrase[0][0]]  # the rarest term
+                        lists = {t: (_near(block[t], around, width), n) for t, n in times.items()}
+                        for first, last in covering_spans(lists, width):
+                            doc = int(np.searchsorted(firsts, first, side="right")) - 1
+                            if last < firsts[doc] + sizes[doc]:
+                                out.append((words, ids[doc], first - int(firsts[doc]), last - int(firsts[doc])))
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+                    columns = list(zip(*out)) or [[]] * len(kinds)
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["phrase", "doc_id", "first", "last"])
+
+        return stage(index.select("terms", "counts", "places", "doc_ids", "sizes").mapInArrow(run, NEAR))
+
+    return _union([matches(chunk) for chunk in chunks(phrases)], index.sparkSession, NEAR)
+
+
+def _near(places: np.ndarray, around: np.ndarray, width: int) -> np.ndarray:
+    """The places less than ``width`` from some place of ``around``, both ascending."""
+    after = np.searchsorted(around, places - width, side="right")
+    before = np.searchsorted(around, places + width, side="left")
+    return places[before > after]
 
 
 def hits_by_document(index: DataFrame, matches: DataFrame) -> DataFrame:
@@ -305,20 +315,20 @@ def hits_by_document(index: DataFrame, matches: DataFrame) -> DataFrame:
         hit = np.concatenate([[0], np.cumsum(np.cumsum(edges) > 0)])
         n_hit = hit[firsts + sizes] - hit[firsts]
         data = [
-            [docs.column("block")[0].as_py()] * len(ids), range(len(ids)), ids, sizes, n_hit, phrases,
+            [docs.column("doc_block")[0].as_py()] * len(ids), range(len(ids)), ids, sizes, n_hit, phrases,
         ]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
         names = ["block", "at", "doc_id", "n_words", "n_hit", "phrases"]
         return pa.table([pa.array(d, k) for d, k in zip(data, kinds)], names)
 
-    docs = index.where("slice = -1").select("block", "doc_ids", "sizes")
+    docs = index.select(F.col("block").alias("doc_block"), "doc_ids", "sizes")
     grouped = matches.select("block", "phrase", "size", "starts").groupBy("block")
-    return grouped.cogroup(docs.groupBy("block")).applyInArrow(run, schema)
+    return grouped.cogroup(docs.groupBy("doc_block")).applyInArrow(run, schema)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", size: int = 10) -> DataFrame:
     """Per document: n_words, n_hit, and the items of which a window of ``size`` words occurs in it."""
-    index = stage(build_index(docs, key, text))
+    index = store_index(build_index(docs, key, text))
     phrases = stage(windows(items, size=size))
     found = phrase_matches(index, phrases)
     by_doc = stage(hits_by_document(index, found))
