@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickweave.llm.common import crc_mod, table
 from tickweave.llm.line_quality import keep_good, train_quality
 from tickweave.llm.mixing import mixed_rows
-from tickweave.llm.pii import with_pseudonyms
+from tickweave.llm.pii import session_key, with_pseudonyms
 from tickweave.llm.sentencepiece_trie import encode
 from tickweave.llm.simhash import keep_one
 from tickweave.session import stage
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms of the same format; n_chars follows the text."""
-    return with_pseudonyms(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return with_pseudonyms(docs, secret=session_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,10 +9,10 @@ different ones. E-mail addresses, which have no fixed format, get a keyed name.
 | kind | found when | pseudonym |
 | --- | --- | --- |
 | email | an address | ``u`` and 16 hex digits of a keyed hash ``@example.invalid`` |
-| secret | a key word, ``=`` or ``:``, then 8 or more characters, a digit among them | value permuted |
+| secret | a key word, ``=`` or ``:``, then 8 or more characters on the same line, a digit among them | value permuted |
 | key | an access key of a known form | permuted after its prefix |
 | iban | mod 97 is 1 | digits permuted, check digits made anew |
-| card | 13 to 19 digits, Luhn right | digits between first and last permuted, check digit made anew |
+| card | 13 to 19 digits, the first 2 to 6, Luhn right | digits between first and last permuted, check digit made anew |
 | ssn | valid area, group and serial | permuted among the valid ones |
 | phone | 8 to 15 digits with ``+``, or 3-3-4 digits | permuted, country code kept |
 | ip, ip6 | four numbers up to 255; eight hex groups, or fewer around ``::`` with a digit among them | permuted |
@@ -26,10 +26,14 @@ wins, then the order of the table. An ip6 written in another form is another val
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import col, fresh
 
+KEY_SETTING = "spark.tickweave.pseudonym.secret"
+
 ROUNDS = 10
 DIGITS = "0123456789"
 HEX = DIGITS + "abcdef"
@@ -38,7 +42,7 @@ ALNUM = UPPER + "abcdefghijklmnopqrstuvwxyz"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _SECRET_WORD = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
-_SECRET = _SECRET_WORD + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+_SECRET = _SECRET_WORD + r"[\"']?[^\S\n]{0,3}[=:][^\S\n]{0,3}[\"']?"
 #: Length of an IBAN by country, for those written in groups of four.
 IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24,
@@ -66,7 +70,7 @@ PATTERNS = {
     "secret": rf"(?i:(?<![\p{{L}}\p{{N}}]){_SECRET}(?=[^\s\"']{{0,200}}[0-9])[^\s\"']{{7,}}[A-Za-z0-9/+=_-])",
     "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,64})(?![A-Za-z0-9])",
     "iban": rf"(?<![A-Za-z0-9])(?:{_SPACED_IBAN}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}})(?![A-Za-z0-9])",
-    "card": r"(?<![\p{L}\p{N}.+-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}]|[.-][0-9])",
+    "card": r"(?<![\p{L}\p{N}.+-])(?:[2-6][0-9]{12,18}|[2-6][0-9]{3}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}]|[.-][0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\p{L}\p{N}]|-[0-9])",
     "phone": r"(?<![\p{L}\p{N}+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![\p{L}\p{N}])"
     r"|(?<![\p{L}\p{N}+])\+(?!1[ .(-])[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\p{L}\p{N}]|[.-][0-9])"
@@ -86,8 +90,10 @@ TRIED = [
 ]
 STARTS = f"(?={ANY})"
 AT_STARTS = STARTS + "".join(f"(?:(?=({p})))?" for p in TRIED)
-#: Cheap test: every kind has one of these characters.
+#: Cheap test: every kind has one of these characters, and none goes on in another line.
 MAYBE = "[@0-9]"
+#: Lines with one of them; only these are searched.
+LINE = r"(?dm)^[^\n@0-9]*+[@0-9][^\n]*+"
 
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days are the years 1900 to 2099
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
@@ -330,8 +336,20 @@ def _chosen(source: Column, kind_of) -> Column:
     )
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key named by the session's ``KEY_SETTING``; if unset, a random one that the session keeps.
+
+    Pseudonyms agree between sessions, and can be undone by the key's owner, only if it is set.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def with_pseudonyms(
-    docs: DataFrame, text: str = "text", out: str = "text", found: str | None = None, secret: str = "change me"
+    docs: DataFrame, text: str = "text", out: str = "text", found: str | None = None, *, secret: str
 ) -> DataFrame:
     """``docs`` with ``text`` pseudonymised in ``out``.
 
@@ -353,25 +371,34 @@ def with_pseudonyms(
         return F.struct(x["kind"].alias("kind"), new.alias("value"))
 
     source = col(text)
-    names = fresh(docs, "pii_hits", "pii_cuts", "pii_new")
-    hits, cuts, values = (F.col(n) for n in names)
-    plain = F.when(source.rlike(MAYBE), F.regexp_extract_all(source, F.lit(ANY), F.lit(0))).otherwise(
-        F.array().cast("array<string>")
+    names = fresh(docs, "pii_lines", "pii_hits", "pii_cuts", "pii_new")
+    lines, hits, cuts, values = (F.col(n) for n in names)
+    marked = docs.withColumn(
+        names[0], F.when(source.rlike(MAYBE), F.array_join(F.regexp_extract_all(source, F.lit(LINE), F.lit(0)), "\n"))
     )
-    marked = docs.withColumn(names[0], F.transform(plain, kind_of))
+    plain = F.coalesce(F.regexp_extract_all(lines, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    marked = marked.withColumn(names[1], F.transform(plain, kind_of))
     failed = F.exists(hits, lambda x: x["kind"].isNull())
-    # Pieces of text between the matches; where a candidate failed, chosen anew from all starts.
-    cut = F.when(failed, _chosen(source, kind_of)).otherwise(
-        F.struct(F.split(source, ANY, -1).alias("pieces"), hits.alias("hits"))
+    # Pieces of the lines between the matches; where a candidate failed, chosen anew from all starts.
+    # The scans get a null instead of lines they are not for, so that those cost nothing.
+    whole, torn = F.when((F.size(hits) > 0) & ~failed, lines), F.when(failed, lines)
+    cut = F.when(failed, _chosen(torn, kind_of)).otherwise(
+        F.struct(F.split(whole, ANY, -1).alias("pieces"), hits.alias("hits"))
     )
-    marked = marked.withColumn(names[1], cut)
-    marked = marked.withColumn(names[2], F.transform(cuts["hits"], pseudonym))
-    joined = F.array_join(
+    marked = marked.withColumn(names[2], cut)
+    marked = marked.withColumn(names[3], F.transform(cuts["hits"], pseudonym))
+    changed = F.exists(values, lambda v: v["kind"].isNotNull())
+    new_lines = F.array_join(
         F.zip_with(cuts["pieces"], values, lambda p, v: F.concat(p, F.coalesce(v["value"], F.lit("")))), ""
     )
-    changed = F.exists(values, lambda v: v["kind"].isNotNull())
+    # The text between the lines, each piece followed by its line.
+    between = F.split(F.when(changed, source), LINE, -1)
+    joined = F.array_join(
+        F.zip_with(between, F.split(new_lines, "\n", -1), lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), ""
+    )
     done = marked.withColumn(out, F.when(changed, joined).otherwise(source))
     if found:
         real = F.filter(values, lambda v: v["kind"].isNotNull())
-        done = done.withColumn(found, F.when(source.isNotNull(), real))
+        none = F.array().cast("array<struct<kind: string, value: string>>")
+        done = done.withColumn(found, F.when(source.isNotNull(), F.coalesce(real, none)))
     return done.drop(*names)

@@ -13,7 +13,7 @@ from .main_text import train_blocks, with_main_text
 from .maxent_lm import score_texts
 from .mixing import source_targets, systematic_mix
 from .phrase_index import contaminated
-from .pii import with_pseudonyms
+from .pii import session_key, with_pseudonyms
 from .risk_rules import fit_cutoffs, judge, measured
 from .sentencepiece_trie import decode, encode
 from .sharding import random_shards
@@ -90,7 +90,7 @@ def op2_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = with_pseudonyms(docs, found="found")
+    done = with_pseudonyms(docs, found="found", secret=session_key(spark))
     return done.select("doc_id", "text", F.coalesce(F.size("found"), F.lit(0)).alias("n_found"), "found")
 
 
