@@ -10,7 +10,7 @@ from tickweave.operators.evaluate import (
     trade_signals,
 )
 from tickweave.operators.models import (
-    fit_breakout_model, fit_by_key, fit_return_model, score_rows,
+    fit_breakout_model, fit_return_model, score_rows,
 )
 from tickweave.operators.spread import DEFAULT, Spread
 
@@ -91,43 +91,35 @@ def test_pooled_models_learn(spark):
     assert fitted.agg(F.corr("r", "score")).first()[0] > 0.95
 
 
-def test_fit_by_key_reports_every_key(spark, tmp_path):
-    df = study_rows(spark)
-    status = fit_by_key(
-        df.where("isin = 'a'").union(df.where("isin = 'b'").limit(20)), "isin", ["a", "b", "c"],
-        lambda rows: fit_return_model(rows, ["x"], "r", rounds=1), str(tmp_path), threads=2,
-    )
-    assert {r["key"]: r["status"] for r in status.collect()} == {"a": "saved", "b": "skipped", "c": "skipped"}
-    broken = fit_by_key(df, "isin", ["a"], lambda rows: 1 / 0, str(tmp_path), threads=1)
-    assert broken.first()["status"] == "failed" and "division" in broken.first()["error"]
-    refused = fit_by_key(
-        df, "isin", ["a"], lambda rows: fit_return_model(rows, ["x"], "r", rounds=1), str(tmp_path / "x"),
-        threads=1, gate=lambda model, rows: False,
-    )
-    assert refused.first()["status"] == "rejected"
-
-
-def test_studies_fit_chosen_keys(spark, tmp_path):
+def test_studies_fit_every_key(spark, tmp_path):
+    from tickweave.operators.boosting import Boosting, score_by_key
+    from tickweave.operators.model_store import load_models
     from tickweave.operators.models import BREAKOUT_FEATURES, RETURN_FEATURES
     from tickweave.plans import returns
     from tickweave.plans.breakout import BreakoutStudy
 
     random.seed(2)
     rows = []
-    for key in ["good", "noise", "other"]:
-        for i in range(150):
+    for key, n in [("good", 150), ("noise", 150), ("few", 20), ("broken", 150)]:
+        for i in range(n):
             x = random.random()
-            label = int(x > 0.5) if key == "good" else i % 2
-            rows.append((key, *[x] * 6, label, x, i < 120, 90 <= i < 120))
-    names = dict.fromkeys([*BREAKOUT_FEATURES, *RETURN_FEATURES])
-    schema = "isin string, a double, b double, c double, d double, e double, f double, target_label int, target_return double, is_train boolean, is_validation boolean"
-    df = spark.createDataFrame(rows, schema)
-    for name in names:
+            label = int(x > 0.5) if key == "good" else random.randint(0, 1)
+            rows.append((key, i, "t", x, label, float("inf") if key == "broken" and i == 7 else x))
+    df = spark.createDataFrame(rows, "isin string, i int, TVTIC string, a double, target_label int, target_return double")
+    df = df.withColumn("tradeTime", F.timestamp_seconds("i"))
+    for name in dict.fromkeys([*BREAKOUT_FEATURES, *RETURN_FEATURES]):
         df = df.withColumn(name, F.col("a"))
-    status = BreakoutStudy().fit_chosen(df, ["good", "noise"], str(tmp_path / "b"), rounds=2, min_auc=0.9, threads=2)
-    assert {r["key"]: r["status"] for r in status.collect()} == {"good": "saved", "noise": "rejected"}
-    status = returns.fit_chosen(df, "isin", ["good"], str(tmp_path / "r"), rounds=1)
-    assert status.first()["status"] == "saved"
-    from pyspark.ml import PipelineModel
-
-    assert "score" in score_rows(PipelineModel.load(status.first()["path"]), df).columns
+    how = Boosting(rounds=12, step=0.3, depth=2, logistic=True, patience=3)
+    path = str(tmp_path / "b")
+    manifest, scored = BreakoutStudy(zone=None).fit_every_key(df, path, how, min_auc=0.9)
+    found = {r.isin: r for r in manifest.collect()}
+    assert {k: r.status for k, r in found.items()} == {"good": "saved", "noise": "rejected", "few": "skipped", "broken": "rejected"}
+    assert found["good"].auc > 0.9 and found["few"].auc is None and found["noise"].run <= 12
+    assert [r.isin for r in load_models(spark, path, "isin").collect()] == ["good"]
+    assert scored.groupBy("isin").count().count() == 3
+    path = str(tmp_path / "r")
+    manifest = returns.fit_every_key(df, "isin", path, how=Boosting(rounds=3, depth=2))
+    status = {r.isin: (r.status, r.rounds, r.error is None) for r in manifest.collect()}
+    assert status == {"good": ("saved", 3, True), "noise": ("saved", 3, True), "few": ("skipped", 0, True), "broken": ("failed", 0, False)}
+    again = score_by_key(df, load_models(spark, path, "isin"), "isin", RETURN_FEATURES, Boosting(rounds=3, depth=2))
+    assert again.count() == 300

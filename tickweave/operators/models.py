@@ -1,22 +1,18 @@
-"""Boosted-tree training jobs on Spark ML.
+"""Pooled boosted trees on Spark ML: one model for all securities, trained on all executors.
 
-One pooled model, evaluated per security, is the default: it trains on all
-executors at once. Models for chosen securities are fitted side by side.
+Models of single securities are in ``boosting``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
-
-from ..session import stage
+from pyspark.sql import DataFrame
 
 # Inputs of the two studies.
 RETURN_FEATURES = [
@@ -26,8 +22,6 @@ BREAKOUT_FEATURES = [
     "current_price", "past_max_price", "past_volume", "past_tick_count", "bench_delta",
 ]
 
-STATUS_SCHEMA = "key string, rows bigint, status string, error string, path string"
-
 
 def fit_return_model(
     train: DataFrame, features: Sequence[str], label: str, rounds: int = 100,
@@ -71,40 +65,3 @@ def score_rows(model: PipelineModel, df: DataFrame) -> DataFrame:
 def save_model(model: PipelineModel, path: str) -> str:
     model.write().overwrite().save(path)
     return path
-
-
-def stage_by_key(df: DataFrame, key: str, keys: Sequence) -> DataFrame:
-    """Store the rows of the chosen keys sorted by key, so that reading one key
-    skips the row groups of the others."""
-    chosen = df.where(F.col(key).isin(list(keys)))
-    return stage(chosen.hint("rebalance", F.col(key)).sortWithinPartitions(key))
-
-
-def fit_by_key(
-    df: DataFrame, key: str, keys: Sequence[str], fit: Callable[[DataFrame], PipelineModel],
-    path: str, min_rows: int = 100, threads: int = 4,
-    gate: Callable[[PipelineModel, DataFrame], bool] | None = None,
-) -> DataFrame:
-    """One model per chosen key; a failed fit is a row of the result, not an end.
-
-    ``df`` should come from :func:`stage_by_key`. Returns one status
-    row per key: saved, skipped (too few rows), rejected (by ``gate``) or failed.
-    """
-
-    def one(value) -> tuple:
-        rows = df.where(F.col(key) == value)
-        count = None
-        try:
-            count = rows.count()
-            if count < min_rows:
-                return str(value), count, "skipped", None, None
-            model = fit(rows)
-            if gate is not None and not gate(model, rows):
-                return str(value), count, "rejected", None, None
-            return str(value), count, "saved", None, save_model(model, f"{path}/key={value}")
-        except Exception as problem:  # noqa: BLE001 - reported per key
-            return str(value), count, "failed", str(problem), None
-
-    with ThreadPoolExecutor(threads) as pool:
-        results = list(pool.map(one, keys))
-    return df.sparkSession.createDataFrame(results, STATUS_SCHEMA)

@@ -12,14 +12,17 @@ from ..operators.evaluate import (
     auc_by_key, metrics_by_key, pr_curve_by_key, signal_returns, strategy_report, trade_signals,
 )
 from ..operators.labels import breakout_label, future_windows, with_benchmark_delta, with_future
-from ..operators.models import (
-    BREAKOUT_FEATURES, fit_breakout_model, fit_by_key, score_rows, stage_by_key,
-)
+from ..operators.boosting import Boosting, fit_rounds, models, score_by_key
+from ..operators.model_store import load_manifest, save_models
+from ..operators.models import BREAKOUT_FEATURES, fit_breakout_model, score_rows
 from ..operators.spread import DEFAULT, Spread
 from ..operators.split import chrono_split
 from ..operators.time_window import Rolling, after_open, open_times, time_window
 from ..session import stage
 
+#: At most 200 rounds, stopped 10 rounds after the least validation loss.
+BREAKOUT_TREES = Boosting(rounds=200, logistic=True, patience=10)
+
 
 @dataclass(frozen=True)
 class BreakoutStudy:
@@ -106,27 +109,43 @@ class BreakoutStudy:
         )
         return score_rows(model, parts.where("not is_train"))
 
-    def fit_chosen(
-        self, parts: DataFrame, keys: Sequence, path: str, rounds: int = 200,
-        min_auc: float = 0.55, min_rows: int = 100, threads: int = 4,
-    ) -> DataFrame:
-        """One model per chosen security, saved if its test AUC reaches ``min_auc``.
+    def fit_every_key(
+        self, labelled: DataFrame, path: str, how: Boosting = BREAKOUT_TREES, min_rows: int = 100,
+        min_auc: float = 0.55, validation: float = 0.2,
+    ) -> tuple[DataFrame, DataFrame]:
+        """A model of its own for every security of ``labelled`` (a stored table).
 
-        ``parts`` has the columns of :func:`chrono_split` with validation rows.
+        Returns the manifest rows of this run and the scored test rows. A model is saved in the
+        store at ``path`` if its test AUC reaches ``min_auc``; otherwise the status is
+        rejected, skipped (too few rows) or failed, with the reason.
         """
-
-        def fit(rows: DataFrame):
-            return fit_breakout_model(
-                rows.where("is_train"), BREAKOUT_FEATURES, "target_label", "is_validation", rounds
+        key = self.key
+        counts = stage(labelled.groupBy(key).agg(F.count(F.lit(1)).alias("rows")))
+        parts = stage(
+            chrono_split(
+                labelled, key, self.ts, list(self.order), 0.8, min_rows, validation, self.spread
             )
-
-        def good(model, rows: DataFrame) -> bool:
-            scored = score_rows(model, rows.where("not is_train"))
-            found = auc_by_key(scored, self.key, "target_label", "score", self.spread).first()
-            return found is not None and found["auc"] >= min_auc
-
-        chosen = stage_by_key(parts, self.key, keys)
-        return fit_by_key(chosen, self.key, keys, fit, path, min_rows, threads, good)
+        )
+        known, rounds = fit_rounds(
+            parts.where("is_train"), key, BREAKOUT_FEATURES, "target_label", "is_validation", how
+        )
+        fitted = stage(models(known, rounds, key, how))
+        scored = stage(score_by_key(parts.where("not is_train"), fitted, key, BREAKOUT_FEATURES, how))
+        found = (
+            counts.join(auc_by_key(scored, key, "target_label", "score", self.spread), key, "left")
+            .join(fitted.select(key, "round", "run"), key, "left")
+            .join(rounds.where("error is not null").select(key, "error"), key, "left")
+        )
+        status = (
+            F.when(F.col("rows") < min_rows, "skipped")
+            .when(F.col("error").isNotNull(), "failed")
+            .when(F.col("auc") >= min_auc, "saved")
+            .otherwise("rejected")
+        )
+        verdict = stage(found.withColumn("status", status))
+        run = save_models(fitted, verdict, path, key)
+        manifest = load_manifest(labelled.sparkSession, path).where(F.col("run_id") == run)
+        return manifest.drop("run_id"), scored
 
     def report(self, scored: DataFrame, beta: float = 0.5) -> DataFrame:
         """Ranked strategy report from scored test rows (a stored table)."""

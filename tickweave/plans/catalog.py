@@ -10,6 +10,9 @@ from ..functions.cells import is_cancel
 from ..functions.times import HOUR, MINUTE, local_date
 from ..operators import audit, consolidate as merging, dedupe, evaluate, labels, universe
 from ..operators.asof import Lookup, asof_join, asof_join_all
+from ..operators.boosting import Boosting, score_by_key
+from ..operators.model_store import load_models
+from ..operators.models import RETURN_FEATURES
 from ..operators.spread import DEFAULT, Spread
 from ..operators.split import chrono_split
 from ..operators.tick_window import complete_tick_rows, tick_features
@@ -555,37 +558,61 @@ def return_training_rows(spark, folder):
 
 
 def chosen_return_models(spark, folder):
-    """Every key with its rows: enough for a model of its own, or skipped."""
-    return returns.training_status(_lots(spark, folder), "isin", "tradeTime", TIE, spread=SPREAD)
+    """A model of its own for every key with 100 rows: stored, read back, and its fitted values.
+
+    Least-squares trees leave a mean residual of zero, so the means of score and target agree.
+    """
+    lots = _lots(spark, folder)
+    ready = stage(complete_tick_rows(tick_features(lots, "isin", "tradeTime", TIE, "price", "size", spread=SPREAD)))
+    path, how = shared_dir(spark), Boosting()
+    manifest = returns.fit_every_key(ready, "isin", path, how=how)
+    saved = load_models(spark, path, "isin")
+    scored = score_by_key(ready, saved, "isin", RETURN_FEATURES, how).groupBy("isin").agg(
+        F.count(F.lit(1)).alias("scored"), F.round(F.avg("score"), 6).alias("mean_score")
+    )
+    return manifest.join(scored, "isin", "left").select(
+        "isin", "rows", "rounds", "status", F.coalesce("scored", F.lit(0)).alias("scored"), "mean_score"
+    )
 
 
 def return_model(spark, folder):
-    """Pooled next-tick model, 100 rounds: is it better than a constant guess?"""
+    """Pooled next-tick model, 100 rounds: least-squares trees keep the mean of the target."""
     rows = trades(spark, folder).select("isin", "tradeTime", *TIE, "price", "size")
     ready = stage(returns.training_rows(rows, "isin", "tradeTime", TIE, spread=SPREAD))
     _, scored = returns.fit_and_score(ready)
-    error = F.col("target_return") - F.col("score")
     everything = Window.partitionBy()
     by_key = scored.groupBy("isin").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum(error * error).alias("squares"),
-        F.sum(F.col("target_return") * F.col("target_return")).alias("target_squares"),
-        F.sum("target_return").alias("target_sum"),
+        F.sum("score").alias("score_sum"),
         F.round(F.stddev_pop("target_return"), 6).alias("rmse_of_mean"),
     )
-    # One row per key here; both errors are over all keys, as the fit is.
-    n = F.sum("rows").over(everything)
-    guess = F.sum("target_squares").over(everything) - F.pow(F.sum("target_sum").over(everything), 2) / n
-    better = F.sum("squares").over(everything) <= guess
-    return by_key.select("isin", "rows", "rmse_of_mean", better.alias("beats_constant"))
+    # One row per key here; the mean is over all keys, as the fit is.
+    mean = F.sum("score_sum").over(everything) / F.sum("rows").over(everything)
+    return by_key.select("isin", "rows", "rmse_of_mean", F.round(mean, 6).alias("mean_score"))
+
+
+def _user_groups(spark, folder) -> DataFrame:
+    """Labelled rows by groups of users, each twice as large as the one before."""
+    rows = ticks(spark, folder).withColumn("isin", F.length(F.bin(F.col("isin") + 1)).cast("bigint"))
+    return stage(_study().labelled(rows, rows.where(F.col("isin") == BENCHMARK)))
 
 
 def breakout_model(spark, folder):
-    """The whole study: labels, pooled model, per-security report. The events have
-    fewer than 100 labelled rows per user, so the gate is 20 here."""
+    """The whole study: labels, a model per key with early stopping, the report of all keys."""
     study = _study()
-    labelled = stage(_labelled(spark, folder))
-    return study.report(stage(study.train_and_score(labelled, min_rows=20)))
+    _, scored = study.fit_every_key(_user_groups(spark, folder), shared_dir(spark))
+    return study.report(scored)
+
+
+def breakout_by_key(spark, folder):
+    """Which keys got a model, and the test rows it scored."""
+    manifest, scored = _study().fit_every_key(_user_groups(spark, folder), shared_dir(spark))
+    tested = scored.groupBy("isin").agg(
+        F.count("score").alias("test_rows"), F.sum("target_label").alias("test_breakouts")
+    )
+    fitted = F.col("status").isin("saved", "rejected")
+    joined = manifest.select("isin", "rows", fitted.alias("is_fitted")).join(tested, "isin", "left")
+    return joined.fillna(0, ["test_rows", "test_breakouts"])
 
 
 QUERIES = {
@@ -603,5 +630,6 @@ QUERIES = {
         asof_backward_key, benchmark_delta, future_target, breakout_label, chronological_split,
         pr_curve, auc_by_key, best_fbeta, signal_returns, strategy_report, most_predictable,
         return_training_rows, chosen_return_models, return_model, breakout_model,
+        breakout_by_key,
     ]
 }

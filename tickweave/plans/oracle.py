@@ -21,6 +21,8 @@ ticks AS (
          CAST(timezone('Europe/Berlin', timezone('UTC', ts)) AS DATE) AS trade_day
   FROM events)"""
 
+GROUPED_TICKS = TICKS.replace("user_id AS isin", "CAST(length(bin(user_id + 1)) AS BIGINT) AS isin")
+
 SCORED = (
     TRADES
     + """,
@@ -438,11 +440,15 @@ WITH {LOT_FEATURES}, {COMPLETE}
 SELECT isin, "tradeTime", orderkey, linenumber, part, delta_t_ms FROM complete WHERE n >= 100""",
     "chosen_return_models": f"""
 WITH {LOT_FEATURES}, {COMPLETE}
-SELECT isin, count(*) AS rows, CASE WHEN count(*) >= 100 THEN 'eligible' ELSE 'skipped' END AS status
+SELECT isin, count(*) AS rows, CASE WHEN count(*) >= 100 THEN 100 ELSE 0 END AS rounds,
+  CASE WHEN count(*) >= 100 THEN 'saved' ELSE 'skipped' END AS status,
+  CASE WHEN count(*) >= 100 THEN count(*) ELSE 0 END AS scored,
+  CASE WHEN count(*) >= 100 THEN round(avg(target_return), 6) END AS mean_score
 FROM complete GROUP BY isin""",
     "return_model": f"""
 WITH {FEATURES}, {COMPLETE}
-SELECT isin, count(*) AS rows, round(stddev_pop(target_return), 6) AS rmse_of_mean, TRUE AS beats_constant
+SELECT isin, count(*) AS rows, round(stddev_pop(target_return), 6) AS rmse_of_mean,
+  round(sum(sum(target_return)) OVER () / sum(count(*)) OVER (), 6) AS mean_score
 FROM complete WHERE n >= 100 GROUP BY isin""",
     "time_window_past": f"""
 WITH {TICKS}, {_window("rolled", "ticks", 48 * HOUR, PAST.format(max="max_price", sum="volume", count="tick_count"))}
@@ -494,6 +500,26 @@ SELECT isin, "tradeTime", "TVTIC", current_price, past_max_price, round(past_vol
   past_tick_count, round(bench_delta, 6) AS bench_delta, open_time, future_max_price, sell_price, buy_price,
   CAST(future_max_price >= past_max_price * 1.005::DOUBLE AS INTEGER) AS target_label
 FROM joined WHERE bench_delta IS NOT NULL AND future_max_price IS NOT NULL AND buy_price IS NOT NULL""",
+    "breakout_by_key": f"""
+WITH {GROUPED_TICKS}, {BENCH}, {FUTURE_JOINED},
+{_window("rolled", "ticks", 48 * HOUR, PAST.format(max="past_max_price", sum="past_volume", count="past_tick_count"))},
+opened AS (SELECT *, min("tradeTime") OVER (PARTITION BY isin, trade_day) AS open_time FROM rolled),
+sliced AS (SELECT * FROM opened WHERE "tradeTime" <= open_time + INTERVAL 24 HOUR),
+joined AS (
+  SELECT s.*, d.bench_delta, e.future_max_price, e.sell_price, b.buy_price
+  FROM sliced s JOIN delta d ON d."TVTIC" = s."TVTIC"
+  ASOF LEFT JOIN ends e ON s.isin = e.isin AND s."tradeTime" <= e.at
+  ASOF LEFT JOIN buys b ON s.isin = b.isin AND s."tradeTime" <= b.at),
+labelled AS (
+  SELECT isin, "tradeTime", "TVTIC", CAST(future_max_price >= past_max_price * 1.005::DOUBLE AS INTEGER) AS target_label
+  FROM joined WHERE bench_delta IS NOT NULL AND future_max_price IS NOT NULL AND buy_price IS NOT NULL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY isin ORDER BY "tradeTime", "TVTIC") AS place,
+         count(*) OVER (PARTITION BY isin) AS rows FROM labelled)
+SELECT isin, any_value(rows) AS rows, any_value(rows) >= 100 AS is_fitted,
+  count(*) FILTER (rows >= 100 AND place > floor(rows * 0.8)) AS test_rows,
+  CAST(coalesce(sum(target_label) FILTER (rows >= 100 AND place > floor(rows * 0.8)), 0) AS BIGINT) AS test_breakouts
+FROM placed GROUP BY isin""",
     "chronological_split": f"""
 WITH {TRADES}, lots AS (SELECT * REPLACE (isin * 10 + size // 10 AS isin) FROM trades), {SPLIT.format(source="lots")}
 SELECT isin, "tradeTime", orderkey, linenumber, part, total_rows, is_train FROM parts""",
