@@ -23,6 +23,12 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return names
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns of these names in any letter case; results take their place."""
+    gone = {n.lower() for n in names}
+    return df.select(*(col(c) for c in df.columns if c.lower() not in gone))
+
+
 def prefix(df: DataFrame, start: str) -> str:
     """``start``, lengthened until no column of ``df`` begins with it."""
     while any(c.lower().startswith(start.lower()) for c in df.columns):

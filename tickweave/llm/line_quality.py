@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import col, fresh, hash_sample
+from .common import col, fresh, hash_sample, without
 from .crf import Chain, fit, marginals, with_neighbours
 
 #: Fixed characters that junk text is full of, as the rules of this library count them.
@@ -175,13 +175,14 @@ def train_quality(
 
     # At most max_docs ids and labels: safe to broadcast.
     found = docs.where(may_learn).select(col(key).alias("q_id"), col(text).alias("q_text"))
-    found = found.join(F.broadcast(chosen), "q_id").dropDuplicates(["q_id"])
+    # An id given to several texts counts with its least text, whatever the order of the rows.
+    found = found.join(F.broadcast(chosen), "q_id").groupBy("q_id", "q_label").agg(F.min("q_text").alias("q_text"))
     rows = found.select(packed("q_text").alias("f"), "q_label", "q_id").collect()
     return fit_quality([(bytes(r.f), r.q_label) for r in sorted(rows, key=lambda r: str(r.q_id))])
 
 
 def with_quality(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the score (0 to 1, higher: better) in the column ``out``."""
+    """``docs`` with the score (0 to 1, higher: better) in the column ``out``, in place of one so named."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two small matrices
 
     @F.pandas_udf("double")
@@ -189,7 +190,7 @@ def with_quality(docs: DataFrame, model: QualityModel, text: str = "text", out:
         for texts in parts:
             yield pd.Series(sent.value.score([t if isinstance(t, str) else None for t in texts]))
 
-    return docs.withColumn(out, score(col(text)))
+    return without(docs, out).withColumn(out, score(col(text)))
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text: str = "text", cutoff: float = 0.7) -> DataFrame:

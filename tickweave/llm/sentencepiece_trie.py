@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .common import without
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stands for a mark character of the text itself; half a surrogate, so no text has it.
@@ -297,7 +299,8 @@ def _appended(df: DataFrame, name: str, kind) -> StructType:
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
-    """``docs`` with the ids (array of int) of ``text`` in a further column ``out``."""
+    """``docs`` with the ids (array of int) of ``text`` in the column ``out``, in place of one so named."""
+    docs = without(docs, out)
     at = docs.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(load_pieces(model))  # the vocabulary
 
@@ -316,7 +319,8 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str = M
 
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
-    """``rows`` with the text of ``ids`` in a further column ``out``."""
+    """``rows`` with the text of ``ids`` in the column ``out``, in place of one so named."""
+    rows = without(rows, out)
     at = rows.columns.index(ids)
     sent = rows.sparkSession.sparkContext.broadcast(load_pieces(model))
 

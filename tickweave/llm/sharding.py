@@ -22,7 +22,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import stage
-from .common import col, prefix
+from .common import col, prefix, without
 
 MOST_BLOCKS = 4096
 
@@ -83,8 +83,9 @@ def random_shards(
 
     Shard sizes differ by one at most. ``key`` feeds the hashes that stand for random
     numbers; rows with equal keys may swap places. ``rows`` is read three times:
-    pass a stored table.
+    pass a stored table. Columns named shard or slot are replaced.
     """
+    rows = without(rows, "shard", "slot")
     spark: SparkSession = rows.sparkSession
     p = prefix(rows, "shard_")
     n = rows.count()
