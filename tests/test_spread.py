@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -9,7 +10,7 @@ from pyspark.sql import Window, functions as F
 
 from tickweave.operators.asof import Lookup, asof_join
 from tickweave.operators.spread import (
-    BIN, HOT, SEED, Spread, running_totals, with_bins, with_neighbour_rows,
+    BIN, HOT, SEED, Spread, _of_likely_large, running_totals, with_bins, with_neighbour_rows,
 )
 
 SCHEMA = "key string, t long, id long, x long"
@@ -110,3 +111,70 @@ def test_plans_without_large_groups_shuffle_once(spark):
     for plan in [run, near, looked]:
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+def tied_rows(n=900):
+    """A third of the rows of one key at one instant, and most of those with one and the same order."""
+    random.seed(5)
+    rows = []
+    for i in range(n):
+        key = "hot" if i % 2 else f"k{random.randrange(25)}"
+        t = 1000 if i % 3 == 0 else random.randrange(1_000_000)
+        rows.append((key, t, i, i % 10))
+    return rows + [("hot", None, n + i, 3) for i in range(60)] + [("still", 7, n + 60 + i, 1) for i in range(200)]
+
+
+def test_ties_are_parted_along_their_order(spark):
+    df = spark.createDataFrame(tied_rows(6000), SCHEMA)
+    rows = with_bins(df, ["key"], "t", Spread(200, 50, 10), ["id"]).collect()
+    assert len(rows) == 6260 and {r["key"] for r in rows if r[HOT]} == {"hot", "still"}
+    for key in ("hot", "still"):
+        ordered = sorted((r for r in rows if r["key"] == key), key=lambda r: (r["t"] is not None, r["t"] or 0, r["id"]))
+        assert [r[BIN] for r in ordered] == sorted(r[BIN] for r in ordered)
+        sizes = Counter(map(tuple, (r[BIN] for r in ordered)))
+        assert max(sizes.values()) < 100, sizes.most_common(3)
+
+
+def test_equal_order_values_end_the_cuts(spark):
+    """Few values with very many rows each, beside rare ones: cut apart, then left whole."""
+    rows = [("a", 1, 5 if i % 50 else i, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = with_bins(df, ["key"], "t", Spread(100, 10, 10), ["id"]).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(tuple(r[BIN]), []).append(r["id"])
+    assert len(got) == 3000 and all(len(ids) < 20 or len(set(ids)) == 1 for ids in sizes.values())
+
+
+@pytest.mark.parametrize("limits", [Spread(20, 7, 500), Spread(20, 7, 1), Spread(100, 40, 500)])
+def test_totals_and_neighbours_with_ties_and_without_time(spark, limits):
+    df = spark.createDataFrame(tied_rows(), SCHEMA)
+    p = Window.partitionBy("key").orderBy("t", "id")
+    run = p.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("id", F.sum("x").over(run).alias("s"), F.lag("id", 3).over(p), F.lead("id").over(p)).collect()
+    totals = running_totals(df, ["key"], "t", [F.col("t"), F.col("id")], {"s": F.col("x")}, limits, ["id"])
+    assert sorted((r["id"], r["s"]) for r in totals.collect()) == sorted((r["id"], r["s"]) for r in want)
+    w = Window.partitionBy("key", BIN).orderBy("t", "id")
+    near = with_neighbour_rows(df, ["key"], "t", ["id"], 3, 1, limits)
+    near = near.select("id", F.lag("id", 3).over(w), F.lead("id").over(w), SEED).where(F.col(SEED) == 0).collect()
+    assert sorted((r[0], r[1] or -1, r[2] or -1) for r in near) == sorted((r[0], r[2] or -1, r[3] or -1) for r in want)
+
+
+def test_rows_without_time_come_first_in_bins(spark, small_bins):
+    df = spark.createDataFrame([("a", i or None, i, 1) for i in range(100)], SCHEMA)
+    got = running_totals(df, ["key"], "t", [F.col("t")], {"n": F.lit(1)}, small_bins).collect()
+    assert sorted((r["id"], r["n"]) for r in got) == [(i, i + 1) for i in range(100)]
+
+
+def test_small_groups_are_seen_in_a_sample_only(spark):
+    """Only rows of groups that a sample shows as large are counted; nulls are a group."""
+    limits = Spread(8_000, 4_000, 10)
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"),
+        F.col("id").alias("t"), "id",
+    )
+    rows = _of_likely_large(df, ["key"], limits)
+    assert [tuple(r) for r in rows.groupBy("key").count().collect()] == [(None, 20_000)]
+    assert _of_likely_large(df.where("key is not null"), ["key"], limits) is None
+    bins = with_bins(df, ["key"], "t", limits).where(HOT).groupBy("key", BIN).count().collect()
+    assert len(bins) == 5 and sum(r["count"] for r in bins) == 20_000

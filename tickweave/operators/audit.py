@@ -52,7 +52,7 @@ def row_numbers(
 ) -> DataFrame:
     """Number the rows of each source from 0 in the order of ``axis``."""
     fields = [F.col(axis), *[F.col(c) for c in order]]
-    counted = running_totals(df, [source], axis, fields, {"_count": F.lit(1)}, spread)
+    counted = running_totals(df, [source], axis, fields, {"_count": F.lit(1)}, spread, order)
     return counted.select(*df.columns, (F.col("_count") - 1).alias("row_num"))
 
 

@@ -97,6 +97,7 @@ def drop_cancelled_pairs(
             "_o": (~F.col("_cancel")).cast("int"),
         },
         spread,
+        order,
     )
     pairs = F.least("_c_total", "_o_total")
     place = F.when(F.col("_cancel"), F.col("_c")).otherwise(F.col("_o"))

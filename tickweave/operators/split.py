@@ -22,7 +22,7 @@ def chrono_split(
     """
     placed = running_totals(
         df.withColumn("_t", micros(df, ts)),
-        [key], "_t", [F.col("_t"), *[F.col(c) for c in order]], {"_place": F.lit(1)}, spread,
+        [key], "_t", [F.col("_t"), *[F.col(c) for c in order]], {"_place": F.lit(1)}, spread, order,
     )
     cut = F.floor(F.col("_place_total") * F.lit(share))
     extra = []
