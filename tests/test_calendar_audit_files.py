@@ -14,7 +14,7 @@ from tickweave.operators.trading_calendar import (
 )
 from tickweave.plans.consolidation import active_once_from_files, consolidated_from_files
 from tickweave.sources.daily_files import (
-    clean_trades, files_for_days, files_near, header_of, list_files, read_cells, security_names,
+    clean_trades, compressed, damage, file_headers, files_for_days, files_near, header_of, list_files, read_cells, security_names,
     sources_with, unreadable,
 )
 from tickweave.sources.tables import read_parquet, write_parquet, write_report
@@ -290,6 +290,37 @@ def test_damaged_file_is_not_cut_in_silence(spark, tmp_path):
         read_cells(spark, list_files(spark, str(tmp_path), "*.csv*"), ["tradeTime"]).count()
 
 
+def test_damaged_files_are_named_and_the_others_read(spark, tmp_path, calendar):
+    import gzip
+    import hashlib
+
+    def stream(n):
+        ids = [hashlib.sha256(f"{n}/{i}".encode()).hexdigest() for i in range(3000)]
+        return gzip.compress((f"{HEAD_A}\n" + "".join(f"{line_a(tid=i)}\n" for i in ids)).encode())
+
+    for day in range(4, 10):
+        (tmp_path / f"trades_2024040{day}.csv.gz").write_bytes(stream(day))
+    cut, flipped = stream(5), bytearray(stream(8))
+    flipped[len(flipped) // 2] ^= 0xFF
+    (tmp_path / "trades_20240405.csv.gz").write_bytes(cut[: len(cut) * 3 // 4])
+    (tmp_path / "trades_20240408.csv.gz").write_bytes(bytes(flipped))
+    (tmp_path / "trades_20240410.csv.gz").write_bytes(b"")
+    write(tmp_path, "trades_20240411.csv", HEAD_A, line_a(tid="plain"))
+    files = list_files(spark, str(tmp_path), "*.csv*")
+    headed = file_headers(spark, files, whole=True)
+    failed = unreadable(spark, headed)
+    bad = {"trades_20240405.csv.gz", "trades_20240408.csv.gz"}
+    assert {r["source"] for r in failed.collect()} == bad
+    cells = read_cells(spark, headed, ["TVTIC", "tradeTime"])
+    counts = {r["source"]: r["count"] for r in cells.groupBy("source").count().collect()}
+    assert counts == {f"trades_2024040{d}.csv.gz": 3000 for d in (4, 6, 7, 9)} | {"trades_20240411.csv": 1}
+    audit = audit_file_dates(files, cells, calendar, with_column=sources_with(spark, headed, "tradeTime"), failed=failed)
+    assert bad <= {r["source"] for r in audit.where("issue = 'failed to read'").collect()}
+    assert damage(spark, []) == {} and compressed(spark, ["/a/b.csv", "/a/b.csv.gz"]) == ["/a/b.csv.gz"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        damage(spark, [str(tmp_path / "gone.csv.gz")])
+
+
 def test_flags_with_separators_and_no_quotes(spark, tmp_path):
     one = "DE1;N;2024-04-03T08:00:00Z;1.5;10;MONE;EUR;{};LS;2024-04-03T08:00:01Z;{}"
     write(tmp_path, "trades_20240404.csv", HEAD_A, one.format("t1", "ALGO;;CANC;"), one.format("t2", "ALGO"),

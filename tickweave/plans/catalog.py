@@ -245,22 +245,21 @@ def files_chosen(spark, folder):
 
 
 def sources_with_names(spark, folder):
-    return sources_with(spark, daily_files(spark, folder), "displayName")
+    return sources_with(spark, _with_headers(spark, folder)[1], "displayName")
 
 
 def unreadable_files(spark, folder):
-    return unreadable(spark, daily_files(spark, folder)).select("source")
+    return unreadable(spark, _with_headers(spark, folder)[1]).select("source")
 
 
 def _with_headers(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """The listing, and the same with headers; each file is opened once for it."""
+    """The listing, and the same with headers; damaged files are known by then."""
     files = daily_files(spark, folder)
-    return files, stage(file_headers(spark, files))
+    return files, stage(file_headers(spark, files, whole=True))
 
 
 def first_file_rows(spark, folder):
-    files = daily_files(spark, folder)
-    cells = read_cells(spark, files, ["TVTIC", "orderId"])
+    cells = read_cells(spark, _with_headers(spark, folder)[1], ["TVTIC", "orderId"])
     return audit.first_rows(cells, 100).select("source", "TVTIC")
 
 
@@ -309,8 +308,7 @@ def _utc(name: str):
 
 
 def _typed(spark, folder, quoting: bool) -> DataFrame:
-    files = daily_files(spark, folder)
-    rows = clean_trades(read_cells(spark, files, quoting=quoting), quoting)
+    rows = clean_trades(read_cells(spark, _with_headers(spark, folder)[1], quoting=quoting), quoting)
     return rows.select(
         "source", "isin", _utc("tradeTime"), _utc("publishedTime"), "price", "size",
         "quotation", "currency", "TVTIC", "mic", "flags",
@@ -328,8 +326,8 @@ def ingest_unquoted(spark, folder):
 
 
 def ingest_security_names(spark, folder):
-    files = daily_files(spark, folder)
-    return security_names(read_cells(spark, files, ["isin", "displayName"]), files)
+    files, headed = _with_headers(spark, folder)
+    return security_names(read_cells(spark, headed, ["isin", "displayName"]), files)
 
 
 def stored_by_day(spark, folder):

@@ -15,7 +15,7 @@ from ..operators.trading_calendar import trading_calendar
 from ..operators.universe import universe_active_days, universe_any_day
 from ..session import stage
 from ..sources.daily_files import (
-    clean_trades, files_for_days, files_near, list_files, read_cells,
+    clean_trades, file_headers, files_for_days, files_near, list_files, read_cells,
 )
 
 # Columns of one trade besides the grouping keys.
@@ -74,7 +74,7 @@ def consolidated_from_files(
 ) -> DataFrame:
     """The large plan from a folder of daily files; far-off files are not opened."""
     files = files_near(list_files(spark, root, glob), start, end)
-    cells = read_cells(spark, files, quoting=quoting)
+    cells = read_cells(spark, file_headers(spark, files, whole=True), quoting=quoting)
     return consolidated_large(clean_trades(cells, quoting), start, end, **options)
 
 
@@ -84,4 +84,4 @@ def active_once_from_files(
     """The small plan from the files of the trading days in the range."""
     calendar = trading_calendar(spark, start, end + dt.timedelta(days=14))
     files = files_for_days(list_files(spark, root, glob), calendar, start, end)
-    return consolidated_small(clean_trades(read_cells(spark, files)), **options)
+    return consolidated_small(clean_trades(read_cells(spark, file_headers(spark, files, whole=True))), **options)

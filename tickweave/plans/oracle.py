@@ -104,7 +104,8 @@ others AS (
   SELECT * FROM (VALUES
     ('trades_20240215', DATE '2024-02-15', 'file is empty'),
     ('trades_20240216', DATE '2024-02-16', 'time column not found'),
-    ('trades_20240219', DATE '2024-02-19', 'failed to read')) AS t(source, file_date, issue)),
+    ('trades_20240219', DATE '2024-02-19', 'failed to read'),
+    ('trades_20240220', DATE '2024-02-20', 'failed to read')) AS t(source, file_date, issue)),
 far AS (
   SELECT 'trades_20350101' AS source, DATE '2035-01-01' AS file_date, count(*) AS rows, '2024-01-02' AS date_text
   FROM nation),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
@@ -78,8 +81,9 @@ def daily_files(spark: SparkSession, folder: str) -> DataFrame:
     delivered in parts. Even days use one layout, odd days another one with its own
     column order, id name and a display name, which changes every ten days. Some
     sizes are no valid values; so are some times of every third day and all of the
-    20th; the 13th has a bad name. Four more files hold a header only, no time
-    column, no readable bytes, and a day far outside any calendar.
+    20th; the 13th has a bad name. Five more files hold a header only, no time
+    column, no readable bytes, a compressed stream that breaks off, and a day far
+    outside any calendar.
     """
     rows = table(spark, folder, "events").withColumn(
         "held", F.to_date(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd"))
@@ -127,14 +131,17 @@ def daily_files(spark: SparkSession, folder: str) -> DataFrame:
     }
     for name, other in others.items():
         other.write.option("header", True).option("sep", ";").csv(f"{root}/file_day={name}")
-    _write_bytes(spark, f"{root}/file_day=20240219/part-0.csv.gz", "no gzip stream")
+    _write_bytes(spark, f"{root}/file_day=20240219/part-0.csv.gz", b"no gzip stream")
+    ids = "".join(f"{hashlib.sha256(bytes([i])).hexdigest()}\n" for i in range(256))
+    stream = gzip.compress(f"tradeTime;TVTIC;displayName\n{ids}".encode(), mtime=0)
+    _write_bytes(spark, f"{root}/file_day=20240220/part-0.csv.gz", stream[: len(stream) * 3 // 4])
     of_day = F.regexp_extract("path", r"file_day=([^/]*)/", 1)
     return list_files(spark, root, "*.csv*", source=F.concat(F.lit("trades_"), of_day))
 
 
-def _write_bytes(spark: SparkSession, path: str, text: str) -> None:
+def _write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     stream = where.getFileSystem(conf).create(where)
-    stream.writeBytes(text)
+    stream.write(bytearray(content))
     stream.close()

@@ -15,6 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from fnmatch import fnmatch
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.cells import parse_instant, parse_price, parse_size, tidy, unquote
@@ -96,7 +97,7 @@ def probe_headers(
 
     Reads one line per file through Hadoop's file system and the codec that the
     file's name asks for, as Spark's own CSV reader does; no data passes the
-    driver. An empty file has no names and no error; a file that vanished, is
+    driver. A file of no bytes, compressed by name or not, has no names and no error; a file that vanished, is
     locked or cannot be decoded has no names and an error.
     """
     jvm, conf = _hadoop(spark)
@@ -105,9 +106,12 @@ def probe_headers(
     def first_line(path: str) -> tuple[tuple[str, ...], str | None]:
         try:
             where = jvm.org.apache.hadoop.fs.Path(path)
-            stream = where.getFileSystem(conf).open(where)
+            system = where.getFileSystem(conf)
+            stream = system.open(where)
             try:
                 codec = codecs.getCodec(where)
+                if codec is not None and system.getFileStatus(where).getLen() == 0:
+                    return (), None
                 plain = stream if codec is None else codec.createInputStream(stream)
                 text = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8"))
                 line = text.readLine()
@@ -127,14 +131,51 @@ def header_of(spark: SparkSession, paths: Sequence[str], separator: str = ";"):
     return {path: names for path, (names, _) in probe_headers(spark, paths, separator).items()}
 
 
-def file_headers(spark: SparkSession, files: DataFrame, separator: str = ";") -> DataFrame:
+def compressed(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Those of ``paths`` whose names ask for a codec."""
+    jvm, conf = _hadoop(spark)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    return [p for p in paths if codecs.getCodec(jvm.org.apache.hadoop.fs.Path(p)) is not None]
+
+
+def damage(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """Files that cannot be read to their end, and why; whole ones are left out.
+
+    One job reads all of them in the tasks. Only if it meets a damaged file are the
+    paths halved and both halves tried, so ``n`` files with ``k`` damaged ones take at most
+    ``k * (1 + log2 n)`` failed jobs. Any other failure is raised: it says nothing about a file.
+    """
+    paths = list(paths)
+    if not paths:
+        return {}
+    try:
+        spark.read.option("ignoreCorruptFiles", False).text(paths).count()
+        return {}
+    except (Py4JJavaError, PySparkException) as problem:
+        reason = str(getattr(problem, "java_exception", problem))
+        if "FAILED_READ_FILE" not in reason:
+            raise
+    if len(paths) == 1:
+        return {paths[0]: reason}
+    middle = len(paths) // 2
+    return damage(spark, paths[:middle]) | damage(spark, paths[middle:])
+
+
+def file_headers(
+    spark: SparkSession, files: DataFrame, separator: str = ";", whole: bool = False
+) -> DataFrame:
     """path, part, source, header and error per file; each file is opened once.
 
     Hand the result to :func:`read_cells`, :func:`sources_with` and the audit, which
-    then open no file for its header again.
+    then open no file for its header again. With ``whole``, compressed files are
+    also decoded to their end: one that is damaged behind its first line has an error and no header,
+    so it is left out and named, and the others are read.
     """
     listed = files.select("path", "part", "source").collect()
     found = probe_headers(spark, [r["path"] for r in listed], separator)
+    if whole:
+        packed = compressed(spark, [path for path, (_, error) in found.items() if error is None])
+        found |= {path: ((), error) for path, error in damage(spark, packed).items()}
     rows = [(r["path"], r["part"], r["source"], list(found[r["path"]][0]), found[r["path"]][1]) for r in listed]
     return spark.createDataFrame(rows, "path string, part string, source string, header array<string>, error string")
 
@@ -168,7 +209,8 @@ def read_cells(
     and are joined back into it; behind a quoted one they are dropped. Missing cells
     are null. Files without any of ``columns`` add nothing, nor do unreadable ones,
     which :func:`unreadable` names. A file that turns out damaged while it is read
-    ends the job with its name: rows never go missing in silence.
+    ends the job with its name: rows never go missing in silence. Files that went through
+    :func:`file_headers` with ``whole`` are known to be undamaged.
     """
     listed = _headed(spark, files, separator).collect()
     layouts: dict[tuple[str, ...], list[str]] = {}
@@ -192,6 +234,7 @@ def read_cells(
             .option("quote", '"' if quoting else "")
             .option("escape", '"' if quoting else "\\")
             .option("mode", "PERMISSIVE")
+            .option("ignoreCorruptFiles", False)
             .option("columnNameOfCorruptRecord", RAW)
             .option("columnPruning", not moved)
             .csv(paths)
