@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 
 from tickweave.operators.asof import Lookup, asof_join
 from tickweave.operators.spread import (
-    BIN, HOT, SEED, Spread, _of_likely_large, running_totals, with_bins, with_neighbour_rows,
+    BIN, HOT, SEED, Spread, of_likely_large, running_totals, with_bins, with_neighbour_rows,
 )
 
 SCHEMA = "key string, t long, id long, x long"
@@ -173,8 +173,8 @@ def test_small_groups_are_seen_in_a_sample_only(spark):
         F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"),
         F.col("id").alias("t"), "id",
     )
-    rows = _of_likely_large(df, ["key"], limits)
+    rows = of_likely_large(df, ["key"], limits)
     assert [tuple(r) for r in rows.groupBy("key").count().collect()] == [(None, 20_000)]
-    assert _of_likely_large(df.where("key is not null"), ["key"], limits) is None
+    assert of_likely_large(df.where("key is not null"), ["key"], limits) is None
     bins = with_bins(df, ["key"], "t", limits).where(HOT).groupBy("key", BIN).count().collect()
     assert len(bins) == 5 and sum(r["count"] for r in bins) == 20_000

@@ -12,7 +12,7 @@ from tickweave.operators.labels import breakout_label, with_benchmark_delta
 from tickweave.operators.spread import DEFAULT, Spread
 from tickweave.operators.split import chrono_split
 from tickweave.operators.tick_window import complete_tick_rows, tick_features
-from tickweave.operators.time_window import Rolling, after_open, open_times, time_window
+from tickweave.operators.time_window import Rolling, _crowded_keys, after_open, open_times, time_window
 
 OUT = [
     Rolling("top", "max", "price"), Rolling("low", "min", "price"), Rolling("total", "sum", "size"),
@@ -45,6 +45,48 @@ def test_time_window_equals_brute_force(spark, per_bin):
     assert {tuple(r)[2:3] + tuple(r)[5:] for r in got.collect()} == brute(rows, 100)
 
 
+PERIOD = 86_400
+
+
+def burst_rows(n=420):
+    """Half of the rows of a key in one 500th of a period, some of them at one instant."""
+    random.seed(9)
+    rows = []
+    for i in range(n):
+        t = random.randrange(50_000, 50_170) if i % 2 else random.randrange(-PERIOD, 4 * PERIOD)
+        rows.append((random.choice("aab"), 50_010 if i % 20 == 1 else t, i, random.randrange(100), random.choice([None, 1, 2])))
+    return rows
+
+
+@pytest.mark.parametrize("most", [500, 1])
+def test_bursts_get_finer_spans(spark, most):
+    rows = burst_rows()
+    df = spark.createDataFrame(rows, "key string, t long, id long, price long, size long")
+    limits = Spread(20, 10, most)
+    table = {r[0]: r[1] for r in _crowded_keys(df.withColumn("_t", F.col("t")), "key", PERIOD, limits).collect()}
+    assert set(table) == {"a", "b"} and all(PERIOD % k == 0 and k > 500 for k in table.values())
+    spans = {}
+    for key, t, *_ in rows:
+        spans.setdefault((key, t // (PERIOD // table[key])), []).append(t)
+    assert all(len(ts) < 20 or len(set(ts)) == 1 for ts in spans.values())
+    got = time_window(df, "key", "t", PERIOD, OUT, ["id"], limits)
+    assert {tuple(r)[2:3] + tuple(r)[5:] for r in got.collect()} == brute(rows, PERIOD)
+
+
+def test_last_alone_in_a_burst(spark):
+    rows = burst_rows(200)
+    df = spark.createDataFrame(rows, "key string, t long, id long, price long, size long")
+    got = time_window(df, "key", "t", PERIOD, OUT[-1:], ["id"], Spread(20, 10, 50))
+    assert {(r["id"], r["final"]) for r in got.collect()} == {(w[0], w[-1]) for w in brute(rows, PERIOD)}
+
+
+def test_time_window_reads_its_table_once(spark, tmp_path):
+    spark.createDataFrame([("a", 0, 1, 9, 1, "x")], "key string, t long, id long, price long, size long, more string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = time_window(df, "key", "t", 100, OUT, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_time_window_edges(spark):
     """A row exactly one period back is outside, one microsecond later inside."""
     rows = [("a", 0, 1, 9, 1), ("a", 1, 2, 5, 1), ("a", 2 * HOUR, 3, 1, 1)]

@@ -62,7 +62,7 @@ def with_bins(
     """
     by = list(by)
     out = df.withColumns({BIN: F.lit(0.0), HOT: F.lit(False)})
-    rows = _of_likely_large(out, by, spread)
+    rows = of_likely_large(out, by, spread)
     if rows is not None:
         limit = spread.min_rows
         for level in count():
@@ -83,7 +83,7 @@ def with_bins(
     return _cut_ties(out, by, [axis, *ties], spread) if ties else out
 
 
-def _of_likely_large(df: DataFrame, by: list[str], spread: Spread) -> DataFrame | None:
+def of_likely_large(df: DataFrame, by: list[str], spread: Spread) -> DataFrame | None:
     """Rows of the groups that may reach ``min_rows``; None if there is none.
 
     A sample shows them, so that counts of all the small groups are never shuffled. A

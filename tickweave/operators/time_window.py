@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.times import micros
-from .spread import DEFAULT, Spread, bounded_table
+from .spread import DEFAULT, Spread, bounded_table, of_likely_large
 
 # A count is the sum of ones, so that partial counts add up.
 _COMBINE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
@@ -39,29 +39,64 @@ def _merge(kind: str, parts: Sequence[Column]) -> Column:
     return F.greatest(*parts) if kind == "max" else F.least(*parts)
 
 
-def _crowded_keys(df: DataFrame, key: str, period: int, spread: Spread) -> tuple[DataFrame | None, list[int]]:
-    """Keys with too many rows within one period, with the spans each needs.
+def _divisor_by_power(period: int) -> Column:
+    """Map from p to the smallest number of spans of 2^p or more that divides the period."""
+    small = [d for d in range(1, isqrt(period) + 1) if period % d == 0]
+    divisors = [*small, *(period // d for d in reversed(small))]
+    top = (period - 1).bit_length()
+    found = {p: next(d for d in divisors if d >= min(1 << p, period)) for p in range(top + 1)}
+    return F.create_map(*[F.lit(x).cast("long") for item in found.items() for x in item])
 
-    The number of spans is a power of two, or the next number that divides the
-    period, so that keys share few of them: at most one per power.
+
+def _crowded_keys(df: DataFrame, key: str, period: int, spread: Spread) -> DataFrame | None:
+    """Keys with too many rows within one period, with the spans a period of each is cut into.
+
+    The number follows the density: while a span of a key holds ``2 * rows_per_bin`` rows at more
+    than one instant, that key gets more spans. Only the crowded periods are looked at for it.
     """
-    sizes = df.groupBy(key, F.floor(F.col("_t") / period).alias("_home")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    homed = df.select(key, "_t", F.floor(F.col("_t") / period).alias("_home"))
+    rows = of_likely_large(homed, [key, "_home"], spread)
+    if rows is None:
+        return None
+    splits_of, top = _divisor_by_power(period), (period - 1).bit_length()
+
+    def power(spans: Column) -> Column:
+        return F.least(F.ceil(F.log2(spans)), F.lit(top)).cast("long")
+
+    sizes = rows.groupBy(key, "_home").agg(F.count(F.lit(1)).alias("_n"))
     worst = sizes.groupBy(key).agg(F.max("_n").alias("_n")).where(F.col("_n") >= spread.min_rows)
-    wanted = F.least(F.ceil(F.col("_n") / spread.rows_per_bin), F.lit(period))
-    power = F.ceil(F.log2(wanted)).cast("int")
-    found = bounded_table(worst.select(F.col(key).alias("_r_key"), power.alias("_power")), spread.max_groups)
-    if found is None:
-        return None, []
-    powers = [r[0] for r in found.select("_power").distinct().collect()]
-    splits = {}
-    for p in powers:
-        splits[p] = 1 << p
-        while period % splits[p]:
-            splits[p] += 1
-    choice = F.create_map(*[F.lit(int(x)) for item in splits.items() for x in item])
-    return found.select("_r_key", choice[F.col("_power")].cast("long").alias(_SPLITS)), sorted(splits.values())
+    wanted = F.greatest(F.ceil(F.col("_n") / spread.rows_per_bin), F.lit(2))
+    table = bounded_table(
+        worst.select(F.col(key).alias("_r_key"), power(wanted).alias("_power")), spread.max_groups
+    )
+    while table is not None:
+        table = table.withColumn(_SPLITS, splits_of[F.col("_power")])
+        width = F.lit(period).cast("long") / F.col(_SPLITS)
+        spans = (
+            rows.join(table, rows[key].eqNullSafe(table["_r_key"]))
+            .groupBy("_r_key", "_power", _SPLITS, F.floor(F.col("_t") / width).alias("_home"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+        )
+        full = spans.where(
+            (F.col("_n") >= 2 * spread.rows_per_bin) & (F.col("_lo") < F.col("_hi")) & (F.col("_power") < top)
+        )
+        more = power(F.col(_SPLITS) * F.col("_n") / spread.rows_per_bin)
+        finer = bounded_table(
+            full.groupBy(F.col("_r_key").alias("_f_key")).agg(
+                F.max(F.greatest(more, F.col("_power") + 1)).alias("_more")
+            ),
+            spread.max_groups,
+        )
+        if finer is None:
+            break
+        # As long as the list of crowded keys itself.
+        table = bounded_table(
+            table.join(finer, table["_r_key"].eqNullSafe(finer["_f_key"]), "left").select(
+                "_r_key", F.coalesce("_more", "_power").alias("_power")
+            ),
+            spread.max_groups,
+        )
+    return table if table is None else table.select("_r_key", _SPLITS)
 
 
 def time_window(
@@ -73,12 +108,12 @@ def time_window(
     Time is cut into spans as long as the period. A window then is: the own
     span up to ``t`` (a running value) and the rest of the span before (a
     running value from its end). Both need the rows of two spans only, so each
-    row is sent to its own span and to the next: one shuffle by (key, span) and
-    linear work in each task, however many rows a window holds.
+    row is read once and sent to its own span and, without its other columns, to the next: one
+    shuffle by (key, span) and linear work in each task, however many rows a window holds.
 
-    Keys too crowded for that get ``k`` shorter spans per period. Their rows go
-    ``k`` spans ahead, and the whole spans between are summed up in a table
-    with one row per span, which each span receives as a seed row.
+    Keys too crowded for that get ``k`` shorter spans per period, as many as their densest
+    moment asks for. Their rows go ``k`` spans ahead, and the whole spans between are summed up
+    in a table with one row per span, which each span receives as a seed row.
     """
     rolled = [o for o in outputs if o.kind != "last"]
     lasts = [o for o in outputs if o.kind == "last"]
@@ -92,7 +127,7 @@ def time_window(
             for o in rolled
         ],
     )
-    table, spans = _crowded_keys(based, key, period, spread)
+    table = _crowded_keys(based, key, period, spread)
     if table is not None:
         based = based.join(table, based[key].eqNullSafe(table["_r_key"]), "left")
         based = based.drop("_r_key").withColumn(_SPLITS, F.coalesce(_SPLITS, F.lit(1).cast("long")))
@@ -102,38 +137,27 @@ def time_window(
     home = ((F.col("_t") - F.pmod(F.col("_t"), width.cast("long"))) / width).cast("long")
     based = based.withColumn("_home", home)
 
-    own = based.withColumns({_SPAN: F.col("_home"), _ROLE: F.lit(_OWN), _SHIFTED: F.col("_t")})
+    ahead = F.col("_home") + F.col(_SPLITS)
+    copies = _copies((_OWN, F.col("_home"), F.col("_t")), (_EARLIER, ahead, F.col("_t") + period))
+    own = F.col(f"_copy.{_ROLE}") == _OWN
     values = [f"_v_{o.name}" for o in rolled]
-    earlier = based.select(
+    rows = based.withColumn("_copy", F.explode(copies)).select(
         key,
+        *[F.when(own, F.col(c)).alias(c) for c in dict.fromkeys([*df.columns, "_t"]) if c != key],
         *values,
-        (F.col("_home") + F.col(_SPLITS)).alias(_SPAN),
-        F.lit(_EARLIER).alias(_ROLE),
-        (F.col("_t") + period).alias(_SHIFTED),
+        "_copy.*",
     )
-    rows = own.unionByName(earlier, allowMissingColumns=True)
-    if spans:
-        rows = rows.unionByName(
-            _whole_spans_between(based, key, rolled, spans), allowMissingColumns=True
-        )
+    if table is not None and rolled:
+        between = _whole_spans_between(based, key, rolled)
+        rows = rows.unionByName(between, allowMissingColumns=True)
 
     part = Window.partitionBy(key, _SPAN)
     upto = part.orderBy(_SHIFTED).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    back = part.orderBy(F.desc(_SHIFTED), F.desc(_ROLE)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-
-    def only(role: int, name: str) -> Column:
-        return F.when(F.col(_ROLE) == role, F.col(f"_v_{name}"))
 
     def value_of(o: Rolling) -> Column:
-        combine = _COMBINE[o.kind]
-        parts = [
-            combine(only(_OWN, o.name)).over(upto),
-            combine(only(_EARLIER, o.name)).over(back),
-        ]
-        if spans:
-            parts.append(F.max(only(_BETWEEN, o.name)).over(part))
+        parts = _both_spans(o, [key, _SPAN])
+        if table is not None:
+            parts.append(F.max(_only(_BETWEEN, o)).over(part))
         return _merge(o.kind, parts)
 
     place = F.when(F.col(_ROLE) == _OWN, F.struct("_t", *order))
@@ -148,34 +172,60 @@ def time_window(
     )
 
 
-def _whole_spans_between(
-    based: DataFrame, key: str, rolled: Sequence[Rolling], splits: Sequence[int]
-) -> DataFrame:
+def _copies(*places: tuple[int, Column, Column]) -> Column:
+    """The (role, span, place) a row takes part with, to explode."""
+    return F.array(
+        *[F.struct(F.lit(r).alias(_ROLE), span.alias(_SPAN), at.alias(_SHIFTED)) for r, span, at in places]
+    )
+
+
+def _only(role: int, o: Rolling) -> Column:
+    return F.when(F.col(_ROLE) == role, F.col(f"_v_{o.name}"))
+
+
+def _both_spans(o: Rolling, keys: Sequence[str]) -> list[Column]:
+    """Running value of the own span up to a row, and of the span before from its end down to it."""
+    part = Window.partitionBy(*keys)
+    upto = part.orderBy(_SHIFTED).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back = part.orderBy(F.desc(_SHIFTED), F.desc(_ROLE)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    combine = _COMBINE[o.kind]
+    return [combine(_only(_OWN, o)).over(upto), combine(_only(_EARLIER, o)).over(back)]
+
+
+def _whole_spans_between(based: DataFrame, key: str, rolled: Sequence[Rolling]) -> DataFrame:
     """For each span of a crowded key: its ``k - 1`` predecessors combined.
 
-    One row per span, so the window by key is short. Keys with the same ``k``
-    share a frame; ``k`` is mostly a power of two, so there are few.
+    The same two halves as above, with spans in place of rows: blocks of ``k - 1`` spans, the
+    own block up to the span before and the rest of the block ahead of it. So the
+    work is linear in the spans, and a key's spans lie in many tasks.
     """
     whole = (
         based.where(F.col(_SPLITS) > 1)
         .groupBy(key, _SPLITS, "_home")
         .agg(*[_COMBINE[o.kind](f"_v_{o.name}").alias(f"_v_{o.name}") for o in rolled])
     )
-    frames = []
-    for k in sorted(set(splits) - {1}):
-        reach = Window.partitionBy(key).orderBy("_home").rangeBetween(-(k - 1), -1)
-        frames.append(
-            whole.where(F.col(_SPLITS) == k).select(
-                key,
-                F.col("_home").alias(_SPAN),
-                F.lit(_BETWEEN).alias(_ROLE),
-                *[
-                    _COMBINE[o.kind](f"_v_{o.name}").over(reach).alias(f"_v_{o.name}")
-                    for o in rolled
-                ],
-            )
-        )
-    return reduce(DataFrame.unionByName, frames)
+    reach = F.col(_SPLITS) - 1
+    after = F.col("_home") + 1
+
+    def block(place: Column) -> Column:
+        return F.floor(place / reach)
+
+    copies = _copies(
+        (_BETWEEN, block(F.col("_home")), F.col("_home")),
+        (_OWN, block(after), after),
+        (_EARLIER, block(after) + 1, after + reach),
+    )
+    rows = whole.withColumn("_copy", F.explode(copies)).select(
+        key, "_home", *[f"_v_{o.name}" for o in rolled], "_copy.*"
+    )
+    merged = [_merge(o.kind, _both_spans(o, [key, _SPAN])).alias(f"_w_{o.name}") for o in rolled]
+    found = rows.select(key, "_home", _ROLE, *merged).where(F.col(_ROLE) == _BETWEEN)
+    return found.select(
+        key, F.col("_home").alias(_SPAN), F.lit(_BETWEEN).alias(_ROLE),
+        *[F.col(f"_w_{o.name}").alias(f"_v_{o.name}") for o in rolled],
+    )
 
 
 def open_times(df: DataFrame, key: str, day: str, ts: str) -> DataFrame:
