@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.times import micros
-from .spread import DEFAULT, Spread, bounded_table, of_likely_large
+from .spread import DEFAULT, RECUT, Spread, bounded_table, of_likely_large
 
 # A count is the sum of ones, so that partial counts add up.
 _COMBINE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
@@ -66,37 +67,35 @@ def _crowded_keys(df: DataFrame, key: str, period: int, spread: Spread) -> DataF
     sizes = rows.groupBy(key, "_home").agg(F.count(F.lit(1)).alias("_n"))
     worst = sizes.groupBy(key).agg(F.max("_n").alias("_n")).where(F.col("_n") >= spread.min_rows)
     wanted = F.greatest(F.ceil(F.col("_n") / spread.rows_per_bin), F.lit(2))
-    table = bounded_table(
+    current = bounded_table(
         worst.select(F.col(key).alias("_r_key"), power(wanted).alias("_power")), spread.max_groups
     )
-    while table is not None:
-        table = table.withColumn(_SPLITS, splits_of[F.col("_power")])
+    rounds = []
+    while current is not None:
+        rounds.append(current)
+        cut = current.withColumn(_SPLITS, splits_of[F.col("_power")])
         width = F.lit(period).cast("long") / F.col(_SPLITS)
         spans = (
-            rows.join(table, rows[key].eqNullSafe(table["_r_key"]))
+            rows.join(cut, rows[key].eqNullSafe(cut["_r_key"]))
             .groupBy("_r_key", "_power", _SPLITS, F.floor(F.col("_t") / width).alias("_home"))
             .agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
         )
         full = spans.where(
             (F.col("_n") >= 2 * spread.rows_per_bin) & (F.col("_lo") < F.col("_hi")) & (F.col("_power") < top)
         )
-        more = power(F.col(_SPLITS) * F.col("_n") / spread.rows_per_bin)
-        finer = bounded_table(
-            full.groupBy(F.col("_r_key").alias("_f_key")).agg(
-                F.max(F.greatest(more, F.col("_power") + 1)).alias("_more")
-            ),
+        more = power(F.col(_SPLITS) * F.col("_n") * RECUT / spread.rows_per_bin)
+        current = bounded_table(
+            full.groupBy("_r_key").agg(F.max(F.greatest(more, F.col("_power") + 1)).alias("_power")),
             spread.max_groups,
         )
-        if finer is None:
-            break
-        # As long as the list of crowded keys itself.
-        table = bounded_table(
-            table.join(finer, table["_r_key"].eqNullSafe(finer["_f_key"]), "left").select(
-                "_r_key", F.coalesce("_more", "_power").alias("_power")
-            ),
-            spread.max_groups,
-        )
-    return table if table is None else table.select("_r_key", _SPLITS)
+    if not rounds:
+        return None
+    table = rounds[0]
+    if len(rounds) > 1:
+        # As long as the first list: later rounds hold keys of it.
+        latest = reduce(DataFrame.unionByName, rounds).groupBy("_r_key").agg(F.max("_power").alias("_power"))
+        table = bounded_table(latest, spread.max_groups)
+    return table.select("_r_key", splits_of[F.col("_power")].alias(_SPLITS))
 
 
 def time_window(
