@@ -1,9 +1,12 @@
+import math
 import random
 from collections import Counter
 from math import comb
 
+import numpy as np
+
 from tickweave.llm.risk_rules import (
-    RULES, SHARES, binomial_tail, fit_cutoffs, judge, measured, safe_cutoff, text_stats,
+    RULES, SHARES, binomial_tail, fit_cutoffs, judge, measured, n_testable, safe_cutoff, text_stats, tightening_path,
 )
 from tickweave.session import stage
 
@@ -79,3 +82,83 @@ def test_false_rejections_stay_below_the_limit(spark):
     assert all(r.kept != r.base_failed for r in none.collect())
     assert judge(stats.limit(0), cuts).count() == 0
     assert set(cuts.columns) == {"stratum", *RULES}
+
+
+def test_path_takes_gaining_cutoffs_that_lose_least_first():
+    # Rows: bad, good documents by how many of three cutoffs they exceed (3: the lenient one already).
+    one = np.array([[10, 0, 4, 3], [50, 9, 1, 0]])
+    two = np.array([[10, 2, 0, 5], [60, 0, 0, 0]])
+    path = tightening_path({"one": one, "two": two})
+    assert path == [
+        {"one": 1, "two": 0}, {"one": 1, "two": 1}, {"one": 1, "two": 3}, {"one": 2, "two": 3},
+    ]
+    assert tightening_path({"one": np.array([[9, 0], [0, 9]])}) == []
+
+
+def test_level_is_divided_among_strata_that_can_refute(spark):
+    def divisor(sizes, limit=0.05, level=0.05):
+        rows = [(str(k), 1, None, n) for k, n in enumerate(sizes)] + [("0", 0, 2, 10_000)]
+        return n_testable(spark.createDataFrame(rows, "of string, label int, step int, n long"), limit, level)
+
+    def brute(sizes, limit=0.05, level=0.05):
+        return next(d for d in range(1, 1000) if sum((1 - limit) ** n <= level / d for n in sizes) <= d)
+
+    for sizes in ([0], [20, 30], [149, 31, 25, 23], [75, 75, 75, 75], [60] * 9, [400] * 30 + [10] * 500, [59, 73, 81]):
+        assert divisor(sizes) == brute(sizes), sizes
+
+
+def test_cutoffs_match_plain_code_and_small_strata_get_one(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for k in range(900):
+        bad = rng.random() < 0.2
+        words = [f"w{rng.randrange(9_000)}" + ("##" if bad and rng.random() < 0.6 else "") for _ in range(70)]
+        rows.append((k, " ".join(words), "en" if k < 300 else "de" if k < 330 else None))
+        labels.append((k, int(not bad)))
+    docs = spark.createDataFrame([*rows, rows[0], (5, "another text " * 40, "aa")], "doc_id long, text string, lang string")
+    stats = stage(measured(docs))
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int")
+    found = {r.stratum: r.asDict() for r in fit_cutoffs(stats, labelled).collect()}
+    assert found == {r.stratum: r.asDict() for r in fit_cutoffs(stats.repartition(7), labelled).collect()}
+    # 300 labelled documents bear a cutoff, 30 do not.
+    assert found["en"]["symbols"] and found[None]["symbols"] and found["de"]["symbols"] is None
+
+    thirds = {r.id: r.t for r in spark.sql("select id, pmod(xxhash64('path', id), 3) t from range(900)").collect()}
+    quality = dict(labels)
+    measure = {}
+    for row in sorted(stats.collect(), key=lambda r: (r.stratum is not None, r.stratum, tuple(r)), reverse=True):
+        if row.n_words >= 50 and 2 * row.n_repeat_words <= row.n_words:
+            share = [row.n_symbols / row.word_chars, row.n_dup_lines / row.n_lines, row.n_repeat_words / row.n_words]
+            measure[row.id] = (row.stratum, dict(zip(RULES, [*share, row.word_chars / row.n_words])))
+    for stratum in ("en", None):
+        mine = {k: m for k, (s, m) in measure.items() if s == stratum}
+        over = {k: {n: sum(m[n] > c for c in RULES[n][1]) for n in RULES} for k, m in mine.items()}
+        tallies = {n: np.zeros((2, len(cuts) + 1), dtype=int) for n, (_, cuts) in RULES.items()}
+        for k in mine:
+            for n in RULES:
+                tallies[n][quality[k], over[k][n]] += thirds[k] == 0
+        best, most = {n: None for n in RULES}, 0
+        for step in tightening_path(tallies):
+            cuts = {n: RULES[n][1][p - 1] if p else math.inf for n, p in step.items()}
+            lost = [quality[k] for k in mine if thirds[k] and any(mine[k][n] > cuts[n] for n in RULES)]
+            n_good = sum(quality[k] for k in mine if thirds[k])
+            if binomial_tail(sum(lost), n_good, 0.05) > 0.05 / 2:
+                break
+            if len(lost) - 4 * sum(lost) > most:
+                best, most = {n: None if c == math.inf else c for n, c in cuts.items()}, len(lost) - 4 * sum(lost)
+        assert {n: found[stratum][n] for n in RULES} == best
+
+
+def test_the_bound_holds_over_many_draws():
+    """Fixed sequence on one half of the path: few of many draws lose more than the limit."""
+    rng = np.random.default_rng(3)
+    n, limit, level, broken = 400, 0.05, 0.05, 0
+    chances = np.cumsum(np.full(10, 0.012))  # true rejection of good documents by step: 1.2% to 12%
+    for _ in range(400):
+        first = np.searchsorted(chances, rng.random(n)) + 1
+        good = [0] * 11
+        for f in first:
+            good[max(0, 11 - f)] += 1
+        step = safe_cutoff(good, [0] + [50] * 10, tuple(range(10)), limit, level)
+        broken += step is not None and chances[step] > limit
+    assert broken <= 400 * level + 3 * math.sqrt(400 * level)
