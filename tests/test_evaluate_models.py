@@ -71,6 +71,37 @@ def test_one_class_and_no_signal(spark, spread):
     assert last["Model_Precision (F0.5)"] == "0.00%"
 
 
+@SPREADS
+def test_thresholds_of_other_rows(spark, spread):
+    from tickweave.plans.breakout import BreakoutStudy
+
+    random.seed(7)
+    rows = [
+        (k, i, random.randrange(2) if k != "empty" else 0, random.randrange(9) / 9, i < 40)
+        for k in ("a", "b", "empty") for i in range(80)
+    ] + [("new", i, i % 2, i / 9, False) for i in range(9)] + [("high", 0, 1, 0.9, True), ("high", 1, 0, 0.1, True), ("high", 2, 1, 0.2, False)]
+    df = spark.createDataFrame(rows, "isin string, i int, target_label int, score double, is_validation boolean").withColumns(
+        {"tradeTime": F.timestamp_seconds("i"), "total_rows": F.lit(100), "buy_price": F.lit(1.0), "sell_price": F.lit(1.5)}
+    )
+    study = BreakoutStudy(zone=None, spread=spread)
+    found = {r["ISIN"]: r.asDict() for r in study.report(df, threshold_on="validation").collect()}
+    for key in ("a", "b", "empty", "new", "high"):
+        seen = [(y, s) for k, _, y, s, v in rows if k == key and v]
+        test = [(y, s) for k, _, y, s, v in rows if k == key and not v]
+        limit = by_threshold(seen)[1] if 0 < sum(y for y, _ in seen) < len(seen) else 0.5
+        picked = [y for y, s in test if s >= limit]
+        assert found[key]["Optimal_Threshold"] == f"{limit:.4f}"
+        assert found[key]["Test_Set_Ticks"] == len(test)
+        assert found[key]["Model_Precision (F0.5)"] == f"{100 * sum(picked) / max(len(picked), 1):.2f}%"
+        assert found[key]["Model_Recall"] == f"{100 * sum(picked) / max(sum(y for y, _ in test), 1):.2f}%"
+        assert found[key]["Test_Set_Avg_PnL_Percent"] == (50.0 if picked else 0.0)
+    assert found["high"]["Signal_Dates"] == "None"
+    plain = df.where("not is_validation")
+    assert study.report(df).collect() == study.report(plain).collect()
+    with pytest.raises(ValueError):
+        study.report(df, threshold_on="train")
+
+
 def study_rows(spark, n=120):
     random.seed(9)
     rows = []
@@ -117,6 +148,10 @@ def test_studies_fit_every_key(spark, tmp_path):
     assert found["good"].auc > 0.9 and found["few"].auc is None and found["noise"].run <= 12
     assert [r.isin for r in load_models(spark, path, "isin").collect()] == ["good"]
     assert scored.groupBy("isin").count().count() == 3
+    again, both = BreakoutStudy(zone=None).fit_every_key(df, path, how, min_auc=0.9, score_validation=True)
+    assert {r.isin: r.auc for r in again.collect()} == {k: r.auc for k, r in found.items()}
+    assert both.where("is_validation").groupBy("isin").count().count() == 3
+    assert both.where("not is_train").count() == scored.count() and both.where("is_validation and not is_train").count() == 0
     path = str(tmp_path / "r")
     manifest = returns.fit_every_key(df, "isin", path, how=Boosting(rounds=3, depth=2))
     status = {r.isin: (r.status, r.rounds, r.error is None) for r in manifest.collect()}

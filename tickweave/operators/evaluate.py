@@ -39,12 +39,18 @@ def pr_curve_by_key(
     )
 
 
-def metrics_by_key(curve: DataFrame, key: str, beta: float = 0.5) -> DataFrame:
+def metrics_by_key(
+    curve: DataFrame, key: str, beta: float = 0.5, limits: DataFrame | None = None
+) -> DataFrame:
     """ROC AUC and the threshold with the best F-beta, one row per key.
 
     AUC counts, for each miss, the hits scored above it, ties half. The best
     threshold is the lowest one among equals. A key whose rows are all of one
     class gets 0 for all measures and threshold 0.5.
+
+    ``limits`` (a stored table of key and threshold) holds thresholds that were chosen on
+    other rows. Precision and recall are then those at this threshold, 0.5 for a key
+    it does not hold, and 0 where nothing reaches it or nothing is to be found.
     """
     weight = beta * beta
     fbeta = F.coalesce(
@@ -59,6 +65,15 @@ def metrics_by_key(curve: DataFrame, key: str, beta: float = 0.5) -> DataFrame:
     best = F.max_by(
         F.struct("threshold", "precision", "recall"), F.struct(fbeta, -F.col("threshold"))
     )
+    if limits is not None:
+        given = limits.select(key, F.col("threshold").alias("_limit"))
+        curve = curve.join(broadcast_if_small(given, is_stored=True), key, "left").fillna(0.5, ["_limit"])
+        reached = F.when(F.col("threshold") >= F.col("_limit"), F.col("threshold"))
+        best = F.struct(
+            F.max("_limit").alias("threshold"),
+            F.coalesce(F.min_by("precision", reached), F.lit(0.0)).alias("precision"),
+            F.coalesce(F.min_by("recall", reached), F.lit(0.0)).alias("recall"),
+        )
     found = curve.groupBy(key).agg(
         F.max("rows").alias("rows"),
         F.max("positives").alias("positives"),
@@ -72,9 +87,12 @@ def metrics_by_key(curve: DataFrame, key: str, beta: float = 0.5) -> DataFrame:
     def when_mixed(value, other: float):
         return F.when(mixed, value).otherwise(F.lit(other))
 
+    auc = when_mixed(F.try_divide(F.col("_area"), pairs), 0.0).alias("auc")
+    if limits is not None:
+        return found.select(key, "rows", "positives", auc, "_best.*")
     return found.select(
         key, "rows", "positives",
-        when_mixed(F.try_divide(F.col("_area"), pairs), 0.0).alias("auc"),
+        auc,
         when_mixed(F.col("_best.threshold"), 0.5).alias("threshold"),
         when_mixed(F.col("_best.precision"), 0.0).alias("precision"),
         when_mixed(F.col("_best.recall"), 0.0).alias("recall"),

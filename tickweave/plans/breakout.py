@@ -111,13 +111,14 @@ class BreakoutStudy:
 
     def fit_every_key(
         self, labelled: DataFrame, path: str, how: Boosting = BREAKOUT_TREES, min_rows: int = 100,
-        min_auc: float = 0.55, validation: float = 0.2,
+        min_auc: float = 0.55, validation: float = 0.2, score_validation: bool = False,
     ) -> tuple[DataFrame, DataFrame]:
         """A model of its own for every security of ``labelled`` (a stored table).
 
         Returns the manifest rows of this run and the scored test rows. A model is saved in the
         store at ``path`` if its test AUC reaches ``min_auc``; otherwise the status is
-        rejected, skipped (too few rows) or failed, with the reason.
+        rejected, skipped (too few rows) or failed, with the reason. With ``score_validation``
+        the scored rows also hold the validation rows, for :meth:`report` to choose thresholds on.
         """
         key = self.key
         counts = stage(labelled.groupBy(key).agg(F.count(F.lit(1)).alias("rows")))
@@ -130,9 +131,11 @@ class BreakoutStudy:
             parts.where("is_train"), key, BREAKOUT_FEATURES, "target_label", "is_validation", how
         )
         fitted = stage(models(known, rounds, key, how))
-        scored = stage(score_by_key(parts.where("not is_train"), fitted, key, BREAKOUT_FEATURES, how))
+        wanted = "not is_train or is_validation" if score_validation else "not is_train"
+        scored = stage(score_by_key(parts.where(wanted), fitted, key, BREAKOUT_FEATURES, how))
+        tested = scored.where("not is_train")
         found = (
-            counts.join(auc_by_key(scored, key, "target_label", "score", self.spread), key, "left")
+            counts.join(auc_by_key(tested, key, "target_label", "score", self.spread), key, "left")
             .join(fitted.select(key, "round", "run"), key, "left")
             .join(rounds.where("error is not null").select(key, "error"), key, "left")
         )
@@ -147,10 +150,25 @@ class BreakoutStudy:
         manifest = load_manifest(labelled.sparkSession, path).where(F.col("run_id") == run)
         return manifest.drop("run_id"), scored
 
-    def report(self, scored: DataFrame, beta: float = 0.5) -> DataFrame:
-        """Ranked strategy report from scored test rows (a stored table)."""
-        curve = pr_curve_by_key(scored, self.key, "target_label", "score", self.spread)
-        metrics = stage(metrics_by_key(curve, self.key, beta))
+    def report(self, scored: DataFrame, beta: float = 0.5, threshold_on: str = "test") -> DataFrame:
+        """Ranked strategy report from scored test rows (a stored table).
+
+        ``threshold_on='validation'`` takes the thresholds from the rows with
+        ``is_validation``, so that no test row has a say in them; such rows count nowhere else.
+        """
+        if threshold_on not in ("test", "validation"):
+            raise ValueError(f"threshold_on is 'test' or 'validation', not {threshold_on!r}")
+
+        def curve_of(rows: DataFrame) -> DataFrame:
+            return pr_curve_by_key(rows, self.key, "target_label", "score", self.spread)
+
+        limits = None
+        if threshold_on == "validation":
+            chosen = metrics_by_key(curve_of(scored.where("is_validation")), self.key, beta)
+            limits = stage(chosen.select(self.key, "threshold"))
+        if "is_validation" in scored.columns:
+            scored = scored.where("not is_validation")
+        metrics = stage(metrics_by_key(curve_of(scored), self.key, beta, limits))
         signals = trade_signals(scored, metrics, self.key, "score", is_stored=True)
         returns = signal_returns(signals, self.key, local_date(signals, self.ts, self.zone))
         totals = scored.groupBy(self.key).agg(F.max("total_rows").alias("total_rows"))

@@ -537,6 +537,15 @@ def strategy_report(spark, folder):
     return study.report(_scored_test(spark, folder))
 
 
+def strategy_report_unseen(spark, folder):
+    """The report with thresholds from the last fifth of the training rows."""
+    parts = chrono_split(
+        scored_trades(spark, folder), "isin", "tradeTime", TIE, validation=0.2, spread=SPREAD
+    )
+    study = BreakoutStudy(order=TIE, zone=None, spread=SPREAD)
+    return study.report(stage(parts.where("not is_train or is_validation")), threshold_on="validation")
+
+
 def most_predictable(spark, folder):
     report = strategy_report(spark, folder)
     return report.select("ISIN", "ROC_AUC_Score").limit(5)
@@ -627,7 +636,8 @@ QUERIES = {
         ingest_security_names, stored_by_day, report_file, tick_window_features, time_window_past, time_window_split,
         open_slice_features, asof_backward_nokey, asof_forward_key, asof_forward_within,
         asof_backward_key, benchmark_delta, future_target, breakout_label, chronological_split,
-        pr_curve, auc_by_key, best_fbeta, signal_returns, strategy_report, most_predictable,
+        pr_curve, auc_by_key, best_fbeta, signal_returns, strategy_report,
+        strategy_report_unseen, most_predictable,
         return_training_rows, chosen_return_models, return_model, breakout_model,
         breakout_by_key,
     ]

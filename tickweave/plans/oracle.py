@@ -256,9 +256,7 @@ gains AS (
          string_agg(DISTINCT strftime("tradeTime", '%Y-%m-%d'), ' | ' ORDER BY strftime("tradeTime", '%Y-%m-%d')) AS signal_dates
   FROM signals GROUP BY 1)"""
 
-REPORT = (
-    TESTED + "," + RETURNS
-    + """,
+REPORTED = """,
 totals AS (SELECT isin, max(total_rows) AS total_rows FROM tested GROUP BY 1),
 report AS (
   SELECT m.isin AS "ISIN", t.total_rows AS "Total_Ticks", m.rows AS "Test_Set_Ticks",
@@ -271,6 +269,33 @@ report AS (
     round_even(coalesce(g.avg_pnl, 0), 2) AS "Test_Set_Avg_PnL_Percent",
     coalesce(g.signal_dates, 'None') AS "Signal_Dates"
   FROM metrics m LEFT JOIN gains g ON g.isin = m.isin LEFT JOIN totals t ON t.isin = m.isin)"""
+
+REPORT = TESTED + "," + RETURNS + REPORTED
+
+# Thresholds of the validation rows, everything else of the test rows; AUC by ranks.
+REPORT_UNSEEN = (
+    SCORED + "," + SPLIT.format(source="scored")
+    + """,
+checked AS (SELECT * FROM parts WHERE is_train AND place > floor(floor(total_rows * 0.8) * 0.8)),
+tested AS (SELECT * FROM parts WHERE NOT is_train),"""
+    + CURVE.format(scored="checked")
+    + """,
+ranked AS (
+  SELECT t.*, coalesce(m.threshold, 0.5) AS threshold, rank() OVER (PARTITION BY t.isin ORDER BY score) AS low,
+         count(*) OVER (PARTITION BY t.isin, score) AS same
+  FROM tested t LEFT JOIN metrics m ON m.isin = t.isin),
+summed AS (
+  SELECT isin, max(threshold) AS threshold, count(*) AS rows, CAST(sum(target_label) AS BIGINT) AS positives,
+         sum(target_label) FILTER (score >= threshold) AS hits, count(*) FILTER (score >= threshold) AS picks,
+         sum(low + (same - 1) / 2) FILTER (target_label = 1) AS ranks
+  FROM ranked GROUP BY 1),
+final AS (
+  SELECT isin, threshold, rows, positives,
+    coalesce(hits / nullif(picks, 0), 0) AS precision, coalesce(hits / nullif(positives, 0), 0) AS recall,
+    CASE WHEN positives BETWEEN 1 AND rows - 1
+      THEN (ranks - positives * (positives + 1) / 2) / (positives * (rows - positives)) ELSE 0 END AS auc
+  FROM summed),"""
+    + (RETURNS + REPORTED).replace("metrics m", "final m")
 )
 
 LATEST = """ORDER BY l_shipdate DESC, l_suppkey DESC, l_partkey DESC) = 1"""
@@ -536,6 +561,7 @@ SELECT isin, threshold, round(precision, 6) AS precision, round(recall, 6) AS re
     "signal_returns": f"""
 WITH {TESTED}, {RETURNS} SELECT isin, round(avg_pnl, 4) AS avg_pnl, signal_dates FROM gains""",
     "strategy_report": f"WITH {REPORT} SELECT * FROM report",
+    "strategy_report_unseen": f"WITH {REPORT_UNSEEN} SELECT * FROM report",
     "most_predictable": f"""
 WITH {REPORT} SELECT "ISIN", "ROC_AUC_Score" FROM report ORDER BY "ROC_AUC_Score" DESC, "ISIN" LIMIT 5""",
 }
