@@ -109,6 +109,49 @@ def test_open_slice(spark):
     assert sorted(r["t"] for r in after_open(opened, "t", "open_time", 2, 4).collect()) == [12, 14]
 
 
+def study(spread, **durations):
+    from tickweave.plans.breakout import BreakoutStudy
+
+    hours = {"past": 2, "slice_from": 2, "slice_to": 6, **durations}
+    return BreakoutStudy(zone=None, spread=spread, **{k: v * HOUR for k, v in hours.items()})
+
+
+TICKS = "isin string, s long, TVTIC long, price long, size long"
+
+
+@pytest.mark.parametrize("past", [2, 3])
+@pytest.mark.parametrize("most", [1000, 40, 3])
+def test_past_features_equal_brute_force(spark, past, most):
+    """No day, some days and all days are too large for one task."""
+    random.seed(most)
+    rows = [
+        (random.choice("aab"), random.choice([0, 0, 0, 86_400]) + 900 * random.randrange(4, 44), i, random.randrange(50), 1 + i % 3)
+        for i in range(160)
+    ]
+    odd = [(None, 50_000, 900, 1, 1), ("a", None, 901, 1, 1), (None, 50_000 + 9_000, 902, 1, 1)]
+    df = spark.createDataFrame([*rows, *odd], TICKS).withColumn("tradeTime", F.timestamp_seconds("s"))
+    got = study(Spread(most, max(most // 2, 1), 50), past=past).past_features(df)
+    want = set()
+    for key, t, i, _, _ in rows:
+        opened = min(r[1] for r in rows if r[0] == key and r[1] // 86_400 == t // 86_400)
+        if 2 * 3600 <= t - opened <= 6 * 3600:
+            near = [r for r in rows if r[0] == key and t - past * 3600 < r[1] <= t]
+            last = max(near, key=lambda r: (r[1], r[2]))
+            want.add((key, i, last[3], max(r[3] for r in near), sum(r[3] * r[4] for r in near), len(near), opened))
+    found = got.withColumn("open_time", F.unix_seconds("open_time")).drop("tradeTime").collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want) > 10
+
+
+def test_past_features_need_one_shuffle_and_no_join(spark):
+    df = spark.createDataFrame([("a", 0, 1, 9, 1)], TICKS).withColumn("tradeTime", F.timestamp_seconds("s"))
+
+    def plan(**durations):
+        return study(DEFAULT, **durations).past_features(df)._jdf.queryExecution().executedPlan().toString()
+
+    assert plan().count("Exchange") == 1 and "Join" not in plan()
+    assert "Join" in plan(slice_from=1)
+
+
 def nearest(left, right, direction, keyed=True, tolerance=None):
     want = set()
     for key, t, i in left:

@@ -100,6 +100,22 @@ def of_likely_large(df: DataFrame, by: list[str], spread: Spread) -> DataFrame |
     return None if found is None else df.join(found, _same(df, found, by), "left_semi")
 
 
+def parted_by_size(
+    df: DataFrame, by: Sequence[str], spread: Spread = DEFAULT
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the groups below ``min_rows``, and those of the larger ones (None if there is none)."""
+    by = list(by)
+    rows = of_likely_large(df, by, spread)
+    if rows is None:
+        return df, None
+    sizes = rows.groupBy(*[F.col(k).alias(f"_r_{k}") for k in by]).agg(F.count(F.lit(1)).alias("_n"))
+    large = bounded_table(sizes.where(F.col("_n") >= spread.min_rows).drop("_n"), spread.max_groups)
+    if large is None:
+        return df, None
+    same = _same(df, large, by)
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
+
+
 def _same(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> Column:
     """Row of ``df`` belongs to the row of ``table``, whose keys are named ``_r_``; null equals null."""
     same = F.lit(True)

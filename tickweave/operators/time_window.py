@@ -100,7 +100,7 @@ def _crowded_keys(df: DataFrame, key: str, period: int, spread: Spread) -> DataF
 
 def time_window(
     df: DataFrame, key: str, ts: str, period: int, outputs: Sequence[Rolling],
-    order: Sequence[str], spread: Spread = DEFAULT,
+    order: Sequence[str], spread: Spread = DEFAULT, within: Sequence[str] = (),
 ) -> DataFrame:
     """Add rolling values over the last ``period`` microseconds, ties included.
 
@@ -113,7 +113,12 @@ def time_window(
     Keys too crowded for that get ``k`` shorter spans per period, as many as their densest
     moment asks for. Their rows go ``k`` spans ahead, and the whole spans between are summed up
     in a table with one row per span, which each span receives as a seed row.
+
+    With ``within``, windows hold only rows equal in these columns too. The groups of
+    (key, within) must be small then: a ``df`` that is already partitioned by them, or by some
+    of them, is not shuffled again, and no group is cut.
     """
+    keys = [key, *within]
     rolled = [o for o in outputs if o.kind != "last"]
     lasts = [o for o in outputs if o.kind == "last"]
     based = df.select(
@@ -126,7 +131,7 @@ def time_window(
             for o in rolled
         ],
     )
-    table = _crowded_keys(based, key, period, spread)
+    table = None if within else _crowded_keys(based, key, period, spread)
     if table is not None:
         based = based.join(table, based[key].eqNullSafe(table["_r_key"]), "left")
         based = based.drop("_r_key").withColumn(_SPLITS, F.coalesce(_SPLITS, F.lit(1).cast("long")))
@@ -141,8 +146,8 @@ def time_window(
     own = F.col(f"_copy.{_ROLE}") == _OWN
     values = [f"_v_{o.name}" for o in rolled]
     rows = based.withColumn("_copy", F.explode(copies)).select(
-        key,
-        *[F.when(own, F.col(c)).alias(c) for c in dict.fromkeys([*df.columns, "_t"]) if c != key],
+        *keys,
+        *[F.when(own, F.col(c)).alias(c) for c in dict.fromkeys([*df.columns, "_t"]) if c not in keys],
         *values,
         "_copy.*",
     )
@@ -150,11 +155,11 @@ def time_window(
         between = _whole_spans_between(based, key, rolled)
         rows = rows.unionByName(between, allowMissingColumns=True)
 
-    part = Window.partitionBy(key, _SPAN)
+    part = Window.partitionBy(*keys, _SPAN)
     upto = part.orderBy(_SHIFTED).rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
     def value_of(o: Rolling) -> Column:
-        parts = _both_spans(o, [key, _SPAN])
+        parts = _both_spans(o, [*keys, _SPAN])
         if table is not None:
             parts.append(F.max(_only(_BETWEEN, o)).over(part))
         return _merge(o.kind, parts)

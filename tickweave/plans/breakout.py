@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.times import EXCHANGE_ZONE, HOUR, MINUTE, local_date
 from ..operators.evaluate import (
@@ -15,7 +15,7 @@ from ..operators.labels import breakout_label, future_windows, with_benchmark_de
 from ..operators.boosting import Boosting, fit_rounds, models, score_by_key
 from ..operators.model_store import load_manifest, save_models
 from ..operators.models import BREAKOUT_FEATURES, fit_breakout_model, score_rows
-from ..operators.spread import DEFAULT, Spread
+from ..operators.spread import DEFAULT, Spread, parted_by_size
 from ..operators.split import chrono_split
 from ..operators.time_window import Rolling, after_open, open_times, time_window
 from ..session import stage
@@ -49,7 +49,9 @@ class BreakoutStudy:
 
         A window of such a row starts after the open when the slice starts no
         earlier than the window is long; then only the rows up to the slice's
-        end take part, and the rest of the day is dropped before the shuffle.
+        end take part, and no window leaves its day: open time and windows come from one shuffle by
+        (security, day). Days too large for one task, and all days where windows
+        reach further back, get their open time by a join, and spans of their own.
         """
         dated = ticks.withColumns(
             {
@@ -57,10 +59,25 @@ class BreakoutStudy:
                 "_volume": F.col(self.size) * F.col(self.price),
             }
         )
-        opened = dated.join(open_times(dated, self.key, "trade_day", self.ts), [self.key, "trade_day"])
-        if self.slice_from >= self.past:
-            opened = after_open(opened, self.ts, "open_time", 0, self.slice_to)
-        rolled = time_window(
+        if self.slice_from < self.past:
+            return self._slice(self._rolled(self._opened(dated)))
+        whole, large = parted_by_size(dated, [self.key, "trade_day"], self.spread)
+        whole = whole.where(F.col(self.key).isNotNull() & F.col("trade_day").isNotNull())
+        day = Window.partitionBy(self.key, "trade_day")
+        opened = self._first_hours(whole.withColumn("open_time", F.min(self.ts).over(day)))
+        found = self._slice(self._rolled(opened, ["trade_day"]))
+        if large is None:
+            return found
+        return found.unionByName(self._slice(self._rolled(self._first_hours(self._opened(large)))))
+
+    def _opened(self, dated: DataFrame) -> DataFrame:
+        return dated.join(open_times(dated, self.key, "trade_day", self.ts), [self.key, "trade_day"])
+
+    def _first_hours(self, opened: DataFrame) -> DataFrame:
+        return after_open(opened, self.ts, "open_time", 0, self.slice_to)
+
+    def _rolled(self, opened: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+        return time_window(
             opened, self.key, self.ts, self.past,
             [
                 Rolling("current_price", "last", self.price),
@@ -68,8 +85,10 @@ class BreakoutStudy:
                 Rolling("past_volume", "sum", "_volume"),
                 Rolling("past_tick_count", "count"),
             ],
-            list(self.order), self.spread,
+            list(self.order), self.spread, within,
         )
+
+    def _slice(self, rolled: DataFrame) -> DataFrame:
         sliced = after_open(rolled, self.ts, "open_time", self.slice_from, self.slice_to)
         return sliced.select(
             self.key, self.ts, *self.order, "current_price", "past_max_price", "past_volume",
