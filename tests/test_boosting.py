@@ -99,3 +99,50 @@ def test_store_keeps_what_passed_its_gate(spark, tmp_path):
     kept = load_models(spark, path, "isin")
     assert sorted(r.isin for r in kept.collect()) == ["a", "b"]  # a keeps its earlier model
     assert score_by_key(df, kept.drop("run_id"), "isin", ["x", "z"], how).count() == 120
+
+
+def test_securities_fitted_together_get_the_trees_of_each_alone(spark):
+    df = study_rows(spark, 90, "abcdefgh")
+    how = Boosting(rounds=4, depth=3, bins=8, min_leaf=5, logistic=True, patience=2)
+    whole = {(r.isin, r.round): r for r in fitted(df, "y", how, "late")[1].collect()}
+    for key in "ac":
+        alone = fitted(df.where(F.col("isin") == key), "y", how, "late")[1].collect()
+        assert len(alone) == sum(k == key for k, _ in whole)
+        for r in alone:
+            assert r[2:] == whole[key, r.round][2:]
+
+
+def test_a_batch_and_blocks_take_few_jobs(spark):
+    """Securities of a batch are one group of a task; a level of blocks is one job without a write."""
+    from tickweave.operators import boosting
+
+    counted, made = boosting.stage, []
+    boosting.stage = lambda df: made.append(1) or counted(df)
+    try:
+        how = Boosting(rounds=6, depth=2, bins=8, min_leaf=5, block_rows=40)
+        _, rounds, _ = fitted(study_rows(spark, 130), "r", how)
+    finally:
+        boosting.stage = counted
+    assert rounds.groupBy("isin").count().where("count = 6").count() == 2
+    assert len(made) <= 4  # 6 rounds of 2 levels were 26 writes
+
+
+@pytest.mark.parametrize("few", [0, 500])
+def test_pooled_return_model_in_blocks(spark, monkeypatch, few):
+    from tickweave.operators import boosting
+    from tickweave.operators.models import fit_return_model, save_model, score_rows
+
+    monkeypatch.setattr(boosting, "FEW_SUMS", few)
+    monkeypatch.setattr(boosting, "ROUNDS_KEPT", 2)
+    monkeypatch.setattr(boosting, "IN_BLOCK", 50)
+    df = study_rows(spark, 150)
+    found = []
+    for block_rows in (1000, 100):
+        model = fit_return_model(df, ["x", "z"], "r", rounds=3, depth=3, block_rows=block_rows)
+        scored = score_rows(model, df)
+        assert scored.columns == [*df.columns, "score"]
+        found.append(sorted((r.isin, r.x, round(r.score, 9)) for r in scored.collect()))
+        assert scored.agg(F.avg("score") - F.avg("r")).first()[0] == pytest.approx(0, abs=1e-9)
+    assert found[0] == found[1]
+    with pytest.raises(ValueError):
+        fit_return_model(df.limit(0), ["x", "z"], "r", rounds=1)

@@ -2,10 +2,11 @@
 
 Features are binned once, by quantiles of their security. A tree grows level by level: the
 gradients of a level are summed by (security, node, feature, bin), and every node takes the split
-of greatest gain. Securities of up to ``block_rows`` rows do this within one task each. The rows
-of larger ones lie in blocks of that size: each level is one pass over the blocks, whose
-histograms Spark adds up, so no task ever holds more than one block. Both ways use the
-same functions and bins and build the same trees.
+of greatest gain. Securities of up to ``block_rows`` rows share tasks: a batch of them is one set of
+arrays, and a level is one sum for all. The rows of larger ones lie in cached blocks: each
+level is one job over the blocks, whose histograms are added up in the task, then by security,
+and only the splits come back. Scores move along with the first level of the next tree.
+Both ways use the same functions and bins and build the same trees.
 
 Every round gives a tree and, with validation rows, a loss per security. The round kept is
 the one of least loss; a security stops when ``patience`` rounds brought no smaller one.
@@ -16,14 +17,17 @@ tree. Missing feature values count as the smallest. Keys must not be null.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, functions as F
 
-from ..session import stage
+from ..session import broadcast_if_small, stage
 
 
 @dataclass(frozen=True)
@@ -41,54 +45,51 @@ class Boosting:
 
 
 class Tree:
-    """Splits and values by node: the root is 1, the children of n are 2n and 2n + 1."""
+    """Splits and values by node: the root is 1, the children of n are 2n and 2n + 1.
 
-    def __init__(self, depth: int) -> None:
-        size = 2 << depth
-        self.feature = np.full(size, -1, dtype=np.int32)
-        self.cut = np.zeros(size, dtype=np.int32)
-        self.value = np.zeros(size)
+    Several trees lie behind one another.
+    """
 
-    @classmethod
-    def read(cls, feature, cut, value) -> Tree:
-        tree = cls(0)
-        tree.feature, tree.cut = np.array(feature, dtype=np.int32), np.array(cut, dtype=np.int32)
-        tree.value = np.array(value, dtype=float)
-        return tree
+    def __init__(self, depth: int, count: int = 1) -> None:
+        size = count * (2 << depth)
+        self.feature = np.full(size, -1, dtype=np.int64)
+        self.cut = np.zeros(size, dtype=np.int64)
+        self.value = np.zeros(size)
 
     def descend(self, bins: np.ndarray, levels: int) -> np.ndarray:
-        """The node of every row after some levels; a row stays where no split is."""
-        node, rows = np.ones(len(bins), dtype=np.int64), np.arange(len(bins))
+        """The node of every row after some levels; ``bins`` by feature and row. A row stays where no split is."""
+        node, rows = np.ones(bins.shape[1], dtype=np.int64), np.arange(bins.shape[1])
         for _ in range(levels):
-            feature = self.feature[node]
-            right = bins[rows, np.maximum(feature, 0)] > self.cut[node]
-            node = np.where(feature >= 0, 2 * node + right, node)
+            rows = rows[self.feature[node[rows]] >= 0]
+            at = node[rows]
+            node[rows] = 2 * at + (bins[self.feature[at], rows] > self.cut[at])
         return node
 
-    def split(self, level: int, sums: np.ndarray, how: Boosting) -> None:
-        """Split the nodes of a level by their ``sums`` (node, feature, bin, of gradient, hessian and rows)."""
-        first = 1 << level
-        total = sums[:, 0].sum(axis=1)
-        if level == 0:
-            self.value[1] = _value(total[0], how.step)
-        left = np.cumsum(sums, axis=2)[:, :, :-1]
-        right = total[:, None, None] - left
-        fits = (np.minimum(left[..., 2], right[..., 2]) >= how.min_leaf) & (np.minimum(left[..., 1], right[..., 1]) > 1e-3)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            whole = total[:, 0] ** 2 / total[:, 1]
-            gain = left[..., 0] ** 2 / left[..., 1] + right[..., 0] ** 2 / right[..., 1] - whole[:, None, None]
-        gain = np.where(fits, gain, -np.inf).reshape(len(sums), -1)
-        best = gain.argmax(axis=1)
-        for n in np.flatnonzero(gain[np.arange(len(sums)), best] > 1e-12):
-            feature, cut = divmod(int(best[n]), sums.shape[2] - 1)
-            node = first + n
-            self.feature[node], self.cut[node] = feature, cut
-            self.value[2 * node] = _value(left[n, feature, cut], how.step)
-            self.value[2 * node + 1] = _value(right[n, feature, cut], how.step)
-
-
-def _value(sums: np.ndarray, step: float) -> float:
-    return -step * sums[0] / sums[1] if sums[1] > 0 else 0.0
+    def split(self, nodes: np.ndarray, feature, cut, left, right) -> None:
+        self.feature[nodes], self.cut[nodes] = feature, cut
+        self.value[2 * nodes], self.value[2 * nodes + 1] = left, right
+
+
+def _values(sums: np.ndarray, step: float) -> np.ndarray:
+    """The value of a node by its sums of gradient and hessian (last axis)."""
+    return np.where(sums[..., 1] > 0, -step * sums[..., 0] / np.where(sums[..., 1] > 0, sums[..., 1], 1), 0.0)
+
+
+def _best_splits(sums: np.ndarray, how: Boosting):
+    """Of ``sums`` (node, feature, bin, of gradient, hessian and rows): the nodes to split, each with
+    the feature and cut of greatest gain and the values of its children."""
+    total = sums[:, 0].sum(axis=1)
+    left = np.cumsum(sums, axis=2)[:, :, :-1]
+    right = total[:, None, None] - left
+    fits = (np.minimum(left[..., 2], right[..., 2]) >= how.min_leaf) & (np.minimum(left[..., 1], right[..., 1]) > 1e-3)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        whole = total[:, 0] ** 2 / total[:, 1]
+        gain = left[..., 0] ** 2 / left[..., 1] + right[..., 0] ** 2 / right[..., 1] - whole[:, None, None]
+    gain = np.where(fits, gain, -np.inf).reshape(len(sums), -1)
+    best = gain.argmax(axis=1)
+    hit = np.flatnonzero(gain[np.arange(len(sums)), best] > 1e-12)
+    feature, cut = np.divmod(best[hit], sums.shape[2] - 1)
+    return hit, feature, cut, _values(left[hit, feature, cut], how.step), _values(right[hit, feature, cut], how.step)
 
 
 def _slopes(score: np.ndarray, label: np.ndarray, how: Boosting) -> tuple[np.ndarray, np.ndarray]:
@@ -102,16 +103,18 @@ def _loss(score: np.ndarray, label: np.ndarray, how: Boosting) -> np.ndarray:
     return np.logaddexp(0, score) - label * score if how.logistic else (score - label) ** 2
 
 
-def _level_sums(bins, score, label, is_valid, tree: Tree, level: int, how: Boosting) -> np.ndarray:
-    """Gradients, hessians and rows of the training rows by (node of the level, feature, bin)."""
-    node = tree.descend(bins, level)
-    use = np.flatnonzero(~is_valid & (node >= 1 << level))
-    n_features = bins.shape[1]
-    slope, bend = _slopes(score[use], label[use], how)
-    cell = ((node[use] - (1 << level))[:, None] * n_features + np.arange(n_features)) * how.bins + bins[use]
-    cells, size = cell.ravel(), (1 << level) * n_features * how.bins
-    sums = [np.bincount(cells, np.repeat(w, n_features), size) for w in (slope, bend, np.ones(len(use)))]
-    return np.stack(sums, axis=1).reshape(1 << level, n_features, how.bins, 3)
+def _slot_sums(bins, slope, bend, rows, slots, n_slots: int, how: Boosting) -> np.ndarray:
+    """Gradients, hessians and rows of ``rows`` by (slot, feature, bin)."""
+    sums = np.empty((n_slots, len(bins), how.bins, 3))
+    slope, first, size = slope[rows], slots * how.bins, n_slots * how.bins
+    bend = bend[rows] if how.logistic else None
+    for f, mine in enumerate(bins):
+        cell = first + mine[rows]
+        n = np.bincount(cell, minlength=size)
+        sums[:, f, :, 0] = np.bincount(cell, slope, size).reshape(n_slots, -1)
+        sums[:, f, :, 1] = (n if bend is None else np.bincount(cell, bend, size)).reshape(n_slots, -1)
+        sums[:, f, :, 2] = n.reshape(n_slots, -1)
+    return sums
 
 
 def _base(mean: float, how: Boosting) -> float:
@@ -121,29 +124,75 @@ def _base(mean: float, how: Boosting) -> float:
     return float(np.log(mean / (1 - mean)))
 
 
-def _fit_one(bins, label, is_valid, base: float, how: Boosting):
-    """(loss or None, tree) of each round for one security held whole."""
-    score, best, best_round = np.full(len(label), base), np.inf, 0
+def _grow(bins, label, score, learn, owner, n_owners: int, how: Boosting):
+    """One tree for each of some securities, and the node of every row; ``owner`` is the security of a row.
+
+    A node is at (owner, node) of the flat arrays. Nodes too small for two children are not summed.
+    """
+    size = 2 << how.depth
+    trees, first = Tree(how.depth, n_owners), owner * size
+    slope, bend = _slopes(score, label, how)
+    roots = np.stack([np.bincount(owner[learn], w[learn], n_owners) for w in (slope, bend)], axis=1)
+    trees.value[1::size] = _values(roots, how.step)
+    node, live = np.ones(len(label), dtype=np.int64), np.arange(len(label))
+    for _ in range(how.depth):
+        at = first[learn] + node[learn]
+        wanted = np.flatnonzero(np.bincount(at, minlength=n_owners * size) >= max(2 * how.min_leaf, 1))
+        if not len(wanted):
+            break
+        slots = np.full(n_owners * size, -1)
+        slots[wanted] = np.arange(len(wanted))
+        large = slots[at] >= 0
+        learn, slots = learn[large], slots[at[large]]
+        hit, feature, cut, left, right = _best_splits(_slot_sums(bins, slope, bend, learn, slots, len(wanted), how), how)
+        nodes = wanted[hit]
+        if not len(nodes):
+            break
+        trees.feature[nodes], trees.cut[nodes] = feature, cut
+        child = nodes + nodes % size
+        trees.value[child], trees.value[child + 1] = left, right
+        live = live[trees.feature[first[live] + node[live]] >= 0]
+        learn = learn[trees.feature[first[learn] + node[learn]] >= 0]
+        at = first[live] + node[live]
+        node[live] = 2 * node[live] + (bins[trees.feature[at], live] > trees.cut[at])
+    return trees, node
+
+
+def _fit_batch(bins, label, is_valid, owner, base: np.ndarray, how: Boosting):
+    """(round from 1, owners, losses, trees in flat arrays) of each round for the securities of a batch."""
+    n, size = len(base), 2 << how.depth
+    score, best, best_round, active = base[owner], np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.arange(n)
     for k in range(how.rounds):
-        tree = Tree(how.depth)
-        for level in range(how.depth):
-            tree.split(level, _level_sums(bins, score, label, is_valid, tree, level, how), how)
-        score += tree.value[tree.descend(bins, how.depth)]
-        loss = float(_loss(score[is_valid], label[is_valid], how).mean()) if is_valid.any() else None
-        yield loss, tree
-        if loss is not None and loss < best:
-            best, best_round = loss, k
-        if how.patience and loss is not None and k - best_round >= how.patience:
-            return
-
-
-def _binned(table: pa.Table, features: Sequence[str], edges: list) -> np.ndarray:
-    columns = []
-    for name, cuts in zip(features, edges):
-        values = table.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        trees, node = _grow(bins, label, score, np.flatnonzero(~is_valid), owner, n, how)
+        score = score + trees.value[owner * size + node]
+        late = np.flatnonzero(is_valid)
+        n_late = np.bincount(owner[late], minlength=n)
+        total = np.bincount(owner[late], _loss(score[late], label[late], how), n)
+        loss = np.where(n_late > 0, total / np.maximum(n_late, 1), np.nan)
+        yield k + 1, active, loss[active], trees
+        better = loss < best
+        best, best_round = np.where(better, loss, best), np.where(better, k, best_round)
+        if how.patience:
+            stops = (n_late > 0) & (k - best_round >= how.patience)
+            active = active[~stops[active]]
+            if not len(active):
+                return
+            stay = np.flatnonzero(~stops[owner])
+            if len(stay) < len(owner):
+                bins, label, is_valid, owner, score = bins[:, stay], label[stay], is_valid[stay], owner[stay], score[stay]
+
+
+def _binned(columns: Sequence[np.ndarray], edges: list) -> np.ndarray:
+    """Bins by feature and row."""
+    found = np.zeros((len(columns), len(columns[0]) if columns else 0), np.uint8)
+    for k, (values, cuts) in enumerate(zip(columns, edges)):
         values = np.where(np.isnan(values), -np.inf, values)
-        columns.append(np.searchsorted(np.array(cuts or [], dtype=float), values, side="left"))
-    return np.stack(columns, axis=1).astype(np.uint8) if columns else np.zeros((table.num_rows, 0), np.uint8)
+        found[k] = np.searchsorted(np.array(cuts or [], dtype=float), values, side="left")
+    return found
+
+
+def _floats(table, names: Sequence[str]) -> list[np.ndarray]:
+    return [table.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False) for name in names]
 
 
 def profiles(rows: DataFrame, key: str, features: Sequence[str], label: str, valid: str | None, how: Boosting) -> DataFrame:
@@ -173,146 +222,242 @@ def _in_blocks(rows: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame,
 def fit_rounds(
     rows: DataFrame, key: str, features: Sequence[str], label: str, valid: str | None = None, how: Boosting = Boosting()
 ) -> tuple[DataFrame, DataFrame]:
-    """The profiles, and one row per security and round: round (from 1), loss, feature, cut, value, error."""
+    """The profiles, and one row per security and round: round (from 1), loss, feature, cut, value, error.
+
+    The lists of a tree end after its last node.
+    """
     features = list(features)
     known = profiles(rows, key, features, label, valid, how)
     flags = F.lit(False) if valid is None else F.col(valid)
     columns = [F.col(key), *(F.col(c).cast("double").alias(f"_f{k}") for k, c in enumerate(features))]
     data = rows.select(*columns, F.col(label).cast("double").alias("_label"), flags.alias("_valid"))
-    small = _fit_small(data, known.where("_blocks = 1 or _odd"), key, len(features), how)
-    large = known.where("_blocks > 1 and not _odd")
+    failed = known.where("_odd").select(
+        key, F.lit(0).alias("round"), *(F.lit(None).cast(k).alias(n) for n, k in ROUND_KINDS[1:-1]),
+        F.lit("labels are not all finite numbers").alias("error"),
+    )
+    found = _fit_small(data, known, key, len(features), how).unionByName(failed)
+    large = known.where("_blocks > 1 and not _odd").where(F.col(key).isNotNull())
     if large.isEmpty():
-        return known, stage(small)
-    return known, stage(small.unionByName(_fit_large(data, stage(large), key, len(features), how)))
+        return known, stage(found)
+    return known, stage(found.unionByName(_fit_large(data, large, key, len(features), how)))
 
 
 ROUND = "round int, loss double, feature array<int>, cut array<int>, value array<double>, error string"
-
-
-def _round_columns(found: list) -> list:
-    kinds = (pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.string())
-    return [pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * len(kinds), kinds)]
-
-
-ROUND_NAMES = [part.split()[0] for part in ROUND.split(", ")]
+ROUND_KINDS = [tuple(part.split()) for part in ROUND.split(", ")]
+ROUND_NAMES = [name for name, _ in ROUND_KINDS]
+#: Rows of a task that fits small securities; a larger security may come on top.
+BATCH_ROWS = 50_000
+#: Rows of a block, and of a task over blocks, when large securities are fitted.
+IN_BLOCK, IN_TASK = 50_000, 2_000_000
+#: Rounds between two writes of the blocks: shorter lineage against less disk.
+ROUNDS_KEPT = 20
+#: Most sums of a level, one per security and task, that the driver adds up by itself; more are shuffled.
+FEW_SUMS = 500
+
+
+def _tree_lists(trees: Tree, depth: int, owners: np.ndarray) -> list[pa.Array]:
+    """The lists feature, cut, value of some securities in flat arrays, each up to its last node."""
+    size = 2 << depth
+    splits = trees.feature.reshape(-1, size)[owners] >= 0
+    last = np.where(splits.any(axis=1), size - 1 - splits[:, ::-1].argmax(axis=1), 0)
+    lengths = 2 * last + 2
+    kept = np.arange(size) < lengths[:, None]
+    offsets = pa.array(np.r_[0, np.cumsum(lengths)], pa.int32())
+    flat = [
+        pa.array(getattr(trees, name).reshape(-1, size)[owners][kept], kind)
+        for name, kind in (("feature", pa.int32()), ("cut", pa.int32()), ("value", pa.float64()))
+    ]
+    return [pa.ListArray.from_arrays(offsets, values) for values in flat]
 
 
 def _fit_small(data: DataFrame, known: DataFrame, key: str, n_features: int, how: Boosting) -> DataFrame:
+    """Securities dealt by hash to batches; a task fits all of a batch at once."""
     kind = data.schema[key].dataType.simpleString()
+    names = [f"_f{k}" for k in range(n_features)]
+    whole = (F.col("_blocks") <= 1) & ~F.col("_odd")
+    n_rows = known.where(whole).agg(F.sum("_rows")).first()[0] or 0
+    deal = F.pmod(F.xxhash64(key), F.lit(max(8, -(-n_rows // BATCH_ROWS)))).alias("_batch")
 
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
-        info, found = known.to_pylist()[0], []
-        if info["_odd"]:
-            found.append((0, None, None, None, None, "labels are not all finite numbers"))
-        else:
-            bins = _binned(rows, [f"_f{k}" for k in range(n_features)], info["_edges"])
-            label, is_valid = rows.column("_label").to_numpy(), rows.column("_valid").to_numpy(zero_copy_only=False).astype(bool)
-            base = _base(info["_mean"] or 0.0, how)
-            for k, (loss, tree) in enumerate(_fit_one(bins, label, is_valid, base, how)):
-                found.append((k + 1, loss, tree.feature.tolist(), tree.cut.tolist(), tree.value.tolist(), None))
-        keys = pa.array([info["_key"]] * len(found), known.column("_key").type)
-        return pa.table([keys, *_round_columns(found)], [key, *ROUND_NAMES])
-
-    # Of a security that fails, no rows are needed.
-    mine = data.join(known.where("not _odd").select(key), key, "left_semi")
-    named = known.withColumnRenamed(key, "_key")
-    return mine.groupBy(key).cogroup(named.groupBy("_key")).applyInArrow(run, f"`{key}` {kind}, {ROUND}")
+        keys, parts = known.column("_key").combine_chunks(), []
+        owner = pc.index_in(rows.column(key), value_set=keys).to_numpy().astype(np.int64)
+        order = np.argsort(owner, kind="stable")
+        rows, owner = rows.take(pa.array(order)), owner[order]
+        ends = np.searchsorted(owner, np.arange(len(keys) + 1))
+        columns, bins = _floats(rows, names), np.zeros((n_features, len(owner)), np.uint8)
+        for k, edges in enumerate(known.column("_edges").to_pylist()):
+            mine = slice(ends[k], ends[k + 1])
+            bins[:, mine] = _binned([c[mine] for c in columns], edges)
+        label, is_valid = rows.column("_label").to_numpy(), rows.column("_valid").to_numpy().astype(bool)
+        base = np.array([_base(m or 0.0, how) for m in known.column("_mean").to_pylist()])
+        for k, owners, loss, trees in _fit_batch(bins, label, is_valid, owner, base, how):
+            n = len(owners)
+            lists = _tree_lists(trees, how.depth, owners)
+            loss = pa.array(loss, mask=np.isnan(loss))
+            columns = [keys.take(pa.array(owners)), pa.array(np.full(n, k), pa.int32()), loss, *lists, pa.nulls(n, pa.string())]
+            parts.append(pa.table(columns, [key, *ROUND_NAMES]))
+        return pa.concat_tables(parts)
+
+    # Few securities are large or fail; their rows are not needed here.
+    others = broadcast_if_small(known.where(~whole).select(key))
+    mine = data.where(F.col(key).isNotNull()).join(others, key, "left_anti").select("*", deal)
+    named = known.where(whole & F.col(key).isNotNull()).select("*", deal).withColumnsRenamed({key: "_key", "_batch": "_in"})
+    return mine.groupBy("_batch").cogroup(named.groupBy("_in")).applyInArrow(run, f"`{key}` {kind}, {ROUND}")
 
 
 def _fit_large(data: DataFrame, known: DataFrame, key: str, n_features: int, how: Boosting) -> DataFrame:
-    """One pass over the blocks per level and one per round; histograms are added up by Spark."""
-    kind = data.schema[key].dataType.simpleString()
+    """One job over the cached blocks per level; the driver holds the growing trees only.
+
+    Large securities are fewer than rows / ``block_rows``; so are trees held at once.
+    """
+    spark, kind = data.sparkSession, data.schema[key].dataType.simpleString()
+    names = [f"_f{k}" for k in range(n_features)]
+    infos = {r[key]: (r._edges, _base(r._mean or 0.0, how)) for r in known.collect()}
+    n_rows = known.agg(F.sum("_rows")).first()[0]
+    n_tasks = max(spark.sparkContext.defaultParallelism, -(-n_rows // IN_TASK))
+    parts = ("bins", "label", "valid", "score")
     block = f"`{key}` {kind}, bins binary, label binary, valid binary, score binary"
-    cells = n_features * how.bins
-
-    def pack(rows: pa.Table, known: pa.Table) -> pa.Table:
-        info = known.to_pylist()[0]
-        bins = _binned(rows, [f"_f{k}" for k in range(n_features)], info["_edges"])
-        label = rows.column("_label").to_numpy().astype(float)
-        is_valid = rows.column("_valid").to_numpy(zero_copy_only=False).astype(bool)
-        score = np.full(len(label), _base(info["_mean"] or 0.0, how))
-        parts = [pa.array([a.tobytes()], pa.binary()) for a in (bins, label, is_valid, score)]
-        n = min(1, rows.num_rows)
-        return pa.table([pa.array([info["_key"]], known.column("_key").type), *parts], [key, "bins", "label", "valid", "score"]).slice(0, n)
 
-    def unpack(batch: pa.RecordBatch, k: int):
-        bins, label, valid, score = (batch.column(c)[k].as_py() for c in ("bins", "label", "valid", "score"))
-        flat = np.frombuffer(bins, dtype=np.uint8).reshape(-1, n_features)
-        return flat, np.frombuffer(label), np.frombuffer(valid, dtype=bool), np.frombuffer(score)
-
-    def tree_of(batch: pa.RecordBatch, k: int) -> Tree:
-        return Tree.read(*(batch.column(c)[k].as_py() for c in ("feature", "cut", "value")))
-
-    placed, each = _in_blocks(data, known, key)
-    blocks = stage(placed.groupBy(key, "_block").cogroup(each.groupBy("_key", "_at")).applyInArrow(pack, block))
-    blank = Tree(how.depth)
-    start = [F.lit([getattr(blank, c).item(0)] * len(blank.value)).alias(c) for c in ("feature", "cut", "value")]
-    tree_type = f"`{key}` {kind}, feature array<int>, cut array<int>, value array<double>"
-    active, done, losses = known.select(key), None, None
+    def pack(batches):
+        held, sizes = {}, Counter()
+
+        def out(name):
+            rows = pa.Table.from_batches(held.pop(name))
+            edges, base = infos[name]
+            bins = _binned(_floats(rows, names), edges)
+            label = rows.column("_label").to_numpy().astype(float)
+            is_valid = rows.column("_valid").to_numpy().astype(bool)
+            content = (bins, label, is_valid, np.full(len(label), base))
+            sizes[name] = 0
+            return pa.record_batch([pa.array([name], rows.column(key).type), *(pa.array([a.tobytes()], pa.binary()) for a in content)], [key, *parts])
+
+        for batch in batches:
+            for name in pc.unique(batch.column(key)):
+                mine = batch.filter(pc.equal(batch.column(key), name))
+                name = name.as_py()
+                held.setdefault(name, []).append(mine)
+                sizes[name] += mine.num_rows
+                if sizes[name] >= IN_BLOCK:
+                    yield out(name)
+        for name in list(held):
+            yield out(name)
 
-    for k in range(how.rounds):
-        trees = active.select(key, *start)
-        for level in range(how.depth):
+    def unpack(batch: pa.RecordBatch, k: int):
+        bins, label, valid, score = (batch.column(c)[k].as_buffer() for c in parts)
+        label = np.frombuffer(label)
+        return np.frombuffer(bins, dtype=np.uint8).reshape(n_features, len(label)), label, np.frombuffer(valid, dtype=bool), np.frombuffer(score)
 
-            def sums(batches, level=level):
-                for batch in batches:
-                    for r in range(batch.num_rows):
-                        bins, label, valid, score = unpack(batch, r)
-                        found = _level_sums(bins, score, label, valid, tree_of(batch, r), level, how).reshape(-1, 3)
-                        hit = np.flatnonzero(found[:, 2])
-                        keys = pa.array([batch.column(key)[r].as_py()] * len(hit), batch.column(key).type)
-                        yield pa.record_batch([keys, pa.array(hit), *(pa.array(found[hit, c]) for c in range(3))], [key, "cell", "g", "h", "n"])
-
-            def split(found: pa.Table, trees: pa.Table, level=level) -> pa.Table:
-                tree = tree_of(trees.to_batches()[0], 0)
-                whole = np.zeros(((1 << level) * cells, 3))
-                at = found.column("cell").to_numpy()
-                for c, name in enumerate(("g", "h", "n")):
-                    whole[at, c] = found.column(name).to_numpy()
-                tree.split(level, whole.reshape(1 << level, n_features, how.bins, 3), how)
-                lists = [pa.array([getattr(tree, c).tolist()], t) for c, t in zip(("feature", "cut", "value"), (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64())))]
-                return pa.table([trees.column("_key"), *lists], [key, "feature", "cut", "value"])
-
-            # A security has at most (nodes of the level) x features x bins sums, whatever its rows.
-            parts = blocks.join(trees, key).mapInArrow(sums, f"`{key}` {kind}, cell long, g double, h double, n double")
-            added = parts.groupBy(key, "cell").agg(*(F.sum(c).alias(c) for c in "ghn"))
-            named = trees.withColumnRenamed(key, "_key").groupBy("_key")
-            # A level without training rows at its nodes leaves a tree as it is.
-            grown = stage(added.groupBy(key).cogroup(named).applyInArrow(split_or_keep(split, key), tree_type))
-            trees = grown
+    def level_job(blocks: DataFrame, trees: dict, level: int) -> dict:
+        """By security: root value, loss, the nodes to split with feature, cut and values."""
+        first = 1 << level
 
-        def move(batches):
+        def sums(batches):
+            found = {}
             for batch in batches:
-                for r in range(batch.num_rows):
+                for r, name in enumerate(batch.column(key).to_pylist()):
+                    if name not in trees:
+                        continue
                     bins, label, valid, score = unpack(batch, r)
-                    tree = tree_of(batch, r)
-                    score = score + tree.value[tree.descend(bins, how.depth)]
-                    loss = float(_loss(score[valid], label[valid], how).sum())
-                    same = [batch.column(c).slice(r, 1) for c in (key, "bins", "label", "valid")]
-                    yield pa.record_batch([*same, pa.array([score.tobytes()], pa.binary()), pa.array([loss]), pa.array([int(valid.sum())])], [key, "bins", "label", "valid", "score", "loss", "n"])
-
-        moved = stage(blocks.join(trees, key).mapInArrow(move, block + ", loss double, n long"))
-        blocks = moved.drop("loss", "n")
-        loss = moved.groupBy(key).agg((F.sum("loss") / F.nullif(F.sum("n"), F.lit(0))).alias("loss"))
-        this = stage(trees.join(loss, key).withColumn("round", F.lit(k + 1)))
-        done = this if done is None else done.unionByName(this)
-        if how.patience:
-            losses = best_rounds(done, key)
-            active = stage(losses.where((F.lit(k + 1) - F.col("best") < how.patience) | F.col("least").isNull()).select(key))
-            if active.isEmpty():
+                    node = trees[name].descend(bins, level)
+                    learn = np.flatnonzero(~valid & (node >= first))
+                    slope, bend = _slopes(score, label, how)
+                    part = _slot_sums(bins, slope, bend, learn, node[learn] - first, first, how)
+                    lost = np.zeros(2) if level else np.array([_loss(score[valid], label[valid], how).sum(), valid.sum()])
+                    if name in found:
+                        found[name][0][...] += part
+                        found[name][1][...] += lost
+                    else:
+                        found[name] = part, lost
+                        named = batch.column(key).type
+            for name, (part, lost) in found.items():
+                yield pa.record_batch([pa.array([name], named), pa.array([part.tobytes()], pa.binary()), *(pa.array([x]) for x in lost)], [key, "sums", "lost", "late"])
+
+        def split(found: pa.Table) -> pa.Table:
+            whole = np.zeros((first, n_features, how.bins, 3))
+            for part in found.column("sums"):
+                whole += np.frombuffer(part.as_buffer()).reshape(whole.shape)
+            hit, feature, cut, left, right = _best_splits(whole, how)
+            lost, late = (pc.sum(found.column(c)).as_py() for c in ("lost", "late"))
+            root = float(_values(whole[0, 0].sum(axis=0), how.step))
+            columns = [found.column(key).slice(0, 1), [root], [lost / late if late else None]]
+            kinds = (pa.list_(pa.int64()),) * 3 + (pa.list_(pa.float64()),) * 2
+            columns += [pa.array([x.tolist()], k) for x, k in zip((first + hit, feature, cut, left, right), kinds)]
+            columns[1:3] = [pa.array(c, pa.float64()) for c in columns[1:3]]
+            return pa.table(columns, [key, "root", "loss", "nodes", "feature", "cut", "left_value", "right_value"])
+
+        # A task gives one row per security: nodes x features x bins sums, whatever its rows.
+        tables = blocks.mapInArrow(sums, f"`{key}` {kind}, sums binary, lost double, late double")
+        if len(trees) * n_tasks <= FEW_SUMS:  # a shuffle would take longer than to add up few rows here
+            found = tables.toArrow()
+            each = (split(found.filter(pc.equal(found.column(key), name))) for name in pc.unique(found.column(key)))
+            return {r[key]: Row(**r) for part in each for r in part.to_pylist()}
+        added = tables.groupBy(key).applyInArrow(
+            split, f"`{key}` {kind}, root double, loss double, nodes array<long>, feature array<long>, cut array<long>, "
+            "left_value array<double>, right_value array<double>",
+        )
+        return {r[key]: r for r in added.collect()}
+
+    def moved(blocks: DataFrame, trees: dict) -> DataFrame:
+        def move(batches):
+            for batch in batches:
+                for r, name in enumerate(batch.column(key).to_pylist()):
+                    if name in trees:
+                        bins, _, _, score = unpack(batch, r)
+                        score = score + trees[name].value[trees[name].descend(bins, how.depth)]
+                        same = [batch.column(c).slice(r, 1) for c in (key, "bins", "label", "valid")]
+                        yield pa.record_batch([*same, pa.array([score.tobytes()], pa.binary())], [key, *parts])
+
+        return blocks.mapInArrow(move, block)
+
+    mine = data.join(F.broadcast(known.select(key)), key)
+    stored = stage(mine.mapInArrow(pack, block))
+    blocks = stored.repartition(n_tasks).persist()
+    trees, best, tables, grown = {name: Tree(how.depth) for name in infos}, {}, [], []
+
+    def write() -> None:
+        tables.append(stage(spark.createDataFrame(grown, f"`{key}` {kind}, {ROUND}")))
+        grown.clear()
+
+    def end_round(k: int, found: dict) -> None:
+        """Losses of round k, which the first level after it finds; securities out of patience stop."""
+        for name, row in found.items():
+            lists = _tree_lists(trees[name], how.depth, np.zeros(1, dtype=np.int64))
+            grown.append((name, k, row.loss, *(x[0].as_py() for x in lists), None))
+            if row.loss is not None and row.loss < best.get(name, (np.inf, 0))[0]:
+                best[name] = row.loss, k
+            if how.patience and row.loss is not None and k - best.get(name, (0, 1))[1] >= how.patience:
+                del trees[name]
+
+    for k in range(how.rounds + 1):
+        if k:
+            if k % ROUNDS_KEPT == 0:
+                after = stage(moved(blocks, trees)).repartition(n_tasks).persist()
+            else:
+                after = moved(blocks, trees).persist()
+        else:
+            after = blocks
+        found = level_job(after, trees, 0)
+        if k:
+            blocks.unpersist()
+            end_round(k, found)
+        blocks = after
+        if k and (k % ROUNDS_KEPT == 0 or k == how.rounds or not trees) and grown:
+            write()
+        if k == how.rounds or not trees:
+            break
+        for name in trees:
+            trees[name] = Tree(how.depth)
+            trees[name].value[1] = found[name].root
+        for level in range(how.depth):
+            if level:
+                found = level_job(blocks, trees, level)
+            for name, tree in trees.items():
+                row = found[name]
+                tree.split(*(np.array(x, dtype=t) for x, t in zip((row.nodes, row.feature, row.cut, row.left_value, row.right_value), (int, int, int, float, float))))
+            if not any(row.nodes for row in found.values()):
                 break
-    return done.select(key, "round", "loss", "feature", "cut", "value", F.lit(None).cast("string").alias("error"))
-
-
-def split_or_keep(split, key: str):
-    """``split``, or the tree as it is for a security without sums at this level."""
-
-    def run(found: pa.Table, trees: pa.Table) -> pa.Table:
-        if found.num_rows:
-            return split(found, trees)
-        return trees.rename_columns([key, *trees.column_names[1:]])
-
-    return run
+    blocks.unpersist()
+    return reduce(DataFrame.unionByName, tables)
 
 
 def best_rounds(rounds: DataFrame, key: str) -> DataFrame:
@@ -352,13 +497,41 @@ def score_by_key(rows: DataFrame, fitted: DataFrame, key: str, features: Sequenc
         found = found.drop_columns(["_block"])
         if not model.num_rows or not found.num_rows:
             return found.slice(0, 0).append_column("score", pa.array([], pa.float64()))
-        info = model.to_pylist()[0]
-        bins = _binned(found, features, info["edges"])
-        score = np.full(found.num_rows, info["base"])
-        for t in info["trees"]:
-            tree = Tree.read(t["feature"], t["cut"], t["value"])
-            score += tree.value[tree.descend(bins, how.depth)]
-        return found.append_column("score", pa.array(1 / (1 + np.exp(-score)) if how.logistic else score))
+        edges, base = model.column("edges")[0].as_py(), model.column("base")[0].as_py()
+        trees = forest(model.column("trees").combine_chunks().flatten())
+        return found.append_column("score", pa.array(forest_score(_floats(found, features), edges, base, trees, how)))
 
     placed = placed.select(*rows.columns, "_block")
     return placed.groupBy(key, "_block").cogroup(each.groupBy("_key", "_at")).applyInArrow(run, schema)
+
+
+def forest(trees: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """feature, cut, value by (tree, node) of the trees of one security."""
+    found = []
+    for name, blank in (("feature", -1), ("cut", 0), ("value", 0.0)):
+        lists = trees.field(name)
+        lengths = pc.list_value_length(lists).to_numpy()
+        values = lists.flatten().to_numpy()
+        whole = np.full((len(lists), max(lengths.max(initial=0), 2)), blank, dtype=values.dtype)
+        whole[np.arange(whole.shape[1]) < lengths[:, None]] = values
+        found.append(whole)
+    return tuple(found)
+
+
+def forest_score(columns: Sequence[np.ndarray], edges: list, base: float, trees, how: Boosting, most: int = 500_000) -> np.ndarray:
+    """The predicted value, or the probability of class 1; some trees at a time for all rows."""
+    bins = _binned(columns, edges)
+    n = bins.shape[1]
+    score, step = np.full(n, base), max(1, most // max(n, 1))
+    for k in range(0, len(trees[0]), step):
+        count, width = trees[0][k : k + step].shape
+        feature, cut, value = (x[k : k + step].ravel() for x in trees)
+        first = np.repeat(np.arange(count) * width, n)
+        row, node = np.tile(np.arange(n), count), np.ones(n * count, dtype=np.int64)
+        live = np.arange(n * count)
+        for _ in range(how.depth):
+            live = live[feature[first[live] + node[live]] >= 0]
+            at = first[live] + node[live]
+            node[live] = 2 * node[live] + (bins[feature[at], row[live]] > cut[at])
+        score += value[first + node].reshape(count, n).sum(axis=0)
+    return 1 / (1 + np.exp(-score)) if how.logistic else score

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.boosting import Boosting, fit_rounds, models
 from ..operators.model_store import load_manifest, save_models
-from ..operators.models import RETURN_FEATURES, fit_return_model, score_rows
+from ..operators.models import RETURN_FEATURES, PooledTrees, fit_return_model, score_rows
 from ..operators.spread import DEFAULT, Spread
 from ..operators.tick_window import complete_tick_rows, tick_features
 from ..session import broadcast_if_small, stage
@@ -27,7 +26,7 @@ def training_rows(
     return rows.join(broadcast_if_small(enough), key, "left_semi")
 
 
-def fit_and_score(rows: DataFrame, rounds: int = 100) -> tuple[PipelineModel, DataFrame]:
+def fit_and_score(rows: DataFrame, rounds: int = 100) -> tuple[PooledTrees, DataFrame]:
     """A pooled model on ``rows`` (a stored table) and its fitted values."""
     model = fit_return_model(rows, RETURN_FEATURES, "target_return", rounds)
     return model, score_rows(model, rows)
