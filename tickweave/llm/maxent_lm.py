@@ -3,11 +3,13 @@
 P(token | history) = P(class | history) * P(token | class). The class factor is a
 softmax over ``CLASSES`` classes whose logits are sums of weight rows, one row per
 feature of the history, hashed into ``ROWS`` rows: the last token, the last two, and
-the skip to the second last. The token factor has no history: a softmax with
-one bias per token, whose best fit is the token's count in its class, smoothed like the
-base model (half a count for every token and for an unknown one). The most frequent
-words and the end of a text are classes of their own; other words fall in classes by
-their last two bytes, which carry endings, punctuation and, through them, language.
+the skip to the second last. The most frequent words and the end of a text are classes of
+their own; other words fall in classes by their last two bytes, which carry endings,
+punctuation and, through them, language. The token factor follows a path of two branches of
+``WAYS`` ways by the word's hash, each a softmax of the last token and the last two,
+hashed together with the place on the path. Words that share a leaf (of 256 in a
+class) share its probability by their counts, smoothed like the base model (half a count
+for every token and for an unknown one), so any vocabulary has probabilities that sum to one.
 
 Counts come from all training texts by grouped sums. Weights are trained by distributed
 updates: in each round every task takes its texts' gradient steps from the same weights,
@@ -41,6 +43,13 @@ ENDINGS = CLASSES - OWN - 1
 PARTS = ((1, 1), (1 << 13, 0x9E3779B1), (1 << 14, 0x85EBCA6B), (1 << 13, 0xC2B2AE35))
 ROWS = sum(n for n, _ in PARTS)
 FIRST = [sum(n for n, _ in PARTS[:k]) for k in range(len(PARTS))]
+#: Branches below a class: two, each of WAYS ways, with rows of their own, two in one row of the class weights.
+WAYS, LEAF_SHIFT = 16, 8
+LEAVES = WAYS * WAYS
+NODES = ENDINGS * (1 + WAYS)
+BRANCH_PARTS = ((NODES, 1), (1 << 15, 0x9E3779B1), (1 << 15, 0x85EBCA6B))
+BRANCH_FIRST = [sum(n for n, _ in BRANCH_PARTS[:k]) for k in range(len(BRANCH_PARTS))]
+ALL_ROWS = ROWS + sum(n for n, _ in BRANCH_PARTS) * WAYS // CLASSES
 BLOCK = 8_192
 HEAD = 65_536
 BOS, EOS = 0x1234567, 0x7654321
@@ -61,10 +70,15 @@ class Counts:
     head: dict[bytes, int]
     class_tokens: tuple[int, ...]
     class_distinct: tuple[int, ...]
+    leaf_tokens: np.ndarray
+    leaf_distinct: np.ndarray
 
-    def class_log(self) -> np.ndarray:
-        """log10 of the smoothed size of each class."""
-        return np.log10(np.array(self.class_tokens) + 0.5 * (np.array(self.class_distinct) + 1))
+    def leaf_log(self) -> np.ndarray:
+        """log10 of the smoothed size by class and leaf; a class of one word has its size at every leaf."""
+        sizes = np.array(self.class_tokens) + 0.5 * (np.array(self.class_distinct) + 1)
+        found = np.repeat(np.log10(sizes)[:, None], LEAVES, axis=1)
+        found[OWN + 1 :] = np.log10(self.leaf_tokens + 0.5 * (self.leaf_distinct + 1))
+        return found
 
 
 #: A code holds hash * CLASSES + class below this bit, and the slot of a head word above it.
@@ -130,15 +144,36 @@ def _places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)
 
 
+def _branches(hashes: np.ndarray, classes: np.ndarray, at: np.ndarray):
+    """Of the tokens at ``at``: which have a path, the way taken at its two branches, and the weight
+    rows of both, those of the first branch before those of the second."""
+    has = np.flatnonzero(classes[at] > END)
+    at = at[has]
+    leaf = hashes[at] >> LEAF_SHIFT & LEAVES - 1
+    top = classes[at] - END - 1
+    ways = np.concatenate([leaf // WAYS, leaf % WAYS])
+    node = np.concatenate([top, ENDINGS + top * WAYS + leaf // WAYS])
+    one, two = hashes[at - 1], hashes[at - 2]
+    rows, mark = [node], node * 0x9E3779B97F
+    for (size, factor), first, value in zip(BRANCH_PARTS[1:], BRANCH_FIRST[1:], (one, one * 31 + two * 0x10001)):
+        rows.append(first + (((np.concatenate([value, value]) + mark) * factor & 0xFFFFFFFFFFFF) >> 17) % size)
+    return has, ways, rows
+
+
+def _branch_part(weights: np.ndarray) -> np.ndarray:
+    """The rows of the branches, a view."""
+    return weights[ROWS:].reshape(-1, WAYS)
+
+
 def _shares(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """P(class) per token: the softmax of summed weight rows."""
+    """P(class), or P(way), per token: the softmax of summed weight rows."""
     logits = weights.take(rows[1], axis=0)
     for r in rows[2:]:
         logits += weights.take(r, axis=0)
-    logits += weights[0]
+    logits += weights.take(rows[0], axis=0) if rows[0].any() else weights[0]
     np.clip(logits, -60, 60, out=logits)
     np.exp(logits, out=logits)
-    logits /= (logits @ np.ones(CLASSES, dtype=np.float32))[:, None]
+    logits /= (logits @ np.ones(logits.shape[1], dtype=np.float32))[:, None]
     return logits
 
 
@@ -158,7 +193,7 @@ def _group_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def train_block(weights: np.ndarray, squares: np.ndarray, codes: np.ndarray, sizes: np.ndarray, rate: float) -> None:
     """Adaptive gradient steps in place, one per ``BLOCK`` tokens."""
 
-    def step(hit, sums) -> None:
+    def step(weights, squares, hit, sums) -> None:
         seen = squares.take(hit, axis=0)
         seen += sums * sums
         squares[hit] = seen
@@ -170,30 +205,45 @@ def train_block(weights: np.ndarray, squares: np.ndarray, codes: np.ndarray, siz
         moved -= seen
         weights[hit] = moved
 
+    def steps(weights, squares, grad, rows, firsts) -> None:
+        for r, first in zip(rows, firsts):
+            order = np.argsort((r - first).astype(np.uint16), kind="stable")
+            sorted_rows = r[order]
+            starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+            step(weights, squares, sorted_rows[starts], _group_sums(grad.take(order, axis=0), starts))
+
     hashes, classes = codes // CLASSES, codes % CLASSES
     places = _places(sizes)
+    below, below_squares = _branch_part(weights), _branch_part(squares)
     for k in range(0, len(places), BLOCK):
         at = places[k : k + BLOCK]
         rows = _features(hashes, at)
         grad = _shares(weights, rows)
         grad[np.arange(len(at)), classes[at]] -= 1
-        step(np.zeros(1, dtype=np.int64), grad.sum(axis=0)[None, :])
-        for r, first in list(zip(rows, FIRST))[1:]:
-            order = np.argsort((r - first).astype(np.uint16), kind="stable")
-            sorted_rows = r[order]
-            starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-            step(sorted_rows[starts], _group_sums(grad.take(order, axis=0), starts))
-
-
-def class_logs(weights: np.ndarray, codes: np.ndarray, sizes: np.ndarray, class_log: np.ndarray) -> np.ndarray:
-    """Per text: sum of log10 P(class) less the log10 size of the class."""
+        step(weights, squares, np.zeros(1, dtype=np.int64), grad.sum(axis=0)[None, :])
+        steps(weights, squares, grad, rows[1:], FIRST[1:])
+        _, ways, rows = _branches(hashes, classes, at)
+        if len(ways):
+            grad = _shares(below, rows)
+            grad[np.arange(len(ways)), ways] -= 1
+            steps(below, below_squares, grad, rows, BRANCH_FIRST)
+
+
+def class_logs(weights: np.ndarray, codes: np.ndarray, sizes: np.ndarray, leaf_log: np.ndarray) -> np.ndarray:
+    """Per text: sum of log10 P(class) and log10 P(leaf | class), less the log10 size of the leaf."""
+    below = _branch_part(weights)
     hashes, classes = codes // CLASSES, codes % CLASSES
     places = _places(sizes)
     worth = np.empty(len(places))
     for k in range(0, len(places), BLOCK):
         at = places[k : k + BLOCK]
         shares = _shares(weights, _features(hashes, at))[np.arange(len(at)), classes[at]]
-        worth[k : k + BLOCK] = np.log10(np.maximum(shares, 1e-30)) - class_log[classes[at]]
+        mine = worth[k : k + BLOCK]
+        mine[:] = np.log10(np.maximum(shares, 1e-30)) - leaf_log[classes[at], hashes[at] >> LEAF_SHIFT & LEAVES - 1]
+        has, ways, rows = _branches(hashes, classes, at)
+        if len(has):
+            taken = _shares(below, rows)[np.arange(len(ways)), ways].reshape(2, -1)
+            mine[has] += np.log10(np.maximum(taken, 1e-30)).sum(axis=0)
     return np.add.reduceat(worth, np.cumsum(sizes) - sizes)
 
 
@@ -248,33 +298,37 @@ def corpus_counts(texts: DataFrame) -> tuple[Counts, DataFrame]:
     head = {r.token.encode(): r.n for r in vocabulary.where(F.col("n") >= threshold).collect()}
     own = tuple(sorted(head, key=lambda w: (-head[w], w))[:OWN])
     tail = F.crc32(F.expr("substring(cast(token as binary), greatest(octet_length(token) - 1, 1), 2)")) % ENDINGS
-    tokens, distinct = [0] * CLASSES, [0] * CLASSES
-    for r in vocabulary.groupBy(tail.cast("int").alias("e")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        tokens[OWN + 1 + r.e], distinct[OWN + 1 + r.e] = r.n, r.v
-    for k, word in enumerate(own):
-        tokens[k], distinct[k] = head[word], 1
-        tokens[ending_class(word)] -= head[word]
-        distinct[ending_class(word)] -= 1
+    leaf = F.pmod(F.shiftright(F.crc32(F.col("token").cast("binary")), LEAF_SHIFT), F.lit(LEAVES))
+    leaf_tokens, leaf_distinct = np.zeros((2, ENDINGS, LEAVES), dtype=np.int64)
+    places = vocabulary.groupBy(tail.cast("int").alias("e"), leaf.cast("int").alias("leaf"))
+    for r in places.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # ENDINGS * LEAVES rows at most
+        leaf_tokens[r.e, r.leaf], leaf_distinct[r.e, r.leaf] = r.n, r.v
+    for word in own:
+        place = ending_class(word) - OWN - 1, zlib.crc32(word) >> LEAF_SHIFT & LEAVES - 1
+        leaf_tokens[place] -= head[word]
+        leaf_distinct[place] -= 1
+    tokens = [*(head[w] for w in own), *[0] * (OWN + 1 - len(own)), *leaf_tokens.sum(axis=1).tolist()]
+    distinct = [*(1 for _ in own), *[0] * (OWN + 1 - len(own)), *leaf_distinct.sum(axis=1).tolist()]
     tokens[END], distinct[END] = n_texts, int(n_texts > 0)
-    counts = Counts(sum(tokens), sum(distinct), n_texts, own, head, tuple(tokens), tuple(distinct))
+    counts = Counts(sum(tokens), sum(distinct), n_texts, own, head, tuple(tokens), tuple(distinct), leaf_tokens, leaf_distinct)
     return counts, vocabulary
 
 
 def train(
     texts: DataFrame, counts: Counts, part: Column, rounds: int = 2, rate: float = 0.3, tokens_per_task: int = 8_000_000
 ) -> np.ndarray:
-    """Class weights, ROWS x CLASSES. ``part`` (a number per text) deals the texts to rounds."""
+    """Weights, ALL_ROWS x CLASSES: those of the classes, then those of the branches. ``part`` (a number per text) deals the texts to rounds."""
     spark = texts.sparkSession
-    weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
+    weights = np.zeros((ALL_ROWS, CLASSES), dtype=np.float32)
     own = counts.own
     tasks = max(12, -(-counts.n_tokens // (tokens_per_task * rounds)))
     names = [f"w{k}" for k in range(CLASSES)]
 
     for k in range(rounds):
-        sent = spark.sparkContext.broadcast(weights)  # ROWS x CLASSES numbers
+        sent = spark.sparkContext.broadcast(weights)  # ALL_ROWS x CLASSES numbers
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine, squares = sent.value.copy(), np.zeros((ROWS, CLASSES), dtype=np.float32)
+            mine, squares = sent.value.copy(), np.zeros((ALL_ROWS, CLASSES), dtype=np.float32)
             codes = Codes(own)
             words = (w for batch in batches for w in _text_words(batch.column(0)))
             for block, sizes in _blocks(words, codes):
@@ -289,7 +343,7 @@ def train(
         schema = "row long, weigh double, " + ", ".join(f"{n} double" for n in names)
         taken = texts.where(F.pmod(part, F.lit(rounds)) == k).coalesce(tasks).mapInArrow(run, schema)
         mixed = taken.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("weigh", *names)))
-        # At most ROWS rows, whatever the input.
+        # At most ALL_ROWS rows, whatever the input.
         found = mixed.toPandas().sort_values("row")
         weights = weights.copy()
         steps = found[names].to_numpy() / found[["weigh"]].to_numpy()
@@ -310,7 +364,7 @@ def score(rows: DataFrame, counts: Counts, vocabulary: DataFrame, weights: np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, weights = sent.value
         codes = Codes(counts.own, {w: k + 1 for k, w in enumerate(counts.head)})
-        class_log = counts.class_log()
+        leaf_log = counts.leaf_log()
         slot_log = np.log10(np.array([0.5, *counts.head.values()]) + 0.5)  # slot 0 counts nothing
         end_log, end_known = np.log10(counts.n_texts + 0.5), int(counts.n_texts > 0)
         for batch in batches:
@@ -334,7 +388,7 @@ def score(rows: DataFrame, counts: Counts, vocabulary: DataFrame, weights: np.nd
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(sizes.astype(np.int64)), pa.array(known[:n], pa.int64()),
-                        pa.array(sums[:n], pa.float64()), pa.array(class_logs(weights, block, sizes, class_log)),
+                        pa.array(sums[:n], pa.float64()), pa.array(class_logs(weights, block, sizes, leaf_log)),
                         pa.ListArray.from_arrays(pa.array(offsets), tokens), pa.ListArray.from_arrays(pa.array(offsets), times),
                     ],
                     ["row_id", "doc_id", "n_tokens", "head_known", "head_sum", "class_sum", "words", "times"],
