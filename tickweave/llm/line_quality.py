@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import col, fresh, hash_sample, without
@@ -169,9 +169,9 @@ def train_quality(
     ids = docs.where(may_learn).select(col(key).alias("q_id")).distinct()
     chosen = hash_sample(known.join(ids, "q_id"), F.col("q_id"), max_docs)
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pickle.dumps(line_features(t)), na_action=None)
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        return pa.array([pickle.dumps(line_features(t.as_py())) for t in texts], pa.binary())
 
     # At most max_docs ids and labels: safe to broadcast.
     found = docs.where(may_learn).select(col(key).alias("q_id"), col(text).alias("q_text"))
@@ -185,10 +185,9 @@ def with_quality(docs: DataFrame, model: QualityModel, text: str = "text", out:
     """``docs`` with the score (0 to 1, higher: better) in the column ``out``, in place of one so named."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two small matrices
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series(sent.value.score([t if isinstance(t, str) else None for t in texts]))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(sent.value.score(texts.to_pylist()), pa.float64())
 
     return without(docs, out).withColumn(out, score(col(text)))
 

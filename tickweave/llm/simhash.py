@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from itertools import combinations, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -59,11 +58,10 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def simhash(width: int = 3):
     """A column function: the fingerprint of a text as a long with the same bits."""
 
-    @F.pandas_udf("long")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            prints = np.array([fingerprint(t, width) for t in part], dtype=np.uint64)
-            yield pd.Series(prints.view(np.int64))
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        prints = np.array([fingerprint(t.as_py(), width) for t in texts], dtype=np.uint64)
+        return pa.array(prints.view(np.int64))
 
     return of
 
@@ -133,7 +131,7 @@ def _pairs(groups: np.ndarray, prints: np.ndarray, away: np.ndarray, radius: int
     return np.unique(np.sort(pairs, axis=1), axis=0)
 
 
-def _meet(radius: int, most_variants: int = 1_000_000):
+def _meet(radius: int, most_variants: int = 200_000):
     """Links of the places of one task, some places at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
