@@ -81,3 +81,35 @@ def test_no_texts_and_nothing_to_learn_from(spark):
     assert counts.n_tokens == 0 and got[1].n_known == 0 and got[1].n_tokens == 4
     assert abs(got[1].base_score) < 1e-9 and got[2].n_tokens == 1
     assert lm.score_texts(docs.limit(0), F.lit(True))[0].count() == 0
+
+
+def test_words_of_a_class_depend_on_what_precedes_them():
+    rng = np.random.default_rng(3)
+    pairs = {b"left": b"w0", b"right": b"w1"}
+    place = lambda w: (lm.ending_class(w), zlib.crc32(w) >> lm.LEAF_SHIFT & lm.LEAVES - 1)
+    mates = [b"x%dend" % k for k in range(2)]  # one class, two leaves
+    assert place(mates[0])[0] == place(mates[1])[0] and place(mates[0])[1] != place(mates[1])[1]
+    pairs = dict(zip(pairs, mates))
+    texts = [[w for s in rng.choice([b"left", b"right"], 20).tolist() for w in (s, pairs[s])] for _ in range(200)]
+    weights = np.zeros((lm.ALL_ROWS, lm.CLASSES), dtype=np.float32)
+    codes, leaf_log = lm.Codes((b"left", b"right")), np.zeros((lm.CLASSES, lm.LEAVES))
+    for block, sizes in lm._blocks(iter(texts), codes):
+        for _ in range(4):
+            lm.train_block(weights, np.zeros_like(weights), block, sizes, 0.3)
+
+    def score(words):
+        return lm.class_logs(weights, *next(lm._blocks(iter([words]), codes)), leaf_log)[0]
+
+    assert score([b"left", mates[0]]) > score([b"left", mates[1]]) + 0.5
+    assert score([b"right", mates[1]]) > score([b"right", mates[0]]) + 0.5
+
+
+def test_branches_give_shares_that_sum_to_one():
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=(lm.ALL_ROWS, lm.CLASSES)).astype(np.float32)
+    block, sizes = next(lm._blocks(iter([[b"a", b"bb", b"cc", b"the"]]), lm.Codes((b"the",))))
+    has, ways, rows = lm._branches(block // lm.CLASSES, block % lm.CLASSES, lm._places(sizes))
+    assert has.tolist() == [0, 1, 2] and len(ways) == 6 and (ways < lm.WAYS).all()
+    below = lm._branch_part(weights)
+    assert np.shares_memory(below, weights) and all(r.max() < len(below) for r in rows)
+    assert np.allclose(lm._shares(below, rows).sum(axis=1), 1, atol=1e-5)
