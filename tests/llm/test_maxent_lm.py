@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,70 @@ def test_branches_give_shares_that_sum_to_one():
     below = lm._branch_part(weights)
     assert np.shares_memory(below, weights) and all(r.max() < len(below) for r in rows)
     assert np.allclose(lm._shares(below, rows).sum(axis=1), 1, atol=1e-5)
+
+
+ODD = [None, "", " \t\n", "\x0bThe the\x0cTHE\r\n", "a\x1cB \x85Z\u2003\u212a \x00x", "ÄÖ grün " * 40, "x" * 47 + " " + "y" * 48 + " " + "Z" * 49, "ü" * 9_000, " one two", "w"]
+
+
+def plain_codes(texts, own):
+    found = []
+    for text in texts:
+        words = [w.encode() for w in tokens_of(text)]
+        classes = [own.index(w) if w in own else lm.ending_class(w) for w in words]
+        found.append([lm.BOS * lm.CLASSES] * 2 + [zlib.crc32(w) * lm.CLASSES + c for w, c in zip(words, classes)])
+        found[-1].append(lm.EOS * lm.CLASSES + lm.END)
+    return found
+
+
+@pytest.mark.parametrize("most", [1, 60, 8_000_000])
+def test_codes_of_texts_match_plain_ones_and_blocks_end_with_a_text(most):
+    texts, own = ODD * 3, (b"the", b"grun", "grün".encode())
+    want = plain_codes(texts, own)
+    pieces = list(lm._word_lists(pa.array(texts, pa.string()), most))
+    assert sum(map(len, pieces)) == len(texts) and (most > 60) == (len(pieces) == 1)
+    assert [[w.decode() for w in t] for p in pieces for t in p.to_pylist()] == [tokens_of(t) for t in texts]
+    blocks = list(lm._blocks(iter(pieces), lm.Codes(own), 100))
+    assert np.concatenate([c for c, _ in blocks]).tolist() == sum(want, [])
+    assert np.concatenate([s for _, s in blocks]).tolist() == [len(t) - 2 for t in want]
+    for code, sizes in blocks[:-1]:  # as few texts as have over 100 codes
+        assert len(code) > 100 >= len(code) - sizes[-1] - 2
+    assert not list(lm._word_lists(pa.array([], pa.string()))) and not list(lm._blocks(iter([]), lm.Codes(own)))
+
+
+def test_a_word_is_coded_once_for_all_its_tokens(monkeypatch):
+    asked, of = [], lm.Codes.of
+    monkeypatch.setattr(lm.Codes, "of", lambda self, words: asked.append(len(words)) or of(self, words))
+    texts = pa.array([" ".join(["b", "a", "the"] * 500)] * 40)
+    blocks = list(lm._blocks(lm._word_lists(texts), lm.Codes((b"the",))))
+    assert sum(len(code) for code, _ in blocks) == 40 * 1503 and asked == [3]
+
+
+def test_sums_of_long_runs_are_added_in_order():
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 500, 8, 9, 2, lm.TAIL - 1, lm.TAIL, lm.TAIL + 1, 1, 3])
+    starts, order = np.cumsum(sizes) - sizes, rng.permutation(sizes.sum())
+    values = rng.normal(size=(sizes.sum(), lm.WAYS)).astype(np.float32)
+    found = lm._group_sums(values, starts, order)
+    for at, size, got in zip(starts, sizes, found):
+        run = values[order[at : at + size]]
+        want = run[:8].sum(axis=0)  # rows one after another, those behind the eighth apart
+        want = want + run[8:].sum(axis=0) if size > 8 else want
+        assert (got == want).all()
+
+
+def test_shares_of_what_was_taken_are_those_of_the_softmax():
+    rng = np.random.default_rng(6)
+    n = lm.CHUNK * 2 + 7
+    weights = rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
+    rows = [np.zeros(n, dtype=np.int64), *(rng.integers(f, f + size, n) for f, (size, _) in list(zip(lm.FIRST, lm.PARTS))[1:])]
+    logits = sum(weights[r].astype(np.float64) for r in rows)
+    want = np.exp(logits) / np.exp(logits).sum(axis=1)[:, None]
+    taken = rng.integers(0, lm.CLASSES, n)
+    assert np.allclose(lm._shares(weights, rows), want, rtol=1e-4)
+    assert np.allclose(lm._shares_of(weights, rows, taken), want[np.arange(n), taken], rtol=1e-4)
+
+
+def test_texts_without_words_are_scored(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id long, text string")
+    scored, counts = lm.score_texts(docs, F.lit(True))
+    assert counts.n_tokens == 3 and [(r.n_tokens, r.n_known) for r in scored.collect()] == [(1, 1)] * 3

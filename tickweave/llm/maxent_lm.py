@@ -14,8 +14,9 @@ for every token and for an unknown one), so any vocabulary has probabilities tha
 Counts come from all training texts by grouped sums. Weights are trained by distributed
 updates: in each round every task takes its texts' gradient steps from the same weights,
 and the steps of a weight row are averaged over the tasks that took any. Rounds split the
-training texts, so each is seen once. Scoring goes through blocks of tokens in numpy, and
-gathers only the weight rows that a block's features name.
+training texts, so each is seen once. Arrow cuts texts into words, some megabytes at a time, and
+each word that differs is hashed and looked up once for all its tokens there. Scoring goes
+through chunks of tokens in numpy, and gathers only the weight rows that their features name.
 
 Defined results: null and empty texts are one end token. A token is known if training
 texts hold it. Without training texts every token is unknown. Repeated rows count and
@@ -25,21 +26,21 @@ score separately. Further columns are not needed and not kept.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
-from .common import col, lower_words_of
+from .common import col
 
 CLASSES, OWN = 32, 15
 END = OWN  # classes 0 to OWN - 1: the most frequent words; then the end; then endings
 ENDINGS = CLASSES - OWN - 1
-#: Weight rows: one for the bias, then one part of the table per kind of feature.
+#: Weight rows: one for the bias, then one part of the table per kind of feature. Sizes are powers of two.
 PARTS = ((1, 1), (1 << 13, 0x9E3779B1), (1 << 14, 0x85EBCA6B), (1 << 13, 0xC2B2AE35))
 ROWS = sum(n for n, _ in PARTS)
 FIRST = [sum(n for n, _ in PARTS[:k]) for k in range(len(PARTS))]
@@ -51,6 +52,8 @@ BRANCH_PARTS = ((NODES, 1), (1 << 15, 0x9E3779B1), (1 << 15, 0x85EBCA6B))
 BRANCH_FIRST = [sum(n for n, _ in BRANCH_PARTS[:k]) for k in range(len(BRANCH_PARTS))]
 ALL_ROWS = ROWS + sum(n for n, _ in BRANCH_PARTS) * WAYS // CLASSES
 BLOCK = 8_192
+#: Tokens whose logits are worked out together; rows of a run that are added run by run from here on.
+CHUNK, TAIL = 1_024, 48
 HEAD = 65_536
 BOS, EOS = 0x1234567, 0x7654321
 
@@ -81,28 +84,47 @@ class Counts:
         return found
 
 
-#: A code holds hash * CLASSES + class below this bit, and the slot of a head word above it.
-SLOT_BIT = 37
-BELOW = (1 << SLOT_BIT) - 1
+#: One step of CRC-32 for each byte, and bytes of a word that numpy takes before zlib takes the rest.
+CRC = np.array([zlib.crc32(bytes([255 ^ k])) ^ 0xFF000000 for k in range(256)], dtype=np.uint32)
+CRC_MOST = 48
 
 
-class Codes(dict):
-    """word -> code, filled when asked; at most ``most`` words are kept.
+def _crc32(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 of the runs of bytes of these starts and sizes, a byte of all of them at a time."""
+    by_size = np.argsort(CRC_MOST - np.minimum(sizes, CRC_MOST).astype(np.uint16), kind="stable")  # longest first
+    first, sizes = starts[by_size], sizes[by_size]
+    longer = len(sizes) - np.searchsorted(sizes.clip(max=CRC_MOST)[::-1], np.arange(CRC_MOST), side="right")
+    crc = np.full(len(sizes), 0xFFFFFFFF, dtype=np.uint32)
+    for k, n in enumerate(longer.tolist()):
+        if not n:
+            break
+        some = crc[:n]
+        some[:] = CRC.take((some ^ data.take(first[:n] + k)) & 255) ^ (some >> 8)
+    crc ^= 0xFFFFFFFF
+    for k in np.flatnonzero(sizes > CRC_MOST).tolist():
+        crc[k] = zlib.crc32(data[first[k] + CRC_MOST : first[k] + sizes[k]], int(crc[k]))
+    found = np.empty_like(crc)
+    found[by_size] = crc
+    return found
 
-    ``slots`` numbers the head words from 1; without it all slots are 0.
-    """
 
-    def __init__(self, own: tuple[bytes, ...], slots: dict[bytes, int] | None = None, most: int = 500_000) -> None:
-        super().__init__()
-        self.own, self.slots, self.most = {w: k for k, w in enumerate(own)}, slots or {}, most
+class Codes:
+    """Codes of words, hash * CLASSES + class; and slots, which number the head words from 1 (0: another word)."""
+
+    def __init__(self, own: tuple[bytes, ...], head: tuple[bytes, ...] = ()) -> None:
+        self.own, self.head = pa.array(own, pa.binary()), pa.array(head, pa.binary())
+
+    def of(self, words: pa.BinaryArray) -> np.ndarray:
+        ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+        starts, ends = ends[:-1], ends[1:]
+        tails = np.maximum(ends - 2, starts)
+        classes = OWN + 1 + (_crc32(data, tails, ends - tails) % ENDINGS).astype(np.int64)
+        own = pc.index_in(words, value_set=self.own).fill_null(-1).to_numpy(zero_copy_only=False)
+        return _crc32(data, starts, ends - starts).astype(np.int64) * CLASSES + np.where(own < 0, classes, own)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        code = zlib.crc32(word) * CLASSES + self.own.get(word, ending_class(word))
-        code |= self.slots.get(word, 0) << SLOT_BIT
-        self[word] = code
-        return code
+    def slots(self, words: pa.BinaryArray) -> np.ndarray:
+        return pc.index_in(words, value_set=self.head).fill_null(-1).to_numpy(zero_copy_only=False) + 1
 
 
 def _features(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -111,32 +133,64 @@ def _features(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     mixed = (None, one, one * 31 + two * 0x10001, two)
     rows = [np.zeros(len(at), dtype=np.int64)]
     for (size, factor), first, value in list(zip(PARTS, FIRST, mixed))[1:]:
-        rows.append(first + ((value * factor & 0xFFFFFFFFFFFF) >> 17) % size)
+        rows.append(first + ((value * factor & 0xFFFFFFFFFFFF) >> 17 & size - 1))
     return rows
 
 
-def _blocks(word_lists: Iterator[list[bytes]], codes: Codes, most: int = 200_000, look=None):
-    """Token codes of some texts behind one another, with the place of each text's tokens.
-
-    ``look`` is shown the words and codes of each text.
-    """
-    parts, sizes, held = [], [], 0
-    for words in word_lists:
-        code = np.empty(len(words) + 3, dtype=np.int64)
-        code[:2] = BOS * CLASSES
-        code[2:-1] = np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
-        if look is not None:
-            look(words, code[2:-1])
-            code &= BELOW
-        code[-1] = EOS * CLASSES + END
-        parts.append(code)
-        sizes.append(len(words) + 1)
-        held += len(code)
-        if held > most:
-            yield np.concatenate(parts), np.array(sizes)
-            parts, sizes, held = [], [], 0
+def _words(texts: pa.StringArray) -> pa.ListArray:
+    """The words of each text. Arrow's ASCII functions lower A-Z only and cut at exactly \\x20 and \\x09-\\x0D."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    filled = pc.not_equal(words, "")  # white space at the ends of a text has empty words beside it
+    kept = np.cumsum(np.r_[0, filled.to_numpy(zero_copy_only=False)], dtype=np.int32)
+    offsets = kept[lists.offsets.to_numpy()]
+    return pa.ListArray.from_arrays(pa.array(offsets), words.filter(filled).cast(pa.binary()))
+
+
+def _word_lists(texts: pa.StringArray, most: int = 2_000_000) -> Iterator[pa.ListArray]:
+    """The words of as many texts at a time as have ``most`` bytes (of one, if it is larger)."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    k = 0
+    while k < len(texts):
+        stop = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + most, side="right")))
+        yield _words(texts[k:stop])
+        k = stop
+
+
+def _coded(lists: pa.ListArray, codes: Codes):
+    """The texts' words (each once), the tokens' places among them, all token codes with two marks before
+    each text and its end behind, where the words stand in those, and the number of tokens by text."""
+    words = lists.flatten().dictionary_encode()
+    distinct, which = words.dictionary, words.indices.to_numpy()
+    sizes = lists.value_lengths().to_numpy().astype(np.int64) + 1
+    ends = np.cumsum(sizes + 2) - 1
+    code = np.full(len(which) + 3 * len(sizes), BOS * CLASSES, dtype=np.int64)
+    code[ends] = EOS * CLASSES + END
+    at = np.arange(len(which)) + np.repeat(3 * np.arange(len(sizes)) + 2, sizes - 1)
+    code[at] = codes.of(distinct)[which]
+    return distinct, which, code, at, sizes
+
+
+def _blocks(word_lists: Iterator[pa.ListArray | list[bytes]], codes: Codes, most: int = 200_000):
+    """Token codes of some texts behind one another, with the number of tokens by text. ``word_lists``:
+    the words of many texts as an Arrow array, or those of one as a plain list."""
+    parts, counts, held = [], [], 0
+    for lists in word_lists:
+        lists = lists if isinstance(lists, pa.Array) else pa.array([lists], pa.list_(pa.binary()))
+        _, _, code, _, sizes = _coded(lists, codes)
+        upto, done = np.cumsum(sizes + 2), 0
+        while done < len(sizes):
+            before = int(upto[done - 1]) if done else 0
+            stop = min(int(np.searchsorted(upto, before + most - held, side="right")) + 1, len(sizes))
+            parts.append(code[before : upto[stop - 1]])
+            counts.append(sizes[done:stop])
+            held += len(parts[-1])
+            done = stop
+            if held > most:
+                yield np.concatenate(parts), np.concatenate(counts)
+                parts, counts, held = [], [], 0
     if parts:
-        yield np.concatenate(parts), np.array(sizes)
+        yield np.concatenate(parts), np.concatenate(counts)
 
 
 def _places(sizes: np.ndarray) -> np.ndarray:
@@ -151,12 +205,12 @@ def _branches(hashes: np.ndarray, classes: np.ndarray, at: np.ndarray):
     at = at[has]
     leaf = hashes[at] >> LEAF_SHIFT & LEAVES - 1
     top = classes[at] - END - 1
-    ways = np.concatenate([leaf // WAYS, leaf % WAYS])
+    ways = np.concatenate([leaf // WAYS, leaf & WAYS - 1])
     node = np.concatenate([top, ENDINGS + top * WAYS + leaf // WAYS])
     one, two = hashes[at - 1], hashes[at - 2]
     rows, mark = [node], node * 0x9E3779B97F
     for (size, factor), first, value in zip(BRANCH_PARTS[1:], BRANCH_FIRST[1:], (one, one * 31 + two * 0x10001)):
-        rows.append(first + (((np.concatenate([value, value]) + mark) * factor & 0xFFFFFFFFFFFF) >> 17) % size)
+        rows.append(first + (((np.concatenate([value, value]) + mark) * factor & 0xFFFFFFFFFFFF) >> 17 & size - 1))
     return has, ways, rows
 
 
@@ -165,54 +219,95 @@ def _branch_part(weights: np.ndarray) -> np.ndarray:
     return weights[ROWS:].reshape(-1, WAYS)
 
 
+def _chunks(weights: np.ndarray, rows: list[np.ndarray], out: np.ndarray | None = None):
+    """Chunks of tokens that stay in a core's cache: where each begins, e to the logits (summed weight
+    rows) and their sums per token. The logits lie in ``out``, or in one array for all chunks."""
+    n, width = len(rows[0]), weights.shape[1]
+    mine, spare = np.empty((2, min(n, CHUNK), width), dtype=np.float32)
+    ones, same = np.ones(width, dtype=np.float32), not rows[0].any()
+    for k in range(0, n, CHUNK):
+        logits = mine[: n - k] if out is None else out[k : k + CHUNK]
+        more = spare[: len(logits)]
+        # "clip" writes straight to the array; all rows are in range.
+        weights.take(rows[1][k : k + CHUNK], axis=0, out=logits, mode="clip")
+        for r in rows[2:]:
+            logits += weights.take(r[k : k + CHUNK], axis=0, out=more, mode="clip")
+        logits += weights[0] if same else weights.take(rows[0][k : k + CHUNK], axis=0, out=more, mode="clip")
+        np.clip(logits, -60, 60, out=logits)
+        np.exp(logits, out=logits)
+        yield k, logits, logits @ ones
+
+
 def _shares(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """P(class), or P(way), per token: the softmax of summed weight rows."""
-    logits = weights.take(rows[1], axis=0)
-    for r in rows[2:]:
-        logits += weights.take(r, axis=0)
-    logits += weights.take(rows[0], axis=0) if rows[0].any() else weights[0]
-    np.clip(logits, -60, 60, out=logits)
-    np.exp(logits, out=logits)
-    logits /= (logits @ np.ones(logits.shape[1], dtype=np.float32))[:, None]
-    return logits
-
-
-def _group_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at ``starts``."""
-    ends = np.r_[starts[1:], len(values)]
-    sizes = ends - starts
-    sums = values.take(starts, axis=0)
+    found = np.empty((len(rows[0]), weights.shape[1]), dtype=np.float32)
+    for _, part, sums in _chunks(weights, rows, found):
+        part /= sums[:, None]
+    return found
+
+
+def _shares_of(weights: np.ndarray, rows: list[np.ndarray], taken: np.ndarray) -> np.ndarray:
+    """The share of one class, or way, per token."""
+    found = np.empty(len(taken), dtype=np.float32)
+    for k, part, sums in _chunks(weights, rows):
+        found[k : k + CHUNK] = part[np.arange(len(part)), taken[k : k + CHUNK]] / sums
+    return found
+
+
+def _group_sums(values: np.ndarray, starts: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``starts``, of the rows taken in this order."""
+    order = np.arange(len(values)) if order is None else order
+    sizes = np.diff(starts, append=len(order))
+    by_size = np.argsort((len(order) - sizes).astype(np.uint16), kind="stable")  # longest first
+    first, sizes = starts[by_size], sizes[by_size]
+    longer = len(sizes) - np.searchsorted(sizes[::-1], np.arange(TAIL + 1), side="right")  # runs of over k rows
+    sums = values.take(order[first], axis=0)
     for k in range(1, 8):
-        some = np.flatnonzero(sizes > k)
-        sums[some] += values.take(starts[some] + k, axis=0)
-    for run in np.flatnonzero(sizes > 8):
-        sums[run] += values[starts[run] + 8 : ends[run]].sum(axis=0)
-    return sums
+        sums[: longer[k]] += values.take(order[first[: longer[k]] + k], axis=0)
+    tails = values.take(order[first[: longer[8]] + 8], axis=0)
+    for k in range(9, TAIL):
+        if not longer[k]:
+            break
+        tails[: longer[k]] += values.take(order[first[: longer[k]] + k], axis=0)
+    for run in range(longer[TAIL]):
+        more = values.take(order[first[run] + TAIL - 1 : first[run] + sizes[run]], axis=0)
+        more[0] = tails[run]
+        more.sum(axis=0, out=tails[run])
+    sums[: len(tails)] += tails
+    found = np.empty_like(sums)
+    _whole(found)[by_size] = _whole(sums)
+    return found
+
+
+def _whole(table: np.ndarray) -> np.ndarray:
+    """A view of a table whose items are whole rows, which are put in place faster."""
+    return table.view(np.dtype((np.void, table.shape[1] * table.itemsize)))[:, 0]
 
 
 def train_block(weights: np.ndarray, squares: np.ndarray, codes: np.ndarray, sizes: np.ndarray, rate: float) -> None:
     """Adaptive gradient steps in place, one per ``BLOCK`` tokens."""
 
     def step(weights, squares, hit, sums) -> None:
+        moved = sums * sums
         seen = squares.take(hit, axis=0)
-        seen += sums * sums
-        squares[hit] = seen
+        seen += moved
+        _whole(squares)[hit] = _whole(seen)
         seen += 1
         np.sqrt(seen, out=seen)
         np.divide(sums, seen, out=seen)
         seen *= rate
-        moved = weights.take(hit, axis=0)
+        weights.take(hit, axis=0, out=moved, mode="clip")
         moved -= seen
-        weights[hit] = moved
+        _whole(weights)[hit] = _whole(moved)
 
     def steps(weights, squares, grad, rows, firsts) -> None:
         for r, first in zip(rows, firsts):
             order = np.argsort((r - first).astype(np.uint16), kind="stable")
             sorted_rows = r[order]
             starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-            step(weights, squares, sorted_rows[starts], _group_sums(grad.take(order, axis=0), starts))
+            step(weights, squares, sorted_rows[starts], _group_sums(grad, starts, order))
 
-    hashes, classes = codes // CLASSES, codes % CLASSES
+    hashes, classes = codes // CLASSES, codes & CLASSES - 1
     places = _places(sizes)
     below, below_squares = _branch_part(weights), _branch_part(squares)
     for k in range(0, len(places), BLOCK):
@@ -232,44 +327,29 @@ def train_block(weights: np.ndarray, squares: np.ndarray, codes: np.ndarray, siz
 def class_logs(weights: np.ndarray, codes: np.ndarray, sizes: np.ndarray, leaf_log: np.ndarray) -> np.ndarray:
     """Per text: sum of log10 P(class) and log10 P(leaf | class), less the log10 size of the leaf."""
     below = _branch_part(weights)
-    hashes, classes = codes // CLASSES, codes % CLASSES
+    hashes, classes = codes // CLASSES, codes & CLASSES - 1
     places = _places(sizes)
     worth = np.empty(len(places))
     for k in range(0, len(places), BLOCK):
         at = places[k : k + BLOCK]
-        shares = _shares(weights, _features(hashes, at))[np.arange(len(at)), classes[at]]
+        shares = _shares_of(weights, _features(hashes, at), classes[at])
         mine = worth[k : k + BLOCK]
         mine[:] = np.log10(np.maximum(shares, 1e-30)) - leaf_log[classes[at], hashes[at] >> LEAF_SHIFT & LEAVES - 1]
         has, ways, rows = _branches(hashes, classes, at)
         if len(has):
-            taken = _shares(below, rows)[np.arange(len(ways)), ways].reshape(2, -1)
+            taken = _shares_of(below, rows, ways).reshape(2, -1)
             mine[has] += np.log10(np.maximum(taken, 1e-30)).sum(axis=0)
     return np.add.reduceat(worth, np.cumsum(sizes) - sizes)
 
 
-def _text_words(column: pa.Array) -> Iterator[list[bytes]]:
-    for k in range(len(column)):
-        yield lower_words_of(column[k].as_py())
-
-
 def count_words(texts: DataFrame) -> DataFrame:
-    """token, n for the one text column of ``texts``; tasks add up before the shuffle."""
+    """token, n for the one text column of ``texts``; tasks add up some texts before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            tokens = pa.array(list(found.keys()), pa.binary()).cast(pa.string())
-            return pa.record_batch([tokens, pa.array(list(found.values()), pa.int64())], ["token", "n"])
-
         for batch in batches:
-            for words in _text_words(batch.column(0)):
-                found.update(words)
-                if len(found) > 200_000:
-                    yield out()
-                    found.clear()
-        if found:
-            yield out()
+            for lists in _word_lists(batch.column(0), 8_000_000):
+                tokens, n = lists.flatten().value_counts().flatten()
+                yield pa.record_batch([tokens.cast(pa.string()), n], ["token", "n"])
 
     return texts.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -330,8 +410,8 @@ def train(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine, squares = sent.value.copy(), np.zeros((ALL_ROWS, CLASSES), dtype=np.float32)
             codes = Codes(own)
-            words = (w for batch in batches for w in _text_words(batch.column(0)))
-            for block, sizes in _blocks(words, codes):
+            lists = (x for batch in batches for x in _word_lists(batch.column(0)))
+            for block, sizes in _blocks(lists, codes):
                 train_block(mine, squares, block, sizes, rate)
             hit = np.flatnonzero(squares.any(axis=1))
             steps = mine[hit] - sent.value[hit]
@@ -363,37 +443,35 @@ def score(rows: DataFrame, counts: Counts, vocabulary: DataFrame, weights: np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, weights = sent.value
-        codes = Codes(counts.own, {w: k + 1 for k, w in enumerate(counts.head)})
+        codes = Codes(counts.own, tuple(counts.head))
         leaf_log = counts.leaf_log()
         slot_log = np.log10(np.array([0.5, *counts.head.values()]) + 0.5)  # slot 0 counts nothing
         end_log, end_known = np.log10(counts.n_texts + 0.5), int(counts.n_texts > 0)
         for batch in batches:
-            ids, done = batch.column(0), 0
-            known, sums, rest = [], [], []
-
-            def look(words: list[bytes], code: np.ndarray) -> None:
-                slots = code >> SLOT_BIT
-                others = np.flatnonzero(slots == 0)
-                known.append(end_known + len(words) - len(others))
-                sums.append(end_log + float(slot_log.take(slots).sum()))
-                rest.append(Counter([words[k] for k in others.tolist()]))
-
-            for block, sizes in _blocks(_text_words(batch.column(2)), codes, look=look):
-                n = len(sizes)
-                part = batch.slice(done, n)
-                done += n
-                offsets = np.cumsum([0] + [len(t) for t in rest[:n]], dtype=np.int32)
-                tokens = pa.array([w for t in rest[:n] for w in t], pa.binary()).cast(pa.string())
-                times = pa.array([c for t in rest[:n] for c in t.values()], pa.int64())
+            done = 0
+            for lists in _word_lists(batch.column(2)):
+                part = batch.slice(done, len(lists))
+                done += len(lists)
+                distinct, which, code, at, sizes = _coded(lists, codes)
+                slots = np.zeros(len(code), dtype=np.int64)
+                slots[at] = codes.slots(distinct)[which]
+                starts = np.cumsum(sizes + 2) - sizes - 2
+                known = np.add.reduceat(slots > 0, starts, dtype=np.int64) + end_known
+                head_sum = np.add.reduceat(slot_log.take(slots), starts) + end_log
+                others = np.flatnonzero(slots[at] == 0)
+                text = np.repeat(np.arange(len(sizes)), sizes - 1)[others]
+                pairs, times = np.unique(text * len(distinct) + which[others], return_counts=True)
+                text, word = np.divmod(pairs, max(1, len(distinct)))
+                offsets = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)).astype(np.int32))
+                tokens = distinct.take(pa.array(word)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(1), pa.array(sizes.astype(np.int64)), pa.array(known[:n], pa.int64()),
-                        pa.array(sums[:n], pa.float64()), pa.array(class_logs(weights, block, sizes, leaf_log)),
-                        pa.ListArray.from_arrays(pa.array(offsets), tokens), pa.ListArray.from_arrays(pa.array(offsets), times),
+                        part.column(0), part.column(1), pa.array(sizes), pa.array(known), pa.array(head_sum),
+                        pa.array(class_logs(weights, code, sizes, leaf_log)),
+                        pa.ListArray.from_arrays(offsets, tokens), pa.ListArray.from_arrays(offsets, pa.array(times)),
                     ],
                     ["row_id", "doc_id", "n_tokens", "head_known", "head_sum", "class_sum", "words", "times"],
                 )
-                del known[:n], sums[:n], rest[:n]
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
     done = stage(
