@@ -146,3 +146,20 @@ def test_pooled_return_model_in_blocks(spark, monkeypatch, few):
     assert found[0] == found[1]
     with pytest.raises(ValueError):
         fit_return_model(df.limit(0), ["x", "z"], "r", rounds=1)
+
+
+def test_plans_stay_short_over_many_rounds_in_blocks(spark):
+    """Each round once cached a plan that held the one before twice: its text doubled up to the driver's memory."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+
+    def plans():
+        bus.waitUntilEmpty()
+        found = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executionsList())
+        return {e.executionId(): len(e.physicalPlanDescription()) for e in found}
+
+    before = plans()
+    _, rounds, _ = fitted(study_rows(spark, 130), "r", Boosting(rounds=9, depth=1, bins=8, min_leaf=5, block_rows=40))
+    assert rounds.groupBy("isin").count().where("count = 9").count() == 2
+    lengths = [n for k, n in plans().items() if k not in before]
+    assert lengths and max(lengths) < 60_000

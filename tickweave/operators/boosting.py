@@ -25,7 +25,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import broadcast_if_small, stage
 
@@ -56,15 +57,6 @@ class Tree:
         self.cut = np.zeros(size, dtype=np.int64)
         self.value = np.zeros(size)
 
-    def descend(self, bins: np.ndarray, levels: int) -> np.ndarray:
-        """The node of every row after some levels; ``bins`` by feature and row. A row stays where no split is."""
-        node, rows = np.ones(bins.shape[1], dtype=np.int64), np.arange(bins.shape[1])
-        for _ in range(levels):
-            rows = rows[self.feature[node[rows]] >= 0]
-            at = node[rows]
-            node[rows] = 2 * at + (bins[self.feature[at], rows] > self.cut[at])
-        return node
-
     def split(self, nodes: np.ndarray, feature, cut, left, right) -> None:
         self.feature[nodes], self.cut[nodes] = feature, cut
         self.value[2 * nodes], self.value[2 * nodes + 1] = left, right
@@ -249,8 +241,10 @@ ROUND_NAMES = [name for name, _ in ROUND_KINDS]
 BATCH_ROWS = 50_000
 #: Rows of a block, and of a task over blocks, when large securities are fitted.
 IN_BLOCK, IN_TASK = 50_000, 2_000_000
-#: Rounds between two writes of the blocks: shorter lineage against less disk.
-ROUNDS_KEPT = 20
+#: Rounds after which scores are worked out from all trees so far: shorter lineage against less work.
+ROUNDS_KEPT = 50
+#: Trees of large securities that the driver gathers before it writes them.
+TREES_KEPT = 2_000
 #: Most sums of a level, one per security and task, that the driver adds up by itself; more are shuffled.
 FEW_SUMS = 500
 
@@ -305,31 +299,65 @@ def _fit_small(data: DataFrame, known: DataFrame, key: str, n_features: int, how
     return mine.groupBy("_batch").cogroup(named.groupBy("_in")).applyInArrow(run, f"`{key}` {kind}, {ROUND}")
 
 
+def _node_sums(tree: Tree, level: int, bins, slope, bend, how: Boosting, sums: np.ndarray) -> None:
+    """Adds gradients, hessians and rows by (node of the level, feature, bin) to ``sums``."""
+    parts = [(1, bins, slope, bend)]
+    for _ in range(level):
+        parts = [part for node, *rows in parts for part in _children(tree, node, *rows)]
+    for node, bins, slope, bend in parts:
+        for to, mine in zip(sums[node - (1 << level)], bins):
+            cell = mine.astype(np.intp)
+            n = np.bincount(cell, minlength=how.bins)
+            to[:, 0] += np.bincount(cell, slope, how.bins)
+            to[:, 1] += n if bend is None else np.bincount(cell, bend, how.bins)
+            to[:, 2] += n
+
+
+def _tree_values(tree: Tree, bins: np.ndarray) -> np.ndarray:
+    found, some = np.empty(bins.shape[1]), [(1, np.arange(bins.shape[1]))]
+    while some:
+        node, rows = some.pop()
+        if tree.feature[node] < 0:
+            found[rows] = tree.value[node]
+            continue
+        right = bins[tree.feature[node]][rows] > tree.cut[node]
+        some += (2 * node, rows[~right]), (2 * node + 1, rows[right])
+    return found
+
+
+def _children(tree: Tree, node: int, bins, *others):
+    """The rows of both children of a node, none if it is not split."""
+    if tree.feature[node] < 0:
+        return
+    right = bins[tree.feature[node]] > tree.cut[node]
+    for child, rows in ((2 * node, np.flatnonzero(~right)), (2 * node + 1, np.flatnonzero(right))):
+        yield child, bins.take(rows, 1), *(None if x is None else x.take(rows) for x in others)
+
+
 def _fit_large(data: DataFrame, known: DataFrame, key: str, n_features: int, how: Boosting) -> DataFrame:
-    """One job over the cached blocks per level; the driver holds the growing trees only.
+    """One job over the cached blocks per level; the driver holds the trees.
 
-    Large securities are fewer than rows / ``block_rows``; so are trees held at once.
+    Large securities are fewer than rows / ``block_rows``; so are the trees of a round. Blocks are
+    an RDD of arrays: the plan of a DataFrame cached round after round doubles in text with every round.
     """
     spark, kind = data.sparkSession, data.schema[key].dataType.simpleString()
     names = [f"_f{k}" for k in range(n_features)]
-    infos = {r[key]: (r._edges, _base(r._mean or 0.0, how)) for r in known.collect()}
-    n_rows = known.agg(F.sum("_rows")).first()[0]
+    infos = known.select(key, "_edges", "_mean", "_rows").collect()
+    places, edges = {r[key]: at for at, r in enumerate(infos)}, [r._edges for r in infos]
+    bases = [_base(r._mean or 0.0, how) for r in infos]
+    n_rows = sum(r._rows for r in infos)
     n_tasks = max(spark.sparkContext.defaultParallelism, -(-n_rows // IN_TASK))
-    parts = ("bins", "label", "valid", "score")
-    block = f"`{key}` {kind}, bins binary, label binary, valid binary, score binary"
+    parts = ("bins", "label", "valid")
 
     def pack(batches):
         held, sizes = {}, Counter()
 
         def out(name):
             rows = pa.Table.from_batches(held.pop(name))
-            edges, base = infos[name]
-            bins = _binned(_floats(rows, names), edges)
-            label = rows.column("_label").to_numpy().astype(float)
-            is_valid = rows.column("_valid").to_numpy().astype(bool)
-            content = (bins, label, is_valid, np.full(len(label), base))
+            bins = _binned(_floats(rows, names), edges[places[name]])
+            content = (bins, rows.column("_label").to_numpy().astype(float), rows.column("_valid").to_numpy().astype(bool))
             sizes[name] = 0
-            return pa.record_batch([pa.array([name], rows.column(key).type), *(pa.array([a.tobytes()], pa.binary()) for a in content)], [key, *parts])
+            return pa.record_batch([pa.array([places[name]], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in content)], ["at", *parts])
 
         for batch in batches:
             for name in pc.unique(batch.column(key)):
@@ -342,77 +370,69 @@ def _fit_large(data: DataFrame, known: DataFrame, key: str, n_features: int, how
         for name in list(held):
             yield out(name)
 
-    def unpack(batch: pa.RecordBatch, k: int):
-        bins, label, valid, score = (batch.column(c)[k].as_buffer() for c in parts)
-        label = np.frombuffer(label)
-        return np.frombuffer(bins, dtype=np.uint8).reshape(n_features, len(label)), label, np.frombuffer(valid, dtype=bool), np.frombuffer(score)
+    def unpack(rows):
+        for r in rows:
+            label = np.frombuffer(r.label)
+            bins = np.frombuffer(r.bins, dtype=np.uint8).reshape(n_features, len(label))
+            yield r.at, bins, label, np.frombuffer(r.valid, dtype=bool), np.full(len(label), bases[r.at])
 
-    def level_job(blocks: DataFrame, trees: dict, level: int) -> dict:
+    def level_job(blocks: RDD, trees: dict, level: int) -> dict:
         """By security: root value, loss, the nodes to split with feature, cut and values."""
-        first = 1 << level
+        shape = (1 << level, n_features, how.bins, 3)
 
-        def sums(batches):
+        def sums(blocks):
             found = {}
-            for batch in batches:
-                for r, name in enumerate(batch.column(key).to_pylist()):
-                    if name not in trees:
-                        continue
-                    bins, label, valid, score = unpack(batch, r)
-                    node = trees[name].descend(bins, level)
-                    learn = np.flatnonzero(~valid & (node >= first))
-                    slope, bend = _slopes(score, label, how)
-                    part = _slot_sums(bins, slope, bend, learn, node[learn] - first, first, how)
-                    lost = np.zeros(2) if level else np.array([_loss(score[valid], label[valid], how).sum(), valid.sum()])
-                    if name in found:
-                        found[name][0][...] += part
-                        found[name][1][...] += lost
-                    else:
-                        found[name] = part, lost
-                        named = batch.column(key).type
-            for name, (part, lost) in found.items():
-                yield pa.record_batch([pa.array([name], named), pa.array([part.tobytes()], pa.binary()), *(pa.array([x]) for x in lost)], [key, "sums", "lost", "late"])
-
-        def split(found: pa.Table) -> pa.Table:
-            whole = np.zeros((first, n_features, how.bins, 3))
-            for part in found.column("sums"):
-                whole += np.frombuffer(part.as_buffer()).reshape(whole.shape)
-            hit, feature, cut, left, right = _best_splits(whole, how)
-            lost, late = (pc.sum(found.column(c)).as_py() for c in ("lost", "late"))
+            for at, bins, label, valid, score in blocks:
+                if at not in trees:
+                    continue
+                if at not in found:
+                    found[at] = np.zeros(shape), np.zeros(2)
+                whole, lost = found[at]
+                if not level:
+                    lost += _loss(score[valid], label[valid], how).sum(), valid.sum()
+                if valid.any():
+                    learn = np.flatnonzero(~valid)
+                    bins, label, score = bins.take(learn, 1), label.take(learn), score.take(learn)
+                slope, bend = _slopes(score, label, how)
+                _node_sums(trees[at], level, bins, slope, bend if how.logistic else None, how, whole)
+            return found.items()
+
+        def add(some, more):
+            return some[0] + more[0], some[1] + more[1]
+
+        def split(found):
+            whole, (lost, late) = found
             root = float(_values(whole[0, 0].sum(axis=0), how.step))
-            columns = [found.column(key).slice(0, 1), [root], [lost / late if late else None]]
-            kinds = (pa.list_(pa.int64()),) * 3 + (pa.list_(pa.float64()),) * 2
-            columns += [pa.array([x.tolist()], k) for x, k in zip((first + hit, feature, cut, left, right), kinds)]
-            columns[1:3] = [pa.array(c, pa.float64()) for c in columns[1:3]]
-            return pa.table(columns, [key, "root", "loss", "nodes", "feature", "cut", "left_value", "right_value"])
+            hit, *best = _best_splits(whole, how)
+            return root, float(lost / late) if late else None, (len(whole) + hit, *best)
 
         # A task gives one row per security: nodes x features x bins sums, whatever its rows.
-        tables = blocks.mapInArrow(sums, f"`{key}` {kind}, sums binary, lost double, late double")
-        if len(trees) * n_tasks <= FEW_SUMS:  # a shuffle would take longer than to add up few rows here
-            found = tables.toArrow()
-            each = (split(found.filter(pc.equal(found.column(key), name))) for name in pc.unique(found.column(key)))
-            return {r[key]: Row(**r) for part in each for r in part.to_pylist()}
-        added = tables.groupBy(key).applyInArrow(
-            split, f"`{key}` {kind}, root double, loss double, nodes array<long>, feature array<long>, cut array<long>, "
-            "left_value array<double>, right_value array<double>",
-        )
-        return {r[key]: r for r in added.collect()}
-
-    def moved(blocks: DataFrame, trees: dict) -> DataFrame:
-        def move(batches):
-            for batch in batches:
-                for r, name in enumerate(batch.column(key).to_pylist()):
-                    if name in trees:
-                        bins, _, _, score = unpack(batch, r)
-                        score = score + trees[name].value[trees[name].descend(bins, how.depth)]
-                        same = [batch.column(c).slice(r, 1) for c in (key, "bins", "label", "valid")]
-                        yield pa.record_batch([*same, pa.array([score.tobytes()], pa.binary())], [key, *parts])
-
-        return blocks.mapInArrow(move, block)
+        tables, n_parts = blocks.mapPartitions(sums), blocks.getNumPartitions()
+        if len(trees) * n_parts <= FEW_SUMS:  # a shuffle would take longer than to add up few rows here
+            found = {}
+            for at, part in tables.collect():
+                found[at] = add(found[at], part) if at in found else part
+            return {at: split(part) for at, part in found.items()}
+        return dict(tables.reduceByKey(add, min(n_parts, len(trees))).mapValues(split).collect())
+
+    def moved(blocks: RDD, rounds: list[dict]) -> RDD:
+        def move(blocks):
+            for at, bins, label, valid, score in blocks:
+                if at in rounds[-1]:
+                    for trees in rounds:
+                        score = score + _tree_values(trees[at], bins)
+                    yield at, bins, label, valid, score
+
+        return blocks.mapPartitions(move)
+
+    def kept(blocks: RDD) -> RDD:
+        return blocks.persist(StorageLevel.MEMORY_AND_DISK)
 
     mine = data.join(F.broadcast(known.select(key)), key)
-    stored = stage(mine.mapInArrow(pack, block))
-    blocks = stored.repartition(n_tasks).persist()
-    trees, best, tables, grown = {name: Tree(how.depth) for name in infos}, {}, [], []
+    stored = stage(mine.mapInArrow(pack, "at int, bins binary, label binary, valid binary"))
+    unscored = stored.repartition(n_tasks).rdd.mapPartitions(unpack)
+    blocks, rounds = kept(unscored), []
+    trees, best, tables, grown = {at: Tree(how.depth) for at in range(len(infos))}, {}, [], []
 
     def write() -> None:
         tables.append(stage(spark.createDataFrame(grown, f"`{key}` {kind}, {ROUND}")))
@@ -420,41 +440,38 @@ def _fit_large(data: DataFrame, known: DataFrame, key: str, n_features: int, how
 
     def end_round(k: int, found: dict) -> None:
         """Losses of round k, which the first level after it finds; securities out of patience stop."""
-        for name, row in found.items():
-            lists = _tree_lists(trees[name], how.depth, np.zeros(1, dtype=np.int64))
-            grown.append((name, k, row.loss, *(x[0].as_py() for x in lists), None))
-            if row.loss is not None and row.loss < best.get(name, (np.inf, 0))[0]:
-                best[name] = row.loss, k
-            if how.patience and row.loss is not None and k - best.get(name, (0, 1))[1] >= how.patience:
-                del trees[name]
+        for at, (_, loss, _) in found.items():
+            lists = _tree_lists(trees[at], how.depth, np.zeros(1, dtype=np.int64))
+            grown.append((infos[at][key], k, loss, *(x[0].as_py() for x in lists), None))
+            if loss is not None and loss < best.get(at, (np.inf, 0))[0]:
+                best[at] = loss, k
+            if how.patience and loss is not None and k - best.get(at, (0, 1))[1] >= how.patience:
+                del trees[at]
 
     for k in range(how.rounds + 1):
+        after = blocks
         if k:
-            if k % ROUNDS_KEPT == 0:
-                after = stage(moved(blocks, trees)).repartition(n_tasks).persist()
-            else:
-                after = moved(blocks, trees).persist()
-        else:
-            after = blocks
-        found = level_job(after, trees, 0)
+            rounds.append(dict(trees))
+            anew = k % ROUNDS_KEPT == 0 and k < how.rounds
+            after = kept(moved(unscored, list(rounds)) if anew else moved(blocks, rounds[-1:]))
+        found = level_job(after, dict(trees), 0)
         if k:
             blocks.unpersist()
             end_round(k, found)
         blocks = after
-        if k and (k % ROUNDS_KEPT == 0 or k == how.rounds or not trees) and grown:
+        if grown and (len(grown) >= TREES_KEPT or k == how.rounds or not trees):
             write()
         if k == how.rounds or not trees:
             break
-        for name in trees:
-            trees[name] = Tree(how.depth)
-            trees[name].value[1] = found[name].root
+        for at in trees:
+            trees[at] = Tree(how.depth)
+            trees[at].value[1] = found[at][0]
         for level in range(how.depth):
             if level:
                 found = level_job(blocks, trees, level)
-            for name, tree in trees.items():
-                row = found[name]
-                tree.split(*(np.array(x, dtype=t) for x, t in zip((row.nodes, row.feature, row.cut, row.left_value, row.right_value), (int, int, int, float, float))))
-            if not any(row.nodes for row in found.values()):
+            for at, tree in trees.items():
+                tree.split(*found[at][2])
+            if not any(len(found[at][2][0]) for at in trees):
                 break
     blocks.unpersist()
     return reduce(DataFrame.unionByName, tables)
