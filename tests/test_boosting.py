@@ -148,18 +148,32 @@ def test_pooled_return_model_in_blocks(spark, monkeypatch, few):
         fit_return_model(df.limit(0), ["x", "z"], "r", rounds=1)
 
 
-def test_plans_stay_short_over_many_rounds_in_blocks(spark):
-    """Each round once cached a plan that held the one before twice: its text doubled up to the driver's memory."""
-    store = spark._jsparkSession.sharedState().statusStore()
-    bus = spark.sparkContext._jsc.sc().listenerBus()
+@pytest.fixture
+def plan_texts(spark):
+    """Lengths of the texts of all plans that ran since the test began."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
 
-    def plans():
+    def known():
         bus.waitUntilEmpty()
         found = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executionsList())
         return {e.executionId(): len(e.physicalPlanDescription()) for e in found}
 
-    before = plans()
+    before = known()
+    return lambda: [n for k, n in known().items() if k not in before]
+
+
+def test_plans_stay_short_over_many_rounds_in_blocks(spark, plan_texts):
+    """Each round once cached a plan that held the one before twice: its text doubled up to the driver's memory."""
     _, rounds, _ = fitted(study_rows(spark, 130), "r", Boosting(rounds=9, depth=1, bins=8, min_leaf=5, block_rows=40))
     assert rounds.groupBy("isin").count().where("count = 9").count() == 2
-    lengths = [n for k, n in plans().items() if k not in before]
-    assert lengths and max(lengths) < 60_000
+    assert 0 < max(plan_texts()) < 60_000
+
+
+def test_plans_of_the_pooled_model_stay_short(spark, plan_texts):
+    from tickweave.operators.models import fit_return_model, score_rows
+
+    df = study_rows(spark, 150)
+    model = fit_return_model(df, ["x", "z"], "r", rounds=9, depth=1, block_rows=100)
+    assert model.fitted.where("run = 9").count() == 1
+    mean = score_rows(model, df).agg(F.avg("score") - F.avg("r")).first()[0]
+    assert mean == pytest.approx(0, abs=1e-9) and 0 < max(plan_texts()) < 60_000
