@@ -177,3 +177,21 @@ def test_plans_of_the_pooled_model_stay_short(spark, plan_texts):
     assert model.fitted.where("run = 9").count() == 1
     mean = score_rows(model, df).agg(F.avg("score") - F.avg("r")).first()[0]
     assert mean == pytest.approx(0, abs=1e-9) and 0 < max(plan_texts()) < 60_000
+
+
+def test_securities_in_blocks_stop_early_with_short_plans(spark, monkeypatch, plan_texts):
+    """Scores worked out from all trees, after some securities have stopped, are those of round after round."""
+    from tickweave.operators import boosting
+
+    random.seed(5)
+    rows = [("noise", random.random(), 0.0, random.randint(0, 1), 0.0, i >= 100) for i in range(130)]
+    rows += [("rule", x := random.random(), 0.0, int(x > 0.5), 0.0, i >= 100) for i in range(130)]
+    df, found = spark.createDataFrame(rows, SCHEMA), []
+    for block_rows, kept in ((1000, 50), (40, 50), (40, 3)):
+        monkeypatch.setattr(boosting, "ROUNDS_KEPT", kept)
+        how = Boosting(rounds=10, step=0.3, depth=1, bins=8, min_leaf=5, logistic=True, patience=3, block_rows=block_rows)
+        got = fitted(df, "y", how, "late")[1].collect()
+        found.append(sorted((r.isin, r.round, r.feature, r.cut, round(r.loss, 9), [round(v, 9) for v in r.value]) for r in got))
+    assert found[0] == found[1] == found[2]
+    last = {isin: k for isin, k, *_ in found[0]}
+    assert last["noise"] < last["rule"] == 10 and max(plan_texts()) < 60_000
